@@ -10,8 +10,11 @@ from barline.catalog.registry import query, r, tidy
 from barline.catalog.sql import (
     B,
     DENSE,
+    KALMAN,
     anchored_vwap,
     cols,
+    flat_mean,
+    relation,
     smooth,
     trail,
     true_range,
@@ -181,12 +184,12 @@ def ttm_parts(head: str) -> list[str]:
         trail("st", "src", 1.8),
         f"""base AS MATERIALIZED (SELECT d.*, CASE WHEN rn >= 39 THEN mid.y END AS mid,
           coalesce(k12.y, 0) AS k12, coalesce(k14.y, 0) AS k14, st.t AS stop,
-          CASE WHEN rn >= 13 THEN avg(d.close) OVER w14 END AS m14,
+          CASE WHEN rn >= 13 THEN {flat_mean("d.close", "w14")} END AS m14,
           CASE WHEN rn >= 13 THEN stddev_pop(d.close) OVER w14 END AS s14,
-          CASE WHEN rn >= 15 THEN avg(d.close) OVER w16 END AS m16,
+          CASE WHEN rn >= 15 THEN {flat_mean("d.close", "w16")} END AS m16,
           CASE WHEN rn >= 15 THEN stddev_pop(d.close) OVER w16 END AS s16,
           CASE WHEN rn >= 11 THEN d.close - (max(d.high) OVER w12 + min(d.low) OVER w12
-            + avg(d.close) OVER w12) / 3 END AS hist
+            + {flat_mean("d.close", "w12")}) / 3 END AS hist
           FROM dense d LEFT JOIN mid USING (symbol, rn) LEFT JOIN k12 USING (symbol, rn)
           LEFT JOIN k14 USING (symbol, rn) LEFT JOIN st USING (symbol, rn)
           WINDOW w12 AS (PARTITION BY d.symbol ORDER BY d.rn ROWS BETWEEN 11 PRECEDING AND CURRENT ROW),
@@ -249,7 +252,7 @@ def squeeze_parts(head: str) -> list[str]:
     picks = [f"CASE WHEN rn >= {n - 1} THEN mid{n}.y END AS mid{n}" for n in spans]
     picks += [f"coalesce(k{n}.y, 0) AS k{n}" for n in sorted({*spans, 10})]
     for n in bb:
-        picks.append(f"CASE WHEN rn >= {n - 1} THEN avg(d.close) OVER w{n} END AS m{n}")
+        picks.append(f"CASE WHEN rn >= {n - 1} THEN {flat_mean('d.close', f'w{n}')} END AS m{n}")
         picks.append(f"CASE WHEN rn >= {n - 1} THEN stddev_pop(d.close) OVER w{n} END AS s{n}")
     joins = "".join(
         f" LEFT JOIN {t} USING (symbol, rn)"
@@ -276,15 +279,15 @@ def squeeze_parts(head: str) -> list[str]:
         ku = f"(mid{k} + {p['kc_multiplier']} * k{k})"
         kl = f"(mid{k} - {p['kc_multiplier']} * k{k})"
         parts.append(
-            f"""s{i} AS (SELECT symbol, date, rn, low, close, stop, vwap, sign(close - {up}) AS s,
+            f"""s{i} AS (SELECT symbol, date, rn, low, close, stop, vwap, {relation('close', up)} AS s,
               coalesce({up} <= {ku} * (1 + th) AND {lo} >= {kl} * (1 - th), false) AS tight FROM th),
             w{i} AS (SELECT *, last_value(nullif(s, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY rn
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM s{i}),
             e{i} AS (SELECT *, coalesce(close > vwap, false) AND ((coalesce(s = 1 AND was = -1, false) AND tight)
               OR (coalesce(s = 1, false) AND NOT tight)) AS entry FROM w{i}),
             l{i} AS (SELECT *, last_value(CASE WHEN entry AND rn > 0 THEN low END IGNORE NULLS) OVER (
-              PARTITION BY symbol ORDER BY rn) AS lae, sign(close - stop) AS ts FROM e{i}),
-            g{i} AS (SELECT *, sign(close - lae) AS ls FROM l{i}),
+              PARTITION BY symbol ORDER BY rn) AS lae, {relation('close', 'stop')} AS ts FROM e{i}),
+            g{i} AS (SELECT *, {relation('close', 'lae')} AS ls FROM l{i}),
             x{i} AS (SELECT *, last_value(nullif(ts, 0) IGNORE NULLS) OVER o AS tw,
               last_value(nullif(ls, 0) IGNORE NULLS) OVER o AS lw FROM g{i}
               WINDOW o AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
@@ -331,13 +334,100 @@ def trade_metadata(spark, sf):
     return df.select("symbol", "entry_idx", "metadata_text")
 
 
-def _features(spark, sf):
-    return features.feature_table(cut_lineage(derived.bars(spark, sf)))
+def _ln(expr: str, guard: int) -> str:
+    return f"CASE WHEN rn >= {guard} AND {expr} > 0 THEN ln({expr}) END"
 
 
-@query("feature_table")
+def _z(value: str, n: int) -> str:
+    return (
+        f"CASE WHEN rn >= {n - 1} THEN ({value} - avg({value}) {_w(n)}) "
+        f"/ nullif(stddev_samp({value}) {_w(n)}, 0) END"
+    )
+
+
+def _feature_sql() -> str:
+    """Own-series features by the same fragments as the single indicators, ranks by windows."""
+    emas = {n: smooth(f"e{n}", "b", "close", n) for n in features.SPANS}
+    vol = ", ".join(
+        f"""CASE WHEN rn >= {n} THEN sqrt(greatest(avg(o) {_w(n)} + k{n} * avg(c) {_w(n)}
+          + (1 - k{n}) * greatest(avg(rs) {_w(n)}, 0), 0)) * sqrt(252::DOUBLE) ELSE 0 END AS yz_vol_{n}"""
+        for n in (10, 20)
+    )
+    parts = [
+        B,
+        anchored_vwap("vh", "b", "highest"),
+        anchored_vwap("vl", "b", "lowest"),
+        *emas.values(),
+        """ch AS MATERIALIZED (SELECT symbol, rn, greatest(d, 0) AS up, greatest(-d, 0) AS dn FROM (
+          SELECT symbol, rn, close - lag(close) OVER (PARTITION BY symbol ORDER BY rn) AS d FROM b)
+          WHERE d IS NOT NULL)""",
+        *[
+            smooth(f"{side}{n}", "ch", col, n, 1, wilder=True)
+            for n in (5, 14)
+            for side, col in (("g", "up"), ("l", "dn"))
+        ],
+        """fi AS MATERIALIZED (SELECT symbol, rn,
+          coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY rn), 0) * volume AS v FROM b)""",
+        smooth("ef", "fi", "v", 13, 0, first=True),
+        KALMAN,
+        """p AS (SELECT *, lag(close) OVER o AS pc, (high + low + close) / 3 AS tp,
+          (high + low + close) / 3 - lag((high + low + close) / 3) OVER o AS dt
+          FROM b WINDOW o AS (PARTITION BY symbol ORDER BY rn))""",
+        """q AS (SELECT *, ln(open / pc) ** 2 AS o, ln(close / open) ** 2 AS c, ln(close / pc) AS lr,
+          0.5 * ln(high / low) ** 2 - (2 * ln(2::DOUBLE) - 1) * (ln(close / open) ** 2 + ln(open / pc) ** 2) AS rs,
+          0.34::DOUBLE / (1.34::DOUBLE + 11.0::DOUBLE / 9) AS k10,
+          0.34::DOUBLE / (1.34::DOUBLE + 21.0::DOUBLE / 19) AS k20,
+          CASE WHEN dt > 0 THEN tp * volume ELSE 0 END AS mp, CASE WHEN dt < 0 THEN tp * volume ELSE 0 END AS mn
+          FROM p)""",
+        f"""w AS MATERIALIZED (SELECT symbol, date, rn, lr AS log_return,
+          sum(coalesce(sign(close - pc), 1) * volume) OVER (PARTITION BY symbol ORDER BY rn) AS obv,
+          CASE WHEN rn >= 21 THEN CASE WHEN sum(mp) {_w(21)} + sum(mn) {_w(21)} > 0
+            THEN 100 * sum(mp) {_w(21)} / (sum(mp) {_w(21)} + sum(mn) {_w(21)}) ELSE 0 END END AS mfi_21,
+          {_ln(f"volume / avg(volume) {_w(10)}", 9)} AS volume_threshold_ma_10,
+          {_ln(f"volume / avg(volume) {_w(20)}", 19)} AS volume_threshold_ma_20,
+          {_z("lr", 10)} AS zscore_10_log_return, {_z("lr", 20)} AS zscore_20_log_return, {vol}
+          FROM q)""",
+        f"""f AS MATERIALIZED (SELECT symbol, rn, {_z("y", 10)} AS efi_zscore_10, {_z("y", 20)} AS efi_zscore_20
+          FROM (SELECT symbol, rn, CASE WHEN rn >= 12 THEN y END AS y FROM ef))""",
+        f"""z AS MATERIALIZED (SELECT symbol, rn, y, {_z("y", 10)} AS zscore_kf_10, {_z("y", 20)} AS zscore_kf_20 FROM kf)""",
+    ]
+    rank = []
+    for n in (10, 20):
+        parts.append(
+            f"""r{n} AS (SELECT symbol, date, ret - avg(ret) OVER (PARTITION BY date) AS rs FROM (
+              SELECT symbol, date, close / lag(close, {n}) OVER (PARTITION BY symbol ORDER BY rn) - 1 AS ret FROM b)),
+            x{n} AS MATERIALIZED (SELECT symbol, date, rs, percent_rank() OVER (PARTITION BY date ORDER BY rs) AS k
+              FROM r{n} WHERE rs IS NOT NULL)"""
+        )
+        rank.append(f" LEFT JOIN x{n} ON x{n}.symbol = b.symbol AND x{n}.date = b.date")
+
+    def rsi(n: int) -> str:
+        g, l = f"g{n}.y", f"l{n}.y"
+        return f"CASE WHEN {g} + {l} > 0 THEN 100 * {g} / ({g} + {l}) WHEN {g} IS NOT NULL THEN 0 END"
+
+    out = {"rsi_window_5": rsi(5), "rsi_window_14": rsi(14)}
+    out |= {f"ema_{n}_distance": f"ln(b.close / e{n}.y)" for n in features.SPANS}
+    out |= {
+        "vwap_distance_highest": "ln(b.close / vh.x)",
+        "vwap_distance_lowest": "ln(b.close / vl.x)",
+        "kf_distance": "ln(b.close / z.y)",
+    }
+    for n in (10, 20):
+        out |= {f"rs_{n}": f"x{n}.rs", f"msr_rank_{n}": f"x{n}.k"}
+    plain = [c for c in features.FEATURES if c not in out]
+    out |= {c: c for c in plain}
+    joins = "".join(
+        f" LEFT JOIN {t} ON {t}.symbol = b.symbol AND {t}.rn = b.rn"
+        for t in [*(f"e{n}" for n in features.SPANS), "g5", "l5", "g14", "l14", "vh", "vl", "f", "w", "z"]
+    )
+    return with_(*parts, recursive=True) + (
+        f" SELECT b.symbol, b.date, {cols(3, **out)} FROM b{joins}{''.join(rank)}"
+    )
+
+
+@query("feature_table", _feature_sql())
 def feature_table(spark, sf):
-    return tidy(_features(spark, sf))
+    return tidy(features.feature_table(derived.bars(spark, sf)), digits=3)
 
 
 @query(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from barline.catalog.registry import SQL, query, tidy
-from barline.catalog.sql import B, anchored_vwap, cols, smooth, trail, true_range, with_
+from barline.catalog.sql import B, KALMAN, anchored_vwap, cols, flat_mean, smooth, trail, true_range, with_
 from barline.operators import indicators as I
 from barline.plans.indicators import Spec, with_indicators
 from barline.sources import derived
@@ -84,7 +84,7 @@ def macd(spark, sf):
 @query(
     "bollinger",
     with_(B)
-    + f""", m AS (SELECT symbol, date, {_full(20, f"avg(close) {_w(20)}")} AS m,
+    + f""", m AS (SELECT symbol, date, {_full(20, flat_mean("close", _w(20)[5:]))} AS m,
       {_full(20, f"stddev_pop(close) {_w(20)}")} AS s FROM b)
     SELECT symbol, date, {cols(bb_upper="m + 2 * s", bb_middle="m", bb_lower="m - 2 * s")} FROM m""",
 )
@@ -191,17 +191,7 @@ def stochastic(spark, sf):
     return tidy(I.stochastic(derived.bars(spark, sf)), "symbol", "date", "slowk", "slowd")
 
 
-_KALMAN = """
-kf AS (
-  SELECT symbol, rn, 0.5::DOUBLE * close AS y, 0.5::DOUBLE AS p FROM b WHERE rn = 0
-  UNION ALL
-  SELECT b.symbol, b.rn,
-    k.y + (k.p + 0.01::DOUBLE) / (k.p + 1.01::DOUBLE) * (b.close - k.y),
-    (k.p + 0.01::DOUBLE) / (k.p + 1.01::DOUBLE)
-  FROM kf k JOIN b ON b.symbol = k.symbol AND b.rn = k.rn + 1)"""
-
-
-@query("kalman", with_(B, _KALMAN, "e AS (SELECT symbol, rn, y FROM kf)", recursive=True) + _joined("e.y", "kf"))
+@query("kalman", with_(B, KALMAN, "e AS (SELECT symbol, rn, y FROM kf)", recursive=True) + _joined("e.y", "kf"))
 def kalman(spark, sf):
     return tidy(I.kalman(derived.bars(spark, sf)), "symbol", "date", "kf")
 
@@ -210,7 +200,7 @@ def kalman(spark, sf):
     "kalman_zscore",
     with_(
         B,
-        _KALMAN,
+        KALMAN,
         f"""e AS (SELECT symbol, rn, coalesce({_full(20, f"(y - avg(y) {_w(20)}) / nullif(stddev_samp(y) {_w(20)}, 0)")}, 0) AS y
           FROM kf)""",
         recursive=True,
@@ -256,7 +246,7 @@ def keltner(spark, sf):
 
 
 _DONCHIAN = f"""dc AS MATERIALIZED (SELECT symbol, date, rn, close,
-  {_full(12, f"(max(high) {_w(12)} + min(low) {_w(12)} + avg(close) {_w(12)}) / 3")} AS mid FROM b)"""
+  {_full(12, f"(max(high) {_w(12)} + min(low) {_w(12)} + {flat_mean('close', _w(12)[5:])}) / 3")} AS mid FROM b)"""
 
 
 @query(

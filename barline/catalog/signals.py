@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barline.catalog.backtests import squeeze_parts, ttm_parts
 from barline.catalog.registry import query, tidy
-from barline.catalog.sql import B, cols, with_
+from barline.catalog.sql import B, cols, relation, with_
 from barline.functions import scalars as S
 from barline.functions.series import with_rn
 from barline.operators import grid, signals
@@ -26,7 +26,7 @@ def _cross(x: str, y: str, src: str, name: str) -> str:
       PARTITION BY symbol, run ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was
     FROM (SELECT *, sum(CASE WHEN s IS NULL THEN 1 ELSE 0 END) OVER (
             PARTITION BY symbol ORDER BY rn) AS run
-          FROM (SELECT *, sign({x} - {y}) AS s FROM {src}))))"""
+          FROM (SELECT *, {relation(x, y)} AS s FROM {src}))))"""
 
 
 _CROSSED = with_(B, _MA, _cross("close", "ma", "m", "x"))

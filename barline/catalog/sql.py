@@ -118,6 +118,16 @@ returns AS MATERIALIZED (
   WHERE ret IS NOT NULL)"""
 
 
+KALMAN = """
+kf AS (
+  SELECT symbol, rn, 0.5::DOUBLE * close AS y, 0.5::DOUBLE AS p FROM b WHERE rn = 0
+  UNION ALL
+  SELECT b.symbol, b.rn,
+    k.y + (k.p + 0.01::DOUBLE) / (k.p + 1.01::DOUBLE) * (b.close - k.y),
+    (k.p + 0.01::DOUBLE) / (k.p + 1.01::DOUBLE)
+  FROM kf k JOIN b ON b.symbol = k.symbol AND b.rn = k.rn + 1)"""
+
+
 def with_(*ctes: str, recursive: bool = False) -> str:
     """WITH clause of the given fragments."""
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(c.strip() for c in ctes)
@@ -193,6 +203,19 @@ def anchored_vwap(name: str, src: str, side: str, window: int = 200) -> str:
   FROM {name}_x)"""
 
 
+def relation(x: str, y: str) -> str:
+    """Sign of x - y where a relative gap of 1e-9 is a tie."""
+    return f"CASE WHEN abs({x} - {y}) <= 1e-9 * greatest(abs({x}), abs({y})) THEN 0 ELSE sign({x} - {y}) END"
+
+
+def flat_mean(value: str, over: str) -> str:
+    """Rolling mean that is exact on flat windows."""
+    return (
+        f"CASE WHEN max({value}) OVER {over} = min({value}) OVER {over} "
+        f"THEN {value} ELSE avg({value}) OVER {over} END"
+    )
+
+
 def cols(digits: int = 4, **exprs: str) -> str:
     """Rounded select list."""
     return ", ".join(f"{rsql(e, digits)} AS {n}" for n, e in exprs.items())

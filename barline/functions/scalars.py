@@ -56,6 +56,17 @@ def clip_low(c: Column, floor: float = 0.0) -> Column:
     return F.when(c.isNotNull(), F.greatest(c, F.lit(floor)))
 
 
+# Values closer than this, relative to the larger, count as equal. Band edges of evenly split
+# windows meet the price exactly; without a tolerance the last bit of a sum would decide.
+TIE = 1e-9
+
+
+def relation(x: Column, y: Column) -> Column:
+    """Sign of x - y: 1, 0 for a tie, -1; NULL if either is undefined."""
+    gap = F.lit(TIE) * F.greatest(F.abs(x), F.abs(y))
+    return F.when(F.abs(x - y) <= gap, F.lit(0.0)).otherwise(F.signum(x - y))
+
+
 def zero_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(0.0))
 

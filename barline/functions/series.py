@@ -65,6 +65,14 @@ def fill_backward(c: Column | str, by: str = KEY, order: str = RN) -> Column:
     return F.last(c, ignorenulls=True).over(backward(by, order))
 
 
+def rolling_mean(value: str, n: int, by: str = KEY) -> Column:
+    """Mean of the last n bars; exactly the value itself where all n are equal. A sum divided by
+    n can miss it by one bit, and a filled grid is full of flat stretches that get compared."""
+    w = trailing(n, by)
+    flat = F.max(value).over(w) == F.min(value).over(w)
+    return F.when(flat, F.col(value)).otherwise(F.avg(value).over(w))
+
+
 def seed_mean(x: Column, first: int, n: int, by: str = KEY) -> Column:
     """Mean of x over bars first..first+n-1, valid on the last of them.
 

@@ -25,6 +25,7 @@ from barline.functions.series import (
     decayed_sums,
     fill_forward,
     full_window,
+    rolling_mean,
     running,
     seed_mean,
     sliding_argextreme,
@@ -167,8 +168,8 @@ def bollinger(
 ) -> DataFrame:
     """Simple mean plus and minus a multiple of the population deviation."""
     df = with_rn(bars)
-    df = df.withColumn("_m", F.avg("close").over(trailing(n))).withColumn(
-        "_sd", F.stddev_pop("close").over(trailing(n))
+    df = df.withColumns(
+        {"_m": rolling_mean("close", n), "_sd": F.stddev_pop("close").over(trailing(n))}
     )
     return _drop(
         df.withColumn(f"{prefix}_upper", full_window(n, F.col("_m") + F.lit(up) * F.col("_sd")))
@@ -229,7 +230,7 @@ def donchian(bars: DataFrame, n: int = 12) -> DataFrame:
     df = (
         df.withColumn("_h", F.max("high").over(trailing(n)))
         .withColumn("_l", F.min("low").over(trailing(n)))
-        .withColumn("_c", F.avg("close").over(trailing(n)))
+        .withColumn("_c", rolling_mean("close", n))
     )
     mid = full_window(n, (F.col("_h") + F.col("_l") + F.col("_c")) / 3.0)
     df = df.withColumn("dc_mid", mid).withColumn("dc_hist", F.col("close") - F.col("dc_mid"))

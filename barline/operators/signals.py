@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions import scalars as S
-from barline.functions.series import KEY, RN, along, running, with_rn
+from barline.functions.series import KEY, RN, along, rolling_mean, running, with_rn
 from barline.operators import indicators as I
 
 
@@ -25,7 +25,7 @@ def crossings(df: DataFrame, pairs: dict[str, tuple[Column, Column, str]]) -> Da
     keep = [c for c in df.columns if c not in pairs]
     signs = {}
     for o, (x, y, _) in pairs.items():
-        s = F.signum(x - y)
+        s = S.relation(x, y)
         signs[f"_s_{o}"] = F.when(s.isNull(), F.lit(0.0)).when(s != 0, s)
     df = df.withColumns(signs)
     before = along().rowsBetween(Window.unboundedPreceding, -1)
@@ -109,7 +109,7 @@ def _bands(windows: set[int]) -> dict[str, Column]:
     """Rolling mean and population deviation of the close, one pair per distinct window."""
     out = {}
     for n in sorted(windows):
-        out[f"_bm{n}"] = I.full_window(n, F.avg("close").over(I.trailing(n)))
+        out[f"_bm{n}"] = I.full_window(n, rolling_mean("close", n))
         out[f"_bs{n}"] = I.full_window(n, F.stddev_pop("close").over(I.trailing(n)))
     return out
 
@@ -156,7 +156,7 @@ def squeeze_signals(
     for i, p in enumerate(sweep):
         bu, bl, ku, kl = _channel(p, p["kc_window"])
         tight = S.all_of(bu <= ku * (1.0 + limit), bl >= kl * (1.0 - limit))
-        above = S.safe(F.col("close") > bu)
+        above = S.safe(S.relation(F.col("close"), bu) == 1)
         entries[f"entry_{i}"] = over_vwap & ((F.col(f"_up{i}") & tight) | (above & ~tight))
     df = df.withColumns(entries)
     df = lows_at_entry(df, {f"_low{i}": f"entry_{i}" for i in ids})
