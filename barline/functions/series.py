@@ -65,12 +65,21 @@ def fill_backward(c: Column | str, by: str = KEY, order: str = RN) -> Column:
     return F.last(c, ignorenulls=True).over(backward(by, order))
 
 
-def rolling_mean(value: str, n: int, by: str = KEY) -> Column:
-    """Mean of the last n bars; exactly the value itself where all n are equal. A sum divided by
-    n can miss it by one bit, and a filled grid is full of flat stretches that get compared."""
-    w = trailing(n, by)
-    flat = F.max(value).over(w) == F.min(value).over(w)
-    return F.when(flat, F.col(value)).otherwise(F.avg(value).over(w))
+def with_same_run(df: DataFrame, value: str, out: str = "_same", by: str = KEY) -> DataFrame:
+    """Number of bars in a row, this one included, with the same value."""
+    prev = F.lag(value).over(along(by))
+    changed = F.when(~F.col(value).eqNullSafe(prev) | (F.col(RN) == 0), F.col(RN))
+    df = df.withColumn("_chg", changed)
+    since = F.last("_chg", ignorenulls=True).over(running(by))
+    return df.withColumn(out, F.col(RN) - since + 1).drop("_chg")
+
+
+def rolling_mean(value: str, n: int, same: str = "_same", by: str = KEY) -> Column:
+    """Mean of the last n bars; exactly the value itself where all n are equal (``same`` counts
+    them). A sum divided by n can miss it by one bit, and a filled grid is full of flat stretches
+    that get compared."""
+    mean = F.avg(value).over(trailing(n, by))
+    return F.when(F.col(same) >= n, F.col(value)).otherwise(mean)
 
 
 def seed_mean(x: Column, first: int, n: int, by: str = KEY) -> Column:
@@ -84,25 +93,26 @@ def seed_mean(x: Column, first: int, n: int, by: str = KEY) -> Column:
 
 
 def _block_rows(r: float) -> int:
-    """Longest block whose total decay r^B stays at 1e-250: far from overflow either way."""
-    return max(1, math.floor(250.0 / -math.log10(r))) if r > 0.0 else 1 << 40
+    """Longest block whose total decay r^B stays at 1e-500. Weights run from the middle of the
+    block, so they lie between 1e-250 and 1e250, far from overflow either way."""
+    return max(1, math.floor(500.0 / -math.log10(r))) if r > 0.0 else 1 << 40
 
 
 def _lags(r: float, size: int) -> int:
-    """Blocks back until r^(k·size) is below the smallest double, so no weight is left out."""
-    return math.ceil(324.0 / (-math.log10(r) * size)) + 1 if r > 0.0 else 0
+    """Earlier blocks that matter: r^((k-1)·size) of the next one is below the smallest double."""
+    return math.ceil(324.0 / (-math.log10(r) * size)) if r > 0.0 else 0
 
 
 def decayed_sums(
-    df: DataFrame, terms: dict[str, tuple[str, float]], by: str = KEY, max_lags: int = 12
+    df: DataFrame, terms: dict[str, tuple[str, float]], by: str = KEY, max_lags: int = 6
 ) -> DataFrame:
     """Add y[t] = r·y[t-1] + b[t] for each ``name: (b_column, r)``, 0 <= r < 1; null b is 0.
 
     This is the one recurrence behind exponential and Wilder averages, the Kalman filter after
     its gain settles and the decayed volume balance. It runs as windows, not as a Python loop:
-    inside a block of B rows, y = r^pos · Σ b·r^-pos, with B short enough to stay clear of
-    overflow. Across blocks the carried state is Σ_k r^((k-1)B)·S(k blocks back), and it is
-    summed until the weight falls below the smallest double, so nothing is cut off.
+    inside a block of B rows, y = r^p · Σ b·r^-p with p counted from the block's middle. Across
+    blocks the carried state is Σ_k r^((k-1)B)·S(k blocks back), summed until the weight falls
+    below the smallest double, so nothing is cut off; for the fastest decay that is one block.
 
     Terms whose decays are close enough share a block length, and with it one sort.
     """
@@ -112,8 +122,7 @@ def decayed_sums(
     groups: list[list[str]] = []
     for name in sorted(terms, key=lambda n: terms[n][1]):
         r = terms[name][1]
-        size = _block_rows(terms[groups[-1][0]][1]) if groups else 0
-        if groups and _lags(r, min(size, _block_rows(r))) <= max_lags:
+        if groups and _lags(r, _block_rows(terms[groups[-1][0]][1])) <= max_lags:
             groups[-1].append(name)
         else:
             groups.append([name])
@@ -125,28 +134,27 @@ def decayed_sums(
 def _decayed_group(df: DataFrame, terms: dict[str, tuple[str, float]], by: str) -> DataFrame:
     keep = [c for c in df.columns if c not in terms]
     size = min(_block_rows(r) for _, r in terms.values())
-    pos = F.col("_pos")
+    pos, mid = F.col("_pos"), F.lit(float(size // 2))
     inside = Window.partitionBy(by, "_blk").orderBy(RN).rowsBetween(Window.unboundedPreceding, 0)
+    # (block, rn) is the same order as rn and is the one the rows are in by then
+    before = Window.partitionBy(by).orderBy("_blk", RN).rowsBetween(Window.unboundedPreceding, -1)
     local, carried, final = {}, {}, []
     for name, (b, r) in terms.items():
-        value = F.coalesce(F.col(b), F.lit(0.0))
+        value, here = F.coalesce(F.col(b), F.lit(0.0)), f"_s_{name}"
         if r == 0.0:
-            local[f"_s_{name}"] = value
-            final.append(F.col(f"_s_{name}").alias(name))
+            local[here] = value
+            final.append(F.col(here).alias(name))
             continue
-        local[f"_s_{name}"] = F.sum(value * F.pow(F.lit(r), -pos)).over(inside) * F.pow(F.lit(r), pos)
-        prior = F.lit(0.0)
-        for k in range(1, _lags(r, size) + 1):
-            weight = r ** ((k - 1) * size)
-            if weight == 0.0:
-                break
+        grown = F.sum(value * F.pow(F.lit(r), mid - pos)).over(inside)
+        local[here] = grown * F.pow(F.lit(r), pos - mid)
+        prior = F.last(F.when(pos == size - 1, F.col(here)), ignorenulls=True).over(before)
+        prior = F.coalesce(prior, F.lit(0.0))
+        for k in range(2, _lags(r, size) + 1):
             back = Window.partitionBy(by).orderBy("_blk").rangeBetween(-k, -k)
-            last = F.max_by(f"_s_{name}", RN).over(back)
-            prior = prior + F.lit(weight) * F.coalesce(last, F.lit(0.0))
+            last = F.coalesce(F.max_by(here, RN).over(back), F.lit(0.0))
+            prior = prior + F.lit(r ** ((k - 1) * size)) * last
         carried[f"_c_{name}"] = prior
-        final.append(
-            (F.col(f"_s_{name}") + F.pow(F.lit(r), pos + 1) * F.col(f"_c_{name}")).alias(name)
-        )
+        final.append((F.col(here) + F.pow(F.lit(r), pos + 1) * F.col(f"_c_{name}")).alias(name))
     out = df.withColumns(
         {
             "_blk": F.floor(F.col(RN) / F.lit(size)),

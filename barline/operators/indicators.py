@@ -31,6 +31,7 @@ from barline.functions.series import (
     sliding_argextreme,
     trailing,
     with_rn,
+    with_same_run,
 )
 
 
@@ -167,7 +168,7 @@ def bollinger(
     bars: DataFrame, n: int = 20, up: float = 2.0, down: float = 2.0, prefix: str = "bb"
 ) -> DataFrame:
     """Simple mean plus and minus a multiple of the population deviation."""
-    df = with_rn(bars)
+    df = with_same_run(with_rn(bars), "close")
     df = df.withColumns(
         {"_m": rolling_mean("close", n), "_sd": F.stddev_pop("close").over(trailing(n))}
     )
@@ -175,7 +176,7 @@ def bollinger(
         df.withColumn(f"{prefix}_upper", full_window(n, F.col("_m") + F.lit(up) * F.col("_sd")))
         .withColumn(f"{prefix}_middle", full_window(n, F.col("_m")))
         .withColumn(f"{prefix}_lower", full_window(n, F.col("_m") - F.lit(down) * F.col("_sd"))),
-        "_m", "_sd",
+        "_m", "_sd", "_same",
     )
 
 
@@ -226,30 +227,32 @@ def keltner(
 
 def donchian(bars: DataFrame, n: int = 12) -> DataFrame:
     """dc_mid = (highest high + lowest low + mean close)/3 and the close's distance to it."""
-    df = with_rn(bars)
-    df = (
-        df.withColumn("_h", F.max("high").over(trailing(n)))
-        .withColumn("_l", F.min("low").over(trailing(n)))
-        .withColumn("_c", rolling_mean("close", n))
+    df = with_same_run(with_rn(bars), "close")
+    w = trailing(n)
+    df = df.withColumns(
+        {"_h": F.max("high").over(w), "_l": F.min("low").over(w), "_c": rolling_mean("close", n)}
     )
     mid = full_window(n, (F.col("_h") + F.col("_l") + F.col("_c")) / 3.0)
     df = df.withColumn("dc_mid", mid).withColumn("dc_hist", F.col("close") - F.col("dc_mid"))
-    return _drop(df, "_h", "_l", "_c")
+    return df.drop("_h", "_l", "_c", "_same")
 
 
 def linear_regression(
     df: DataFrame, value: str, n: int, out: str = "linreg", skip: int = 0
 ) -> DataFrame:
     """End point of the least-squares line through the last n values; ``skip`` leading bars of
-    the input are warm-up."""
+    the input are warm-up.
+
+    On equally spaced points the end point is a fixed weighting of the values, 2(3i - n - 1) /
+    (n(n+1)) for the i-th oldest, so n offsets replace two regression aggregates per frame.
+    """
     df = with_rn(df)
-    w = trailing(n)
-    df = df.withColumn("_x", _rn().cast("double"))
-    df = df.withColumn("_a", F.regr_slope(value, "_x").over(w)).withColumn(
-        "_i", F.regr_intercept(value, "_x").over(w)
-    )
-    end = F.col("_a") * F.col("_x") + F.col("_i")
-    return _drop(df.withColumn(out, full_window(n + skip, end)), "_x", "_a", "_i")
+    total = None
+    for i in range(1, n + 1):
+        x = F.lag(value, n - i).over(along()) if i < n else F.col(value)
+        term = F.lit(2.0 * (3 * i - n - 1) / (n * (n + 1))) * x
+        total = term if total is None else total + term
+    return df.withColumn("_e", total).withColumn(out, full_window(n + skip, F.col("_e"))).drop("_e")
 
 
 def expanding_mean(df: DataFrame, value: str, out: str = "expanding_mean") -> DataFrame:

@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions import scalars as S
-from barline.functions.series import KEY, RN, along, rolling_mean, running, with_rn
+from barline.functions.series import (
+    KEY,
+    RN,
+    along,
+    rolling_mean,
+    running,
+    with_rn,
+    with_same_run,
+)
 from barline.operators import indicators as I
 
 
@@ -147,7 +155,7 @@ def squeeze_signals(
     specs |= {f"_mid{n}": I.Smooth("close", n, from_first=True) for n in sorted(windows)}
     df = I.smooth(df, specs).withColumn("_vol", F.coalesce("_ka10", F.lit(0.0)))
     df = I.expanding_mean(df, "_vol", out="_vol_mean")
-    df = df.withColumns(_bands({p["bb_window"] for p in sweep}))
+    df = with_same_run(df, "close").withColumns(_bands({p["bb_window"] for p in sweep}))
     df = df.withColumns({f"_bu{i}": _channel(p, p["kc_window"])[0] for i, p in enumerate(sweep)})
     df = crossings(df, {f"_up{i}": (F.col("close"), F.col(f"_bu{i}"), "above") for i in ids})
     limit = S.clip_low(F.lit(squeeze_threshold) * F.col("_vol") / F.col("_vol_mean"))
@@ -187,7 +195,8 @@ def ttm_signals(bars: DataFrame, sweep: list[dict], atr_multiplier: float = 1.8)
         for n in sorted({p["kc_window"] for p in sweep})
     }
     specs["_atr"] = I.Smooth("_tr", 10, start=1, wilder=True)
-    df = I.smooth(df, specs).withColumns(_bands({p["bb_window"] for p in sweep}))
+    df = with_same_run(I.smooth(df, specs), "close")
+    df = df.withColumns(_bands({p["bb_window"] for p in sweep}))
     for m, d in sorted({(p["momentum_window"], p["donichan_window"]) for p in sweep}):
         df = I.donchian(df, d)
         df = I.linear_regression(df, "dc_hist", m, f"_mom{m}_{d}", skip=d - 1)
