@@ -340,7 +340,7 @@ def _ln(expr: str, guard: int) -> str:
 
 def _z(value: str, n: int) -> str:
     return (
-        f"CASE WHEN rn >= {n - 1} THEN ({value} - avg({value}) {_w(n)}) "
+        f"CASE WHEN count({value}) {_w(n)} = {n} THEN ({value} - avg({value}) {_w(n)}) "
         f"/ nullif(stddev_samp({value}) {_w(n)}, 0) END"
     )
 

@@ -65,31 +65,70 @@ def fill_backward(c: Column | str, by: str = KEY, order: str = RN) -> Column:
     return F.last(c, ignorenulls=True).over(backward(by, order))
 
 
-def with_same_run(df: DataFrame, value: str, out: str = "_same", by: str = KEY) -> DataFrame:
-    """Number of bars in a row, this one included, with the same value."""
-    prev = F.lag(value).over(along(by))
-    changed = F.when(~F.col(value).eqNullSafe(prev) | (F.col(RN) == 0), F.col(RN))
-    df = df.withColumn("_chg", changed)
-    since = F.last("_chg", ignorenulls=True).over(running(by))
-    return df.withColumn(out, F.col(RN) - since + 1).drop("_chg")
+# Frames up to this length are read as offsets. A sliding aggregate re-adds its whole frame for
+# every row; ``lag`` only moves a pointer, and the arithmetic over the offsets is compiled. Longer
+# frames would make the compiled expression too large to pay off.
+SHORT = 24
 
 
-def rolling_mean(value: str, n: int, same: str = "_same", by: str = KEY) -> Column:
-    """Mean of the last n bars; exactly the value itself where all n are equal (``same`` counts
-    them). A sum divided by n can miss it by one bit, and a filled grid is full of flat stretches
-    that get compared."""
-    mean = F.avg(value).over(trailing(n, by))
-    return F.when(F.col(same) >= n, F.col(value)).otherwise(mean)
+def rolling(df: DataFrame, specs: dict[str, tuple[str, str, int]], by: str = KEY) -> DataFrame:
+    """Add ``out: (kind, value, n)`` over the last n bars; kind is mean, max, min, std_pop,
+    std_samp or sum. NULL until n values exist and wherever one of them is missing.
 
-
-def seed_mean(x: Column, first: int, n: int, by: str = KEY) -> Column:
-    """Mean of x over bars first..first+n-1, valid on the last of them.
-
-    A running sum of the masked values: constant work per row however long the seed is.
+    Means of equal values are exactly that value, and deviations of equal values exactly 0: a sum
+    divided by n can miss by one bit, and a filled grid is full of flat stretches that get
+    compared.
     """
-    rn = F.col(RN)
-    masked = F.when((rn >= first) & (rn < first + n), x)
-    return F.sum(masked).over(running(by)) / F.lit(float(n))
+    df = with_rn(df)
+    short = {o: s for o, s in specs.items() if s[2] <= SHORT}
+    reach: dict[str, int] = {}
+    for _, value, n in short.values():
+        reach[value] = max(reach.get(value, 1), n)
+    offsets = {
+        f"_o_{value}_{k}": F.lag(value, k).over(along(by))
+        for value, n in reach.items()
+        for k in range(1, n)
+    }
+    means: dict[str, Column] = {}
+    plain: dict[str, Column] = {}
+    spread: dict[str, Column] = {}
+    for out, (kind, value, n) in specs.items():
+        if out in short:
+            cells = [F.col(value), *(F.col(f"_o_{value}_{k}") for k in range(1, n))]
+            whole = cells[-1]
+            for c in reversed(cells[:-1]):
+                whole = whole + c
+            high = F.greatest(*cells) if n > 1 else cells[0]
+            low = F.least(*cells) if n > 1 else cells[0]
+            known = whole.isNotNull()
+        else:
+            w = trailing(n, by)
+            known = F.count(value).over(w) == n
+            whole, high, low = F.sum(value).over(w), F.max(value).over(w), F.min(value).over(w)
+        if kind == "sum":
+            plain[out] = F.when(known, whole)
+        elif kind in ("max", "min"):
+            plain[out] = F.when(known, high if kind == "max" else low)
+        else:
+            mean = F.when(known, F.when(high == low, high).otherwise(whole / F.lit(float(n))))
+            if kind == "mean":
+                plain[out] = mean
+            elif out in short:
+                m = f"_m_{value}_{n}"
+                means[m] = mean
+                squares = [(c - F.col(m)) * (c - F.col(m)) for c in cells]
+                total = squares[0]
+                for q in squares[1:]:
+                    total = total + q
+                spread[out] = F.sqrt(total / F.lit(float(n if kind == "std_pop" else n - 1)))
+            else:
+                dev = F.stddev_pop if kind == "std_pop" else F.stddev_samp
+                plain[out] = F.when(known, F.when(high == low, F.lit(0.0)).otherwise(dev(value).over(w)))
+    if offsets:
+        df = df.withColumns(offsets)
+    df = df.withColumns({**means, **plain}) if means or plain else df
+    df = df.withColumns(spread) if spread else df
+    return df.drop(*offsets, *means)
 
 
 def _block_rows(r: float) -> int:
@@ -139,14 +178,17 @@ def _decayed_group(df: DataFrame, terms: dict[str, tuple[str, float]], by: str)
     # (block, rn) is the same order as rn and is the one the rows are in by then
     before = Window.partitionBy(by).orderBy("_blk", RN).rowsBetween(Window.unboundedPreceding, -1)
     local, carried, final = {}, {}, []
+    # one power per distinct decay; it costs more than the window it feeds
+    decays = sorted({r for _, r in terms.values() if r > 0.0})
+    powers = {f"_p{i}": F.pow(F.lit(r), pos - mid) for i, r in enumerate(decays)}
     for name, (b, r) in terms.items():
         value, here = F.coalesce(F.col(b), F.lit(0.0)), f"_s_{name}"
         if r == 0.0:
             local[here] = value
             final.append(F.col(here).alias(name))
             continue
-        grown = F.sum(value * F.pow(F.lit(r), mid - pos)).over(inside)
-        local[here] = grown * F.pow(F.lit(r), pos - mid)
+        power = F.col(f"_p{decays.index(r)}")
+        local[here] = F.sum(value / power).over(inside) * power
         prior = F.last(F.when(pos == size - 1, F.col(here)), ignorenulls=True).over(before)
         prior = F.coalesce(prior, F.lit(0.0))
         for k in range(2, _lags(r, size) + 1):
@@ -154,13 +196,15 @@ def _decayed_group(df: DataFrame, terms: dict[str, tuple[str, float]], by: str)
             last = F.coalesce(F.max_by(here, RN).over(back), F.lit(0.0))
             prior = prior + F.lit(r ** ((k - 1) * size)) * last
         carried[f"_c_{name}"] = prior
-        final.append((F.col(here) + F.pow(F.lit(r), pos + 1) * F.col(f"_c_{name}")).alias(name))
+        onward = power * F.lit(r ** (size // 2 + 1))
+        final.append((F.col(here) + onward * F.col(f"_c_{name}")).alias(name))
     out = df.withColumns(
         {
             "_blk": F.floor(F.col(RN) / F.lit(size)),
             "_pos": (F.col(RN) % F.lit(size)).cast("double"),
         }
-    ).withColumns(local)
+    )
+    out = out.withColumns(powers).withColumns(local)
     if carried:
         out = out.withColumns(carried)
     return out.select(*keep, *final)

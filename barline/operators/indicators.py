@@ -25,13 +25,10 @@ from barline.functions.series import (
     decayed_sums,
     fill_forward,
     full_window,
-    rolling_mean,
+    rolling,
     running,
-    seed_mean,
     sliding_argextreme,
-    trailing,
     with_rn,
-    with_same_run,
 )
 
 
@@ -47,8 +44,7 @@ def _drop(df: DataFrame, *names: str) -> DataFrame:
 
 
 def sma(bars: DataFrame, n: int = 20, price: str = "close", out: str = "sma") -> DataFrame:
-    df = with_rn(bars)
-    return df.withColumn(out, full_window(n, F.avg(price).over(trailing(n))))
+    return rolling(bars, {out: ("mean", price, n)})
 
 
 @dataclass(frozen=True)
@@ -72,12 +68,18 @@ class Smooth:
         return self.start + self.n - 1
 
     def terms(self) -> Column:
-        """The addends b[t] of y[t] = (1-alpha)·y[t-1] + b[t]."""
+        """The addends b[t] of y[t] = (1-alpha)·y[t-1] + b[t].
+
+        A seed bar's share x/n is raised by the decay it will have gone through when the seed is
+        complete, so that the sum there is the plain mean; no separate window is needed for it.
+        """
         x, rn = F.col(self.value), F.col(RN)
+        later = x * F.lit(self.alpha)
         if self.from_first:
-            return F.when(rn == self.start, x).when(rn > self.start, x * F.lit(self.alpha))
-        seed = seed_mean(x, self.start, self.n)
-        return F.when(rn == self.first, seed).when(rn > self.first, x * F.lit(self.alpha))
+            return F.when(rn == self.start, x).when(rn > self.start, later)
+        raised = F.pow(F.lit(1.0 - self.alpha), (rn - self.first).cast("double"))
+        share = x / F.lit(float(self.n)) * raised
+        return F.when(rn.between(self.start, self.first), share).when(rn > self.first, later)
 
 
 def smooth(bars: DataFrame, specs: dict[str, Smooth]) -> DataFrame:
@@ -146,19 +148,16 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
 
 
 def stochastic(bars: DataFrame, fast_k: int = 14, slow_k: int = 3, slow_d: int = 3) -> DataFrame:
-    """slowk, slowd: two simple averages of the raw position in the high-low range."""
-    df = with_rn(bars)
-    hh, ll = F.max("high").over(trailing(fast_k)), F.min("low").over(trailing(fast_k))
-    df = df.withColumn("_hh", hh).withColumn("_ll", ll)
+    """slowk, slowd: two simple averages of the raw position in the high-low range, 0 for an empty
+    range; both shown from the bar where slowd exists."""
+    df = rolling(bars, {"_hh": ("max", "high", fast_k), "_ll": ("min", "low", fast_k)})
     span = F.col("_hh") - F.col("_ll")
-    raw = F.when(span > 0, 100.0 * (F.col("close") - F.col("_ll")) / span).otherwise(F.lit(0.0))
-    df = df.withColumn("_k", full_window(fast_k, raw))
-    df = df.withColumn("_sk", full_window(fast_k + slow_k - 1, F.avg("_k").over(trailing(slow_k))))
-    first = fast_k + slow_k + slow_d - 2
-    df = df.withColumn("slowk", full_window(first, F.col("_sk"))).withColumn(
-        "slowd", full_window(first, F.avg("_sk").over(trailing(slow_d)))
-    )
-    return _drop(df, "_hh", "_ll", "_k", "_sk")
+    raw = F.when(span > 0, 100.0 * (F.col("close") - F.col("_ll")) / span)
+    df = df.withColumn("_k", raw.when(span.isNotNull(), F.lit(0.0)))
+    df = rolling(df, {"_sk": ("mean", "_k", slow_k)})
+    df = rolling(df, {"slowd": ("mean", "_sk", slow_d)})
+    shown = F.when(F.col("slowd").isNotNull(), F.col("_sk"))
+    return df.withColumn("slowk", shown).drop("_hh", "_ll", "_k", "_sk")
 
 
 # --- bands and ranges --------------------------------------------------------------------
@@ -168,16 +167,14 @@ def bollinger(
     bars: DataFrame, n: int = 20, up: float = 2.0, down: float = 2.0, prefix: str = "bb"
 ) -> DataFrame:
     """Simple mean plus and minus a multiple of the population deviation."""
-    df = with_same_run(with_rn(bars), "close")
-    df = df.withColumns(
-        {"_m": rolling_mean("close", n), "_sd": F.stddev_pop("close").over(trailing(n))}
-    )
-    return _drop(
-        df.withColumn(f"{prefix}_upper", full_window(n, F.col("_m") + F.lit(up) * F.col("_sd")))
-        .withColumn(f"{prefix}_middle", full_window(n, F.col("_m")))
-        .withColumn(f"{prefix}_lower", full_window(n, F.col("_m") - F.lit(down) * F.col("_sd"))),
-        "_m", "_sd", "_same",
-    )
+    middle = f"{prefix}_middle"
+    df = rolling(bars, {middle: ("mean", "close", n), "_sd": ("std_pop", "close", n)})
+    return df.withColumns(
+        {
+            f"{prefix}_upper": F.col(middle) + F.lit(float(up)) * F.col("_sd"),
+            f"{prefix}_lower": F.col(middle) - F.lit(float(down)) * F.col("_sd"),
+        }
+    ).drop("_sd")
 
 
 def true_range(bars: DataFrame, first_bar: bool, out: str = "tr") -> DataFrame:
@@ -227,14 +224,12 @@ def keltner(
 
 def donchian(bars: DataFrame, n: int = 12) -> DataFrame:
     """dc_mid = (highest high + lowest low + mean close)/3 and the close's distance to it."""
-    df = with_same_run(with_rn(bars), "close")
-    w = trailing(n)
-    df = df.withColumns(
-        {"_h": F.max("high").over(w), "_l": F.min("low").over(w), "_c": rolling_mean("close", n)}
+    df = rolling(
+        bars, {"_h": ("max", "high", n), "_l": ("min", "low", n), "_c": ("mean", "close", n)}
     )
-    mid = full_window(n, (F.col("_h") + F.col("_l") + F.col("_c")) / 3.0)
+    mid = (F.col("_h") + F.col("_l") + F.col("_c")) / 3.0
     df = df.withColumn("dc_mid", mid).withColumn("dc_hist", F.col("close") - F.col("dc_mid"))
-    return df.drop("_h", "_l", "_c", "_same")
+    return df.drop("_h", "_l", "_c")
 
 
 def linear_regression(
@@ -277,46 +272,64 @@ def log_return(bars: DataFrame, out: str = "log_return") -> DataFrame:
     return _drop(df.withColumn(out, F.when(F.col("_q") > 0, F.ln("_q"))), "_q")
 
 
+def zscores(df: DataFrame, specs: dict[str, tuple[str, int]]) -> DataFrame:
+    """``out: (value, n)``: (x - mean)/sample deviation over the last n bars; NULL while warming up
+    or flat."""
+    need = {}
+    for out, (value, n) in specs.items():
+        need[f"_m_{out}"] = ("mean", value, n)
+        need[f"_d_{out}"] = ("std_samp", value, n)
+    df = rolling(df, need)
+    z = {
+        out: (F.col(value) - F.col(f"_m_{out}")) / S.zero_to_null(F.col(f"_d_{out}"))
+        for out, (value, _) in specs.items()
+    }
+    return df.withColumns(z).drop(*need)
+
+
 def zscore(df: DataFrame, value: str, n: int, out: str) -> DataFrame:
-    """(x - mean)/sample deviation over the last n bars; NULL while warming up or flat."""
-    df = with_rn(df)
-    df = df.withColumn("_m", F.avg(value).over(trailing(n))).withColumn(
-        "_sd", F.stddev_samp(value).over(trailing(n))
-    )
-    z = (F.col(value) - F.col("_m")) / S.zero_to_null(F.col("_sd"))
-    return _drop(df.withColumn(out, full_window(n, z)), "_m", "_sd")
+    return zscores(df, {out: (value, n)})
 
 
-def yz_volatility(
-    bars: DataFrame, window: int = 30, periods: int = 252, out: str = "yz_volatility"
-) -> DataFrame:
-    """Yang-Zhang volatility, annualised; 0 until ``window`` bars with a previous close exist."""
+def _squared_logs(bars: DataFrame) -> DataFrame:
+    """Squared logs of open to previous close, close to open and high to low, and the range term
+    built from them."""
     df = with_rn(bars).withColumn("_pc", F.lag("close").over(along()))
 
     def sq_log(a: str, b: str) -> Column:
         q = S.ratio(F.col(a), F.col(b))
-        return F.pow(F.ln(F.when(q > 0, q)), F.lit(2.0))
+        log = F.ln(F.when(q > 0, q))
+        return log * log
 
-    df = (
-        df.withColumn("_o", sq_log("open", "_pc"))
-        .withColumn("_c", sq_log("close", "open"))
-        .withColumn("_h", sq_log("high", "low"))
+    df = df.withColumns(
+        {"_o": sq_log("open", "_pc"), "_c": sq_log("close", "open"), "_h": sq_log("high", "low")}
     )
     rs = 0.5 * F.col("_h") - F.lit(2.0 * math.log(2.0) - 1.0) * (F.col("_c") + F.col("_o"))
-    df = df.withColumn("_rs", rs)
-    w = trailing(window)
+    return df.withColumn("_rs", rs).drop("_pc", "_h")
+
+
+def yz_volatilities(bars: DataFrame, windows: dict[str, int], periods: int = 252) -> DataFrame:
+    """Yang-Zhang volatility per window, annualised; 0 until that many bars with a previous close
+    exist."""
+    df = _squared_logs(bars)
+    need = {
+        f"_m{c}{w}": ("mean", c, w) for w in sorted(set(windows.values())) for c in ("_o", "_c", "_rs")
+    }
+    df = rolling(df, need)
+    out = {}
+    for name, w in windows.items():
+        k = 0.34 / (1.34 + (w + 1) / (w - 1))
+        mo, mc, mr = (F.col(f"_m{c}{w}") for c in ("_o", "_c", "_rs"))
+        var = mo + F.lit(k) * mc + F.lit(1.0 - k) * S.clip_low(mr)
+        vol = F.sqrt(S.clip_low(var)) * F.lit(math.sqrt(periods))
+        out[name] = F.coalesce(vol, F.lit(0.0))
+    return df.withColumns(out).drop("_o", "_c", "_rs", *need)
 
-    def mean(c: str) -> Column:
-        return F.when(F.count(c).over(w) == window, F.avg(c).over(w))
 
-    df = df.withColumn("_mo", mean("_o")).withColumn("_mc", mean("_c")).withColumn("_mr", mean("_rs"))
-    k = 0.34 / (1.34 + (window + 1) / (window - 1))
-    var = F.col("_mo") + F.lit(k) * F.col("_mc") + F.lit(1.0 - k) * S.clip_low(F.col("_mr"))
-    vol = F.sqrt(S.clip_low(var)) * F.lit(math.sqrt(periods))
-    return _drop(
-        df.withColumn(out, F.coalesce(vol, F.lit(0.0))),
-        "_pc", "_o", "_c", "_h", "_rs", "_mo", "_mc", "_mr",
-    )
+def yz_volatility(
+    bars: DataFrame, window: int = 30, periods: int = 252, out: str = "yz_volatility"
+) -> DataFrame:
+    return yz_volatilities(bars, {out: window}, periods)
 
 
 # --- Kalman filter -----------------------------------------------------------------------
@@ -521,16 +534,16 @@ def mfi(bars: DataFrame, n: int = 21, out: str = "mfi") -> DataFrame:
     df = with_rn(bars).withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3.0)
     df = df.withColumn("_dt", F.col("_tp") - F.lag("_tp").over(along()))
     money = F.col("_tp") * F.col("volume")
-    df = df.withColumn("_p", F.when(F.col("_dt") > 0, money).otherwise(0.0)).withColumn(
-        "_n", F.when(F.col("_dt") < 0, money).otherwise(0.0)
+    df = df.withColumns(
+        {
+            "_p": F.when(F.col("_dt") > 0, money).otherwise(F.lit(0.0)),
+            "_n": F.when(F.col("_dt") < 0, money).otherwise(F.lit(0.0)),
+        }
     )
-    pos, neg = F.sum("_p").over(trailing(n)), F.sum("_n").over(trailing(n))
-    df = df.withColumn("_sp", pos).withColumn("_sn", neg)
+    df = rolling(df, {"_sp": ("sum", "_p", n), "_sn": ("sum", "_n", n)})
     total = F.col("_sp") + F.col("_sn")
     value = F.when(total > 0, 100.0 * F.col("_sp") / total).otherwise(F.lit(0.0))
-    return _drop(
-        df.withColumn(out, full_window(n + 1, value)), "_tp", "_dt", "_p", "_n", "_sp", "_sn"
-    )
+    return df.withColumn(out, full_window(n + 1, value)).drop("_tp", "_dt", "_p", "_n", "_sp", "_sn")
 
 
 def force_index(bars: DataFrame, n: int = 13, out: str = "efi") -> DataFrame:

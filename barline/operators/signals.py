@@ -10,10 +10,9 @@ from barline.functions.series import (
     KEY,
     RN,
     along,
-    rolling_mean,
+    rolling,
     running,
     with_rn,
-    with_same_run,
 )
 from barline.operators import indicators as I
 
@@ -113,13 +112,11 @@ def strategy_params(name: str) -> list[dict]:
     return [dict(p) for p in _SWEEPS[name]]
 
 
-def _bands(windows: set[int]) -> dict[str, Column]:
+def _bands(df: DataFrame, windows: set[int]) -> DataFrame:
     """Rolling mean and population deviation of the close, one pair per distinct window."""
-    out = {}
-    for n in sorted(windows):
-        out[f"_bm{n}"] = I.full_window(n, rolling_mean("close", n))
-        out[f"_bs{n}"] = I.full_window(n, F.stddev_pop("close").over(I.trailing(n)))
-    return out
+    specs = {f"_bm{n}": ("mean", "close", n) for n in sorted(windows)}
+    specs |= {f"_bs{n}": ("std_pop", "close", n) for n in sorted(windows)}
+    return rolling(df, specs)
 
 
 def _channel(p: dict, n_atr: int) -> tuple[Column, Column, Column, Column]:
@@ -155,7 +152,7 @@ def squeeze_signals(
     specs |= {f"_mid{n}": I.Smooth("close", n, from_first=True) for n in sorted(windows)}
     df = I.smooth(df, specs).withColumn("_vol", F.coalesce("_ka10", F.lit(0.0)))
     df = I.expanding_mean(df, "_vol", out="_vol_mean")
-    df = with_same_run(df, "close").withColumns(_bands({p["bb_window"] for p in sweep}))
+    df = _bands(df, {p["bb_window"] for p in sweep})
     df = df.withColumns({f"_bu{i}": _channel(p, p["kc_window"])[0] for i, p in enumerate(sweep)})
     df = crossings(df, {f"_up{i}": (F.col("close"), F.col(f"_bu{i}"), "above") for i in ids})
     limit = S.clip_low(F.lit(squeeze_threshold) * F.col("_vol") / F.col("_vol_mean"))
@@ -195,8 +192,7 @@ def ttm_signals(bars: DataFrame, sweep: list[dict], atr_multiplier: float = 1.8)
         for n in sorted({p["kc_window"] for p in sweep})
     }
     specs["_atr"] = I.Smooth("_tr", 10, start=1, wilder=True)
-    df = with_same_run(I.smooth(df, specs), "close")
-    df = df.withColumns(_bands({p["bb_window"] for p in sweep}))
+    df = _bands(I.smooth(df, specs), {p["bb_window"] for p in sweep})
     for m, d in sorted({(p["momentum_window"], p["donichan_window"]) for p in sweep}):
         df = I.donchian(df, d)
         df = I.linear_regression(df, "dc_hist", m, f"_mom{m}_{d}", skip=d - 1)
