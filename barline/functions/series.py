@@ -68,7 +68,7 @@ def fill_backward(c: Column | str, by: str = KEY, order: str = RN) -> Column:
 # Frames up to this length are read as offsets. A sliding aggregate re-adds its whole frame for
 # every row; ``lag`` only moves a pointer, and the arithmetic over the offsets is compiled. Longer
 # frames would make the compiled expression too large to pay off.
-SHORT = 24
+SHORT = 12
 
 
 def rolling(df: DataFrame, specs: dict[str, tuple[str, str, int]], by: str = KEY) -> DataFrame:
