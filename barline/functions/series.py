@@ -89,6 +89,14 @@ def rolling(df: DataFrame, specs: dict[str, tuple[str, str, int]], by: str = KEY
         for value, n in reach.items()
         for k in range(1, n)
     }
+    # for the longer frames: index of the last missing value and of the last change of value
+    marks = {}
+    for value in sorted({v for _, v, n in specs.values() if n > SHORT}):
+        gap = F.when(F.col(value).isNull(), F.col(RN))
+        new = F.when((F.col(RN) == 0) | ~F.col(value).eqNullSafe(F.col(f"_v_{value}")), F.col(RN))
+        offsets[f"_v_{value}"] = F.lag(value).over(along(by))
+        marks[f"_n_{value}"] = F.last(gap, ignorenulls=True).over(running(by))
+        marks[f"_g_{value}"] = F.last(new, ignorenulls=True).over(running(by))
     means: dict[str, Column] = {}
     plain: dict[str, Column] = {}
     spread: dict[str, Column] = {}
@@ -101,16 +109,18 @@ def rolling(df: DataFrame, specs: dict[str, tuple[str, str, int]], by: str = KEY
             high = F.greatest(*cells) if n > 1 else cells[0]
             low = F.least(*cells) if n > 1 else cells[0]
             known = whole.isNotNull()
+            flat, level = high == low, high
         else:
             w = trailing(n, by)
-            known = F.count(value).over(w) == n
+            known = (F.col(RN) >= n - 1) & (F.col(RN) - F.coalesce(f"_n_{value}", F.lit(-1)) >= n)
             whole, high, low = F.sum(value).over(w), F.max(value).over(w), F.min(value).over(w)
+            flat, level = F.col(RN) - F.col(f"_g_{value}") >= n - 1, F.col(value)
         if kind == "sum":
             plain[out] = F.when(known, whole)
         elif kind in ("max", "min"):
             plain[out] = F.when(known, high if kind == "max" else low)
         else:
-            mean = F.when(known, F.when(high == low, high).otherwise(whole / F.lit(float(n))))
+            mean = F.when(known, F.when(flat, level).otherwise(whole / F.lit(float(n))))
             if kind == "mean":
                 plain[out] = mean
             elif out in short:
@@ -123,12 +133,14 @@ def rolling(df: DataFrame, specs: dict[str, tuple[str, str, int]], by: str = KEY
                 spread[out] = F.sqrt(total / F.lit(float(n if kind == "std_pop" else n - 1)))
             else:
                 dev = F.stddev_pop if kind == "std_pop" else F.stddev_samp
-                plain[out] = F.when(known, F.when(high == low, F.lit(0.0)).otherwise(dev(value).over(w)))
+                plain[out] = F.when(known, F.when(flat, F.lit(0.0)).otherwise(dev(value).over(w)))
     if offsets:
         df = df.withColumns(offsets)
+    if marks:
+        df = df.withColumns(marks)
     df = df.withColumns({**means, **plain}) if means or plain else df
     df = df.withColumns(spread) if spread else df
-    return df.drop(*offsets, *means)
+    return df.drop(*offsets, *marks, *means)
 
 
 def _block_rows(r: float) -> int:

@@ -231,19 +231,22 @@ def percent_rank_by(
     """percent_rank of ``value`` within ``group`` without sorting a whole group in one task.
 
     Equal values are counted first, so ties collapse map-side. The distinct values are cut into
-    ``slices`` ranges per group by approximate quantiles; a value's rank is the count of lower
-    slices plus the count of lower values within its slice. The slices only place the work:
-    whatever their accuracy, the rank is exact. ``df`` is read three times, so give it a narrow
-    table.
+    ``slices`` ranges per group; a value's rank is the count of lower slices plus the count of
+    lower values within its slice. The slice is any rising function of the value, here a logistic
+    curve through the group's mean and deviation: it only places the work, the rank is exact
+    however even the slices turn out. ``df`` is read three times, so give it a narrow table.
     """
     group = list(group)
     known = df.where(F.col(value).isNotNull())
     counts = known.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    marks = [i / slices for i in range(1, slices)]
-    bounds = counts.groupBy(*group).agg(F.percentile_approx(value, marks, 1000).alias("_q"))
-    placed = counts.join(bounds, group).withColumn(
-        "_slice", F.size(F.filter("_q", lambda q: q < F.col(value)))
-    ).drop("_q")
+    shape = counts.groupBy(*group).agg(
+        F.avg(value).alias("_m"), F.stddev_pop(value).alias("_d")
+    )
+    z = F.coalesce((F.col(value) - F.col("_m")) / F.nullif(F.col("_d"), F.lit(0.0)), F.lit(0.0))
+    share = 1.0 / (1.0 + F.exp(-1.7 * z))
+    placed = counts.join(shape, group).withColumn(
+        "_slice", F.floor(share * slices)
+    ).drop("_m", "_d")
     # running counts inside a slice; its last row also carries the slice's size
     inside = Window.partitionBy(*group, "_slice").orderBy(value)
     ranked = placed.withColumns(
