@@ -103,21 +103,36 @@ def ema(bars: DataFrame, n: int = 20, price: str = "close", out: str = "ema") ->
 # --- momentum ----------------------------------------------------------------------------
 
 
-def rsis(bars: DataFrame, lengths: dict[str, int], price: str = "close") -> DataFrame:
-    """100·gain/(gain+loss) of Wilder averages, 0 when both are 0; first value at bar n."""
+def with_moves(bars: DataFrame, price: str = "close") -> DataFrame:
+    """Upward and downward part of each change: ``_up``, ``_dn``."""
     df = with_rn(bars).withColumn("_d", F.col(price) - F.lag(price).over(along()))
     zero = F.lit(0.0)
-    df = df.withColumns({"_up": F.greatest("_d", zero), "_dn": F.greatest(-F.col("_d"), zero)})
+    return df.withColumns(
+        {"_up": F.greatest("_d", zero), "_dn": F.greatest(-F.col("_d"), zero)}
+    ).drop("_d")
+
+
+def rsi_specs(lengths: dict[str, int]) -> dict[str, Smooth]:
     specs = {}
     for out, n in lengths.items():
         specs[f"_g_{out}"] = Smooth("_up", n, start=1, wilder=True)
         specs[f"_l_{out}"] = Smooth("_dn", n, start=1, wilder=True)
-    df = smooth(df, specs)
+    return specs
+
+
+def rsi_values(df: DataFrame, lengths: dict[str, int]) -> DataFrame:
+    """The RSIs from their smoothed moves, whose columns go."""
     values = {}
     for out in lengths:
         gain, total = F.col(f"_g_{out}"), F.col(f"_g_{out}") + F.col(f"_l_{out}")
-        values[out] = F.when(total > 0, 100.0 * gain / total).when(total.isNotNull(), zero)
-    return df.withColumns(values).drop("_d", "_up", "_dn", *specs)
+        some = F.when(total > 0, 100.0 * gain / total)
+        values[out] = some.when(total.isNotNull(), F.lit(0.0))
+    return df.withColumns(values).drop("_up", "_dn", *rsi_specs(lengths))
+
+
+def rsis(bars: DataFrame, lengths: dict[str, int], price: str = "close") -> DataFrame:
+    """100·gain/(gain+loss) of Wilder averages, 0 when both are 0; first value at bar n."""
+    return rsi_values(smooth(with_moves(bars, price), rsi_specs(lengths)), lengths)
 
 
 def rsi(bars: DataFrame, n: int = 14, price: str = "close", out: str = "rsi") -> DataFrame:
@@ -546,9 +561,13 @@ def mfi(bars: DataFrame, n: int = 21, out: str = "mfi") -> DataFrame:
     return df.withColumn(out, full_window(n + 1, value)).drop("_tp", "_dt", "_p", "_n", "_sp", "_sn")
 
 
-def force_index(bars: DataFrame, n: int = 13, out: str = "efi") -> DataFrame:
-    """Elder's force index: exponential average (from the first value) of change times volume."""
+def with_force(bars: DataFrame) -> DataFrame:
+    """Change times volume: ``_fi``."""
     df = with_rn(bars)
     d = F.col("close") - F.lag("close").over(along())
-    df = df.withColumn("_fi", F.coalesce(d, F.lit(0.0)) * F.col("volume"))
-    return smooth(df, {out: Smooth("_fi", n, from_first=True)}).drop("_fi")
+    return df.withColumn("_fi", F.coalesce(d, F.lit(0.0)) * F.col("volume"))
+
+
+def force_index(bars: DataFrame, n: int = 13, out: str = "efi") -> DataFrame:
+    """Elder's force index: exponential average (from the first value) of change times volume."""
+    return smooth(with_force(bars), {out: Smooth("_fi", n, from_first=True)}).drop("_fi")

@@ -225,37 +225,38 @@ def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns(out)
 
 
+def slice_of(gap: Column, deviation: Column, slices: int = 64) -> Column:
+    """A rising step function of a value's distance from its group's mean: a logistic curve cut
+    into ``slices`` steps."""
+    z = F.coalesce(gap / F.nullif(deviation, F.lit(0.0)), F.lit(0.0))
+    return F.floor(F.lit(float(slices)) / (1.0 + F.exp(-1.7 * z)))
+
+
 def percent_rank_by(
-    df: DataFrame, group: Sequence[str], value: str, out: str, slices: int = 64
+    df: DataFrame, group: Sequence[str], value: str, out: str, slice_col: str
 ) -> DataFrame:
     """percent_rank of ``value`` within ``group`` without sorting a whole group in one task.
 
-    Equal values are counted first, so ties collapse map-side. The distinct values are cut into
-    ``slices`` ranges per group; a value's rank is the count of lower slices plus the count of
-    lower values within its slice. The slice is any rising function of the value, here a logistic
-    curve through the group's mean and deviation: it only places the work, the rank is exact
-    however even the slices turn out. ``df`` is read three times, so give it a narrow table.
+    Equal values are counted first, so ties collapse map-side. ``slice_col`` holds any rising
+    function of the value (see ``slice_of``). A value's rank is the count of lower slices plus the
+    count of lower values within its slice; the slices only place the work, so the rank is exact
+    however even they turn out. ``df`` is read twice, so give it a narrow table.
     """
     group = list(group)
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    shape = counts.groupBy(*group).agg(
-        F.avg(value).alias("_m"), F.stddev_pop(value).alias("_d")
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*group, F.col(slice_col).alias("_slice"), value)
+        .agg(F.count("*").alias("_n"))
     )
-    z = F.coalesce((F.col(value) - F.col("_m")) / F.nullif(F.col("_d"), F.lit(0.0)), F.lit(0.0))
-    share = 1.0 / (1.0 + F.exp(-1.7 * z))
-    placed = counts.join(shape, group).withColumn(
-        "_slice", F.floor(share * slices)
-    ).drop("_m", "_d")
     # running counts inside a slice; its last row also carries the slice's size
     inside = Window.partitionBy(*group, "_slice").orderBy(value)
-    ranked = placed.withColumns(
+    ranked = counts.withColumns(
         {
             "_upto": F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
             "_end": F.lead("_n").over(inside).isNull(),
         }
     )
-    # at most ``slices`` such rows per group
+    # one such row per slice of a group
     sizes = ranked.where(F.col("_end")).select(*group, "_slice", F.col("_upto").alias("_sn"))
     up = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

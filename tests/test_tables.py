@@ -220,7 +220,9 @@ def test_percent_rank_with_ties_and_a_hot_value(spark):
     rows = [("g", i, 7.0 if i % 3 == 0 else round(rnd.uniform(0, 20), 1)) for i in range(300)]
     rows += [("h", 1, 5.0), ("k", 1, None)]
     df = spark.createDataFrame(rows, "g string, i int, v double")
-    got = {(r.g, r.i): r.p for r in risk.percent_rank_by(df, ["g"], "v", "p", slices=4).collect()}
+    df = df.withColumn("s", risk.slice_of(F.col("v") - 8.0, F.lit(4.0), 5))
+    assert df.select("s").distinct().count() > 3
+    got = {(r.g, r.i): r.p for r in risk.percent_rank_by(df, ["g"], "v", "p", "s").collect()}
     vals = [v for g, _, v in rows if g == "g"]
     for g, i, v in rows[:300]:
         assert abs(got[g, i] - sum(x < v for x in vals) / 299) < 1e-12
