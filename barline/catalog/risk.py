@@ -48,7 +48,7 @@ def inverse_variance_weights(spark, sf):
     with_(RETURNS)
     + f""", v AS (SELECT symbol, var_samp(ret) AS v FROM returns GROUP BY symbol),
     w AS (SELECT symbol, 1 / v / (SELECT sum(1 / v) FROM v WHERE v > 0) AS w FROM v WHERE v > 0)
-    SELECT symbol, {cols(5, weight="w")} FROM w WHERE w >= 1e-4""",
+    SELECT symbol, {cols(5, weight="round(w, 5)")} FROM w WHERE w >= 1e-4""",
 )
 def clean_weights(spark, sf):
     weights = risk.inverse_variance(_returns(spark, sf)).select("symbol", "weight")
