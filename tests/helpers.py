@@ -1,4 +1,4 @@
-"""Small tables and straightforward reference loops."""
+"""Small tables and straightforward loops to compare with."""
 
 import datetime as dt
 import math
