@@ -3,6 +3,10 @@
 from barline.llm import (  # noqa: F401
     decontamination,
     exact_dedup,
+    mixing,
+    ngram_join,
+    secrets,
+    web_archive,
 )
 from barline.llm.common import QUERIES, SQL
 
