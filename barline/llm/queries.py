@@ -5,6 +5,7 @@ from barline.llm import (  # noqa: F401
     exact_dedup,
     mixing,
     ngram_join,
+    quality,
     secrets,
     web_archive,
 )
