@@ -3,6 +3,7 @@
 from barline.llm import (  # noqa: F401
     decontamination,
     exact_dedup,
+    language,
     mixing,
     ngram_join,
     quality,
