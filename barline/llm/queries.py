@@ -6,6 +6,7 @@ from barline.llm import (  # noqa: F401
     language,
     mixing,
     ngram_join,
+    page_text,
     quality,
     secrets,
     web_archive,
