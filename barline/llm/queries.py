@@ -4,6 +4,7 @@ from barline.llm import (  # noqa: F401
     decontamination,
     exact_dedup,
     language,
+    language_model,
     mixing,
     ngram_join,
     page_text,
