@@ -33,7 +33,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _merge(runs: DataFrame, parts: int, largest: bool) -> DataFrame:
     # The struct buffer keeps Spark on a sort aggregate, which merges rows in digest order and spills.
-    best = (F.max if largest else F.min)(F.struct(F.col("keep"))).getField("keep")
+    some = F.when(F.col("keep").isNotNull(), F.struct(F.col("keep")))
+    best = (F.max if largest else F.min)(some).getField("keep")
     return (
         runs.repartition(parts, "part")
         .groupBy("part", *KEY)
@@ -86,15 +87,12 @@ def exact_groups(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")
-    )
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumn("__digest", F.sha2(text.cast("binary"), 256))
-    both = marked[id_col].eqNullSafe(kept["__id"]) & (marked["__digest"] == kept["__sha"])
-    return (
-        marked.join(kept, both, "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")
-    )
+    groups = stored(exact_groups(docs, id_col, text_col), "exact-groups")
+    kept = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    sha = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"), 256)
+    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (sha == kept["__sha"]), "left_semi")
+    repeated = groups.where("not kept and doc_id <=> keep_id").limit(1).count()
+    return out.dropDuplicates([id_col, text_col]) if repeated else out
 
 
 @query(
