@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from barline.catalog.registry import SQL, query, tidy
-from barline.catalog.sql import B, KALMAN, anchored_vwap, cols, flat_mean, smooth, trail, true_range, with_
+from barline.catalog.sql import B, B_GAPS, KALMAN, anchored_vwap, cols, flat_mean, smooth, trail, true_range, with_
+from barline.functions.series import with_rn
 from barline.operators import indicators as I
 from barline.plans.indicators import Spec, with_indicators
 from barline.sources import derived
@@ -358,3 +361,49 @@ def indicator_board(spark, sf):
     bars = derived.bars(spark, sf)
     df = with_indicators(bars, [Spec(n) for n in names.split()])
     return tidy(df, "symbol", "date", *[c for c in df.columns if c not in (*bars.columns, "rn")])
+
+
+# --- closes with gaps ----------------------------------------------------------------------
+
+
+def _gapped(spark, sf):
+    """Bars without their first three closes and, for every third symbol, without the one at 40."""
+    third = F.substring("symbol", 2, 12).cast("bigint") % 3 == 0
+    gap = (F.col("rn") < 3) | ((F.col("rn") == 40) & third)
+    return with_rn(derived.bars(spark, sf)).withColumn("close", F.when(~gap, F.col("close")))
+
+
+def _of_all(value: str, name: str, tables: str = "LEFT JOIN e ON e.symbol = a.symbol AND e.rn = a.rn - 3") -> str:
+    return f" SELECT a.symbol, a.date, {cols(**{name: value})} FROM all_b a {tables}"
+
+
+@query("ema_with_gaps", with_(B_GAPS, smooth("e", "b", "close", 20), recursive=True) + _of_all("e.y", "ema"))
+def ema_with_gaps(spark, sf):
+    return tidy(I.ema(_gapped(spark, sf), 20), "symbol", "date", "ema")
+
+
+@query(
+    "rsi_with_gaps",
+    with_(
+        B_GAPS,
+        _CHANGES,
+        smooth("g", "d", "up", 14, 1, wilder=True),
+        smooth("l", "d", "dn", 14, 1, wilder=True),
+        recursive=True,
+    )
+    + _of_all(
+        _rsi_value("g.y", "l.y"),
+        "rsi",
+        "LEFT JOIN g ON g.symbol = a.symbol AND g.rn = a.rn - 3 LEFT JOIN l ON l.symbol = a.symbol AND l.rn = a.rn - 3",
+    ),
+)
+def rsi_with_gaps(spark, sf):
+    return tidy(I.rsi(_gapped(spark, sf), 14), "symbol", "date", "rsi")
+
+
+@query(
+    "kalman_with_gaps",
+    with_(B_GAPS, KALMAN, "e AS (SELECT symbol, rn, y FROM kf)", recursive=True) + _of_all("e.y", "kf"),
+)
+def kalman_with_gaps(spark, sf):
+    return tidy(I.kalman(_gapped(spark, sf)), "symbol", "date", "kf")

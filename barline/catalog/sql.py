@@ -20,6 +20,16 @@ b AS MATERIALIZED (
   SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS INTEGER) AS rn
   FROM bars)"""
 
+# bars whose first three closes and, for every third symbol, the one at index 40 are missing: b holds
+# what the averages may use, counted from the first close on
+B_GAPS = BARS + """,
+all_b AS MATERIALIZED (
+  SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS INTEGER) AS rn
+  FROM bars),
+b AS MATERIALIZED (
+  SELECT * REPLACE (rn - 3 AS rn) FROM all_b
+  WHERE rn >= 3 AND (rn < 40 OR CAST(substr(symbol, 2) AS BIGINT) % 3 <> 0))"""
+
 # the dense grid: every symbol on every day, backward fill then forward fill
 DENSE = BARS + """,
 cal AS (

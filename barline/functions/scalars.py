@@ -77,7 +77,8 @@ def js_round(c: Column) -> Column:
 
 
 def epoch_seconds(d: Column) -> Column:
-    return F.unix_timestamp(d.cast("timestamp"))
+    """Of midnight UTC, whatever the session's zone."""
+    return F.unix_date(d.cast("date")).cast("bigint") * 86400
 
 
 def day_label(d: Column) -> Column:
@@ -90,10 +91,9 @@ def iso_day(d: Column) -> Column:
 
 
 def signed_percent(c: Column) -> Column:
-    """Two decimals with an explicit sign: ``+1.25%``."""
-    r = F.round(c, 2)
-    sign = F.when(r >= 0, F.lit("+")).otherwise(F.lit("-"))
-    return F.concat(sign, F.format_string("%.2f", F.abs(r)), F.lit("%"))
+    """Two decimals with the sign of the unrounded value: ``+1.25%``, ``-0.00%``."""
+    sign = F.when(c >= 0, F.lit("+")).otherwise(F.lit("-"))
+    return F.concat(sign, F.format_string("%.2f", F.abs(F.round(c, 2))), F.lit("%"))
 
 
 def render_map(m: Column) -> Column:

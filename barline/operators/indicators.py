@@ -32,14 +32,6 @@ from barline.functions.series import (
 )
 
 
-def _rn() -> Column:
-    return F.col(RN)
-
-
-def _drop(df: DataFrame, *names: str) -> DataFrame:
-    return df.drop(*names)
-
-
 # --- moving averages ---------------------------------------------------------------------
 
 
@@ -49,9 +41,10 @@ def sma(bars: DataFrame, n: int = 20, price: str = "close", out: str = "sma") ->
 
 @dataclass(frozen=True)
 class Smooth:
-    """One exponential average of ``value``. The first ``n`` bars from ``start`` seed it with
-    their mean, or, with ``from_first``, its first value does; ``wilder`` decays by (n-1)/n
-    instead of (n-1)/(n+1). Defined from bar start+n-1 on."""
+    """One exponential average of ``value``. Positions count from the first value that is not null;
+    after a later null the average stays undefined. The first ``n`` positions from ``start`` seed it
+    with their mean, or, with ``from_first``, its first value does; ``wilder`` decays by (n-1)/n
+    instead of (n-1)/(n+1). Defined from position start+n-1 on."""
 
     value: str
     n: int
@@ -67,28 +60,45 @@ class Smooth:
     def first(self) -> int:
         return self.start + self.n - 1
 
-    def terms(self) -> Column:
-        """The addends b[t] of y[t] = (1-alpha)·y[t-1] + b[t].
+    def terms(self, at: Column) -> Column:
+        """The addends b[t] of y[t] = (1-alpha)·y[t-1] + b[t] by position ``at``.
 
         A seed bar's share x/n is raised by the decay it will have gone through when the seed is
         complete, so that the sum there is the plain mean; no separate window is needed for it.
         """
-        x, rn = F.col(self.value), F.col(RN)
+        x = F.col(self.value)
         later = x * F.lit(self.alpha)
         if self.from_first:
-            return F.when(rn == self.start, x).when(rn > self.start, later)
-        raised = F.pow(F.lit(1.0 - self.alpha), (rn - self.first).cast("double"))
+            return F.when(at == self.start, x).when(at > self.start, later)
+        raised = F.pow(F.lit(1.0 - self.alpha), (at - self.first).cast("double"))
         share = x / F.lit(float(self.n)) * raised
-        return F.when(rn.between(self.start, self.first), share).when(rn > self.first, later)
+        return F.when(at.between(self.start, self.first), share).when(at > self.first, later)
+
+
+def with_positions(df: DataFrame, values: dict[str, str]) -> DataFrame:
+    """``out: value``: bars since the first one where the value is not null; NULL before it and
+    from the first null after it on. Both windows run in the order the rows are in."""
+    df = with_rn(df)
+    x = {out: F.col(v) for out, v in values.items()}
+    df = df.withColumns(
+        {f"_f{out}": F.min(F.when(v.isNotNull(), F.col(RN))).over(running()) for out, v in x.items()}
+        | {f"_n{out}": F.count(v).over(running()) for out, v in x.items()}
+    )
+    at = {out: F.col(RN) - F.col(f"_f{out}") for out in values}
+    whole = {out: F.when(at[out] + 1 == F.col(f"_n{out}"), at[out]) for out in values}
+    return df.withColumns(whole).drop(*[f"_{k}{out}" for out in values for k in "fn"])
 
 
 def smooth(bars: DataFrame, specs: dict[str, Smooth]) -> DataFrame:
     """Any number of exponential averages in one go: all of them share the windows."""
-    df = with_rn(bars)
-    df = df.withColumns({f"_b_{out}": s.terms() for out, s in specs.items()})
+    at = {s.value: f"_at_{s.value}" for s in specs.values()}
+    df = with_positions(bars, {name: value for value, name in at.items()})
+    df = df.withColumns({f"_b_{out}": s.terms(F.col(at[s.value])) for out, s in specs.items()})
     df = decayed_sums(df, {f"_y_{out}": (f"_b_{out}", 1.0 - s.alpha) for out, s in specs.items()})
-    shown = {out: F.when(F.col(RN) >= s.first, F.col(f"_y_{out}")) for out, s in specs.items()}
-    return df.withColumns(shown).drop(*[f"_{k}_{out}" for out in specs for k in "by"])
+    shown = {
+        out: F.when(F.col(at[s.value]) >= s.first, F.col(f"_y_{out}")) for out, s in specs.items()
+    }
+    return df.withColumns(shown).drop(*at.values(), *[f"_{k}_{out}" for out in specs for k in "by"])
 
 
 def emas(bars: DataFrame, spans: dict[str, int], price: str = "close") -> DataFrame:
@@ -104,19 +114,17 @@ def ema(bars: DataFrame, n: int = 20, price: str = "close", out: str = "ema") ->
 
 
 def with_moves(bars: DataFrame, price: str = "close") -> DataFrame:
-    """Upward and downward part of each change: ``_up``, ``_dn``."""
+    """Upward and downward part of each change: ``_up``, ``_dn``; NULL where there is none."""
     df = with_rn(bars).withColumn("_d", F.col(price) - F.lag(price).over(along()))
-    zero = F.lit(0.0)
-    return df.withColumns(
-        {"_up": F.greatest("_d", zero), "_dn": F.greatest(-F.col("_d"), zero)}
-    ).drop("_d")
+    moves = {"_up": S.clip_low(F.col("_d")), "_dn": S.clip_low(-F.col("_d"))}
+    return df.withColumns(moves).drop("_d")
 
 
 def rsi_specs(lengths: dict[str, int]) -> dict[str, Smooth]:
     specs = {}
     for out, n in lengths.items():
-        specs[f"_g_{out}"] = Smooth("_up", n, start=1, wilder=True)
-        specs[f"_l_{out}"] = Smooth("_dn", n, start=1, wilder=True)
+        specs[f"_g_{out}"] = Smooth("_up", n, wilder=True)
+        specs[f"_l_{out}"] = Smooth("_dn", n, wilder=True)
     return specs
 
 
@@ -151,7 +159,7 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
         bars, {"_slow": Smooth("close", slow), "_fast": Smooth("close", fast, start=slow - fast)}
     )
     df = df.withColumn("_line", F.col("_fast") - F.col("_slow"))
-    df = smooth(df, {"_sig": Smooth("_line", signal, start=slow - 1)})
+    df = smooth(df, {"_sig": Smooth("_line", signal)})
     shown = F.col("_sig").isNotNull()
     return df.withColumns(
         {
@@ -198,17 +206,18 @@ def true_range(bars: DataFrame, first_bar: bool, out: str = "tr") -> DataFrame:
     prev = F.lag("close").over(along())
     df = df.withColumn("_pc", prev)
     spread = F.col("high") - F.col("low")
-    wide = F.greatest(
-        spread, F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc"))
-    )
-    value = F.when(_rn() > 0, wide)
-    return _drop(df.withColumn(out, value.otherwise(spread) if first_bar else value), "_pc")
+    jumps = F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc"))
+    known = F.col("_pc").isNotNull() & spread.isNotNull()
+    value = F.when(known, F.greatest(spread, *jumps))
+    if first_bar:
+        value = F.when(F.col(RN) == 0, spread).otherwise(value)
+    return df.withColumn(out, value).drop("_pc")
 
 
 def atr(bars: DataFrame, n: int = 14, out: str = "atr") -> DataFrame:
     """Average true range; ranges count from bar 1, first value at bar n."""
     df = true_range(bars, False, "_tr")
-    return smooth(df, {out: Smooth("_tr", n, start=1, wilder=True)}).drop("_tr")
+    return smooth(df, {out: Smooth("_tr", n, wilder=True)}).drop("_tr")
 
 
 def atr_zero_warmup(bars: DataFrame, n: int = 10, out: str = "atr") -> DataFrame:
@@ -269,7 +278,7 @@ def expanding_mean(df: DataFrame, value: str, out: str = "expanding_mean") -> Da
     """Mean of all bars so far; zeros count, then a zero mean takes the last non-zero mean and
     finally 1e-9, so it can divide."""
     df = with_rn(df).withColumn("_m", S.zero_to_null(F.avg(value).over(running())))
-    return _drop(df.withColumn(out, F.coalesce(fill_forward("_m"), F.lit(1e-9))), "_m")
+    return df.withColumn(out, F.coalesce(fill_forward("_m"), F.lit(1e-9))).drop("_m")
 
 
 # --- returns -----------------------------------------------------------------------------
@@ -284,7 +293,7 @@ def log_return(bars: DataFrame, out: str = "log_return") -> DataFrame:
     df = with_rn(bars)
     q = S.ratio(F.col("close"), F.lag("close").over(along()))
     df = df.withColumn("_q", q)
-    return _drop(df.withColumn(out, F.when(F.col("_q") > 0, F.ln("_q"))), "_q")
+    return df.withColumn(out, F.when(F.col("_q") > 0, F.ln("_q"))).drop("_q")
 
 
 def zscores(df: DataFrame, specs: dict[str, tuple[str, int]]) -> DataFrame:
@@ -369,31 +378,33 @@ def kalman(bars: DataFrame, price: str = "close", out: str = "kf") -> DataFrame:
 
     y[t] = (1-K[t])·y[t-1] + K[t]·x[t]. While K still moves, y = D·Σ K·x/D with D the running
     product of (1-K), a table of known numbers; after that it is a constant-decay sum.
+    Steps count from the first price; after a later missing one the filter stays undefined.
     """
     gains, settled = _kalman_gains(1.0, 0.01)
     decay = [1.0]
     for g in gains[1:]:
         decay.append(decay[-1] * (1.0 - g))
-    df = with_rn(bars)
-    early = _rn() < _SETTLED
-    at = F.least(_rn(), F.lit(_SETTLED - 1)) + 1
-    weight = F.element_at(F.array(*[F.lit(g / d) for g, d in zip(gains, decay)]), at)
-    scale = F.element_at(F.array(*[F.lit(d) for d in decay]), at)
+    df = with_positions(bars, {"_at": price})
+    step = F.col("_at")
+    early = step < _SETTLED
+    place = F.least(step, F.lit(_SETTLED - 1)) + 1
+    weight = F.element_at(F.array(*[F.lit(g / d) for g, d in zip(gains, decay)]), place)
+    scale = F.element_at(F.array(*[F.lit(d) for d in decay]), place)
     df = df.withColumn("_wx", F.when(early, F.col(price) * weight)).withColumn("_d", scale)
     df = df.withColumn("_head", F.sum("_wx").over(running()) * F.col("_d"))
-    b = F.when(_rn() == _SETTLED - 1, F.col("_head")).when(
-        _rn() >= _SETTLED, F.col(price) * F.lit(settled)
+    b = F.when(step == _SETTLED - 1, F.col("_head")).when(
+        step >= _SETTLED, F.col(price) * F.lit(settled)
     )
     df = decayed_sums(df.withColumn("_b", b), {"_tail": ("_b", 1.0 - settled)})
-    df = df.withColumn(out, F.when(early, F.col("_head")).otherwise(F.col("_tail")))
-    return _drop(df, "_wx", "_d", "_head", "_b", "_tail")
+    value = F.when(early, F.col("_head")).when(step >= _SETTLED, F.col("_tail"))
+    return df.withColumn(out, value).drop("_at", "_wx", "_d", "_head", "_b", "_tail")
 
 
 def kalman_zscore(bars: DataFrame, window: int = 20, out: str = "kalman_zscore") -> DataFrame:
     """Z-score of the filtered price against its own trailing window, 0 while warming up."""
     df = kalman(bars, out="_kf")
     df = zscore(df, "_kf", window, out)
-    return _drop(df.withColumn(out, F.coalesce(out, F.lit(0.0))), "_kf")
+    return df.withColumn(out, F.coalesce(out, F.lit(0.0))).drop("_kf")
 
 
 # --- decayed volume balance --------------------------------------------------------------
@@ -410,13 +421,11 @@ def bvc(bars: DataFrame, window: int = 20, kappa: float = 0.1, out: str = "bvc")
     df = df.withColumn("_z2", F.col("_z") * F.col("_z"))
     label = F.signum("_z") * S.student_t_balance(F.col("_z2"), 0.25)
     df = df.withColumn(
-        "_b", F.when(_rn() >= window, F.col("volume") * F.coalesce(label, F.lit(0.0)))
+        "_b", F.when(F.col(RN) >= window, F.col("volume") * F.coalesce(label, F.lit(0.0)))
     )
     df = decayed_sums(df, {"_acc": ("_b", math.exp(-kappa))})
-    return _drop(
-        df.withColumn(out, full_window(window + 1, F.col("_acc") / 100000.0)),
-        "_r", "_sg", "_z", "_z2", "_b", "_acc",
-    )
+    df = df.withColumn(out, full_window(window + 1, F.col("_acc") / 100000.0))
+    return df.drop("_r", "_sg", "_z", "_z2", "_b", "_acc")
 
 
 # --- anchored VWAP -----------------------------------------------------------------------
@@ -439,7 +448,7 @@ def anchored_vwap(
     df = with_rn(bars)
     keep = list(df.columns)
     df = sliding_argextreme(df, "close", window, side, "_a")
-    started = F.max(F.when(F.col("_a") == _rn(), 1)).over(running())
+    started = F.max(F.when(F.col("_a") == F.col(RN), 1)).over(running())
     df = df.withColumn("_on", started).withColumn("_pa", F.lag("_a").over(along()))
     news = F.col("_on").isNotNull() & ~F.col("_a").eqNullSafe(F.col("_pa"))
     at = F.when(news, F.array(F.lit(None).cast("int"), F.col("_a").cast("int"))).otherwise(
@@ -468,19 +477,23 @@ def anchored_vwap(
 def _stop_scanner():
     """The scan as a closure: Spark pickles it by value, so executors need not have this package.
 
-    Rows arrive in series order in Arrow batches. Only the last close and stop are carried from
-    batch to batch, so memory does not depend on the length of a series. Comparisons with a
-    missing stop are False, as for any NaN.
+    Rows arrive in series order in Arrow batches, which the scan checks: within a series the index
+    rises by one. Only the last index, close and stop are carried from batch to batch, so memory
+    does not depend on the length of a series. Comparisons with a missing stop are False, as for
+    any NaN.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nan = float("nan")
-        prev, stop = nan, nan
+        prev, stop, last = nan, nan, None
         for pdf in batches:
             out = []
-            for begins, src, gap in zip(
-                pdf["_begins"].tolist(), pdf["_src"].tolist(), pdf["_gap"].tolist()
+            for begins, at, src, gap in zip(
+                pdf["_begins"].tolist(), pdf["rn"].tolist(), pdf["_src"].tolist(), pdf["_gap"].tolist()
             ):
+                if not begins and at - 1 != last:
+                    raise ValueError(f"bar {at} follows bar {last} in the scan of a series")
+                last = at
                 if begins or src != src:
                     stop = nan
                 elif src > stop and prev > stop:
@@ -509,7 +522,9 @@ def trailing_stop(
 
     The only recurrence here that is not linear, so it cannot be a decayed sum. Its rows stream
     through one ``mapInPandas``. The window that marks the start of each series also makes Spark
-    cluster the rows by key and sort them; after the ATR's windows that needs no new shuffle.
+    cluster the rows by key; after the ATR's windows that needs no new shuffle. Spark may swap
+    windows, so the order is asked for directly below the scan, which costs nothing where the rows
+    are in it.
     ``carry`` names the columns to keep (all by default); fewer means less Arrow traffic.
     """
     df = with_rn(df)
@@ -524,7 +539,7 @@ def trailing_stop(
     )
     kept = [f for f in rows.schema.fields if f.name not in ("_begins", "_src", "_gap")]
     schema = T.StructType([*kept, T.StructField("_stop", T.DoubleType())])
-    done = rows.mapInPandas(_stop_scanner(), schema)
+    done = rows.sortWithinPartitions(by, RN).mapInPandas(_stop_scanner(), schema)
     return done.withColumn(out, S.nan_to_null(F.col("_stop"))).drop("_stop")
 
 
@@ -541,7 +556,7 @@ def obv(bars: DataFrame, out: str = "obv") -> DataFrame:
     """On-balance volume: bar 0 counts its volume, then volume signed by the close's change."""
     df = with_rn(bars).withColumn("_d", F.col("close") - F.lag("close").over(along()))
     flow = F.coalesce(F.signum("_d"), F.lit(1.0)) * F.col("volume")
-    return _drop(df.withColumn("_f", flow).withColumn(out, F.sum("_f").over(running())), "_d", "_f")
+    return df.withColumn("_f", flow).withColumn(out, F.sum("_f").over(running())).drop("_d", "_f")
 
 
 def mfi(bars: DataFrame, n: int = 21, out: str = "mfi") -> DataFrame:

@@ -1,13 +1,15 @@
 import math
 
 import pytest
-from helpers import bars, closes, column, ohlcv, same, walk
+from helpers import DAY0, bars, closes, column, ohlcv, same, walk
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barline.functions import scalars as S
 from barline.functions import series
+from barline.functions.series import with_rn
 from barline.operators import indicators as I
 from barline.plans.indicators import Spec, with_indicators
 
@@ -207,6 +209,60 @@ def test_trailing_stop_across_arrow_batches(spark):
     out.unpersist()
 
 
+def test_trailing_stop_after_a_window_in_another_order(spark):
+    series_ = {f"S{k}": ohlcv(80 + k, k) for k in range(4)}
+    df = with_rn(bars(spark, series_, parts=3)).withColumn("a", F.col("high") - F.col("low"))
+    other = Window.partitionBy("symbol", F.col("rn") % 7).orderBy("close")
+    df = df.withColumn("top", F.max("close").over(other))
+    out = I.trailing_stop(df, "a", 1.8, carry=["date", "top", "close"])
+    for sym, rows in series_.items():
+        gap = [1.8 * (r[1] - r[2]) for r in rows]
+        same(column(out, "atr_trailing", sym), stop_loop([r[3] for r in rows], gap))
+
+
+def test_a_scan_out_of_order_is_refused():
+    import pandas as pd
+
+    pdf = pd.DataFrame({"_begins": [True, False, False], "rn": [0, 2, 1], "_src": [1.0] * 3, "_gap": [1.0] * 3})
+    with pytest.raises(ValueError):
+        list(I._stop_scanner()(iter([pdf])))
+
+
+def gap_ema_loop(x, n):
+    """Starts with the first value; undefined from the first later gap on."""
+    out, seen, y = [], [], None
+    gone = False
+    for v in x:
+        gone = gone or (v is None and bool(seen))
+        if v is not None and not gone:
+            seen.append(v)
+            if len(seen) == n:
+                y = sum(seen) / n
+            elif len(seen) > n:
+                y += (v - y) * 2 / (n + 1)
+        out.append(None if gone or len(seen) < n else y)
+    return out
+
+
+@pytest.mark.parametrize("x", [
+    [10.0] * 8 + [None] + [10.0] * 8,
+    [None] * 3 + [float(i % 5 + 1) for i in range(20)],
+    [None, None] + [float(i % 7 + 1) for i in range(12)] + [None] + [3.0] * 9,
+    [None] * 9,
+])
+def test_averages_with_gaps(spark, x):
+    df = closes(spark, {"A": [1.0] * len(x)}).withColumn(
+        "close", F.element_at(F.array(*[F.lit(v).cast("double") for v in x]), F.datediff("date", F.lit(DAY0)) + 1)
+    )
+    same(column(I.ema(df, 5), "ema"), gap_ema_loop(x, 5))
+    first = next((i for i, v in enumerate(x) if v is not None), len(x))
+    last = next((i for i in range(first, len(x)) if x[i] is None), len(x))
+    whole = closes(spark, {"A": x[first:last]}) if last > first else None
+    for f, name in ((lambda d: I.rsi(d, 3), "rsi"), (I.kalman, "kf"), (lambda d: I.macd(d, 2, 3, 2), "macd")):
+        inner = column(f(whole), name) if whole is not None else []
+        same(column(f(df), name), [None] * first + inner + [None] * (len(x) - last))
+
+
 def t_cdf_balance(z, nu):
     """2·CDF - 1 by the substitution t = sqrt(nu)·tan(a), Simpson's rule."""
     hi, n = math.atan(abs(z) / math.sqrt(nu)), 20000
