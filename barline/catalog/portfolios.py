@@ -181,7 +181,7 @@ def close_positions_rejected(spark, sf):
     FROM done WHERE status = 'accepted'""",
 )
 def close_positions_profit(spark, sf):
-    requests = derived.close_requests(spark, sf).where(F.col("position_id") > 0)
+    requests = derived.close_requests(spark, sf)
     done = portfolio.apply_requests(derived.positions(spark, sf), requests)
     return tidy(
         done.where(F.col("status") == "accepted"),
@@ -283,7 +283,8 @@ def valid_positions(spark, sf):
 @query(
     "normalized_input",
     f"""SELECT l_orderkey AS id, l_linenumber, l_partkey, 'S' || l_suppkey AS ticker,
-      CAST(floor(l_quantity / 3) AS BIGINT) AS quantity FROM lineitem""",
+      CAST(floor(l_quantity / 3) AS BIGINT) AS quantity,
+      {cols(2, purchase_price="round(l_extendedprice / 7, 2)")} FROM lineitem""",
 )
 def normalized_input(spark, sf):
     raw = derived.table(spark, sf, "lineitem").select(
@@ -292,10 +293,13 @@ def normalized_input(spark, sf):
         "l_partkey",
         F.concat(F.lit("  s"), F.col("l_suppkey").cast("string"), F.lit(" ")).alias("ticker"),
         (F.col("l_quantity") / 3).alias("quantity"),
-        F.col("l_extendedprice").alias("purchase_price"),
+        (F.col("l_extendedprice") / 7).alias("purchase_price"),
     )
     out = tables.normalize_positions(raw)
-    return out.select("id", "l_linenumber", "l_partkey", "ticker", F.col("quantity").cast("bigint"))
+    return out.select(
+        "id", "l_linenumber", "l_partkey", "ticker", F.col("quantity").cast("bigint"),
+        r("purchase_price", 2).alias("purchase_price"),
+    )
 
 
 # --- table edits ---------------------------------------------------------------------------
@@ -352,13 +356,16 @@ def delete_positions(spark, sf):
 )
 def replace_positions(spark, sf):
     lots = derived.positions(spark, sf)
-    new = lots.where(F.col("notes") == "O").select(
+    rows = lots.where(F.col("notes") == "O")
+    # Every key three times; the last write is the one to see.
+    new = rows.select("id", F.explode(F.array(*[F.lit(k) for k in (2, 3, 1)])).alias("seq"), "quantity").select(
         "id",
-        F.lit("NEW").alias("ticker"),
-        (F.col("quantity") * 2).cast("decimal(15,6)").alias("quantity"),
-        F.lit(None).cast("string").alias("notes"),
+        "seq",
+        F.when(F.col("seq") == 3, F.lit("NEW")).otherwise(F.lit("EARLIER")).alias("ticker"),
+        (F.col("quantity") * (F.col("seq") - 1)).cast("decimal(15,6)").alias("quantity"),
+        F.when(F.col("seq") < 3, F.lit("earlier")).alias("notes"),
     )
-    return tidy(tables.replace_by_key(lots, new), "id", "ticker", "quantity", "notes")
+    return tidy(tables.replace_by_key(lots, new, "seq"), "id", "ticker", "quantity", "notes")
 
 
 @query(

@@ -59,8 +59,9 @@ def upserted_sectors(spark, sf):
     new = sector_import.flatten_payload(derived.sector_payload(spark, sf), 4)
     df = tables.upsert(
         derived.sectors(spark, sf),
-        new.select("id", "level", "type", "name", "vonhoa_d"),
+        new.select("id", "level", "type", "name", "vonhoa_d", "entry_no"),
         ["id", "level"],
+        "entry_no",
     )
     return tidy(df, "id", "level", "type", "name", "vonhoa_d")
 
@@ -81,7 +82,9 @@ def upserted_symbols(spark, sf):
         F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("symbol"),
         F.col("n_name").alias("name"),
     )
-    df = tables.upsert(old, known.unionByName(new), ["symbol"])
+    last = known.unionByName(new).withColumn("seq", F.lit(2))
+    first = last.withColumns({"seq": F.lit(1), "name": F.lit("overwritten")})
+    df = tables.upsert(old, last.unionByName(first), ["symbol"], "seq")
     return tidy(df, "symbol", "name", "vonhoa_d")
 
 
@@ -198,6 +201,11 @@ perf AS MATERIALIZED (SELECT sector_name, (arg_max(close, date) - arg_min(close,
 _LEVEL4 = "lv AS MATERIALIZED (SELECT * FROM sector_index WHERE sector_type = 4)"
 
 
+def _days(spark, sf):
+    """The raw days behind the bars and the sector series."""
+    return derived.table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("date"))
+
+
 def _level4(spark, sf):
     return scans.sector_series(derived.sector_index(spark, sf), 4)
 
@@ -208,7 +216,7 @@ def _level4(spark, sf):
     + f" SELECT sector_name, date, {cols(close='close')} FROM per",
 )
 def period_six_months(spark, sf):
-    df = sectors.period_filter(_level4(spark, sf), "6M", AS_OF)
+    df = sectors.period_filter(_level4(spark, sf), "6M", AS_OF, days=_days(spark, sf))
     return tidy(df, "sector_name", "date", "close")
 
 
@@ -218,7 +226,7 @@ def period_six_months(spark, sf):
     + f" SELECT symbol, date, {cols(close='close')} FROM per",
 )
 def period_year_to_date(spark, sf):
-    df = sectors.period_filter(derived.bars(spark, sf), "YTD", AS_OF)
+    df = sectors.period_filter(derived.bars(spark, sf), "YTD", AS_OF, days=_days(spark, sf))
     return tidy(df, "symbol", "date", "close")
 
 
@@ -229,7 +237,7 @@ def period_year_to_date(spark, sf):
 )
 def period_before_data(spark, sf):
     """Ten years back reaches before the first bar: everything is returned."""
-    df = sectors.period_filter(derived.bars(spark, sf), "10Y", AS_OF)
+    df = sectors.period_filter(derived.bars(spark, sf), "10Y", AS_OF, days=_days(spark, sf))
     return tidy(df, "symbol", "date", "close")
 
 
@@ -252,7 +260,7 @@ def period_per_symbol(spark, sf):
 )
 def period_custom(spark, sf):
     df = sectors.period_filter(
-        derived.sector_index(spark, sf), "CUSTOM", AS_OF, custom=date(1999, 9, 9)
+        derived.sector_index(spark, sf), "CUSTOM", AS_OF, custom=date(1999, 9, 9), days=_days(spark, sf)
     )
     return tidy(df, "sector_type", "sector_name", "date", "close")
 
@@ -263,7 +271,7 @@ def period_custom(spark, sf):
     + f" SELECT sector_name, {cols(performance='performance')} FROM perf",
 )
 def sector_performance(spark, sf):
-    df = sectors.period_filter(_level4(spark, sf), "3Y", AS_OF)
+    df = sectors.period_filter(_level4(spark, sf), "3Y", AS_OF, days=_days(spark, sf))
     return tidy(sectors.period_performance(df, ["sector_name"]), "sector_name", "performance")
 
 
@@ -274,7 +282,7 @@ def sector_performance(spark, sf):
     ORDER BY perf.performance DESC, sector_name LIMIT 10""",
 )
 def top_sectors(spark, sf):
-    df = sectors.period_filter(_level4(spark, sf), "6M", AS_OF)
+    df = sectors.period_filter(_level4(spark, sf), "6M", AS_OF, days=_days(spark, sf))
     perf = sectors.period_performance(df, ["sector_name"])
     top = sectors.top_n(perf, 10, "sector_name", clamp=(1, 20))
     return tidy(top, "sector_name", "performance")
@@ -287,7 +295,7 @@ def top_sectors(spark, sf):
     ORDER BY coalesce(perf.performance, 0) DESC, sector_name""",
 )
 def ranked_sectors(spark, sf):
-    df = sectors.period_filter(_level4(spark, sf), "1Y", AS_OF)
+    df = sectors.period_filter(_level4(spark, sf), "1Y", AS_OF, days=_days(spark, sf))
     perf = sectors.period_performance(df, ["sector_name"])
     return tidy(sectors.ranked(perf, "sector_name"), "sector_name", "performance")
 
@@ -301,7 +309,7 @@ def ranked_sectors(spark, sf):
     ORDER BY perf.performance DESC, symbol LIMIT 10""",
 )
 def top_symbols(spark, sf):
-    df = sectors.period_filter(derived.bars(spark, sf), "1Y", AS_OF, mode="days")
+    df = sectors.period_filter(derived.bars(spark, sf), "1Y", AS_OF, mode="days", days=_days(spark, sf))
     perf = sectors.period_performance(df, ["symbol"])
     return tidy(sectors.top_n(perf, 10, "symbol"), "symbol", "performance")
 
@@ -313,7 +321,7 @@ def top_symbols(spark, sf):
       PARTITION BY sector_name ORDER BY date) - 1) * 100''', 3)} AS return_pct FROM per""",
 )
 def sector_returns_chart(spark, sf):
-    df = sectors.period_filter(_level4(spark, sf), "6M", AS_OF)
+    df = sectors.period_filter(_level4(spark, sf), "6M", AS_OF, days=_days(spark, sf))
     df = sectors.normalized_returns(df, "sector_name")
     return tidy(df, "sector_name", "date", "return_pct", digits=3)
 

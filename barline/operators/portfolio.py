@@ -153,7 +153,7 @@ def _request_folder():
         lot's id and remaining quantity are carried, so a lot may have any number of requests."""
         lot, left = None, None
         for pdf in batches:
-            accepted, remaining = [], []
+            accepted = []
             for pid, want, have in zip(
                 pdf["position_id"], pdf["quantity_to_close"], pdf["quantity"]
             ):
@@ -163,9 +163,7 @@ def _request_folder():
                 if ok:
                     left = left - want
                 accepted.append(ok)
-                remaining.append(left)
             pdf["accepted"] = accepted
-            pdf["remaining"] = remaining
             yield pdf
 
     return fold
@@ -175,23 +173,22 @@ def apply_requests(lots: DataFrame, requests: DataFrame) -> DataFrame:
     """Each request with its outcome: ``status`` is accepted, missing or over.
 
     Requests apply in ``seq`` order per lot and a refused one changes nothing, so a later smaller
-    one may still pass. Requests for unknown lots, and those above the lot's full quantity (which
-    can never pass, in any order), are settled before the sort; the rest stream through a fold.
+    one may still pass. Settled by plain expressions: requests for unknown lots, those above the
+    lot's full quantity (which can never pass), and all requests of a lot that together do not
+    exceed it. Only the requests of overdrawn lots stream through a fold.
     """
     own = lots.select(F.col("id").alias("position_id"), "ticker", "quantity", "purchase_price")
-    joined = requests.join(own, "position_id", "left")
-    hopeless = F.col("quantity").isNull() | (F.col("quantity_to_close") > F.col("quantity"))
-    settled = joined.where(hopeless).withColumn(
-        "status", F.when(F.col("quantity").isNull(), F.lit("missing")).otherwise(F.lit("over"))
-    ).withColumn("remaining", F.lit(None).cast(schemas.QTY))
-    open_ = joined.where(~hopeless)
-    schema = T.StructType(
-        [
-            *open_.schema.fields,
-            T.StructField("accepted", T.BooleanType()),
-            T.StructField("remaining", schemas.QTY),
-        ]
+    wanted = requests.groupBy("position_id").agg(F.sum("quantity_to_close").alias("_all"))
+    joined = requests.join(own.join(wanted, "position_id"), "position_id", "left")
+    status = (
+        F.when(F.col("quantity").isNull(), F.lit("missing"))
+        .when(F.col("quantity_to_close") > F.col("quantity"), F.lit("over"))
+        .when(F.col("_all") <= F.col("quantity"), F.lit("accepted"))
     )
+    told = joined.withColumn("status", status).drop("_all")
+    settled = told.where(F.col("status").isNotNull())
+    open_ = told.where(F.col("status").isNull()).drop("status")
+    schema = T.StructType([*open_.schema.fields, T.StructField("accepted", T.BooleanType())])
     folded = (
         open_.repartition("position_id")
         .sortWithinPartitions("position_id", "seq")
@@ -210,6 +207,7 @@ def apply_requests(lots: DataFrame, requests: DataFrame) -> DataFrame:
 
 def closing_transactions(applied: DataFrame) -> DataFrame:
     """The sell transactions the accepted requests produce."""
+    # Fixed value: the text of a note that the request does not give.
     note = F.concat(
         F.lit("Position closure - Realized P/L: "), F.format_string("%.6f", F.col("realized_pl"))
     )

@@ -93,17 +93,25 @@ def period_filter(
     mode: str = "calendar",
     by: str | None = None,
     order: str = "date",
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Rows from the period's start on. If the start lies after all data, or before the first
-    day, everything is returned; ALL does not filter. ``by`` applies the rule per key."""
+    day, everything is returned; ALL does not filter. ``by`` applies the rule per key.
+
+    Without ``by`` the first and last day are looked up at once, in ``days`` if given (the raw
+    table with the same days), so that the result has a plain date filter, which reaches the scan,
+    or none.
+    """
     if period == "ALL":
         return df
     start = period_start(period, as_of, custom, mode)
     d = F.col(order)
     if by is None:
-        ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-        lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-        return df.where((d >= start) | (start > hi) | (start < lo))
+        ends = (df if days is None else days).agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+        found = ends.select("lo", "hi", start.alias("start")).first()
+        if found.lo is None or not found.lo <= found.start <= found.hi:
+            return df
+        return df.where(d >= F.lit(found.start))
     ends = df.groupBy(by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     keep = (d >= start) | (start > F.col("_hi")) | (start < F.col("_lo"))
     return df.join(ends, by).where(keep).drop("_lo", "_hi")

@@ -82,10 +82,18 @@ def delete_by_key(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
 
-def replace_by_key(df: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """Overwrite every field the new row carries, nulls included; unknown keys change nothing."""
-    fields = [c for c in rows.columns if c != key and c in df.columns]
-    new = rows.select(key, F.struct(*fields).alias("_new"))
+def last_of_key(rows: DataFrame, key: Sequence[str], order: str, fields: Sequence[str]) -> DataFrame:
+    """(key, ``_new``): the given fields of the row that comes last in ``order``, as if the rows were
+    written one after another. Repeated keys shrink to one row before the shuffle."""
+    picked = rows.groupBy(*key).agg(*[F.max_by(c, order).alias(c) for c in fields])
+    return picked.select(*key, F.struct(F.lit(True).alias("_hit"), *fields).alias("_new"))
+
+
+def replace_by_key(df: DataFrame, rows: DataFrame, order: str, key: str = "id") -> DataFrame:
+    """Overwrite every field the new row carries, nulls included; unknown keys change nothing. Of
+    new rows with one key the last in ``order`` counts; ``order`` is not a field."""
+    fields = [c for c in rows.columns if c not in (key, order) and c in df.columns]
+    new = last_of_key(rows, [key], order, fields)
     joined = df.join(new, key, "left")
     return joined.select(
         *[
@@ -97,11 +105,14 @@ def replace_by_key(df: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame
     )
 
 
-def upsert(df: DataFrame, rows: DataFrame, key: Sequence[str], stamp: Column | None = None) -> DataFrame:
+def upsert(
+    df: DataFrame, rows: DataFrame, key: Sequence[str], order: str, stamp: Column | None = None
+) -> DataFrame:
     """Insert new keys and overwrite the given fields of known ones; fields the new rows do not
-    carry keep their value. ``stamp`` sets ``updated_at`` on touched rows. One full outer join."""
-    fields = [c for c in rows.columns if c not in key]
-    new = rows.select(*key, F.struct(F.lit(True).alias("_hit"), *fields).alias("_new"))
+    carry keep their value. Of new rows with one key the last in ``order`` counts; ``order`` is not a
+    field. ``stamp`` sets ``updated_at`` on touched rows. One full outer join."""
+    fields = [c for c in rows.columns if c not in (*key, order)]
+    new = last_of_key(rows, list(key), order, fields)
     joined = df.join(new, list(key), "full_outer")
     hit = F.col("_new").isNotNull()
     cols = []
@@ -136,10 +147,10 @@ def set_latest_amount(df: DataFrame, row: DataFrame) -> DataFrame:
     """Overwrite the newest row's fields with the given one-row table; insert when empty."""
     fields = [c for c in row.columns if c in df.columns and c != "id"]
     target = latest_row(df).select("id")
-    new = target.select("id", *[row.select(c).scalar().alias(c) for c in fields])
+    new = target.select("id", F.lit(0).alias("_seq"), *[row.select(c).scalar().alias(c) for c in fields])
     empty = df.limit(1).select(F.lit(1).alias("one")).scalar().isNull()
     insert = row.where(empty)
-    return append(replace_by_key(df, new), insert)
+    return append(replace_by_key(df, new, "_seq"), insert)
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 25) -> DataFrame:

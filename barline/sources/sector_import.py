@@ -12,14 +12,15 @@ from barline import schemas
 def flatten_payload(texts: DataFrame, level: int) -> DataFrame:
     """One typed row per entry of each JSON array in column ``value``.
 
+    ``entry_no`` is the entry's place in its array, by which later entries overwrite earlier ones.
     Only known keys are kept; of a repeated key the last wins; ``id``, ``level`` and ``type``
     inside ``data`` override the entry's own; entries without an id are dropped. All of it is
     array functions on the entry itself: no explode, no pivot, no shuffle.
     """
     # arrays are read as raw element texts first, so one malformed element (a number where an
     # object belongs) is skipped alone instead of voiding its whole array
-    entries = texts.select(F.explode(F.from_json("value", "array<string>")).alias("t")).select(
-        F.from_json("t", "id string, type string, data array<string>").alias("e")
+    entries = texts.select(F.posexplode(F.from_json("value", "array<string>")).alias("entry_no", "t")).select(
+        "entry_no", F.from_json("t", "id string, type string, data array<string>").alias("e")
     )
 
     def given(key: str) -> Column:
@@ -32,6 +33,7 @@ def flatten_payload(texts: DataFrame, level: int) -> DataFrame:
 
     null = F.lit(None)
     cols = [
+        F.col("entry_no"),
         field("id", "int", F.col("e.id").try_cast("int")),
         field("level", "int", F.lit(level)),
         field("type", "string", F.col("e.type")),

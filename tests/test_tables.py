@@ -115,14 +115,14 @@ def test_validation_reasons(spark):
 
 def test_replace_writes_nulls_and_ignores_unknown_ids(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, s string, n int")
-    new = spark.createDataFrame([(2, None), (3, "z")], "id int, s string")
-    assert {tuple(r) for r in tables.replace_by_key(old, new).collect()} == {(1, "a", 1), (2, None, 2)}
+    new = spark.createDataFrame([(2, None, 5), (3, "z", 1), (2, "x", 4), (2, "y", 1)], "id int, s string, seq int")
+    assert {tuple(r) for r in tables.replace_by_key(old, new, "seq").collect()} == {(1, "a", 1), (2, None, 2)}
 
 
 def test_upsert_keeps_fields_not_given(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, s string, n int")
-    new = spark.createDataFrame([(2, None), (3, "z")], "id int, s string")
-    got = {tuple(r) for r in tables.upsert(old, new, ["id"]).collect()}
+    new = spark.createDataFrame([(2, None, 9), (3, "y", 1), (3, "z", 2), (2, "q", 3)], "id int, s string, seq int")
+    got = {tuple(r) for r in tables.upsert(old, new, ["id"], "seq").collect()}
     assert got == {(1, "a", 1), (2, None, 2), (3, "z", None)}
 
 
@@ -238,8 +238,43 @@ def test_weights_sum_to_one_and_clean(spark):
         assert abs(total - 1.0) < 1e-3 and figures.count() == 1
     with pytest.raises(ValueError):
         optimize.optimize(data, None, "nope", count=2)
-    with pytest.raises(ValueError):
-        risk.covariance(returns, range(10_000))
+
+
+def test_hrp_keeps_tiny_weights_and_reports_the_arithmetic_mean(spark):
+    data = bars(spark, {f"S{k}": ohlcv(60, k) for k in range(4)})
+    returns = optimize.dense_returns(data)
+    weights, figures = optimize.optimize(data, None, "hrp")
+    w = {r.symbol: r.weight for r in weights.collect()}
+    mean = {r.symbol: r.m for r in returns.groupBy("symbol").agg(F.avg("ret").alias("m")).collect()}
+    assert abs(figures.collect()[0].expected_return - 252 * sum(w[s] * mean[s] for s in w)) < 1e-9
+    rows = [(f"K{i}", DAY0 + dt.timedelta(days=d), 0.01 * (-1) ** (d + i)) for i in range(20_000) for d in range(3)]
+    many = spark.createDataFrame(rows, "symbol string, date date, ret double")
+    equal = risk.inverse_variance(many)
+    assert equal.count() == 20_000 and abs(equal.agg(F.sum("weight")).collect()[0][0] - 1) < 1e-9
+
+
+def test_pair_matrix_of_many_keys(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    keys, days = [f"K{i:03d}" for i in range(400)], 12
+    x = rng.normal(size=(days, len(keys)))
+    hole = rng.random(x.shape) < 0.05
+    rows = [
+        (k, DAY0 + dt.timedelta(days=d), float(x[d, i]))
+        for i, k in enumerate(keys) for d in range(days) if not hole[d, i]
+    ]
+    returns = spark.createDataFrame(rows, "symbol string, date date, ret double")
+    got = {(r.a, r.b): r.covariance for r in risk.covariance(returns, keys).collect()}
+    assert len(got) == 400 * 401 // 2
+    corr = {(r.a, r.b): (r.correlation, r.distance) for r in risk.correlation(returns, keys).collect()}
+    for i, j in [(0, 0), (3, 77), (12, 399), (200, 201), (398, 399)]:
+        both = ~hole[:, i] & ~hole[:, j]
+        want = np.cov(x[both, i], x[both, j])[0, 1] * 252
+        assert abs(got[keys[i], keys[j]] - want) < 1e-9
+        rho, gap = corr[keys[i], keys[j]]
+        assert abs(rho - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9
+        assert abs(gap - max(0.0, (1 - rho) / 2) ** 0.5) < 1e-6
 
 
 def test_portfolio_variance_equals_quadratic_form(spark):
