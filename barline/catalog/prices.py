@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from barline.functions import scalars as S
 from barline.functions.series import with_rn
 from barline.operators import grid, portfolio, sectors
 from barline.operators import indicators as I
+from barline.session import checkpoint_dir
 from barline.sources import derived, tables
 
 AS_OF = date(2001, 6, 30)
@@ -150,9 +152,10 @@ def packed_series(spark, sf):
     GROUP BY date""",
 )
 def pivoted_closes(spark, sf):
-    """One column per level-4 sector."""
+    """One column per level-4 sector; the names are the sector dimension's, which is as wide as the
+    result is meant to be."""
     series = tables.sector_series(derived.sector_index(spark, sf), 4)
-    names = [f"NATION_{i}" for i in range(25)]
+    names = sorted(row.n_name for row in derived.table(spark, sf, "nation").select("n_name").distinct().collect())
     return tidy(grid.pivot_close(series, names, by="sector_name"))
 
 
@@ -175,20 +178,12 @@ def candle_facts(spark, sf):
     with_(B)
     + """, f AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY date), open) AS p FROM b),
     c AS (SELECT symbol, date, (close - p) / p * 100 AS x FROM f)
-    SELECT symbol, date, CASE WHEN round(x, 2) >= 0 THEN '+' ELSE '-' END AS sign,
-           CAST(floor(abs(x)) AS BIGINT) AS whole FROM c""",
+    SELECT symbol, date, CASE WHEN x >= 0 THEN '+' ELSE '-' END
+      || printf('%.2f', CAST(abs(round(x, 2)) AS DOUBLE)) || '%' AS change_text FROM c""",
 )
 def change_text(spark, sf):
-    """Sign and whole part of the formatted change, parsed back from its text. A change that
-    rounds up across a whole number would differ in text only; it is floored here from the
-    value, as the SQL does."""
     df = grid.candle_facts(derived.bars(spark, sf))
-    return df.select(
-        "symbol",
-        "date",
-        F.substring("change_text", 1, 1).alias("sign"),
-        F.floor(F.abs("change")).cast("bigint").alias("whole"),
-    )
+    return df.select("symbol", "date", "change_text")
 
 
 @query(
@@ -286,3 +281,41 @@ def clipped_moves(spark, sf):
         r(S.clip_low(d)).alias("clipped"),
         r(F.coalesce(S.zero_to_null(d), F.lit(1e-9))).alias("filled"),
     )
+
+
+# --- written and read again ------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "written_bars",
+    with_(BARS)
+    + f""" SELECT symbol, date, {cols(**{c: c for c in OHLCV})} FROM bars
+    WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'""",
+)
+def written_bars(spark, sf):
+    """Bars through the sink, in year folders, and a date range of them back."""
+    path = _folder(spark, "bars")
+    tables.write_bars(derived.bars(spark, sf), path)
+    return tidy(
+        tables.load_bars(spark, path, start=date(1997, 1, 1), end=date(1999, 12, 31)),
+        "symbol", "date", *OHLCV,
+    )
+
+
+@query(
+    "stored_features",
+    with_(B)
+    + f""", m AS (SELECT symbol, date, CASE WHEN rn >= 19 THEN avg(close) OVER (
+        PARTITION BY symbol ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS sma FROM b)
+    SELECT symbol, date, {cols(sma="sma")} FROM m
+    WHERE symbol IN ('S1', 'S3') AND date >= DATE '1996-01-01'""",
+)
+def stored_features(spark, sf):
+    """A feature table through the sink, and two symbols of it back."""
+    path = _folder(spark, "features")
+    tables.write_table(I.sma(derived.bars(spark, sf), 20).select("symbol", "date", "sma"), path)
+    return tidy(tables.load_features(spark, path, ["S1", "S3"], start=date(1996, 1, 1)))

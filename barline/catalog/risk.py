@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barline.catalog.registry import query, tidy
 from barline.catalog.sql import RETURNS, SECTOR_INDEX, cols, with_
 from barline.operators import indicators, risk
-from barline.plans.optimize import dense_returns
+from barline.plans.optimize import dense_returns, optimize
 from barline.sources import derived
 from barline.sources import tables as scans
 
@@ -68,9 +68,7 @@ def _sector_returns(spark, sf):
 
 
 def _sector_names(spark, sf):
-    """The sector dimension is a short fixed list; the matrix operators check its length."""
-    rows = derived.table(spark, sf, "nation").select("n_name").limit(risk.MAX_MATRIX + 1).collect()
-    return [row.n_name for row in rows]
+    return derived.table(spark, sf, "nation").select(F.col("n_name").alias("symbol"))
 
 
 @query(
@@ -193,3 +191,49 @@ def max_sharpe_weights(spark, sf):
     best = risk.best_candidate(_scored(spark, sf), "ef")
     weights = risk.candidate_weights(returns, best, COUNT, draw=_number_draw)
     return tidy(weights, "symbol", "weight", digits=6)
+
+
+# --- the optimizer as a whole ----------------------------------------------------------------
+
+_INVERSE = """
+v AS (SELECT symbol, var_samp(ret) AS v FROM returns GROUP BY symbol),
+w AS MATERIALIZED (SELECT symbol, 1 / v / (SELECT sum(1 / v) FROM v WHERE v > 0) AS w FROM v WHERE v > 0)"""
+
+
+@query("optimize_hrp", with_(RETURNS, _INVERSE) + f" SELECT symbol, {cols(6, weight='w')} FROM w")
+def optimize_hrp(spark, sf):
+    weights, _ = optimize(derived.bars(spark, sf), None, "hrp")
+    return tidy(weights, "symbol", "weight", digits=6)
+
+
+@query(
+    "optimize_hrp_figures",
+    with_(RETURNS, _INVERSE, _DAILY)
+    + f""", m AS (SELECT symbol, avg(ret) * 252 AS m FROM returns GROUP BY symbol),
+    e AS (SELECT sum(w * m) AS e FROM m JOIN w USING (symbol)),
+    s AS (SELECT sqrt(var_samp(ret) * 252) AS v FROM daily)
+    SELECT {cols(expected_return="e", volatility="v", sharpe_ratio="(e - 0.02) / v")} FROM e, s""",
+)
+def optimize_hrp_figures(spark, sf):
+    return tidy(optimize(derived.bars(spark, sf), None, "hrp", risk_free=0.02)[1])
+
+
+def _cleaned(choice: str) -> str:
+    return (
+        with_(RETURNS, _MU, _CANDIDATES)
+        + f""" SELECT symbol, {cols(5, weight="round(w, 5)")} FROM cn
+    WHERE candidate = (SELECT candidate FROM cs ORDER BY {choice}, candidate LIMIT 1) AND w >= 1e-4"""
+    )
+
+
+@query("optimize_ef", _cleaned("e / v DESC"))
+def optimize_ef(spark, sf):
+    """The draw is one that SQL can repeat; the search is the operator's own."""
+    weights, _ = optimize(derived.bars(spark, sf), None, "ef", count=COUNT, draw=_number_draw)
+    return tidy(weights, "symbol", "weight", digits=5)
+
+
+@query("optimize_cvar", _cleaned("cvar + 0.1 * w2"))
+def optimize_cvar(spark, sf):
+    weights, _ = optimize(derived.bars(spark, sf), None, "cvar", count=COUNT, draw=_number_draw)
+    return tidy(weights, "symbol", "weight", digits=5)

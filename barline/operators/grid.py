@@ -14,8 +14,9 @@ from barline.schemas import PRICE_FIELDS
 
 def calendar(bars: DataFrame, order: str = ORDER) -> DataFrame:
     """One row holding the sorted array of all days seen. A DATE column has at most 36,525
-    distinct values per century, so the array is bounded by the calendar, not by the data."""
-    return bars.select(F.sort_array(F.collect_set(order)).alias("days"))
+    distinct values per century, so the array is bounded by the calendar, not by the data. Days are
+    made distinct on their own first: the last task gets each day once, not once per map task."""
+    return bars.select(order).distinct().agg(F.sort_array(F.collect_list(order)).alias("days"))
 
 
 def densify(

@@ -2,22 +2,28 @@
 
 Portfolio variance is taken from the portfolio's own daily return series: on complete returns
 var(Σ w·r) equals w'Σw. That is linear in the data, so no pair of symbols is ever formed for it;
-the pair matrices below are for a named, bounded list of keys.
+the pair matrices below are for those who want the pairs themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 YEAR = 252.0
-MAX_MATRIX = 256
 
 
-def mean_return(returns: DataFrame, by: str = "symbol", ret: str = "ret") -> DataFrame:
-    """Compounded annual return (Π(1+r))^(252/n) - 1."""
+def mean_return(
+    returns: DataFrame, by: str = "symbol", ret: str = "ret", compounded: bool = True
+) -> DataFrame:
+    """Compounded annual return (Π(1+r))^(252/n) - 1, or the arithmetic mean times 252."""
+    if not compounded:
+        return returns.groupBy(by).agg((F.avg(ret) * YEAR).alias("mean_return"))
     total, n = F.sum(F.log1p(ret)), F.count(ret)
     return returns.groupBy(by).agg((F.exp(total * YEAR / n) - 1.0).alias("mean_return"))
 
@@ -29,53 +35,72 @@ def inverse_variance(returns: DataFrame, by: str = "symbol", ret: str = "ret") -
     return per.withColumn("weight", 1.0 / F.col("variance") / total)
 
 
-def _pairs(returns: DataFrame, keys: Sequence, by: str, ret: str, order: str, stat) -> DataFrame:
-    """stat(r_i, r_j) for all pairs of the named keys on their common dates.
+#: Keys per block of a pair matrix; a task holds two blocks' returns over the calendar.
+BLOCK = 64
 
-    One row per date with one column per key, then each row is repeated once per key i and
-    aggregated against all j at once: k rows per date and k aggregates, combined map-side. No
-    self-join, and no k² rows.
-    """
-    keys = sorted(set(keys))
-    if len(keys) > MAX_MATRIX:
-        raise ValueError(f"a pair matrix of {len(keys)} keys is too wide; name at most {MAX_MATRIX}")
-    wide = (
-        returns.where(F.col(by).isin(keys))
-        .groupBy(order)
-        .pivot(by, keys)
-        .agg(F.first(ret, ignorenulls=True))
-    )
-    cols = [F.col(f"`{k}`") for k in keys]
-    rows = wide.select(F.array(*cols).alias("v")).select(F.posexplode("v").alias("i", "r"), "v")
-    grid = rows.groupBy("i").agg(
-        *[stat(F.col("r"), F.col("v")[j]).alias(f"s{j}") for j in range(len(keys))]
-    )
-    names = F.array(*[F.lit(k) for k in keys])
-    out = grid.select("i", F.posexplode(F.array(*[f"s{j}" for j in range(len(keys))])).alias("j", "value"))
-    # a pair without common dates has no value and no row
-    return out.where((F.col("i") <= F.col("j")) & F.col("value").isNotNull()).select(
-        F.element_at(names, F.col("i") + 1).alias("a"),
-        F.element_at(names, F.col("j") + 1).alias("b"),
-        "value",
-    )
 
+def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Statistics of all pairs between two blocks (or within one) on their common dates."""
+    r = pdf.pivot_table(index="day", columns="key", values="ret", aggfunc="first", sort=True)
+    seen = r.notna().to_numpy(dtype=float)
+    x = r.fillna(0.0).to_numpy()
+    n, sx, sxx, sxy = seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x
+    keys = r.columns.to_numpy()
+    block = pdf.drop_duplicates("key").set_index("key")["block"].reindex(keys).to_numpy()
+    within = pdf["first"].iloc[0] == pdf["second"].iloc[0]
+    i, j = np.triu_indices(len(keys))
+    use = (n[i, j] > 0) & (within | (block[i] != block[j]))
+    i, j = i[use], j[use]
+    return pd.DataFrame({
+        "a": keys[i], "b": keys[j], "n": n[i, j], "sx": sx[i, j], "sy": sx[j, i],
+        "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j],
+    })
 
-def covariance(
-    returns: DataFrame, keys: Sequence, by: str = "symbol", ret: str = "ret", order: str = "date"
-) -> DataFrame:
-    """Annualised sample covariance, upper triangle with diagonal."""
-    return _pairs(
-        returns, keys, by, ret, order, lambda x, y: F.covar_samp(x, y) * YEAR
-    ).withColumnRenamed("value", "covariance")
 
+def _pairs(returns: DataFrame, keys, by: str, ret: str, order: str) -> DataFrame:
+    """Sums of products over the common dates, for all pairs a <= b of the named keys (a list, or a
+    table with the column ``by``). The result has a row per pair, that is what was asked for.
 
-def correlation(
-    returns: DataFrame, keys: Sequence, by: str = "symbol", ret: str = "ret", order: str = "date"
-) -> DataFrame:
+    Keys are dealt into blocks; every pair of blocks is one group, so a task holds the returns of two
+    blocks, whatever the number of keys. No self-join.
+    """
+    spark = returns.sparkSession
+    if not isinstance(keys, DataFrame):
+        kind = returns.schema[by].dataType
+        keys = spark.createDataFrame([(k,) for k in keys], T.StructType([T.StructField(by, kind)]))
+    named = keys.select(by).distinct()
+    blocks = F.greatest(F.ceil(named.select(F.count("*")).scalar() / BLOCK), F.lit(1)).cast("int")
+    own = returns.join(named, by).select(
+        F.col(by).cast("string").alias("key"), F.col(order).alias("day"), F.col(ret).cast("double").alias("ret"),
+        F.pmod(F.xxhash64(by), blocks).cast("int").alias("block"), blocks.alias("blocks"),
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = own.select("key", "day", "ret", "block", other).select(
+        "key", "day", "ret", "block",
+        F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
+    )
+    schema = "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double"
+    return spread.groupBy("first", "second").applyInPandas(_pair_sums, schema)
+
+
+def _moment(x: str, y: str, xy: str) -> Column:
+    return F.col(xy) - F.col(x) * F.col(y) / F.col("n")
+
+
+def covariance(returns: DataFrame, keys, by: str = "symbol", ret: str = "ret", order: str = "date") -> DataFrame:
+    """Annualised sample covariance, upper triangle with diagonal. A pair without common dates has
+    no row, one with a single common date no value."""
+    value = F.when(F.col("n") > 1, _moment("sx", "sy", "sxy") / (F.col("n") - 1) * YEAR)
+    return _pairs(returns, keys, by, ret, order).select("a", "b", value.alias("covariance"))
+
+
+def correlation(returns: DataFrame, keys, by: str = "symbol", ret: str = "ret", order: str = "date") -> DataFrame:
     """Correlation and the distance sqrt((1-ρ)/2)."""
-    df = _pairs(returns, keys, by, ret, order, F.corr).withColumnRenamed("value", "correlation")
+    spread = F.sqrt(_moment("sx", "sx", "sxx")) * F.sqrt(_moment("sy", "sy", "syy"))
+    rho = F.when(spread > 0, _moment("sx", "sy", "sxy") / spread)
+    df = _pairs(returns, keys, by, ret, order).select("a", "b", rho.alias("correlation"))
     gap = F.greatest((1.0 - F.col("correlation")) / 2.0, F.lit(0.0))
-    return df.withColumn("distance", F.sqrt(gap))
+    return df.withColumn("distance", F.when(gap.isNotNull() & F.col("correlation").isNotNull(), F.sqrt(gap)))
 
 
 def portfolio_returns(
@@ -95,10 +120,11 @@ def portfolio_stats(
     risk_free: float = 0.0,
     by: str = "symbol",
     order: str = "date",
+    compounded: bool = True,
 ) -> DataFrame:
     """Expected return Σw·μ, volatility and Sharpe ratio."""
     expected = (
-        mean_return(returns, by)
+        mean_return(returns, by, compounded=compounded)
         .join(weights.select(by, "weight"), by)
         .select(F.sum(F.col("weight") * F.col("mean_return")))
         .scalar()

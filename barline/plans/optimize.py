@@ -26,17 +26,21 @@ def optimize(
     risk_free: float = 0.0,
     count: int = 64,
     seed: int = 7,
+    draw=None,
 ) -> tuple[DataFrame, DataFrame]:
     """(weights, figures) for method ef, cla, cvar or hrp.
 
     ef, cla and cvar pick the best of ``count`` random weight vectors; hrp gives the
-    inverse-variance allocation. Both are approximations of the exact solvers.
+    inverse-variance allocation with figures from the arithmetic mean return. Both are approximations
+    of the exact solvers. Only ef and cvar drop tiny weights and round the others.
     """
     returns = dense_returns(tables.filter_bars(bars, tickers, start, end))
     if method == "hrp":
         weights = risk.inverse_variance(returns).select("symbol", "weight")
-        return risk.clean_weights(weights), risk.portfolio_stats(returns, weights, risk_free)
-    scored = risk.score_candidates(returns, count, seed, risk_free=risk_free)
+        return weights, risk.portfolio_stats(returns, weights, risk_free, compounded=False)
+    scored = risk.score_candidates(returns, count, seed, risk_free=risk_free, draw=draw)
     best = risk.best_candidate(scored, method)
-    weights = risk.candidate_weights(returns, best, count, seed)
+    weights = risk.candidate_weights(returns, best, count, seed, draw=draw)
+    if method == "cla":
+        return weights, best.drop("candidate")
     return risk.clean_weights(weights), best.drop("candidate")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +29,15 @@ def get_session(app: str = "barline", master: str | None = None, **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder. Only a local master may fall back to a temporary one."""
+    """The shared checkpoint folder. Only a session that runs in one process may fall back to a
+    temporary one, the same for its whole life."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="barline-checkpoint-")
+    app = spark.sparkContext.applicationId
+    return os.path.join(tempfile.gettempdir(), f"barline-checkpoint-{app}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
