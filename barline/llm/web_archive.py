@@ -93,49 +93,53 @@ def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
 class _Stream:
     """Reads lines and counted bytes from gzip members without unpacking the file as a whole."""
 
-    CHUNK = 1 << 20
+    CHUNK = 1 << 16
 
     def __init__(self, data: bytes):
-        self._data, self._at, self._buf, self._z = memoryview(data), 0, b"", None
+        self._data, self._at, self._z = memoryview(data), 0, None
+        self._buf, self._pos = b"", 0
         if bytes(self._data[:2]) == b"\x1f\x8b":
             self._z = zlib.decompressobj(31)
 
-    def _more(self) -> bool:
+    def _more(self) -> bytes:
+        """The next unpacked bytes, empty at the end."""
         while self._at < len(self._data):
             piece = self._data[self._at : self._at + self.CHUNK]
             self._at += len(piece)
             if self._z is None:
-                self._buf += bytes(piece)
-                return True
+                return bytes(piece)
             out = self._z.decompress(piece)
             while self._z.eof and self._z.unused_data:
                 rest, self._z = self._z.unused_data, zlib.decompressobj(31)
                 out += self._z.decompress(rest)
             if out:
-                self._buf += out
-                return True
-        return False
+                return out
+        return b""
 
     def line(self) -> bytes | None:
-        while (end := self._buf.find(b"\n")) < 0:
-            if not self._more():
-                rest, self._buf = self._buf, b""
+        while (end := self._buf.find(b"\n", self._pos)) < 0:
+            more = self._more()
+            if not more:
+                rest, self._buf, self._pos = self._buf[self._pos :], b"", 0
                 return rest or None
-        out, self._buf = self._buf[: end + 1], self._buf[end + 1 :]
-        return out
+            self._buf, self._pos = self._buf[self._pos :] + more, 0
+        start, self._pos = self._pos, end + 1
+        return self._buf[start : end + 1]
 
     def take(self, n: int) -> bytes:
-        parts = [self._buf]
-        have = len(self._buf)
+        if len(self._buf) - self._pos >= n:
+            start, self._pos = self._pos, self._pos + n
+            return self._buf[start : self._pos]
+        parts, have = [self._buf[self._pos :]], len(self._buf) - self._pos
         while have < n:
-            self._buf = b""
-            if not self._more():
+            more = self._more()
+            if not more:
                 raise ValueError(f"the archive ends {n - have} bytes before a record does")
-            parts.append(self._buf)
-            have += len(self._buf)
-        whole = b"".join(parts)
-        self._buf = whole[n:]
-        return whole[:n]
+            parts.append(more)
+            have += len(more)
+        over = have - n
+        self._buf, self._pos = parts[-1], len(parts[-1]) - over
+        return b"".join(parts)[:n]
 
 
 def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
