@@ -66,10 +66,10 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     letter = _letters()[code]
     has = np.bincount(owner, weights=letter, minlength=len(parts)) > 0
     code = np.where(letter, code, np.uint32(32))
-    # A blank after a blank goes.
+    # A blank after a blank goes, but every text begins with one.
     keep = letter.copy()
-    keep[0:1] = True
     keep[1:] |= letter[:-1]
+    keep[np.cumsum([0] + [len(p) for p in parts[:-1]], dtype=np.int64)[: len(parts)]] = True
     code, owner = code[keep].astype(np.uint64), owner[keep]
     out = np.zeros((len(parts), DIM), dtype=np.float64)
     for k in range(1, min(ORDER, len(code)) + 1):
