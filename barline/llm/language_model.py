@@ -33,7 +33,9 @@ ROWS = 1 << 14
 #: Tokens whose counts every worker holds at most.
 HEAD = 1 << 17
 END = "\n"
-PARTITIONS, ROUNDS, EPOCHS, RATE, CONTEXTS = 8, 3, 2, 0.4, 2048
+PARTITIONS, ROUNDS, EPOCHS, RATE = 8, 3, 2, 0.4
+#: Histories per step at most, and steps per round at least, however few histories there are.
+CONTEXTS, STEPS = 2048, 32
 #: Tokens in a worker's arrays at a time (or one document, if it is longer).
 BATCH = 500_000
 #: The history before the first token.
@@ -177,10 +179,11 @@ def _local_steps(code: np.ndarray, n: np.ndarray, weights: np.ndarray, turn: int
     cls = code % CLASSES
     w, seen = weights.copy(), np.full((ROWS, 1), 1e-8, dtype=np.float32)
     rng = np.random.default_rng([3, turn])
-    for _ in range(EPOCHS):
+    batch = max(1, min(CONTEXTS, len(hist) // STEPS))
+    for _ in range(max(EPOCHS, STEPS * batch // len(hist))):
         order = rng.permutation(len(hist))
-        for at in range(0, len(order), CONTEXTS):
-            pick = order[at : at + CONTEXTS]
+        for at in range(0, len(order), batch):
+            pick = order[at : at + batch]
             size = end[pick] - start[pick]
             row = np.repeat(np.arange(len(pick)), size)
             src = np.repeat(start[pick] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(len(row))
