@@ -222,34 +222,41 @@ def _decayed_group(df: DataFrame, terms: dict[str, tuple[str, float]], by: str)
     return out.select(*keep, *final)
 
 
-def sliding_argextreme(
-    df: DataFrame, value: str, n: int, side: str, out: str, by: str = KEY
+def sliding_argextremes(
+    df: DataFrame, value: str, n: int, outs: dict[str, str], by: str = KEY
 ) -> DataFrame:
-    """Add the index of the first maximum ('highest') or minimum ('lowest') of the last n bars.
+    """``out: side`` adds the index of the first maximum ('highest') or minimum ('lowest') of the
+    last n bars.
 
     Spark re-scans a sliding frame for every row. Instead, cut the series into blocks of n:
     any window of n rows is a block's suffix plus the next block's prefix, and both are running
     frames, so the cost no longer depends on n.
     """
-    keep = list(df.columns)
-    high = side == "highest"
+    keep = [c for c in df.columns if c not in outs]
     rn = F.col(RN)
-    # struct order decides ties: the earliest bar wins on both sides
-    point = F.struct(F.col(value).alias("v"), (-rn if high else rn).alias("i"))
-    pick, choose = (F.max, F.greatest) if high else (F.min, F.least)
-    base = df.withColumn("_blk", F.floor(rn / F.lit(n))).withColumn("_pt", point)
     fwd = Window.partitionBy(by, "_blk").orderBy(RN).rowsBetween(Window.unboundedPreceding, 0)
     bwd = (
         Window.partitionBy(by, "_blk")
         .orderBy(rn.desc())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
+    # (block, rn) is the same order as rn and is the one the rows are already in
+    back = Window.partitionBy(by).orderBy("_blk", RN)
+    pick = {s: F.max if s == "highest" else F.min for s in outs.values()}
+    choose = {s: F.greatest if s == "highest" else F.least for s in outs.values()}
+    # struct order decides ties: the earliest bar wins on both sides
+    points = {
+        f"_pt_{s}": F.struct(F.col(value).alias("v"), (-rn if s == "highest" else rn).alias("i")) for s in pick
+    }
     found = (
-        base.withColumn("_suf", pick("_pt").over(bwd))
-        .withColumn("_pre", pick("_pt").over(fwd))
-        # (block, rn) is the same order as rn and is the one the rows are already in
-        .withColumn("_old", F.lag("_suf", n - 1).over(Window.partitionBy(by).orderBy("_blk", RN)))
-        .withColumn("_best", choose("_pre", "_old"))
+        df.withColumn("_blk", F.floor(rn / F.lit(n)))
+        .withColumns(points)
+        .withColumns({f"_suf_{s}": f(f"_pt_{s}").over(bwd) for s, f in pick.items()})
+        .withColumns({f"_pre_{s}": f(f"_pt_{s}").over(fwd) for s, f in pick.items()})
+        .withColumns({f"_old_{s}": F.lag(f"_suf_{s}", n - 1).over(back) for s in pick})
     )
-    index = F.col("_best")["i"]
-    return found.select(*keep, full_window(n, -index if high else index).alias(out))
+    cols = []
+    for out, s in outs.items():
+        index = choose[s](f"_pre_{s}", f"_old_{s}")["i"]
+        cols.append(full_window(n, -index if s == "highest" else index).alias(out))
+    return found.select(*keep, *cols)

@@ -27,7 +27,7 @@ from barline.functions.series import (
     full_window,
     rolling,
     running,
-    sliding_argextreme,
+    sliding_argextremes,
     with_rn,
 )
 
@@ -431,10 +431,11 @@ def bvc(bars: DataFrame, window: int = 20, kappa: float = 0.1, out: str = "bvc")
 # --- anchored VWAP -----------------------------------------------------------------------
 
 
-def anchored_vwap(
-    bars: DataFrame, side: str = "highest", window: int = 200, out: str | None = None
+def anchored_vwaps(
+    bars: DataFrame, outs: dict[str, str], window: int = 200
 ) -> DataFrame:
-    """Volume-weighted typical price since the latest window extreme of the close.
+    """``out: side`` adds the volume-weighted typical price since the latest window extreme of the
+    close, 'highest' or 'lowest'. All sides share the sorts.
 
     Anchors are the bars that are the first extreme of any trailing window from the first bar i0
     that is its own window's extreme. An anchor may be confirmed by up to window-1 later bars, so
@@ -444,50 +445,62 @@ def anchored_vwap(
     row also emits a marker at the anchor's own position; after one local re-sort a running
     maximum of markers gives each bar its anchor, without a join.
     """
-    out = out or f"vwap_{side}"
     df = with_rn(bars)
-    keep = list(df.columns)
-    df = sliding_argextreme(df, "close", window, side, "_a")
-    started = F.max(F.when(F.col("_a") == F.col(RN), 1)).over(running())
-    df = df.withColumn("_on", started).withColumn("_pa", F.lag("_a").over(along()))
-    news = F.col("_on").isNotNull() & ~F.col("_a").eqNullSafe(F.col("_pa"))
-    at = F.when(news, F.array(F.lit(None).cast("int"), F.col("_a").cast("int"))).otherwise(
-        F.array(F.lit(None).cast("int"))
-    )
-    df = df.withColumn("_m", F.explode(at))
-    df = df.withColumn("_at", F.coalesce("_m", RN)).withColumn("_late", F.col("_m").isNull())
+    keep = [c for c in df.columns if c not in outs]
+    ids = range(len(outs))
+    df = sliding_argextremes(df, "close", window, {f"_a{i}": s for i, s in enumerate(outs.values())})
+    started = {f"_on{i}": F.max(F.when(F.col(f"_a{i}") == F.col(RN), 1)).over(running()) for i in ids}
+    df = df.withColumns(started | {f"_pa{i}": F.lag(f"_a{i}").over(along()) for i in ids})
+    none = F.lit(None).cast("int")
+    marks = [F.array(F.struct(none.alias("side"), none.alias("at")))]
+    for i in ids:
+        news = F.col(f"_on{i}").isNotNull() & ~F.col(f"_a{i}").eqNullSafe(F.col(f"_pa{i}"))
+        mark = F.array(F.struct(F.lit(i).alias("side"), F.col(f"_a{i}").cast("int").alias("at")))
+        marks.append(F.when(news, mark).otherwise(F.slice(mark, 1, 0)))
+    df = df.withColumn("_m", F.explode(F.concat(*marks)))
+    df = df.withColumn("_at", F.coalesce("_m.at", RN)).withColumn("_late", F.col("_m.at").isNull())
     w = Window.partitionBy(KEY).orderBy("_at", "_late").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_anchor", F.max("_m").over(w)).where(F.col("_late"))
+    latest = {f"_anchor{i}": F.max(F.when(F.col("_m.side") == i, F.col("_m.at"))).over(w) for i in ids}
+    df = df.withColumns(latest).where(F.col("_late"))
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
-    seg = Window.partitionBy(KEY, "_anchor").orderBy(RN).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_pv", F.sum(typical * F.col("volume")).over(seg)).withColumn(
-        "_v", F.sum("volume").over(seg)
-    )
-    df = df.withColumn(
-        "_x", F.when(F.col("_anchor").isNotNull(), S.ratio(F.col("_pv"), F.col("_v")))
+    for i in ids:
+        seg = Window.partitionBy(KEY, f"_anchor{i}").orderBy(RN).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({f"_pv{i}": F.sum(typical * F.col("volume")).over(seg), f"_v{i}": F.sum("volume").over(seg)})
+    df = df.withColumns(
+        {
+            f"_x{i}": F.when(F.col(f"_anchor{i}").isNotNull(), S.ratio(F.col(f"_pv{i}"), F.col(f"_v{i}")))
+            for i in ids
+        }
     )
-    df = df.withColumn("_next", F.last("_x", ignorenulls=True).over(backward()))
-    df = df.withColumn(out, F.coalesce("_next", fill_forward("_x")))
-    return df.select(*[c for c in keep if c != out], out)
+    df = df.withColumns({f"_next{i}": F.last(f"_x{i}", ignorenulls=True).over(backward()) for i in ids})
+    filled = {o: F.coalesce(f"_next{i}", fill_forward(f"_x{i}")) for i, o in enumerate(outs)}
+    return df.withColumns(filled).select(*keep, *outs)
+
+
+def anchored_vwap(
+    bars: DataFrame, side: str = "highest", window: int = 200, out: str | None = None
+) -> DataFrame:
+    return anchored_vwaps(bars, {out or f"vwap_{side}": side}, window)
 
 
 # --- trailing stop -----------------------------------------------------------------------
 
 
-def _stop_scanner():
+def _stop_scanner(tie: float = S.TIE):
     """The scan as a closure: Spark pickles it by value, so executors need not have this package.
 
     Rows arrive in series order in Arrow batches, which the scan checks: within a series the index
     rises by one. Only the last index, close and stop are carried from batch to batch, so memory
     does not depend on the length of a series. Comparisons with a missing stop are False, as for
-    any NaN.
+    any NaN. ``_below`` flags the bars where the close crosses below the stop: its last side other
+    than a tie was above, and nothing was undefined since.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nan = float("nan")
-        prev, stop, last = nan, nan, None
+        prev, stop, last, above = nan, nan, None, False
         for pdf in batches:
-            out = []
+            out, below = [], []
             for begins, at, src, gap in zip(
                 pdf["_begins"].tolist(), pdf["rn"].tolist(), pdf["_src"].tolist(), pdf["_gap"].tolist()
             ):
@@ -504,7 +517,15 @@ def _stop_scanner():
                     stop = src - gap if src > stop else src + gap
                 prev = src
                 out.append(stop)
+                if src != src or stop != stop:
+                    above = crossed = False
+                elif abs(src - stop) <= tie * max(abs(src), abs(stop)):
+                    crossed = False
+                else:
+                    crossed, above = above and src < stop, src > stop
+                below.append(crossed)
             pdf["_stop"] = out
+            pdf["_below"] = below
             yield pdf.drop(columns=["_begins", "_src", "_gap"])
 
     return scan
@@ -517,8 +538,10 @@ def trailing_stop(
     out: str = "atr_trailing",
     carry: list[str] | None = None,
     by: str = KEY,
+    below: str | None = None,
 ) -> DataFrame:
-    """ATR trailing stop: follows the close at ``multiplier``·ATR, flips side when crossed.
+    """ATR trailing stop: follows the close at ``multiplier``·ATR, flips side when crossed. ``below``
+    names a flag for the bars where the close crosses below it.
 
     The only recurrence here that is not linear, so it cannot be a decayed sum. Its rows stream
     through one ``mapInPandas``. The window that marks the start of each series also makes Spark
@@ -538,9 +561,11 @@ def trailing_stop(
         (F.col(atr_col) * F.lit(multiplier)).alias("_gap"),
     )
     kept = [f for f in rows.schema.fields if f.name not in ("_begins", "_src", "_gap")]
-    schema = T.StructType([*kept, T.StructField("_stop", T.DoubleType())])
-    done = rows.sortWithinPartitions(by, RN).mapInPandas(_stop_scanner(), schema)
-    return done.withColumn(out, S.nan_to_null(F.col("_stop"))).drop("_stop")
+    made = [T.StructField("_stop", T.DoubleType()), T.StructField("_below", T.BooleanType())]
+    done = rows.sortWithinPartitions(by, RN).mapInPandas(_stop_scanner(), T.StructType([*kept, *made]))
+    if below:
+        done = done.withColumn(below, F.col("_below"))
+    return done.withColumn(out, S.nan_to_null(F.col("_stop"))).drop("_stop", "_below")
 
 
 def atr_trailing(bars: DataFrame, n: int = 10, multiplier: float = 1.8) -> DataFrame:

@@ -168,9 +168,8 @@ def squeeze_signals(
     below = {f"_x{i}": (F.col("close"), F.col(f"_low{i}"), "below") for i in ids}
     df = crossings(df, below)
     df = I.trailing_stop(
-        df, "_vol", atr_multiplier, out="_trail", carry=["date", "close", *entries, *below]
+        df, "_vol", atr_multiplier, out="_trail", carry=["date", "close", *entries, *below], below="_x"
     )
-    df = crossings(df, {"_x": (F.col("close"), F.col("_trail"), "below")})
     exits = [(F.col("_x") | F.col(f"_x{i}")).alias(f"exit_{i}") for i in ids]
     return df.select(KEY, "date", RN, "close", *entries, *exits)
 

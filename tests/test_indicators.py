@@ -304,8 +304,7 @@ def test_unknown_indicator_is_an_error(spark):
 @given(st.lists(st.integers(1, 9), min_size=3, max_size=25), st.integers(2, 6))
 def test_sliding_extreme(spark, values, n):
     df = series.with_rn(closes(spark, {"A": values}))
-    df = series.sliding_argextreme(df, "close", n, "highest", "hi")
-    df = series.sliding_argextreme(df, "close", n, "lowest", "lo")
+    df = series.sliding_argextremes(df, "close", n, {"hi": "highest", "lo": "lowest"})
     for i, r in enumerate(df.orderBy("date").collect()):
         w = values[max(0, i - n + 1) : i + 1]
         if len(w) < n:

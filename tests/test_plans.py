@@ -72,3 +72,44 @@ def test_queries_never_cross_join(spark):
 def test_filters_reach_the_scan(spark):
     df = derived.transactions(spark, SF).where(F.col("transaction_type") == "sell")
     assert "PushedFilters: [In(l_returnflag" in plan(df)
+
+
+def test_squeeze_has_no_shuffle_after_the_scan(spark):
+    bars = grid.densify(derived.bars(spark, SF), filled=True)
+    text = plan(signals.squeeze_signals(bars, signals.strategy_params(signals.SQUEEZE)))
+    own = plan(bars)
+    # the windows by symbol, and what the grid itself needs
+    assert count(text, "Exchange hashpartitioning") <= count(own, "Exchange hashpartitioning") + 1
+    head, _, _ = text.partition("MapInPandas")
+    assert "Exchange" not in head and "Window" not in head
+
+
+def test_both_vwap_sides_share_their_sorts(spark):
+    bars = derived.bars(spark, SF)
+    one = count(plan(indicators.anchored_vwap(bars)), "Sort")
+    both = count(plan(indicators.anchored_vwaps(bars, {"h": "highest", "l": "lowest"})), "Sort")
+    assert both <= one + 1
+
+
+def test_period_dates_reach_the_scan(spark):
+    from barline.catalog import QUERIES
+
+    text = plan(QUERIES["period_year_to_date"](spark, SF))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(l_shipdate", text)
+    assert "collect_set" not in plan(QUERIES["dense_grid"](spark, SF))
+
+
+def test_a_hot_lot_that_is_covered_needs_no_fold(spark):
+    from barline import schemas
+    from barline.operators import portfolio
+
+    lots = spark.sql("SELECT 1L AS id, 'A' AS ticker, CAST(200000 AS DECIMAL(15,6)) AS quantity, CAST(2 AS DECIMAL(15,6)) AS purchase_price")
+    requests = spark.range(100_000).select(
+        F.col("id").alias("seq"), F.lit(1).cast("long").alias("position_id"),
+        F.lit(2).cast(schemas.QTY).alias("quantity_to_close"), F.lit(3).cast(schemas.QTY).alias("closing_price"),
+        F.lit(0).cast(schemas.FEE).alias("fees"),
+    )
+    done = portfolio.apply_requests(lots, requests)
+    assert done.where("status = 'accepted'").count() == 100_000
+    text = plan(done)
+    assert re.search(r"MapInPandas", text) and "Window" not in text
