@@ -498,6 +498,22 @@ def filtered_features(spark, sf):
     return tidy(df)
 
 
+@query(
+    "scored_trades_logistic",
+    with_(B, _MA_FLAGS, _walk("flags", "t"), _FEATURE_SRC, recursive=True)
+    + f""", j AS MATERIALIZED (SELECT symbol, date, entry_idx, exit_price / entry_price - 1 > 0 AS y, fx, fy
+      FROM t JOIN f USING (symbol, date) WHERE fx IS NOT NULL AND fy IS NOT NULL),
+    s AS (SELECT avg(fx) AS mx, stddev_pop(fx) AS sx, avg(fy) AS my, stddev_pop(fy) AS sy FROM j)
+    SELECT symbol, date, entry_idx, y AS "Y",
+      {cols(fx="fx", y_pred="1 / (1 + exp(-(0.3 + 0.8 * (fx - mx) / sx - 0.5 * (fy - my) / sy)))")} FROM j, s""",
+)
+def scored_trades_logistic(spark, sf):
+    """The scoring step with a model of given coefficients: features keep their values."""
+    df = features.join_features(_ma_trades(spark, sf), _small_features(spark, sf))
+    scored = scoring.score_logistic(df, {"fx": 0.8, "fy": -0.5}, 0.3)
+    return tidy(scored, "symbol", "date", "entry_idx", "Y", "fx", "y_pred")
+
+
 @query("scored_trades")
 def scored_trades(spark, sf):
     """Three models trained on the trades' own labels, then applied to all of them."""
