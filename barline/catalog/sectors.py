@@ -131,6 +131,18 @@ def sector_symbols(spark, sf):
     return df.select("symbol", F.col("id_sector_level_3").alias("sector_id"))
 
 
+@query(
+    "sector_symbols_level_4",
+    with_(SECTORS)
+    + """ SELECT symbol, id_sector_level_4 AS sector_id FROM stock_symbol
+    WHERE id_sector_level_4 IN (SELECT id FROM sector WHERE level = 4 AND vonhoa_d > 0)""",
+)
+def sector_symbols_level_4(spark, sf):
+    wanted = sectors.sectors_at(derived.sectors(spark, sf), 4).where(F.col("vonhoa_d") > 0)
+    df = sectors.sector_symbols(derived.stock_symbols(spark, sf), 4, wanted.select("id"))
+    return df.select("symbol", F.col("id_sector_level_4").alias("sector_id"))
+
+
 @query(
     "sector_summary",
     with_(SECTORS)
