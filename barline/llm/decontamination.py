@@ -115,7 +115,7 @@ def benchmark_hits(
     occurring windows, end exclusive, sorted) and items (sorted item identifiers as text).
 
     Null and empty texts have no words and no hits; items without words are no windows; items with
-    equal text all count. Rows that repeat both identifier and text give as many equal rows. An empty
+    equal text all count; an item without an identifier hits words but is not listed. Rows that repeat both identifier and text give as many equal rows. An empty
     benchmark hits nothing. Other columns of either table are not looked at.
     """
     own = docs.select(

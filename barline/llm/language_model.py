@@ -3,7 +3,7 @@
 P(token | history) = P(class | history) * P(token | class). The class factor is a softmax over hashed
 n-gram and skip features of the three preceding classes. Its weights are learned by distributed
 gradient updates: partitions of the corpus-wide counts of (history, class) take AdaGrad steps from
-common weights, which are averaged after each round. The token factor is its relative frequency in the
+common weights; after each round a row of weights moves by the mean of those that moved it. The token factor is its relative frequency in the
 class with an absolute discount, whose mass goes to the unknown token.
 
 Frequent tokens have classes of their own; the others are classed by their shape, so that unknown
@@ -33,7 +33,7 @@ ROWS = 1 << 14
 #: Tokens whose counts every worker holds at most.
 HEAD = 1 << 17
 END = "\n"
-PARTITIONS, ROUNDS, EPOCHS, RATE = 8, 3, 2, 0.4
+PARTITIONS, ROUNDS, EPOCHS, RATE = 8, 3, 2, 0.07
 #: Histories per step at most, and steps per round at least, however few histories there are.
 CONTEXTS, STEPS = 2048, 32
 #: Tokens in a worker's arrays at a time (or one document, if it is longer).
@@ -68,18 +68,17 @@ def head_cut(counts: DataFrame, most: int = HEAD) -> int:
 def shape_class(token: bytes) -> int:
     """Class of a token without one of its own: by its first character beyond ASCII, else by its last
     two."""
-    text = token.decode()
-    if not text.isascii():
-        shape = next(c for c in text if c > "\x7f")
-    else:
-        shape = text[-2:]
+    if token.isascii():
+        return OWN + zlib.crc32(token[-2:]) % SHAPES
+    shape = next(c for c in token.decode() if c > "\x7f")
     return OWN + zlib.crc32(shape.encode()) % SHAPES
 
 
 def class_column(token: Column, own: list[str]) -> Column:
     """The same in SQL, with the tokens that have classes of their own."""
+    ascii_only = F.octet_length(token) == F.char_length(token)
     beyond = F.regexp_extract(token, r"[^\x00-\x7F]", 0)
-    shape = F.when(beyond != "", beyond).otherwise(F.substring(token, -2, 2))
+    shape = F.when(ascii_only, F.substring(token, -2, 2)).otherwise(beyond)
     out = F.lit(OWN) + F.pmod(F.crc32(shape.cast("binary")), F.lit(SHAPES)).cast("int")
     if own:
         places = F.array_position(F.array(*[F.lit(x) for x in own]), token).cast("int")
@@ -125,6 +124,38 @@ def log_softmax(weights: np.ndarray, code: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+class Scorer:
+    """Log probabilities under fixed weights. The features that look at two classes at most are added
+    up beforehand, by (first, second) and by (first, third), so that a history takes three rows."""
+
+    CHUNK = 4096
+
+    def __init__(self, weights: np.ndarray):
+        one, two = (x.ravel() for x in np.meshgrid(np.arange(BASE), np.arange(BASE), indexing="ij"))
+        rows = feature_rows(one, two, two)
+        self.weights = weights
+        self.near = weights[rows[0]] + weights[rows[1]] + weights[rows[2]] + weights[rows[4]]
+        self.far = weights[rows[5]] + weights[rows[6]]
+
+    def __call__(self, hist: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log P(class | history) of each token."""
+        unique, back = np.unique(hist, return_inverse=True)
+        by = np.argsort(back, kind="stable")
+        edges = np.searchsorted(back[by], np.arange(0, len(unique) + self.CHUNK, self.CHUNK))
+        out = np.empty(len(hist))
+        for k, at in enumerate(range(0, len(unique), self.CHUNK)):
+            h1, h2, h3 = split_history(unique[at : at + self.CHUNK])
+            z = self.near[h1 * BASE + h2]
+            z += self.far[h1 * BASE + h3]
+            z += self.weights[feature_rows(h1, h2, h3)[3]]
+            z -= z.max(axis=1, keepdims=True)
+            places = by[edges[k] : edges[k + 1]]
+            row = back[places] - at
+            out[places] = z[row, cls[places]]
+            out[places] -= np.log(np.exp(z, out=z).sum(axis=1))[row]
+        return out
+
+
 class Classer:
     """Tokens of texts as numbers: place in the head (-1 outside) and class."""
 
@@ -219,29 +250,33 @@ def train(counts: DataFrame, partitions: int = PARTITIONS, rounds: int = ROUNDS)
             if got:
                 code, n = np.concatenate([c for c, _ in got]), np.concatenate([x for _, x in got])
                 by = np.argsort(code, kind="stable")
-                new = _local_steps(code[by], n[by].astype(np.float64), weights, turn)
+                moved = _local_steps(code[by], n[by].astype(np.float64), weights, turn) - weights
+                mass = np.float32(np.sqrt(n.sum())) * moved.any(axis=1).astype(np.float32)
                 yield pd.DataFrame({
                     "block": np.arange(blocks),
-                    "mass": float(np.sqrt(n.sum())),
-                    "w": [x.tobytes() for x in np.split(new, blocks)],
+                    "mass": [x.tobytes() for x in np.split(mass, blocks)],
+                    "moved": [x.tobytes() for x in np.split(moved * mass[:, None], blocks)],
                 })
 
         def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(w, dtype=np.float32) * m for w, m in zip(pdf["w"], pdf["mass"]))
-            out = (total / pdf["mass"].sum()).astype(np.float32)
-            return pd.DataFrame({"block": pdf["block"][:1], "w": [out.tobytes()]})
+            """Of those partitions that moved a row: most rows belong to histories of one."""
+            mass = sum(np.frombuffer(m, dtype=np.float32) for m in pdf["mass"])
+            total = sum(np.frombuffer(x, dtype=np.float32).reshape(-1, CLASSES) for x in pdf["moved"])
+            out = (total / np.maximum(mass, 1e-9)[:, None]).astype(np.float32)
+            return pd.DataFrame({"block": pdf["block"][:1], "moved": [out.tobytes()]})
 
         made = (
             dealt.repartition(partitions, "part")
             .select("code", "n")
-            .mapInPandas(steps, "block int, mass double, w binary")
+            .mapInPandas(steps, "block int, mass binary, moved binary")
             .groupBy("block")
-            .applyInPandas(mean, "block int, w binary")
+            .applyInPandas(mean, "block int, moved binary")
             .collect()
         )
         if made:
             made.sort(key=lambda r: r["block"])
-            weights = np.concatenate([np.frombuffer(r["w"], dtype=np.float32) for r in made]).reshape(ROWS, CLASSES)
+            step = np.concatenate([np.frombuffer(r["moved"], dtype=np.float32) for r in made])
+            weights = weights + step.reshape(ROWS, CLASSES)
     return weights
 
 
@@ -282,16 +317,10 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_head = np.log10((c - off[k]) / mass[k]) if len(c) else c
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classer = Classer(coded)
+        classer, scorer = Classer(coded), Scorer(weights)
         for rows, flat, firsts in _batches(batches, "low"):
             at, cls, rare = classer(flat)
-            hist, back = np.unique(histories(cls, firsts), return_inverse=True)
-            by = np.argsort(back, kind="stable")
-            of_class = np.empty(len(flat))
-            edges = np.searchsorted(back[by], np.arange(0, len(hist) + 4096, 4096))
-            for j in range(0, len(hist), 4096):
-                places = by[edges[j // 4096] : edges[j // 4096 + 1]]
-                of_class[places] = log_softmax(weights, hist[j : j + 4096])[back[places] - j, cls[places]]
+            of_class = scorer(histories(cls, firsts), cls)
             base = np.zeros(len(flat))
             inner = of_class / math.log(10)
             known = at >= 0
@@ -325,7 +354,7 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("row", "token")
         .agg(F.count("*").alias("tf"))
         .join(counts.where(F.col("c") < cut), "token", "left")
-        .withColumn("k", class_column(F.col("token"), names[:OWN]))
+        .withColumn("k", class_column(F.col("token"), []))
     )
     p = F.when(F.col("c").isNull(), by_class(unknown)).otherwise((F.col("c") - by_class(off)) / by_class(mass))
     base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
