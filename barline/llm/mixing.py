@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm.common import NOT_SPACE, query, stored, table
+from barline.llm.common import NOT_SPACE, query, shuffle_partitions, stored, table
 
 BLOCK = 64
 SHARDS = 64
@@ -178,7 +178,8 @@ def slots(spark, plan: list[dict], block: int = BLOCK, shards: int = SHARDS, see
     step = F.lit(1 << 16)
     return (
         drawn_df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("count") - 1), step.cast("long"))).alias("at"))
-        .repartition(F.col("shard"), F.col("rank"), F.col("at"))
+        # The count of tasks is given, since these few rows become the many slots.
+        .repartition(shuffle_partitions(spark), "shard", "rank", "at")
         .select("shard", "rank", "begin", "blocks", F.explode(F.sequence("at", F.least(F.col("at") + (step - 1), F.col("count") - 1))).alias("k"))
         .withColumn("i", F.col("begin") + F.col("k"))
         .select(
@@ -210,7 +211,9 @@ def mix(
     # Bounded: at most MAX_SOURCES rows.
     plan_df = docs.sparkSession.createDataFrame([tuple(p.values()) for p in plan], schema)
     placed = stored(place(sized, plan_df), "placed")
-    mixed = slots(docs.sparkSession, plan, block, shards, seed).join(pieces(placed, block), ["rank", "block"])
+    # Sizes before the slots are counted out say nothing about them: no broadcast may follow from these.
+    drawn = slots(docs.sparkSession, plan, block, shards, seed).hint("merge")
+    mixed = drawn.join(pieces(placed, block), ["rank", "block"])
     return placed, mixed, plan
 
 
