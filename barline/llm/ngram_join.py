@@ -4,11 +4,11 @@ A document is the set of its five-word shingles. Equal sets are one node. A node
 cut into bands whose number and length come from the target recall; nodes meet in the buckets of equal
 band hashes, and each met pair is verified on the full sets.
 
-A bucket of up to ``SMALL`` nodes gives all its pairs. A larger one gives each node's pairs with a few
-leaders, so that a group of any size costs in proportion to its members. Where the verified links leave
-a large bucket in more than one class, its nodes meet again under new hash functions, and so on until a
-round joins no classes any more: a similar pair across classes would have met in every round with at
-least the target recall.
+A bucket of up to ``SMALL`` nodes gives all its pairs. A larger one gives each node's pair with a
+leader, so that a group of any size costs in proportion to its members. Where the verified links leave a
+large bucket in more than one class, its nodes meet again under new hash functions, now with two leaders
+a bucket and only across classes, and so on until a round joins no classes any more: a similar pair
+across classes would have met in every round with at least the target recall.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ SIMILARITY = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
 SMALL = 8
-LEADERS = 3
 #: Documents whose shingles are in a worker's memory at a time (or one, if it is longer).
 BATCH_WORDS = 400_000
 
@@ -89,19 +88,13 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int, level: int = 0) -
     a, b = _multipliers(bands, rows, level)
     out = np.zeros((len(sets), bands), dtype=np.uint64)
     for j in range(bands * rows):
-        low = np.minimum.reduceat(mix_one(flat, a[j], b[j]), at)
+        # The shingle hashes are mixed already; a random line modulo 2^64 orders them anew.
+        low = np.minimum.reduceat(flat * a[j] + b[j], at)
         band = j // rows
         out[:, band] = mix64(out[:, band] + low + np.uint64(band + 1))
     return out.view(np.int64)
 
 
-def mix_one(x: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
-    y = x * a
-    y ^= y >> np.uint64(32)
-    y *= b | np.uint64(1)
-    return y
-
-
 def _grouped(rows: Iterator[tuple], size=lambda r: len(r[1])) -> Iterator[list[tuple]]:
     group, total = [], 0
     for row in rows:
@@ -163,28 +156,33 @@ def node_sets(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_c
 
 
 def _met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs that met, nodes of large buckets) of rows (bucket, node)."""
+    """(pairs that met, nodes of large buckets) of rows (bucket, node, label). Nodes of one label, if
+    it is not null, make no pairs."""
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     known = stored(rows.join(shared, "bucket"), "buckets")
     small = (
         known.where(F.col("size") <= SMALL)
         .groupBy("bucket")
-        .agg(F.array_sort(F.collect_list("node")).alias("m"))
+        .agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("m"))
         .select(F.explode(F.expr(
-            "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as a, y as b))))"
+            "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), "
+            "y -> x.label is null or x.label != y.label), y -> struct(x.node as a, y.node as b))))"
         )).alias("p"))
         .select("p.a", "p.b")
     )
-    large = known.where(F.col("size") > SMALL).select("bucket", "node")
-    spread = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(1, LEADERS)]
-    leaders = large.groupBy("bucket").agg(F.array_distinct(F.array(F.min("node"), *spread)).alias("leaders"))
+    large = known.where(F.col("size") > SMALL).select("bucket", "node", "label")
+    first = F.min(F.struct("node", "label"))
+    own = F.min_by(F.struct("node", "label"), F.xxhash64("node", "bucket"))
+    # Without labels the least node alone leads: it is the same in most buckets of a group.
+    both = F.when(F.count("label") > 0, F.array_distinct(F.array(first, own))).otherwise(F.array(first))
+    leaders = large.groupBy("bucket").agg(both.alias("leaders"))
     stars = (
         large.join(leaders, "bucket")
-        .select("node", F.explode("leaders").alias("leader"))
-        .where("node != leader")
-        .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        .select("node", "label", F.explode("leaders").alias("l"))
+        .where("node != l.node and (label is null or label != l.label)")
+        .select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))
     )
-    return small.unionAll(stars).distinct(), large
+    return small.unionAll(stars).distinct(), large.select("bucket", "node")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -219,6 +217,20 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
 
 
+def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Labels after further links: these join whole classes, so only classes travel."""
+    ends = new
+    for c in "ab":
+        own = labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+        ends = ends.join(own, c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+    classes = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    to = classes.select(F.col("node").alias("was"), F.col("label").alias("now"))
+    moved = labels.join(to, labels["label"] == to["was"], "left").select("node", F.coalesce("now", "label").alias("label"))
+    # Nodes that had no link before are classes of their own.
+    alone = to.join(labels, to["was"] == labels["node"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
+    return moved.unionAll(alone)
+
+
 def near_groups(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -247,32 +259,32 @@ def near_groups(
     meeting = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(
         F.xxhash64("band", "hash").alias("bucket"), "node"
     )
-    links = spark.createDataFrame([], "a binary, b binary")
-    labels, level, classes = None, 0, None
+    meeting = meeting.withColumn("label", F.lit(None).cast("binary"))
+    links, labels, sets, level = None, None, None, 0
     while True:
         pairs, large = _met(meeting)
-        pairs = stored(pairs, "pairs")
-        large = stored(large.withColumn("bucket", F.xxhash64("bucket", F.lit(level))), "large")
-        wanted = nodes.join(
-            pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "node", "left_semi"
-        ).select("name", "node")
-        sets = stored(node_sets(docs, wanted, width, id_col, text_col), "sets")
-        links = stored(links.unionAll(verified(pairs, sets, similarity)).distinct(), "links")
-        labels = components(links)
-        now = labels.select("label").distinct().count() - labels.count()
-        if now == classes:
+        pairs, large = stored(pairs, "pairs"), stored(large, "large")
+        if sets is None:  # later rounds only meet nodes of this one's pairs
+            met = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+            wanted = nodes.join(met, "node", "left_semi").select("name", "node")
+            sets = stored(node_sets(docs, wanted, width, id_col, text_col), "sets")
+        new = stored(verified(pairs, sets, similarity), "links")
+        if links is None:
+            links, labels = new, components(new)
+        elif new.limit(1).count() == 0:
             break
-        classes = now
-        open_ = (
-            large.join(labels, "node", "left")
-            .select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        )
-        split = open_.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
-        again = stored(open_.join(split.select("bucket"), "bucket", "left_semi").select("bucket", "node").distinct(), "again")
+        else:
+            links = links.unionAll(new)
+            labels = stored(_merged(labels, new), "labels")
+        level += 1
+        known = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        split = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
+        again = stored(known.join(split, "bucket", "left_semi").select("node", "label").distinct(), "again")
         if again.limit(1).count() == 0:
             break
-        level += 1
-        meeting = _meet_again(docs, nodes, again, bands, rows, level, width, id_col, text_col)
+        signed_again = _meet_again(sets.join(again, "node", "left_semi"), bands, rows, level)
+        meeting = signed_again.join(again, "node")
+    links = links.distinct()
     degree = reduce(DataFrame.unionAll, [links.select(F.col(c).alias("node")) for c in "ab"]).groupBy("node").agg(
         F.count("*").alias("links")
     )
@@ -291,19 +303,18 @@ def near_groups(
     )
 
 
-def _meet_again(docs, nodes, again, bands, rows, level, width, id_col, text_col) -> DataFrame:
-    """Buckets (old bucket, band, hash) of the nodes under another round's hash functions."""
+def _meet_again(sets: DataFrame, bands: int, rows: int, level: int) -> DataFrame:
+    """(bucket, node) under another round's hash functions."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _grouped(_rows(batches)):
-            sets = [np.asarray(s).view(np.uint64) for _, s in group]
-            yield pd.DataFrame({"node": [n for n, _ in group], "bands": list(band_hashes(sets, bands, rows, level))})
+            found = [np.asarray(s).view(np.uint64) for _, s in group]
+            yield pd.DataFrame({"node": [n for n, _ in group], "bands": list(band_hashes(found, bands, rows, level))})
 
-    wanted = nodes.join(again.select("node").distinct(), "node", "left_semi").select("name", "node")
-    sets = node_sets(docs, wanted, width, id_col, text_col)
     signed = sets.mapInPandas(sign, "node binary, bands array<bigint>")
-    met = again.join(signed, "node").select("bucket", "node", F.posexplode("bands").alias("band", "hash"))
-    return met.select(F.xxhash64("bucket", "band", "hash").alias("bucket"), "node")
+    return signed.select("node", F.posexplode("bands").alias("band", "hash")).select(
+        F.xxhash64("band", "hash", F.lit(level)).alias("bucket"), "node"
+    )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

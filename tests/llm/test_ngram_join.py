@@ -69,13 +69,12 @@ def test_one_large_group_is_one_class(spark):
     got = op.near_groups(corpus.rows_to_docs(spark, rows)).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == want
     # In proportion to the group, not to its pairs.
-    assert sum(r["links"] for r in got) < 400 * 2 * op.LEADERS * 24
+    assert sum(r["links"] for r in got) < 400 * 2 * 2 * 24 * 3
 
 
 def test_two_groups_in_shared_buckets_meet_again(spark, monkeypatch):
     """With tiny buckets limits every bucket is large, and later rounds must find what is left."""
     monkeypatch.setattr(op, "SMALL", 2)
-    monkeypatch.setattr(op, "LEADERS", 1)
     rnd = random.Random(10)
     base = corpus.sentence(rnd, 200)
     rows, text = [], base
