@@ -3,14 +3,17 @@
 Markup is stripped to lines: every block element's text is a line, what cannot be content (scripts,
 navigation, notices, forms, comments and the like) leaves a line without length. The text lengths of
 ``WINDOW`` following lines are summed. Where the sums surge from nothing text begins, where they dive
-to nothing it ends; stretches whose sums peak high enough are kept, whole.
+to nothing it ends. Stretches of one element that only stripped parts cut are joined again; those whose
+sums peak high enough are kept, whole. Article and main elements are a weight on the peaks, not a rule.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +24,9 @@ from barline.llm.common import query, table
 WINDOW = 3
 #: A stretch is kept if its highest window sum is at least this share of the page's highest.
 PEAK = 0.15
+#: How many times the peaks count of stretches in article or main elements, when the leading stretch is
+#: looked for, and then of all stretches that are inside or outside such elements as the leading one is.
+WEIGHT = 3
 #: Lines of a link list: more than this share of the characters are link text.
 LINKS = 0.6
 
@@ -38,6 +44,9 @@ NOT_CONTENT = frozenset(
 )
 #: A header inside the article holds its title; one outside belongs to the site.
 CONTENT = frozenset(("article", "main"))
+#: Elements that hold lines together, and those that stand between the parts of a page.
+BOXES = CONTENT | frozenset("blockquote center dd details div dl fieldset figure li ol section table td th ul".split())
+FURNITURE = frozenset("nav header footer aside menu search".split())
 #: Words in class, id or role that name other parts of a page.
 PART = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|"
@@ -65,25 +74,74 @@ def _other_part(attrs: str) -> bool:
     return bool(HIDDEN.search(attrs))
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of link text, inside an article or main element) of each line. Lines without
-    text stand for stripped parts."""
-    out: list[tuple[str, int, bool]] = []
+INSERT, PARTING, EDGE = range(3)
+
+
+class Line(NamedTuple):
+    text: str
+    #: Characters of link text.
+    linked: int
+    #: Inside an article or main element.
+    own: bool
+    #: The innermost element that holds it; for a line without text the one that held the stripped part.
+    box: int
+    #: Kind of the stripped part: an insert, furniture of the page, or the edge of an article or main element.
+    kind: int = INSERT
+
+
+class Box(NamedTuple):
+    """Lines begin..end-1 are in the element."""
+
+    begin: int
+    end: int
+
+    def holds(self, a: int, b: int) -> bool:
+        return self.begin <= a and b < self.end
+
+
+def lines(page: str) -> tuple[list[Line], list[Box]]:
+    """The page's lines, where ``WINDOW`` lines without text stand for a stripped part, and its elements
+    by number; the first is the page."""
+    out: list[Line] = []
     text: list[str] = []
-    linked = depth_a = content = 0
+    linked = depth_a = 0
     skip: list[str] = []
+    begins, ends, inside = [0], [len(page) + 1 << 3], [("", 0)]
+    opened: Counter = Counter()
     at, n = 0, len(page)
 
-    def end_line(gap: bool = False) -> None:
+    def content() -> bool:
+        return opened["article"] + opened["main"] > 0
+
+    def end_line(gap: bool = False, kind: int = INSERT) -> None:
         nonlocal linked
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            out.append((joined, linked, content > 0))
+            out.append(Line(joined, linked, content(), inside[-1][1]))
         if gap:
-            out.extend([("", 0, content > 0)] * WINDOW)
+            out.extend([Line("", 0, content(), inside[-1][1], kind)] * WINDOW)
         linked = 0
 
+    def enter(name: str) -> None:
+        opened[name] += 1
+        if name in BOXES:
+            inside.append((name, len(begins)))
+            begins.append(len(out))
+            ends.append(ends[0])
+
+    def leave(name: str) -> None:
+        if not opened[name]:
+            return
+        opened[name] -= 1
+        if name in BOXES:
+            while True:
+                last, box = inside.pop()
+                ends[box] = len(out)
+                if last == name:
+                    break
+                opened[last] -= 1
+
     while at < n:
         m = TOKEN.search(page, at)
         begin = m.start() if m else n
@@ -104,12 +162,12 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 while skip.pop() != name:
                     pass
                 if not skip:
-                    end_line(gap=True)
+                    end_line(True, PARTING if name in FURNITURE else INSERT)
                 continue
             # The article ends what was left open before it.
-            if not closing and name in CONTENT and not content and not _other_part(attrs):
+            if not closing and name in CONTENT and not content() and not _other_part(attrs):
                 skip.clear()
-                end_line(gap=True)
+                end_line(True, EDGE)
             else:
                 if not closing and name in RAW:
                     found = RAW_END[name].search(page, at)
@@ -119,10 +177,11 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 continue
         if closing:
             if name in CONTENT:
-                end_line(gap=True)
-                content = max(0, content - 1)
+                end_line(True, EDGE)
             elif name in BLOCKS:
                 end_line()
+            if name in BLOCKS:
+                leave(name)
             elif name == "a":
                 depth_a = max(0, depth_a - 1)
             continue
@@ -133,22 +192,24 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             at = end.end() if end else n
             continue
         own = attrs.rstrip().endswith("/") or name in VOID
-        other = name in NOT_CONTENT or name == "header" and not content or name not in ("body", "html") and _other_part(attrs)
+        other = name in NOT_CONTENT or name == "header" and not content() or name not in ("body", "html") and _other_part(attrs)
         if other and not own:
-            end_line(gap=name in BLOCKS or name == "head")
+            end_line(name in BLOCKS or name == "head", PARTING if name in FURNITURE else INSERT)
             skip.append(name)
             continue
         if name in CONTENT:
-            end_line(gap=True)
-            content += 1
+            end_line(True, EDGE)
         elif name in BLOCKS:
             end_line()
+        if name in BLOCKS:
+            if name not in VOID:
+                enter(name)
         elif name == "br":
             text.append(" ")
         elif name == "a" and not own:
             depth_a += 1
     end_line()
-    return out
+    return out, [Box(*x) for x in zip(begins, ends)]
 
 
 def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -172,17 +233,50 @@ def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int,
     return out
 
 
+def _joins(found: list[Line], boxes: list[Box], a: int, b: int) -> bool:
+    """Whether lines a and b, with nothing but stripped parts between them, belong together: one element
+    below the page holds them and the parts, or the page holds all directly or parts that are no furniture."""
+    for gap in found[a + 1 : b]:
+        direct = found[a].box == found[b].box == gap.box
+        if gap.kind == EDGE or not boxes[gap.box].holds(a, b) or not gap.box and gap.kind == PARTING and not direct:
+            return False
+    return True
+
+
+def _groups(found: list[Line], boxes: list[Box], parts: list[tuple[int, int, int]]) -> list[int]:
+    """Number of the joined stretch that each stretch belongs to."""
+    up = list(range(len(parts)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    first: dict[int, int] = {}
+    for i, (a, b, _) in enumerate(parts):
+        if i and _joins(found, boxes, parts[i - 1][1] - 1, a):
+            up[root(i)] = root(i - 1)
+        for line in found[a:b]:
+            if line.box:
+                up[root(i)] = root(first.setdefault(line.box, i))
+    return [root(i) for i in range(len(parts))]
+
+
 def main_text(page: str | None) -> str:
     """The kept blocks joined by line feeds; empty if there are none."""
-    found = lines(page or "")
-    inside = any(own and text for text, _, own in found)
-    kept = [
-        text if (own or not inside) and linked <= LINKS * len(text) else "" for text, linked, own in found
-    ]
+    found, boxes = lines(page or "")
+    kept = [x.text if x.linked <= LINKS * len(x.text) else "" for x in found]
     parts = stretches([len(t) for t in kept])
-    # Within an article or main element all stretches are the page's own.
-    least = 0 if inside else PEAK * max((p for _, _, p in parts), default=0)
-    return "\n".join(t for a, b, p in parts if p >= least for t in kept[a:b] if t)
+    group = _groups(found, boxes, parts)
+    peak: dict[int, int] = {}
+    for g, (_, _, p) in zip(group, parts):
+        peak[g] = max(peak.get(g, 0), p)
+    own = {g: found[a].own for g, (a, _, _) in zip(group, parts)}
+    lead = max(peak, key=lambda g: (peak[g] * (WEIGHT if own[g] else 1), own[g]), default=None)
+    strength = {g: p * (WEIGHT if own[g] == own[lead] else 1) for g, p in peak.items()}
+    least = PEAK * max(strength.values(), default=0)
+    return "\n".join(t for g, (a, b, _) in zip(group, parts) if strength[g] >= least for t in kept[a:b] if t)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

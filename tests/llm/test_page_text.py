@@ -33,6 +33,30 @@ def test_cases(page):
     assert op.main_text(page) == CASES[page]
 
 
+STORY = "".join(f"<p>{c * 1000}</p>" for c in "abc")
+STORY_TEXT = "\n".join(c * 1000 for c in "abc")
+TEASER = "<article><h3>Other</h3><p>" + "teaser " * 20 + "</p></article>"
+
+
+def test_story_outside_of_article_elements():
+    """Surge and dive choose the story, not the name of the element around it."""
+    for page in (
+        f"<body><div class=story>{STORY}</div><div class=cards>{TEASER * 3}</div></body>",
+        f"<body>{TEASER}<div class=story>{STORY}</div>{TEASER}</body>",
+        f"<main><div class=story>{STORY}</div>{TEASER * 2}</main>",
+        f"<body><div>Site name</div><nav>n</nav><div class=story>{STORY}</div><aside>x</aside><div>Imprint</div></body>",
+        f"<body><div class=story><p>{'a' * 1000}</p>{TEASER}<p>{'b' * 1000}</p><p>{'c' * 1000}</p></div></body>",
+    ):
+        assert op.main_text(page) == STORY_TEXT
+
+
+def test_article_is_a_weight():
+    page = "<body><div>%s</div><article><p>%s</article></body>"
+    assert op.main_text(page % ("Some words of the house", "x" * 100)) == "x" * 100
+    assert op.main_text(page % ("y" * 1000, "x" * 100)) == "y" * 1000
+    assert op.main_text(page % ("y" * 900, "x" * 1000)) == "y" * 900 + "\n" + "x" * 1000
+
+
 def test_null_and_long():
     assert op.main_text(None) == ""
     long = "wörd " * 200_000
