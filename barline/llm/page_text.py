@@ -27,7 +27,7 @@ PEAK = 0.15
 #: How many times the peaks count of stretches in article or main elements, when the leading stretch is
 #: looked for, and then of all stretches that are inside or outside such elements as the leading one is.
 WEIGHT = 3
-#: Lines of a link list: more than this share of the characters are link text.
+#: A stretch is a link list if more than this share of its characters are link text.
 LINKS = 0.6
 
 # Fixed values of HTML: elements that begin a new line, that hold no text, and that hold no content.
@@ -46,6 +46,15 @@ NOT_CONTENT = frozenset(
 CONTENT = frozenset(("article", "main"))
 #: Elements that hold lines together, and those that stand between the parts of a page.
 BOXES = CONTENT | frozenset("blockquote center dd details div dl fieldset figure li ol section table td th ul".split())
+#: Elements whose end tag may be left out, with the start tags that end them and, where those do not count,
+#: the elements that may stand between. Any of them also ends with the element around it.
+ROWS = ("tbody", "tfoot", "thead")
+ENDED_BY = {
+    "p": (BLOCKS - {"option", "optgroup"}, ()), "li": (("li",), ("ul", "ol", "menu")), "head": (BLOCKS - {"head"}, ()),
+    "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "caption": (("tr", *ROWS), ("table",)),
+    "td": (("td", "th", "tr", *ROWS), ("table",)), "th": (("td", "th", "tr", *ROWS), ("table",)),
+    "tr": (("tr", *ROWS), ("table",)), **{x: (ROWS, ("table",)) for x in ROWS},
+}
 FURNITURE = frozenset("nav header footer aside menu search".split())
 #: Words in class, id or role that name other parts of a page.
 PART = re.compile(
@@ -123,6 +132,10 @@ def lines(page: str) -> tuple[list[Line], list[Box]]:
             out.extend([Line("", 0, content(), inside[-1][1], kind)] * WINDOW)
         linked = 0
 
+    def ends_skipped(name: str) -> bool:
+        by, between = ENDED_BY.get(skip[0], ((), ()))
+        return name in by and not any(x in between for x in skip)
+
     def enter(name: str) -> None:
         opened[name] += 1
         if name in BOXES:
@@ -168,11 +181,15 @@ def lines(page: str) -> tuple[list[Line], list[Box]]:
             if not closing and name in CONTENT and not content() and not _other_part(attrs):
                 skip.clear()
                 end_line(True, EDGE)
+            elif closing and opened[name] and name != "p" or not closing and ends_skipped(name):
+                kind = PARTING if skip[0] in FURNITURE else INSERT
+                skip.clear()
+                end_line(True, kind)
             else:
                 if not closing and name in RAW:
                     found = RAW_END[name].search(page, at)
                     at = found.start() if found else n
-                elif not closing and name == skip[-1]:
+                elif not closing and (name == skip[0] or name in BLOCKS and name not in VOID and (name != skip[-1] or name not in ENDED_BY)):
                     skip.append(name)
                 continue
         if closing:
@@ -233,14 +250,53 @@ def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int,
     return out
 
 
-def _joins(found: list[Line], boxes: list[Box], a: int, b: int) -> bool:
-    """Whether lines a and b, with nothing but stripped parts between them, belong together: one element
-    below the page holds them and the parts, or the page holds all directly or parts that are no furniture."""
+def _is_links(found: list[Line]) -> bool:
+    return sum(x.linked for x in found) > LINKS * sum(len(x.text) for x in found)
+
+
+def _hangs(found: list[Line], boxes: list[Box], a: int, b: int, by: int) -> bool:
+    """Whether lines a..b-1 are in the element that holds line ``by``."""
+    return 0 <= by < len(found) and boxes[found[by].box].holds(a, b - 1)
+
+
+def _joins(found: list[Line], boxes: list[Box], before: tuple[int, int, int], after: tuple[int, int, int]) -> bool:
+    """Whether two stretches with nothing but stripped parts between them belong together: one element below
+    the page holds their ends and the parts, or the page holds all directly or parts that are no furniture. A
+    link list belongs to the other only if it is in the same element."""
+    a, b = before[1] - 1, after[0]
+    if before[1] == b:
+        return False
     for gap in found[a + 1 : b]:
         direct = found[a].box == found[b].box == gap.box
         if gap.kind == EDGE or not boxes[gap.box].holds(a, b) or not gap.box and gap.kind == PARTING and not direct:
             return False
-    return True
+    lists = [_is_links(found[x:y]) for x, y, _ in (before, after)]
+    if lists[0] == lists[1]:
+        return True
+    return _hangs(found, boxes, *before[:2], b) if lists[0] else _hangs(found, boxes, *after[:2], a)
+
+
+def _apart(found: list[Line], boxes: list[Box], parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Stretches with the link lists beside the text, ``WINDOW`` lines or more in an element of their own,
+    as stretches of their own. Links within the element of the text before or after are part of it."""
+    out = []
+    for a, b, peak in parts:
+        cuts, i = [a], a
+        while i < b:
+            j = i
+            while j < b and found[j].linked > LINKS * len(found[j].text):
+                j += 1
+            if j - i >= WINDOW and (i > a or j < b):
+                sides = [by for by in (i - 1, j) if a <= by < b]
+                if not any(_hangs(found, boxes, i, j, by) for by in sides):
+                    cuts += [i, j]
+            i = max(j, i + 1)
+        cuts = sorted({*cuts, b})
+        if len(cuts) == 2:
+            out.append((a, b, peak))
+        else:
+            out += [(x, y, stretches([len(z.text) for z in found[x:y]])[0][2]) for x, y in zip(cuts, cuts[1:])]
+    return out
 
 
 def _groups(found: list[Line], boxes: list[Box], parts: list[tuple[int, int, int]]) -> list[int]:
@@ -255,8 +311,10 @@ def _groups(found: list[Line], boxes: list[Box], parts: list[tuple[int, int, int
 
     first: dict[int, int] = {}
     for i, (a, b, _) in enumerate(parts):
-        if i and _joins(found, boxes, parts[i - 1][1] - 1, a):
+        if i and _joins(found, boxes, parts[i - 1], parts[i]):
             up[root(i)] = root(i - 1)
+        if i > 1 and parts[i - 2][1] == parts[i - 1][0] and parts[i - 1][1] == a:  # a link list was taken out between
+            up[root(i)] = root(i - 2)
         for line in found[a:b]:
             if line.box:
                 up[root(i)] = root(first.setdefault(line.box, i))
@@ -266,17 +324,22 @@ def _groups(found: list[Line], boxes: list[Box], parts: list[tuple[int, int, int
 def main_text(page: str | None) -> str:
     """The kept blocks joined by line feeds; empty if there are none."""
     found, boxes = lines(page or "")
-    kept = [x.text if x.linked <= LINKS * len(x.text) else "" for x in found]
-    parts = stretches([len(t) for t in kept])
+    parts = _apart(found, boxes, stretches([len(x.text) for x in found]))
     group = _groups(found, boxes, parts)
+    size, linked = Counter(), Counter()
+    for g, (a, b, _) in zip(group, parts):
+        size[g] += sum(len(x.text) for x in found[a:b])
+        linked[g] += sum(x.linked for x in found[a:b])
     peak: dict[int, int] = {}
     for g, (_, _, p) in zip(group, parts):
-        peak[g] = max(peak.get(g, 0), p)
-    own = {g: found[a].own for g, (a, _, _) in zip(group, parts)}
+        if linked[g] <= LINKS * size[g]:
+            peak[g] = max(peak.get(g, 0), p)
+    own = {g: found[a].own for g, (a, _, _) in zip(group, parts) if g in peak}
     lead = max(peak, key=lambda g: (peak[g] * (WEIGHT if own[g] else 1), own[g]), default=None)
     strength = {g: p * (WEIGHT if own[g] == own[lead] else 1) for g, p in peak.items()}
     least = PEAK * max(strength.values(), default=0)
-    return "\n".join(t for g, (a, b, _) in zip(group, parts) if strength[g] >= least for t in kept[a:b] if t)
+    kept = [part for g, part in zip(group, parts) if strength.get(g, -1) >= least]
+    return "\n".join(x.text for a, b, _ in kept for x in found[a:b] if x.text)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

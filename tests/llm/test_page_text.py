@@ -57,6 +57,54 @@ def test_article_is_a_weight():
     assert op.main_text(page % ("y" * 900, "x" * 1000)) == "y" * 900 + "\n" + "x" * 1000
 
 
+TAIL = "<p>" + "z" * 100 + "</p>"
+
+
+@pytest.mark.parametrize("insert", [
+    "<div class=ad>buy</div>", "<form><p>name</form>", "<p class=notice>note</p>", "<p class=notice>note", "<div class=ad><p>buy</div><div class=promo>x</div>",
+])
+@pytest.mark.parametrize("page", [
+    "<body>{0}{1}{2}</body>", "<body><div>{0}{1}{2}</div></body>", "<body><div>{0}</div>{1}<div>{2}</div></body>",
+    "<body><div><div>{0}</div>{1}<div>{2}</div></div></body>", "<article><section>{0}</section>{1}<section>{2}</section></article>",
+])
+def test_inserts_do_not_cut_the_tail_off(page, insert):
+    assert op.main_text(page.format(STORY, insert, TAIL)) == STORY_TEXT + "\n" + "z" * 100
+
+
+def test_links_of_the_text_are_kept_and_link_lists_go():
+    links = "".join(f"<li><a href=/{i}>Reference number {i}</a>" for i in range(5))
+    want = "\n".join(f"Reference number {i}" for i in range(5))
+    report = "<p><a href=r>Full report (PDF)</a></p>"
+    story = f"<h2><a href=/s>Linked heading</a></h2>{STORY}{report}<ul>{links}</ul>"
+    text = f"Linked heading\n{STORY_TEXT}\nFull report (PDF)\n{want}"
+    for box in ("article", "main", "div", "body"):
+        assert op.main_text(f"<{box}>{story}</{box}>") == text
+    assert op.main_text(f"<article>{STORY}<div class=ad>x</div><h2>See</h2><ul>{links}</ul></article>") == f"{STORY_TEXT}\nSee\n{want}"
+    assert op.main_text(f"<div><ul>{links}</ul></div><div class=story>{STORY}</div><div><ul>{links}</ul></div>") == STORY_TEXT
+    assert op.main_text(f"<div id=page><ul>{links}</ul><div class=ad>x</div><div>{STORY}</div></div>") == STORY_TEXT
+
+
+OPEN = {
+    "<article><p class=notice>no<p>a<p>b</p></article><p>": "a\nb",
+    "<article><p class=notice>no <b>x</b><div>a</div></article>": "a",
+    "<article><p>a<p class=ad>no</article><footer>f</footer>": "a",
+    "<article><ul><li class=ad>no<ul><li>no</ul>no<li>a<li>b</ul><p>c</article>": "a\nb\nc",
+    "<article><ul><li>a<li class=ad>no</ul><p>b</article>": "a\nb",
+    "<article><dl><dt class=ad>no<dd class=ad>no<dt>a<dd>b</dl></article>": "a\nb",
+    "<article><table><tr><td class=ad>no<table><tr><td>no</table>no<td>a<tr><th class=ad>no<tr><td>b</table>c</article>": "a\nb\nc",
+    "<article><table><tr class=promo><td>no<td>no<tr><td>a</table><p>b</article>": "a\nb",
+    "<article><p>a</p><div><div class=ad><p>no</div><p>b</div><section><div class=ad>no</section><p>c</article>": "a\nb\nc",
+    "<article><section><p>a</p><div class=ad><section><section>no</section></section>no</div><p>b</section></article>": "a\nb",
+    "<head><title>t</title><meta x><body><p>a</body>": "a",
+    "<article><div class=ad><p>no</div><p>a</p></section></article>": "a",
+}
+
+
+@pytest.mark.parametrize("page", OPEN)
+def test_skipped_elements_without_end_tags(page):
+    assert op.main_text(page) == OPEN[page]
+
+
 def test_null_and_long():
     assert op.main_text(None) == ""
     long = "wörd " * 200_000
