@@ -4,11 +4,10 @@ A document is the set of its five-word shingles. Equal sets are one node. A node
 cut into bands whose number and length come from the target recall; nodes meet in the buckets of equal
 band hashes, and each met pair is verified on the full sets.
 
-A bucket of up to ``SMALL`` nodes gives all its pairs. A larger one gives each node's pair with a
-leader, so that a group of any size costs in proportion to its members. Where the verified links leave a
-large bucket in more than one class, its nodes meet again under new hash functions, now with two leaders
-a bucket and only across classes, and so on until a round joins no classes any more: a similar pair
-across classes would have met in every round with at least the target recall.
+A bucket of up to ``SMALL`` nodes gives all its pairs. A larger one is dealt into blocks, and each pair of
+blocks is a tile whose sets are compared all with all in one worker. A tile gives numbers of links and the
+links of a spanning forest, never the pairs, so rows grow with the members of a group and not with its
+pairs. Each pair counts once: in the least of the large buckets it shares, or, sharing none, as a pair.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -30,6 +29,8 @@ SIMILARITY = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
 SMALL = 8
+#: Nodes and shingles in a block of a large bucket, in expectation (a longer set is a block's only long one).
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 18
 #: Documents whose shingles are in a worker's memory at a time (or one, if it is longer).
 BATCH_WORDS = 400_000
 
@@ -73,19 +74,19 @@ def set_key(s: np.ndarray) -> bytes:
     return np.array([a.sum(dtype=np.uint64) + n, b.sum(dtype=np.uint64) ^ n], dtype=np.uint64).tobytes()
 
 
-def _multipliers(bands: int, rows: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng([17, level])
+def _multipliers(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([17, 0])
     n = bands * rows
     return rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(
         0, 2**63, n, dtype=np.uint64
     )
 
 
-def band_hashes(sets: list[np.ndarray], bands: int, rows: int, level: int = 0) -> np.ndarray:
+def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     """(sets x bands) hashes of the bands' MinHash values. No set may be empty."""
     flat = np.concatenate(sets)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    a, b = _multipliers(bands, rows, level)
+    a, b = _multipliers(bands, rows)
     out = np.zeros((len(sets), bands), dtype=np.uint64)
     for j in range(bands * rows):
         # The shingle hashes are mixed already; a random line modulo 2^64 orders them anew.
@@ -155,34 +156,117 @@ def node_sets(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_c
     return made.where("node = key").dropDuplicates(["node"]).select("node", "s")
 
 
-def _met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs that met, nodes of large buckets) of rows (bucket, node, label). Nodes of one label, if
-    it is not null, make no pairs."""
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    known = stored(rows.join(shared, "bucket"), "buckets")
+def _met(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct pairs of small buckets, rows of large ones: bucket, node, blocks) of nodes with n and bands."""
+    rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "hash")).select(
+        F.xxhash64("band", "hash").alias("bucket"), "node", "n"
+    )
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("mass")).where("size > 1")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_NODES, F.col("mass") / BLOCK_SHINGLES)).cast("int")
+    known = stored(rows.join(shared.select("bucket", "size", blocks.alias("blocks")), "bucket").drop("n"), "buckets")
     small = (
         known.where(F.col("size") <= SMALL)
         .groupBy("bucket")
-        .agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("m"))
+        .agg(F.array_sort(F.collect_list("node")).alias("m"))
         .select(F.explode(F.expr(
-            "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), "
-            "y -> x.label is null or x.label != y.label), y -> struct(x.node as a, y.node as b))))"
+            "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as a, y as b))))"
         )).alias("p"))
         .select("p.a", "p.b")
     )
-    large = known.where(F.col("size") > SMALL).select("bucket", "node", "label")
-    first = F.min(F.struct("node", "label"))
-    own = F.min_by(F.struct("node", "label"), F.xxhash64("node", "bucket"))
-    # Without labels the least node alone leads: it is the same in most buckets of a group.
-    both = F.when(F.count("label") > 0, F.array_distinct(F.array(first, own))).otherwise(F.array(first))
-    leaders = large.groupBy("bucket").agg(both.alias("leaders"))
-    stars = (
-        large.join(leaders, "bucket")
-        .select("node", "label", F.explode("leaders").alias("l"))
-        .where("node != l.node and (label is null or label != l.label)")
-        .select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))
-    )
-    return small.unionAll(stars).distinct(), large.select("bucket", "node")
+    return small.distinct(), known.where(F.col("size") > SMALL).select("bucket", "node", "blocks")
+
+
+def _marks(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(flags, none set, of the distinct values; the values' places in them one after the other; and by array)."""
+    sizes = np.cumsum([len(v) for v in values])[:-1]
+    distinct, flat = np.unique(np.concatenate(values), return_inverse=True)
+    return np.zeros(len(distinct), dtype=bool), flat, np.split(flat, sizes)
+
+
+def tile_links(
+    left: list[np.ndarray], right: list[np.ndarray] | None, met_left: list[np.ndarray], met_right: list[np.ndarray], similarity: float
+) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(number of links of each set, links of a spanning forest as numbers of sets), the right ones numbered
+    after the left. Links join left and right, or, if there is no right, the left among each other. Sets
+    that have met elsewhere, with a common value in ``met``, make no link."""
+    part = Fraction(str(similarity))
+    top, bottom = part.numerator, part.numerator + part.denominator
+    both, met = left + (right or []), met_left + met_right
+    first = len(left) if right is not None else 0
+    size = np.array([len(s) for s in both], dtype=np.int64)
+    flag, _, places = _marks(both)
+    flat, starts = np.concatenate(places[first:]), np.append(0, np.cumsum(size[first:])[:-1])
+    met_flag, _, met_places = _marks(met)
+    met_flat = np.concatenate(met_places[first:])
+    met_owner = np.repeat(np.arange(first, len(both)), [len(m) for m in met[first:]])
+    links, forest, label = np.zeros(len(both), dtype=np.int64), [], np.arange(len(both))
+    for i in range(len(left)):
+        wanted = np.zeros(len(both), dtype=bool)
+        wanted[max(first, i + 1) :] = True
+        if len(met[i]):
+            met_flag[met_places[i]] = True
+            wanted[met_owner[met_flag[met_flat]]] = False
+            met_flag[met_places[i]] = False
+        # The similarity of two sets is at most the ratio of their sizes.
+        wanted &= np.minimum(size, size[i]) * (bottom - top) >= np.maximum(size, size[i]) * top
+        if not wanted.any():
+            continue
+        flag[places[i]] = True
+        shared = np.add.reduceat(flag[flat], starts, dtype=np.int64)
+        flag[places[i]] = False
+        near = first + np.nonzero(wanted[first:] & (shared * bottom >= (size[first:] + size[i]) * top))[0]
+        links[i] += len(near)
+        links[near] += 1
+        new, at = np.unique(label[near], return_index=True)
+        for x, j in zip(new, near[at]):
+            if x != label[i]:
+                forest.append((i, int(j)))
+                label[label == x] = label[i]
+    return links, forest
+
+
+def tiled(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, null, links of a) and (a, b, 0) for links (a, b) that join the same classes as all links do, of
+    the pairs of nodes that share a large bucket. Bounded by the rows of ``large`` times their blocks."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows are sorted by tile; a tile's are consecutive.
+        for (_, low, high), rows in groupby(_rows(batches), key=lambda r: r[:3]):
+            sides: tuple[list, list] = ([], [])
+            for _, _, _, block, node, met, s in rows:
+                sides[block != low].append((node, np.asarray(met, dtype=np.int64), np.asarray(s)))
+            left, right = sides
+            if not left or low != high and not right or len(left) + len(right) < 2:
+                continue
+            links, forest = tile_links(
+                [s for _, _, s in left], [s for _, _, s in right] if low != high else None,
+                [m for _, m, _ in left], [m for _, m, _ in right], similarity,
+            )
+            names = [n for n, _, _ in left + right]
+            have = np.nonzero(links)[0]
+            if len(have):
+                ends = [sorted((names[i], names[j])) for i, j in forest]
+                yield pd.DataFrame({
+                    "a": [names[i] for i in have] + [a for a, _ in ends],
+                    "b": [None] * len(have) + [b for _, b in ends],
+                    "links": [int(links[i]) for i in have] + [0] * len(ends),
+                })
+
+    homes = large.groupBy("node").agg(F.collect_list(F.struct("bucket", "blocks")).alias("homes"))
+    block = F.pmod(F.xxhash64("node", F.lit(0)), F.col("home.blocks")).cast("int")
+    dealt = (
+        sets.join(homes, "node")
+        .select("node", "s", "homes", F.explode("homes").alias("home"))
+        .select(
+            "node", "s", F.col("home.bucket").alias("bucket"), block.alias("block"),
+            F.expr("transform(filter(homes, h -> h.bucket < home.bucket), h -> h.bucket)").alias("met"),
+            F.explode(F.sequence(F.lit(0), F.col("home.blocks") - 1)).alias("other"),
+        )
+        .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "met", "s")
+        .repartition("bucket", "low", "high")
+        .sortWithinPartitions("bucket", "low", "high")
+    )
+    return dealt.mapInPandas(compare, "a binary, b binary, links long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -217,20 +301,6 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
 
 
-def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """Labels after further links: these join whole classes, so only classes travel."""
-    ends = new
-    for c in "ab":
-        own = labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-        ends = ends.join(own, c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
-    classes = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-    to = classes.select(F.col("node").alias("was"), F.col("label").alias("now"))
-    moved = labels.join(to, labels["label"] == to["was"], "left").select("node", F.coalesce("now", "label").alias("label"))
-    # Nodes that had no link before are classes of their own.
-    alone = to.join(labels, to["was"] == labels["node"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
-    return moved.unionAll(alone)
-
-
 def near_groups(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -244,50 +314,33 @@ def near_groups(
 
     Words are lower-case; a text of fewer than ``width`` words, but not none, is one shingle. Texts
     without words and null texts are similar to nothing: each is a class of its own. Documents with
-    equal sets are one class without links among them. Links are those verified: all in small groups,
-    those to the leaders in large ones. A row without an identifier takes part as a text, and its
+    equal sets are one class without links among them. Links are all of those that the recall finds,
+    in groups of any size. A row without an identifier takes part as a text, and its
     class is named by the others; class_id is null if there are none. An empty table gives an empty
     result; other columns are not looked at.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     bands, rows = bands_for(similarity, recall)
     signed = stored(signatures(docs, bands, rows, width, id_col, text_col), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("name"), F.first("bands").alias("bands")
-    )
-    meeting = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(
-        F.xxhash64("band", "hash").alias("bucket"), "node"
-    )
-    meeting = meeting.withColumn("label", F.lit(None).cast("binary"))
-    links, labels, sets, level = None, None, None, 0
-    while True:
-        pairs, large = _met(meeting)
-        pairs, large = stored(pairs, "pairs"), stored(large, "large")
-        if sets is None:  # later rounds only meet nodes of this one's pairs
-            met = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-            wanted = nodes.join(met, "node", "left_semi").select("name", "node")
-            sets = stored(node_sets(docs, wanted, width, id_col, text_col), "sets")
-        new = stored(verified(pairs, sets, similarity), "links")
-        if links is None:
-            links, labels = new, components(new)
-        elif new.limit(1).count() == 0:
-            break
-        else:
-            links = links.unionAll(new)
-            labels = stored(_merged(labels, new), "labels")
-        level += 1
-        known = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        split = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
-        again = stored(known.join(split, "bucket", "left_semi").select("node", "label").distinct(), "again")
-        if again.limit(1).count() == 0:
-            break
-        signed_again = _meet_again(sets.join(again, "node", "left_semi"), bands, rows, level)
-        meeting = signed_again.join(again, "node")
-    links = links.distinct()
-    degree = reduce(DataFrame.unionAll, [links.select(F.col(c).alias("node")) for c in "ab"]).groupBy("node").agg(
-        F.count("*").alias("links")
+        F.min("doc_id").alias("name"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
+    pairs, large = _met(nodes)
+    pairs = stored(pairs, "pairs")
+    met = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(large.select("node")).distinct()
+    wanted = nodes.join(met, "node", "left_semi").select("name", "node")
+    sets = stored(node_sets(docs, wanted, width, id_col, text_col), "sets")
+    inside = stored(tiled(large, sets, similarity), "tiles")
+    # What shares a large bucket is counted there.
+    homes = large.groupBy("node").agg(F.collect_list("bucket").alias("homes"))
+    for c in "ab":
+        pairs = pairs.join(homes.select(F.col("node").alias(c), F.col("homes").alias(f"h{c}")), c, "left")
+    apart = pairs.where(~F.coalesce(F.arrays_overlap("ha", "hb"), F.lit(False))).select("a", "b")
+    links = stored(verified(apart, sets, similarity), "links")
+    labels = components(links.unionAll(inside.where("b is not null").select("a", "b").distinct()))
+    one = F.lit(1).cast("long").alias("links")
+    ends = links.select(F.col("a").alias("node"), one).unionAll(links.select("b", one))
+    degree = ends.unionAll(inside.where("b is null").select("a", "links")).groupBy("node").agg(F.sum("links").alias("links"))
     named = signed.groupBy("node").agg(F.min(F.col("doc_id").cast(kind)).alias("least"), F.count("*").alias("rows"))
     member = named.where("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = member.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
@@ -303,20 +356,6 @@ def near_groups(
     )
 
 
-def _meet_again(sets: DataFrame, bands: int, rows: int, level: int) -> DataFrame:
-    """(bucket, node) under another round's hash functions."""
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _grouped(_rows(batches)):
-            found = [np.asarray(s).view(np.uint64) for _, s in group]
-            yield pd.DataFrame({"node": [n for n, _ in group], "bands": list(band_hashes(found, bands, rows, level))})
-
-    signed = sets.mapInPandas(sign, "node binary, bands array<bigint>")
-    return signed.select("node", F.posexplode("bands").alias("band", "hash")).select(
-        F.xxhash64("band", "hash", F.lit(level)).alias("bucket"), "node"
-    )
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but one document of each class: the one with the smallest identifier, or
     all that repeat it. Rows without an identifier stay."""

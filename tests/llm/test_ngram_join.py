@@ -72,6 +72,28 @@ def test_one_large_group_is_one_class(spark):
     assert sum(r["links"] for r in got) < 400 * 2 * 2 * 24 * 3
 
 
+def by_sets(rows):
+    """{doc_id: number of other distinct sets that are similar to the document's}."""
+    sets = {i: corpus.shingles(t) for i, t, *_ in rows}
+    distinct = list(set(sets.values()))
+    return {i: sum(1 for y in distinct if y != x and 5 * len(x & y) >= 4 * len(x | y)) for i, x in sets.items()}
+
+
+def test_pairs_in_a_crowd_below_the_similarity(spark):
+    """Templates of a Jaccard below 0.8 share large buckets; the few pairs above it must all be found."""
+    rnd = random.Random(13)
+    head = corpus.sentence(rnd, 150)
+    rows = [(i, head + " " + corpus.sentence(rnd, 20), "en", "a") for i in range(250)]
+    for k in range(8):
+        rows.append((1000 + k, rows[20 * k][1].rsplit(" ", 3)[0] + " " + corpus.sentence(rnd, 3), "en", "a"))
+    sets = [corpus.shingles(t) for _, t, *_ in rows]
+    assert 0.75 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8
+    want, _ = brute(rows)
+    got = op.near_groups(corpus.rows_to_docs(spark, rows)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+    assert {r["doc_id"]: r["links"] for r in got} == by_sets(rows)
+
+
 def test_two_groups_in_shared_buckets_meet_again(spark, monkeypatch):
     """With tiny buckets limits every bucket is large, and later rounds must find what is left."""
     monkeypatch.setattr(op, "SMALL", 2)
