@@ -79,6 +79,18 @@ def by_sets(rows):
     return {i: sum(1 for y in distinct if y != x and 5 * len(x & y) >= 4 * len(x | y)) for i, x in sets.items()}
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_links_are_exact_in_large_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(op, "BLOCK_NODES", block)
+    rnd = random.Random(12)
+    base = corpus.sentence(rnd, 200)
+    rows = [(i, edited(rnd, base, rnd.randint(0, 4)), "en", "a") for i in range(150)]
+    other = corpus.sentence(rnd, 120)
+    rows += [(200 + i, edited(rnd, other, i), "en", "a") for i in range(6)]
+    got = {r["doc_id"]: r["links"] for r in op.near_groups(corpus.rows_to_docs(spark, rows)).collect()}
+    assert got == by_sets(rows)
+
+
 def test_pairs_in_a_crowd_below_the_similarity(spark):
     """Templates of a Jaccard below 0.8 share large buckets; the few pairs above it must all be found."""
     rnd = random.Random(13)
