@@ -1,20 +1,19 @@
 """Secret scan with a recursive decoding worklist.
 
-Three patterns are looked for in every text. Then the text's encoded runs (URL escapes, Unicode escapes,
-base64, and base64 of gzip or zlib data) are decoded into layers, each layer is scanned and unwrapped in
-turn, until no layer yields a new one. A layer seen before within the document is not entered again, so
-cycles end. What is found in a layer is reported with the span of the original text it was decoded from.
+Three patterns are looked for in every text. Then the text is decoded into layers: the whole text with its
+URL escapes or its Unicode escapes replaced in place (those that give no character stay), and what its base64
+runs hold, also over line ends, at any offset, and as gzip or zlib data. Each layer is scanned and unwrapped
+in turn, until none yields a new one. A layer seen before within the document is not entered again, so cycles
+end. What is found in a layer is reported with the span of the original text it was decoded from.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,14 +32,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
-URL_RUN = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 URL_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
-UNICODE_RUN = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
 UNICODE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer is unpacked up to this many bytes; what claims more is a decompression bomb and
-#: is not entered. It bounds a worker's memory.
-MAX_UNPACKED = 64 << 20
+#: Base64 of at least 16 characters in its first line, and its further lines.
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Every secret, and every code of one, has so many printable ASCII characters in a row.
+PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16}")
+PACKED = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78](?=.)", re.S)
+#: Compressed data is unpacked in pieces of so many bytes; each begins with the end of the one before. It
+#: bounds a worker's memory.
+MAX_UNPACKED, OVERLAP, STEP = 64 << 20, 1 << 20, 256
 
 
 class Layer(NamedTuple):
@@ -70,114 +72,145 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    bad = sum(1 for c in text if c < " " and c not in "\t\n\r" or c == "\x7f")
-    return text if text and not bad else None
-
-
-def _unpack(data: bytes) -> bytes | None:
-    """The content of gzip or zlib data, None if it is neither."""
-    if not (data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    z = zlib.decompressobj(47)
-    try:
-        out = z.decompress(data, MAX_UNPACKED)
-    except zlib.error:
-        return None
-    return out if z.eof else None
-
-
-def _escaped(layer: Layer, run: re.Match, escape: re.Pattern, url: bool) -> Layer | None:
-    """The run with its escapes decoded, every character mapped to where it came from."""
-    text, pieces, at, spans, n = run[0], [], [], [], 0
-    pos, m = 0, escape.search(run[0])
+def _unpacked(data: bytes | memoryview) -> Iterator[bytes]:
+    """Pieces of what the gzip (all members) or zlib data at the start of ``data`` holds, as far as it goes."""
+    kept = bytearray()
+    while data:
+        z, at = zlib.decompressobj(47), 0
+        try:
+            # In small steps, so that what lies before damage is not lost.
+            while not z.eof and (z.unconsumed_tail or at < len(data)):
+                more = z.unconsumed_tail
+                if not more:
+                    more, at = data[at : at + STEP], at + STEP
+                kept += z.decompress(more, MAX_UNPACKED - len(kept))
+                if len(kept) == MAX_UNPACKED:
+                    yield bytes(kept)
+                    del kept[:-OVERLAP]
+        except zlib.error:
+            break
+        data = z.unused_data + data[at:] if z.eof else b""
+        if data[:2] != b"\x1f\x8b":
+            break
+    if kept:
+        yield bytes(kept)
+
+
+def _escaped(layer: Layer, escape: re.Pattern, url: bool) -> Layer | None:
+    """The layer with its escapes decoded, every character mapped to where it came from; escapes that
+    give no character stay. None if all stay."""
+    text, pieces, at, spans, n, pos, changed = layer.text, [], [], [], 0, 0, False
+
+    def keep(start: int, end: int) -> None:
+        nonlocal n
+        if end > start:
+            for offset, entry in _own(layer, start, end):
+                at.append(n + offset)
+                spans.append(entry)
+            pieces.append(text[start:end])
+            n += end - start
+
+    m = escape.search(text)
     while m:
-        if m.start() > pos:
-            at.append(n)
-            spans.append((*_own(layer, run.start() + pos, run.start() + m.start()),))
-            pieces.append(text[pos : m.start()])
-            n += m.start() - pos
+        keep(pos, m.start())
         end, group = m.end(), [m]
         while (more := escape.match(text, end)) is not None:
             group.append(more)
             end = more.end()
+        chars: list[tuple[str, int]] = []  # (character or nothing, how many escapes)
         if url:
             raw = bytes(int(x[1], 16) for x in group)
-            try:
-                plain, widths = raw.decode("utf-8"), None
-            except UnicodeDecodeError:
-                return None
-            widths = [len(c.encode()) for c in plain]
+            chars = [("", 1) if "\udc80" <= c <= "\udcff" else (c, len(c.encode())) for c in raw.decode("utf-8", "surrogateescape")]
         else:
             raw16 = [int(x[1] or x[2], 16) for x in group]
-            chars: list[str] = []
-            widths = []
             k = 0
             while k < len(raw16):
                 pair = raw16[k : k + 2]
                 if len(pair) == 2 and 0xD800 <= pair[0] < 0xDC00 <= pair[1] < 0xE000:
-                    chars.append(chr(0x10000 + (pair[0] - 0xD800) * 1024 + pair[1] - 0xDC00))
-                    widths.append(2)
-                    k += 2
-                elif 0xD800 <= pair[0] < 0xE000:
-                    return None
+                    chars.append((chr(0x10000 + (pair[0] - 0xD800) * 1024 + pair[1] - 0xDC00), 2))
                 else:
-                    chars.append(chr(pair[0]))
-                    widths.append(1)
-                    k += 1
-            plain = "".join(chars)
+                    chars.append(("" if 0xD800 <= pair[0] < 0xE000 else chr(pair[0]), 1))
+                k += chars[-1][1]
         k = 0
-        for w in widths:
-            s, e = layer.origin(run.start() + group[k].start(), run.start() + group[k + w - 1].end())
+        for c, w in chars:
+            start, stop = group[k].start(), group[k + w - 1].end()
+            k += w
+            if not c:
+                keep(start, stop)
+                continue
+            s, e = layer.origin(start, stop)
             at.append(n)
             spans.append((s, e, 0))
+            pieces.append(c)
             n += 1
-            k += w
-        pieces.append(plain)
+            changed = True
         pos = end
         m = escape.search(text, pos)
-    if pos < len(text):
-        at.append(n)
-        spans.append((*_own(layer, run.start() + pos, run.end()),))
-        pieces.append(text[pos:])
+    if not changed:
+        return None
+    keep(pos, len(text))
     return Layer("".join(pieces), at, spans)
 
 
-def _own(layer: Layer, start: int, end: int) -> tuple[int, int, int]:
-    """Span entry of characters taken over from the layer unchanged."""
-    s, e = layer.origin(start, end)
-    return s, e, int(e - s == end - start)
+def _own(layer: Layer, start: int, end: int) -> Iterator[tuple[int, tuple[int, int, int]]]:
+    """(offset, span entry) of characters taken over from the layer unchanged."""
+    i = bisect_right(layer.at, start) - 1
+    while i < len(layer.at) and layer.at[i] < end:
+        s, e, step = layer.spans[i]
+        begin = max(start, layer.at[i])
+        stop = min(end, layer.at[i + 1]) if i + 1 < len(layer.at) else end
+        if step:
+            yield begin - start, (s + begin - layer.at[i], s + stop - layer.at[i], 1)
+        else:
+            yield begin - start, (s, e, 0)
+        i += 1
+
+
+def _base64(layer: Layer, run: re.Match) -> Iterator[Layer]:
+    """What a run holds, read from each of its first four characters on."""
+    lines = [(m.start() + run.start(), m[0].rstrip("=")) for m in BASE64_LINE.finditer(run[0])]
+    token = "".join(t for _, t in lines)
+    # Words are not base64: it mixes cases or has digits.
+    if token.isalpha() and token[1:].islower():
+        return
+    token = token.replace("-", "+").replace("_", "/")
+    edges = [0]
+    for _, t in lines:
+        edges.append(edges[-1] + len(t))
+    origins = [layer.origin(p, p + len(t)) for p, t in lines]
+    origins[-1] = (origins[-1][0], layer.origin(run.end() - 1, run.end())[1])
+    whole = (origins[0][0], origins[-1][1], 0)
+    for offset in range(4):
+        part = token[offset:]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        if PRINTABLE.search(data):
+            at, n, last = [], 0, 0
+            for edge in edges[:-1]:
+                byte = max(0, edge - offset) * 3 // 4
+                n, last = n + len(data[last:byte].decode("utf-8", "replace")), byte
+                at.append(n)
+            yield Layer(data.decode("utf-8", "replace"), at, [(*o, 0) for o in origins])
+        for m in PACKED.finditer(data):
+            head = data[m.start() : m.start() + 2]
+            if head == b"\x1f\x8b" or head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+                for piece in _unpacked(memoryview(data)[m.start() :]):
+                    if PRINTABLE.search(piece):
+                        yield Layer(piece.decode("utf-8", "replace"), [0], [whole])
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
     """The layers one decoding below."""
     text = layer.text
-    if "%" in text:
-        for run in URL_RUN.finditer(text):
-            if (inner := _escaped(layer, run, URL_ESCAPE, True)) is not None:
-                yield inner
-    if "\\" in text:
-        for run in UNICODE_RUN.finditer(text):
-            if (inner := _escaped(layer, run, UNICODE_ESCAPE, False)) is not None:
-                yield inner
     for run in BASE64_RUN.finditer(text):
-        token = run[0].rstrip("=")
-        # Words and hexadecimal numbers are not base64: it mixes cases or has digits.
-        if token.isalpha() and token[1:].islower() or len(token) % 4 == 1:
-            continue
-        token = token.replace("-", "+").replace("_", "/")
-        try:
-            data = base64.b64decode(token + "=" * (-len(token) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        packed = _unpack(data)
-        plain = _readable(data if packed is None else packed)
-        if plain is not None:
-            yield Layer(plain, [0], [(*layer.origin(run.start(), run.end()), 0)])
+        yield from _base64(layer, run)
+    last = [_escaped(layer, UNICODE_ESCAPE, False) if "\\" in text else None, _escaped(layer, URL_ESCAPE, True) if "%" in text else None]
+    # A long chain of layers is not held in memory.
+    del layer, text
+    run = None
+    while last:
+        if (inner := last.pop()) is not None:
+            yield inner
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -186,20 +219,22 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base = sorted(find(text))
     found = set(base)
     if len(text) >= 3:
-        whole = Layer(text, [0], [(0, len(text), 1)])
-        seen, todo = {_name(text)}, deque([whole])
+        # Depth first: a layer and its pieces are dropped once they are read.
+        seen, todo = {_name(text)}, [unwrap(Layer(text, [0], [(0, len(text), 1)]))]
         while todo:
-            layer = todo.popleft()
-            for inner in unwrap(layer):
-                # The same layer from another place is another finding, but is entered only once there.
-                name = _name(inner.text) + b"%d:%d" % (inner.spans[0][0], inner.spans[-1][1])
-                if name in seen or _name(inner.text) in seen and inner.text == layer.text:
-                    continue
-                seen.add(name)
-                for start, kind, end in find(inner.text):
-                    s, e = inner.origin(start, end)
-                    found.add((s, kind, e))
-                todo.append(inner)
+            inner = next(todo[-1], None)
+            if inner is None:
+                todo.pop()
+                continue
+            # The same layer from another place is another finding, but is entered only once there.
+            name = _name(inner.text) + b"%d:%d" % (inner.spans[0][0], inner.spans[-1][1])
+            if name in seen:
+                continue
+            seen.add(name)
+            for start, kind, end in find(inner.text):
+                s, e = inner.origin(start, end)
+                found.add((s, kind, e))
+            todo.append(unwrap(inner))
     return base, sorted(found)
 
 

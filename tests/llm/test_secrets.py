@@ -69,6 +69,45 @@ def test_exact_span_through_escapes():
     assert [text[s:e] for s, _, e in op.scan(text)[1]] == [r"password=hunter2hunter2"]
 
 
+def kinds(text):
+    base, spans = op.scan(text)
+    return [(k, text[s:e]) for s, k, e in spans if (s, k, e) not in base]
+
+
+def test_escapes_are_decoded_in_place():
+    assert kinds("a password%3D hunter2hunter2 b") == [(0, "password%3D hunter2hunter2")]
+    assert kinds(r"{\u0022password\u0022: \u0022hunter2hunter2\u0022}") == [(0, r"password\u0022: \u0022hunter2hunter2")]
+    assert kinds("password%3Dhunter2hunter2&x=%E9") == [(0, "password%3Dhunter2hunter2")]
+    assert kinds(r"\ud800 x=\u0041KIAABCD1234EFGH5678 \x41") == [(1, r"\u0041KIAABCD1234EFGH5678")]
+    assert kinds("é%25 password%253D hunter2hunter2 %41") == [(0, "password%253D hunter2hunter2")]
+
+
+def test_base64_with_other_bytes_lines_and_offsets():
+    for data in (b"\0\x01" + SECRET.encode() + b"\xff end", b"\xe9 " + KEY.encode() + b" \0\0"):
+        assert len(kinds(f"see {b64(data)} end")) == 1
+    text = "x" * 50 + " " + KEY + " " + "some more text here " * 4
+    for end in ("\n", "\r\n", "\n  "):
+        for n in (60, 64, 76):
+            code = end.join(b64(text)[i : i + n] for i in range(0, len(b64(text)), n))
+            assert [k for k, _ in kinds(f"body:\n{code}\n\nend")] == [1], (end, n)
+            packed = b64(gzip.compress(random.Random(4).randbytes(300) + text.encode()))
+            code = end.join(packed[i : i + n] for i in range(0, len(packed), n))
+            assert [k for k, _ in kinds(f"body:\n{code}\n\nend")] == [1], (end, n)
+    for prefix in ("a/", "id/", "key/", "path/", "v1/x/"):
+        assert [k for k, _ in kinds(f"see {prefix}{b64(text)} end")] == [1]
+        assert [k for k, _ in kinds(f"see {prefix}{b64(gzip.compress(text.encode()))} end")] == [1]
+
+
+def test_compressed_data_is_read_to_its_end(monkeypatch):
+    monkeypatch.setattr(op, "MAX_UNPACKED", 1 << 12)
+    monkeypatch.setattr(op, "OVERLAP", 1 << 8)
+    for n in (0, 4000, 4080, 4090, 9000, 50_000):
+        for pack in (gzip.compress, zlib.compress):
+            assert [k for k, _ in kinds(b64(pack(b"\0" * n + KEY.encode() + b" ")))] == [1]
+    assert [k for k, _ in kinds(b64(gzip.compress(b"first ") + gzip.compress(KEY.encode())))] == [1]
+    assert [k for k, _ in kinds(b64(gzip.compress(KEY.encode() + b" " + random.Random(3).randbytes(3000))[:-900]))] == [1]
+
+
 def test_deep_nesting_and_bombs_end():
     text = KEY + " " + "x" * 30
     for _ in range(12):
