@@ -1,6 +1,7 @@
 """The registered queries of this subpackage. Importing the operators fills the registry."""
 
 from barline.llm import (  # noqa: F401
+    conversations,
     decontamination,
     exact_dedup,
     language,
