@@ -6,6 +6,7 @@ from barline.llm import (  # noqa: F401
     exact_dedup,
     language,
     language_model,
+    lexical_search,
     mixing,
     ngram_join,
     page_text,
