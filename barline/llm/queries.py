@@ -3,6 +3,7 @@
 from barline.llm import (  # noqa: F401
     conversations,
     decontamination,
+    embedding_forest,
     exact_dedup,
     language,
     language_model,
