@@ -9,7 +9,7 @@ copies shrinks to one row per partition before anything is exchanged, so its siz
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.common import power_of_two, query, shuffle_partitions, stored, table
@@ -33,12 +33,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _merge(runs: DataFrame, parts: int, largest: bool) -> DataFrame:
     # The struct buffer keeps Spark on a sort aggregate, which merges rows in digest order and spills.
-    some = F.when(F.col("keep").isNotNull(), F.struct(F.col("keep")))
-    best = (F.max if largest else F.min)(some).getField("keep")
     return (
         runs.repartition(parts, "part")
         .groupBy("part", *KEY)
-        .agg(best.alias("keep"), F.sum("n").alias("n"))
+        .agg((F.max if largest else F.min)("keep").alias("keep"), F.sum("n").alias("n"))
     )
 
 
@@ -57,42 +55,48 @@ def exact_groups(
     parts = 1 << bits
     rows = stored(
         digests(docs, id_col, text_col).withColumn(
-            "part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)).cast("int")
-        ),
+            "row", F.monotonically_increasing_id()
+        ).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")),
         "digests",
     )
-    first = rows.select("part", *KEY, F.col("doc_id").alias("keep"), F.lit(1).cast("long").alias("n"))
+    # A missing identifier comes last in either direction; the row's number settles repeated ones.
+    last = F.col("doc_id").isNotNull() if largest else F.col("doc_id").isNull()
+    keep = F.struct(last.alias("last"), "doc_id", "row")
+    first = rows.select("part", *KEY, keep.alias("keep"), F.lit(1).cast("long").alias("n"))
     runs = first = _merge(first, parts, largest)
     owner = F.pmod(F.col("check"), F.lit(parts)).cast("int")
     for low in range(0, bits, ROUND_BITS):
         digits = ((1 << min(bits, low + ROUND_BITS)) - 1) & ~((1 << low) - 1)
         to = F.col("part").bitwiseAND(parts - 1 - digits).bitwiseOR(owner.bitwiseAND(digits))
         runs = _merge(runs.withColumn("part", to), parts, largest)
-    finished = runs.select(*KEY, F.col("keep").alias("keep_id"), F.col("n").alias("group_size"))
+    finished = runs.select(*KEY, "keep", F.col("n").alias("group_size"))
     # A digest has a row per partition at most in the first runs, so a large group is split over all.
     local = first.select("part", *KEY).join(finished, KEY)
-    again = F.row_number().over(Window.partitionBy("part", *KEY, "doc_id").orderBy("keep_id"))
-    return (
-        rows.join(local, ["part", *KEY])
-        .withColumn("copy", again)
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
-        )
+    return rows.join(local, ["part", *KEY]).select(
+        "doc_id",
+        F.col("keep.doc_id").alias("keep_id"),
+        "group_size",
+        (F.col("row") == F.col("keep.row")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
+    """The rows of ``docs`` that stay, with all their columns: of equal texts, null and empty ones alike, the row
+    with the largest identifier, a missing one only if there is no other; of rows that repeat both, any one. An empty
+    table stays empty.
+    """
     groups = stored(exact_groups(docs, id_col, text_col), "exact-groups")
     kept = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     sha = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"), 256)
     out = docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (sha == kept["__sha"]), "left_semi")
     repeated = groups.where("not kept and doc_id <=> keep_id").limit(1).count()
-    return out.dropDuplicates([id_col, text_col]) if repeated else out
+    if not repeated:
+        return out
+    key = "sha"
+    while key in out.columns:
+        key += "_"
+    return out.withColumn(key, sha).dropDuplicates([id_col, key]).drop(key)
 
 
 @query(

@@ -230,7 +230,9 @@ def ranked(
             .withColumn("length", F.sqrt(square))
         )
         by_length = stored(
-            vectors.repartitionByRange(F.col("length").desc()).sortWithinPartitions(F.col("length").desc()), "by-length"
+            # Copies are equally long: the identifier splits them.
+            vectors.repartitionByRange(F.col("length").desc(), F.xxhash64("doc_id")).sortWithinPartitions(F.col("length").desc()),
+            "by-length",
         )
         cut = by_length.agg(F.percentile_approx("length", 1 - LEAD, 1000)).first()[0]
         ahead = F.col("length") >= cut

@@ -19,7 +19,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.common import query, stored, table, words
@@ -96,7 +96,7 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _grouped(rows: Iterator[tuple], size=lambda r: len(r[1])) -> Iterator[list[tuple]]:
+def _grouped(rows: Iterator[tuple], size=lambda r: len(r[-1])) -> Iterator[list[tuple]]:
     group, total = [], 0
     for row in rows:
         group.append(row)
@@ -113,16 +113,26 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         yield from batch.itertuples(index=False, name=None)
 
 
+def text_mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def row_name(doc_id: Column, mark: Column) -> Column:
+    """Names a row by its identifier, which may be missing or repeat, and its text."""
+    return F.concat_ws(":", mark.cast("string"), doc_id.cast("string"))
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (null without words), n (shingles), bands."""
+    """doc_id, mark (a hash of the text), node (null without words), n (shingles), bands."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _grouped(_rows(batches)):
-            sets = [shingle_set(np.asarray(h), width) for _, h in group]
+            sets = [shingle_set(np.asarray(r[2]), width) for r in group]
             full = [i for i, s in enumerate(sets) if len(s)]
             hashes = iter(band_hashes([sets[i] for i in full], bands, rows) if full else ())
             yield pd.DataFrame({
                 "doc_id": [r[0] for r in group],
+                "mark": [r[1] for r in group],
                 "node": [set_key(s) if len(s) else None for s in sets],
                 "n": [len(s) for s in sets],
                 "bands": [next(hashes) if len(s) else None for s in sets],
@@ -130,13 +140,14 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int, id_col: str,
 
     hashed = docs.select(
         F.col(id_col).cast("string").alias("doc_id"),
+        text_mark(F.col(text_col)).alias("mark"),
         F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("h"),
     )
-    return hashed.mapInPandas(sign, "doc_id string, node binary, n int, bands array<bigint>")
+    return hashed.mapInPandas(sign, "doc_id string, mark long, node binary, n int, bands array<bigint>")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """node, s (its shingles) of the nodes named by (name, node): name is a document that has the set."""
+    """node, s (its shingles) of the nodes named by (name, node): name is that of a row that has the set."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _grouped(_rows(batches)):
@@ -147,12 +158,10 @@ def node_sets(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_c
                 "s": [s.view(np.int64) for s in found],
             })
 
-    hashed = docs.join(
-        nodes.select(F.col("name").alias("__name"), F.col("node").alias("__node")),
-        F.col(id_col).cast("string") == F.col("__name"),
-    ).select(F.col("__node").alias("node"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("h"))
+    named = docs.select(row_name(F.col(id_col), text_mark(F.col(text_col))).alias("name"), F.col(text_col).alias("text"))
+    hashed = named.join(nodes, "name").select("node", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     made = hashed.mapInPandas(sets, "node binary, key binary, s array<bigint>")
-    # An identifier may name several texts; only the one whose set it is counts.
+    # Rows may share a name by a collision of hashes; only the one whose set it is counts.
     return made.where("node = key").dropDuplicates(["node"]).select("node", "s")
 
 
@@ -301,29 +310,13 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
 
 
-def near_groups(
-    docs: DataFrame,
-    similarity: float = SIMILARITY,
-    recall: float = RECALL,
-    width: int = WIDTH,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (the smallest identifier of the class),
-    class_size (rows), links (verified links of the document's set to other sets), node.
-
-    Words are lower-case; a text of fewer than ``width`` words, but not none, is one shingle. Texts
-    without words and null texts are similar to nothing: each is a class of its own. Documents with
-    equal sets are one class without links among them. Links are all of those that the recall finds,
-    in groups of any size. A row without an identifier takes part as a text, and its
-    class is named by the others; class_id is null if there are none. An empty table gives an empty
-    result; other columns are not looked at.
-    """
+def classes(docs: DataFrame, similarity: float, recall: float, width: int, id_col: str, text_col: str) -> DataFrame:
+    """What ``near_groups`` returns, with mark (a hash of the text) and label (of the class, null without words)."""
     kind = docs.schema[id_col].dataType
     bands, rows = bands_for(similarity, recall)
     signed = stored(signatures(docs, bands, rows, width, id_col, text_col), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("name"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        F.min(row_name(F.col("doc_id"), F.col("mark"))).alias("name"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     pairs, large = _met(nodes)
     pairs = stored(pairs, "pairs")
@@ -345,27 +338,61 @@ def near_groups(
     member = named.where("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = member.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
     facts = member.select("node", "label").join(sizes, "label").join(degree, "node", "left").select(
-        "node", "class_id", "class_size", "links"
+        "node", "label", "class_id", "class_size", "links"
     )
-    return signed.select(F.col("doc_id").cast(kind).alias("doc_id"), "node").join(facts, "node", "left").select(
+    return signed.select(F.col("doc_id").cast(kind).alias("doc_id"), "mark", "node").join(facts, "node", "left").select(
         "doc_id",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce("links", F.lit(0)).cast("long").alias("links"),
-        "node",
-    )
+        "node", "mark", "label",
+    )
+
+
+def near_groups(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    recall: float = RECALL,
+    width: int = WIDTH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (the smallest identifier of the class),
+    class_size (rows), links (verified links of the document's set to other sets), node.
+
+    Words are lower-case; a text of fewer than ``width`` words, but not none, is one shingle. Texts
+    without words and null texts are similar to nothing: each is a class of its own. Documents with
+    equal sets are one class without links among them. Links are all of those that the recall finds,
+    in groups of any size. A row is a document of its own, whether its identifier is missing or repeats; rows
+    without one take part as texts, and their class is named by the others; class_id is null if there are none.
+    An empty table gives an empty result; other columns are not looked at.
+    """
+    return classes(docs, similarity, recall, width, id_col, text_col).drop("mark", "label")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but one document of each class: the one with the smallest identifier, or
-    all that repeat it. Rows without an identifier stay."""
-    gone = (
-        near_groups(docs, id_col=id_col, text_col=text_col)
-        .where("doc_id != class_id")
-        .select(F.col("doc_id").alias("__gone"))
-        .distinct()
+    """The rows of ``docs``, with all their columns, but one row of each class of near duplicates.
+
+    The row with the smallest identifier stays, a missing one only if the class has no other; of rows that
+    repeat it, the one with the least hash of its text, and of rows that repeat both, any one. Texts without words
+    and null texts stay, and so does an unlike text whose identifier another row repeats. An empty table
+    stays empty.
+    """
+    rows = stored(classes(docs, SIMILARITY, RECALL, WIDTH, id_col, text_col).where("label is not null"), "classes")
+    rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
+    best = rows.groupBy("label").agg(F.min(rank).alias("best"))
+    judged = rows.select("label", rank.alias("rank")).join(best, "label")
+    gone = judged.where("rank != best").select("rank.doc_id", "rank.mark").distinct()
+    mark = text_mark(docs[text_col])
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]) & (mark == gone["mark"]), "left_anti")
+    again = judged.where("rank = best").groupBy("rank").count().where("count > 1").select("rank.doc_id", "rank.mark")
+    again = stored(again, "repeated")
+    if again.limit(1).count() == 0:
+        return out
+    same = docs[id_col].eqNullSafe(again["doc_id"]) & (mark == again["mark"])
+    return out.join(again, same, "left_anti").unionAll(
+        out.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
     )
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
 @query("op5_ngram_jaccard_join")

@@ -49,3 +49,19 @@ def test_stage_keeps_one_row_per_text(dirty):
     texts = Counter(r["text"] or "" for r in out.collect())
     assert set(texts) == {t or "" for _, t, *_ in corpus.dirty_rows()}
     assert max(texts.values()) == 1
+
+
+def test_null_beside_empty_and_missing_identifiers(spark):
+    rows = [(5, None, "en", "a"), (5, "", "en", "b"), (None, "t", "en", "a"), (None, "t", "en", "b"), (6, "u", "en", "a"), (None, "u", "en", "a")]
+    docs = corpus.rows_to_docs(spark, rows).withColumnRenamed("part", "sha").withColumnRenamed("w", "row")
+    assert corpus.ordered(op.exact_groups(docs), *COLUMNS) == brute(rows)
+    out = op.drop_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in out.where("doc_id is not null").collect()) == [(5, ""), (6, "u")]
+    assert out.where("doc_id is null").count() == 1
+
+
+def test_rows_without_an_identifier_are_split(spark):
+    df = spark.range(3000).selectExpr("cast(null as bigint) doc_id", "'same' text", "'en' lang", "'a' source")
+    groups = op.exact_groups(df.repartition(7))
+    assert groups.where("kept").count() == 1 and groups.where("group_size = 3000 and keep_id is null").count() == 3000

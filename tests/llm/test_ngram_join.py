@@ -136,6 +136,56 @@ def test_empty_table_and_stage(dirty, empty):
     assert not ids & {2, 9, 11}
 
 
+def classes_of_rows(rows):
+    """[the class of each row], by all pairs of rows."""
+    sets, up = [corpus.shingles(t) for _, t, *_ in rows], list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            up[root(i)] = root(j)
+    return [root(i) for i in range(len(rows))]
+
+
+def test_repeated_and_missing_identifiers(spark):
+    rnd = random.Random(21)
+    base, other, alone, third = (corpus.sentence(rnd, n) for n in (120, 100, 90, 80))
+    rows = [
+        (1, base, "en", "a"), (2, base + " x1", "en", "a"), (2, alone, "en", "a"),  # alone is like nothing
+        (None, other, "en", "a"), (None, other + " x1", "en", "b"),  # no identifier at all in the class
+        (3, third, "en", "a"), (3, third, "en", "c"), (3, third + " x2", "en", "a"), (None, third + " x3", "en", "a"),
+        (4, "", "en", "a"), (4, None, "en", "a"), (4, "", "en", "a"), (None, "...", "en", "a"),
+    ]
+    docs = corpus.rows_to_docs(spark, rows)
+    got = op.near_groups(docs).select("doc_id", "class_id", "class_size", "links").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([
+        (1, 1, 2, 1), (2, 1, 2, 1), (2, 2, 1, 0), (None, None, 2, 1), (None, None, 2, 1),
+        (3, 3, 4, 2), (3, 3, 4, 2), (3, 3, 4, 2), (None, 3, 4, 2),
+        (4, 4, 1, 0), (4, 4, 1, 0), (4, 4, 1, 0), (None, None, 1, 0),
+    ], key=repr)
+    kept = [(r["doc_id"], r["text"]) for r in op.keep_one(docs).collect()]
+    groups = {}
+    for (i, t, *_), c in zip(rows, classes_of_rows(rows)):
+        groups.setdefault(c if corpus.shingles(t) else len(groups) + 1000, []).append((i, t))
+    assert len(kept) == len(groups)
+    for group in groups.values():
+        least = min((i is None, i or 0) for i, _ in group)
+        assert sum(kept.count(m) for m in set(group) if (m[0] is None, m[0] or 0) == least) >= 1
+    assert (2, alone) in kept and (1, base) in kept and (2, base + " x1") not in kept
+
+
+def test_clashing_column_names(spark):
+    docs = corpus.rows_to_docs(spark, corpus.dirty_rows())
+    for name in ("name", "mark", "label", "rank", "best", "sha", "__name", "__node", "__gone", "count"):
+        docs = docs.withColumn(name, docs["n_chars"])
+    out = op.keep_one(docs)
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} >= {1, 4, 5, 6, 7, 8, 10, None}
+
+
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 6])
 def test_shingle_sets(n):
     import numpy as np
