@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from barline.catalog.registry import query, tidy
 from barline.catalog.sql import RETURNS, SECTOR_INDEX, cols, with_
 from barline.operators import indicators, risk
-from barline.plans.optimize import dense_returns, optimize
+from barline.plans.optimize import dense_returns, optimize, search
+from barline.session import written
 from barline.sources import derived
 from barline.sources import tables as scans
 
@@ -113,8 +116,10 @@ def portfolio_stats(spark, sf):
     FROM daily, q WHERE ret <= q + 1e-12""",
 )
 def portfolio_tail_risk(spark, sf):
-    returns = _returns(spark, sf)
-    return tidy(risk.tail_risk(risk.portfolio_returns(returns, _equal(returns))))
+    """The return table and the portfolio's days are written, so the plan scans days only."""
+    returns = written(_returns(spark, sf).select("symbol", "rn", "ret"), "returns")
+    daily = written(risk.portfolio_returns(returns, _equal(returns), order="rn"), "portfolio-days")
+    return tidy(risk.tail_risk(daily))
 
 
 COUNT = 8
@@ -145,7 +150,8 @@ cs AS MATERIALIZED (
 
 
 def _scored(spark, sf):
-    return risk.score_candidates(_returns(spark, sf), COUNT, order="rn", draw=_number_draw)
+    returns = written(_returns(spark, sf).select("symbol", "rn", "ret"), "returns")
+    return risk.score_candidates(returns, COUNT, order="rn", draw=_number_draw)
 
 
 @query(
@@ -193,6 +199,11 @@ def max_sharpe_weights(spark, sf):
     return tidy(weights, "symbol", "weight", digits=6)
 
 
+#: Before all bars.
+FIRST = date(1900, 1, 1)
+#: Four years and eight months of bars: the default history ends here.
+AS_OF = date(1998, 8, 1)
+
 # --- the optimizer as a whole ----------------------------------------------------------------
 
 _INVERSE = """
@@ -202,7 +213,7 @@ w AS MATERIALIZED (SELECT symbol, 1 / v / (SELECT sum(1 / v) FROM v WHERE v > 0)
 
 @query("optimize_hrp", with_(RETURNS, _INVERSE) + f" SELECT symbol, {cols(6, weight='w')} FROM w")
 def optimize_hrp(spark, sf):
-    weights, _ = optimize(derived.bars(spark, sf), None, "hrp")
+    weights, _ = optimize(derived.bars(spark, sf), None, "hrp", FIRST)
     return tidy(weights, "symbol", "weight", digits=6)
 
 
@@ -215,7 +226,7 @@ def optimize_hrp(spark, sf):
     SELECT {cols(expected_return="e", volatility="v", sharpe_ratio="(e - 0.02) / v")} FROM e, s""",
 )
 def optimize_hrp_figures(spark, sf):
-    return tidy(optimize(derived.bars(spark, sf), None, "hrp", risk_free=0.02)[1])
+    return tidy(optimize(derived.bars(spark, sf), None, "hrp", FIRST, risk_free=0.02)[1])
 
 
 def _cleaned(choice: str) -> str:
@@ -229,11 +240,71 @@ def _cleaned(choice: str) -> str:
 @query("optimize_ef", _cleaned("e / v DESC"))
 def optimize_ef(spark, sf):
     """The draw is one that SQL can repeat; the search is the operator's own."""
-    weights, _ = optimize(derived.bars(spark, sf), None, "ef", count=COUNT, draw=_number_draw)
+    weights, _ = search(derived.bars(spark, sf), None, "ef", count=COUNT, draw=_number_draw)
     return tidy(weights, "symbol", "weight", digits=5)
 
 
 @query("optimize_cvar", _cleaned("cvar + 0.1 * w2"))
 def optimize_cvar(spark, sf):
-    weights, _ = optimize(derived.bars(spark, sf), None, "cvar", count=COUNT, draw=_number_draw)
+    weights, _ = search(derived.bars(spark, sf), None, "cvar", count=COUNT, draw=_number_draw)
+    return tidy(weights, "symbol", "weight", digits=5)
+
+
+# Best weights: min y'Sy/2 - m'y over y >= 0 by projected gradient steps, each name's scaled by its variance.
+_STEPS = 1500
+_BEST = f"""
+c AS MATERIALIZED (SELECT x.symbol AS a, y.symbol AS b, covar_samp(x.ret, y.ret) * 252 AS c
+  FROM returns x JOIN returns y USING (rn) GROUP BY ALL),
+names AS (SELECT a AS symbol FROM c WHERE a = b AND c > 0),
+mat AS (SELECT a, list(c ORDER BY b) AS s FROM c WHERE b IN (FROM names) AND a IN (FROM names) GROUP BY a),
+z AS MATERIALIZED (SELECT list({{'m': mu.m - RF, 'd': v.c, 's': mat.s}} ORDER BY mat.a) AS z
+  FROM mat JOIN mu ON mu.symbol = mat.a JOIN c v ON v.a = mat.a AND v.b = mat.a),
+it AS (
+  SELECT 0 AS k, list_transform(z, lambda x: greatest(0, x.m / x.d)) AS y, z FROM z
+  UNION ALL
+  SELECT k + 1, list_transform(list_zip(y, z), lambda p: greatest(0, p[1] - 0.4 * (list_dot_product(p[2].s, y) - p[2].m) / p[2].d)), z
+  FROM it WHERE k < {_STEPS}),
+last AS MATERIALIZED (SELECT list_transform(y, lambda v: v / list_sum(y)) AS w, z FROM it WHERE k = {_STEPS}),
+o AS MATERIALIZED (SELECT w, z, list_sum(list_transform(list_zip(w, z), lambda p: p[1] * p[2].m)) AS e,
+  sqrt(list_sum(list_transform(list_zip(w, z), lambda p: p[1] * list_dot_product(p[2].s, w)))) AS v FROM last)"""
+
+
+def _best(select: str, risk_free: float) -> str:
+    return with_(RETURNS, _MU, _BEST.replace("RF", repr(risk_free)), recursive=True) + select
+
+
+@query(
+    "optimal_ef",
+    _best(
+        f""", u AS (SELECT unnest(w) AS w, unnest(list_transform(range(len(w)), lambda i: i + 1)) AS i FROM o),
+    n AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS i FROM names)
+    SELECT symbol, {cols(5, weight="round(w, 5)")} FROM u JOIN n USING (i) WHERE w >= 1e-4""",
+        0.02,
+    ),
+)
+def optimal_ef(spark, sf):
+    """The long-only weights of the highest Sharpe ratio."""
+    weights, _ = optimize(derived.bars(spark, sf), None, "ef", FIRST, risk_free=0.02, tolerance=1e-9)
+    return tidy(weights, "symbol", "weight", digits=5)
+
+
+@query(
+    "optimal_ef_figures",
+    _best(
+        f""", g AS (SELECT list_max(list_transform(z, lambda x: x.m - e / v / v * list_dot_product(x.s, w))) AS gap FROM o)
+    SELECT {cols(expected_return="e + 0.02", volatility="v", sharpe_ratio="e / v")}, gap <= 1e-6 AS within FROM o, g""",
+        0.02,
+    ),
+)
+def optimal_ef_figures(spark, sf):
+    """What the weights yield, and whether the duality gap is within its tolerance."""
+    _, figures = optimize(derived.bars(spark, sf), None, "ef", FIRST, risk_free=0.02, tolerance=1e-9)
+    figures = figures.withColumn("within", F.col("gap") <= 1e-6)
+    return tidy(figures, "expected_return", "volatility", "sharpe_ratio", "within")
+
+
+@query("optimal_cvar")
+def optimal_cvar(spark, sf):
+    """The weights of the least penalised CVaR over the default history; tests compute their gap anew."""
+    weights, _ = optimize(derived.bars(spark, sf), None, "cvar", as_of=AS_OF, tolerance=2e-3)
     return tidy(weights, "symbol", "weight", digits=5)

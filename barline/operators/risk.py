@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barline.session import written
+
 YEAR = 252.0
 
 
@@ -137,10 +139,15 @@ def portfolio_stats(
 
 
 def tail_risk(daily: DataFrame, beta: float = 0.95) -> DataFrame:
-    """Historical value at risk and the mean loss beyond it, losses positive."""
-    cut = daily.select(F.percentile("ret", F.lit(1.0 - beta))).scalar()
-    return daily.where(F.col("ret") <= cut).agg(
-        (-F.max(cut)).alias("var"), (-F.avg("ret")).alias("cvar"), F.count("*").alias("days")
+    """Historical value at risk and the mean loss beyond it, losses positive. ``daily`` has a row per
+    day, so its returns, bounded by the calendar, fit one array."""
+    row = daily.agg(F.percentile("ret", F.lit(1.0 - beta)).alias("cut"), F.collect_list("ret").alias("all"))
+    tail = row.select("cut", F.filter("all", lambda x: x <= F.col("cut")).alias("tail"))
+    total = F.aggregate("tail", F.lit(0.0), lambda s, x: s + x)
+    return tail.select(
+        (-F.col("cut")).alias("var"),
+        F.when(F.size("tail") > 0, -total / F.size("tail")).alias("cvar"),
+        F.size("tail").cast("long").alias("days"),
     )
 
 
@@ -173,14 +180,15 @@ def score_candidates(
     draw = draw or _draw
     w = [draw(by, c, seed) for c in range(count)]
     per_key = mean_return(returns, by)
+    # one row of three numbers per candidate: bounded by ``count``
     sums = per_key.agg(
         F.array(*[F.sum(x) for x in w]).alias("total"),
         F.array(*[F.sum(x * F.col("mean_return")) for x in w]).alias("gain"),
         F.array(*[F.sum(x * x) for x in w]).alias("squares"),
-    )
-    total, gain, squares = (sums.select(c).scalar() for c in ("total", "gain", "squares"))
+    ).first()
+    total, gain, squares = (F.lit([float("nan") if x is None else x for x in sums[c]]) for c in ("total", "gain", "squares"))
     daily = returns.groupBy(order).agg(F.array(*[F.sum(x * F.col("ret")) for x in w]).alias("v"))
-    long = daily.select(F.posexplode("v").alias("candidate", "raw")).select(
+    long = written(daily, "candidate-days").select(F.posexplode("v").alias("candidate", "raw")).select(
         "candidate", (F.col("raw") / F.element_at(total, F.col("candidate") + 1)).alias("ret")
     )
     cut = long.groupBy("candidate").agg(

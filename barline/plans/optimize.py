@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.operators import grid, indicators, risk
+from barline.operators import convex, grid, indicators, risk
+from barline.session import written
 from barline.sources import tables
 
 
@@ -17,6 +18,10 @@ def dense_returns(bars: DataFrame, filled: bool = False) -> DataFrame:
     return indicators.simple_return(dense, order="rn").where(F.col("ret").isNotNull())
 
 
+#: Days of history when no start is given.
+HISTORY = 5 * 365
+
+
 def optimize(
     bars: DataFrame,
     tickers,
@@ -24,20 +29,52 @@ def optimize(
     start: date | None = None,
     end: date | None = None,
     risk_free: float = 0.0,
-    count: int = 64,
-    seed: int = 7,
-    draw=None,
+    as_of: date | None = None,
+    tolerance: float = 1e-6,
 ) -> tuple[DataFrame, DataFrame]:
     """(weights, figures) for method ef, cla, cvar or hrp.
 
-    ef, cla and cvar pick the best of ``count`` random weight vectors; hrp gives the
-    inverse-variance allocation with figures from the arithmetic mean return. Both are approximations
-    of the exact solvers. Only ef and cvar drop tiny weights and round the others.
+    ef and cla: the highest Sharpe ratio; cvar: the least penalised CVaR, reported as the volatility with a
+    Sharpe ratio of 0. Both are searched until the duality gap, a column of the figures, is at most
+    ``tolerance`` (see ``operators.convex``). hrp gives the inverse-variance allocation, an approximation, with
+    figures from the arithmetic mean return. Only ef and cvar drop tiny weights and round the others. Without
+    a start the last five years before ``as_of`` (today) count.
     """
-    returns = dense_returns(tables.filter_bars(bars, tickers, start, end))
+    if method not in ("ef", "cla", "cvar", "hrp"):
+        raise ValueError(f"unknown method: {method}")
+    if start is None:
+        start = (as_of or date.today()) - timedelta(days=HISTORY)
+    returns = convex.written_returns(dense_returns(tables.filter_bars(bars, tickers, start, end)))
     if method == "hrp":
-        weights = risk.inverse_variance(returns).select("symbol", "weight")
+        weights = written(risk.inverse_variance(returns).select("symbol", "weight"), "weights")
         return weights, risk.portfolio_stats(returns, weights, risk_free, compounded=False)
+    if method == "cvar":
+        found = convex.min_cvar(returns, tolerance=tolerance)
+    else:
+        found = convex.max_sharpe(returns, risk_free, tolerance)
+    weights = found.table(returns)
+    stats = risk.portfolio_stats(returns, weights, risk_free)
+    if method == "cvar":
+        cvar = risk.tail_risk(written(risk.portfolio_returns(returns, weights), "portfolio-days")).select("cvar").scalar()
+        stats = stats.withColumns({"volatility": cvar, "sharpe_ratio": F.lit(0.0)})
+    stats = stats.withColumns({"gap": F.lit(found.gap), "steps": F.lit(found.steps)})
+    return weights if method == "cla" else risk.clean_weights(weights), stats
+
+
+def search(
+    bars: DataFrame,
+    tickers,
+    method: str,
+    start: date | None = None,
+    end: date | None = None,
+    risk_free: float = 0.0,
+    count: int = 64,
+    seed: int = 7,
+    draw=None,
+) -> tuple[DataFrame, DataFrame]:
+    """(weights, figures) of the best of ``count`` random weight vectors for method ef, cla or cvar: a quick
+    look without a bound on what it misses. ``optimize`` finds the best weights."""
+    returns = convex.written_returns(dense_returns(tables.filter_bars(bars, tickers, start, end)))
     scored = risk.score_candidates(returns, count, seed, risk_free=risk_free, draw=draw)
     best = risk.best_candidate(scored, method)
     weights = risk.candidate_weights(returns, best, count, seed, draw=draw)

@@ -113,3 +113,14 @@ def test_a_hot_lot_that_is_covered_needs_no_fold(spark):
     assert done.where("status = 'accepted'").count() == 100_000
     text = plan(done)
     assert re.search(r"MapInPandas", text) and "Window" not in text
+
+
+def test_return_table_is_written_once_and_scanned_twice_at_most(spark):
+    from barline.catalog import QUERIES
+
+    for name in ("portfolio_tail_risk", "candidate_scores", "optimal_ef_figures", "optimize_hrp_figures"):
+        # The smallest set has no symbol with a mean above the rate.
+        text = plan(QUERIES[name](spark, SF.replace("0.001", "0.01")))
+        assert "l_extendedprice" not in text, name
+        assert len(re.findall(r"FileScan parquet \[[^\]]*ret#", text)) <= 2, name
+        assert count(text, "SinglePartition") <= 3, name

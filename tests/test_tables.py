@@ -232,18 +232,21 @@ def test_percent_rank_with_ties_and_a_hot_value(spark):
 def test_weights_sum_to_one_and_clean(spark):
     data = bars(spark, {f"S{k}": ohlcv(60, k) for k in range(6)})
     returns = optimize.dense_returns(data)
-    for method in ("ef", "cvar", "hrp"):
-        weights, figures = optimize.optimize(data, None, method, count=8)
+    made = [optimize.search(data, None, method, count=8) for method in ("ef", "cvar")]
+    made += [optimize.optimize(data, None, method, DAY0) for method in ("ef", "cvar", "hrp")]
+    for weights, figures in made:
         total = weights.agg(F.sum("weight")).collect()[0][0]
         assert abs(total - 1.0) < 1e-3 and figures.count() == 1
     with pytest.raises(ValueError):
-        optimize.optimize(data, None, "nope", count=2)
+        optimize.optimize(data, None, "nope")
+    with pytest.raises(ValueError):
+        optimize.search(data, None, "nope", count=2)
 
 
 def test_hrp_keeps_tiny_weights_and_reports_the_arithmetic_mean(spark):
     data = bars(spark, {f"S{k}": ohlcv(60, k) for k in range(4)})
     returns = optimize.dense_returns(data)
-    weights, figures = optimize.optimize(data, None, "hrp")
+    weights, figures = optimize.optimize(data, None, "hrp", DAY0)
     w = {r.symbol: r.weight for r in weights.collect()}
     mean = {r.symbol: r.m for r in returns.groupBy("symbol").agg(F.avg("ret").alias("m")).collect()}
     assert abs(figures.collect()[0].expected_return - 252 * sum(w[s] * mean[s] for s in w)) < 1e-9
