@@ -23,7 +23,8 @@ from barline.catalog.sql import (
 from barline.operators import indicators as I
 from barline.operators import risk, signals, trades
 from barline.plans import backtest, features, scoring
-from barline.session import cut_lineage
+from barline.plans import trees as model_trees
+from barline.session import cut_lineage, written
 from barline.sources import derived, tables
 
 AS_OF = date(2001, 11, 5)
@@ -476,8 +477,8 @@ def trades_with_features(spark, sf):
 @query(
     "standardized_features",
     with_(B, _FEATURE_SRC)
-    + f""", g AS (SELECT * FROM f WHERE fx IS NOT NULL AND fy IS NOT NULL),
-    s AS (SELECT avg(fx) AS mx, stddev_pop(fx) AS sx, avg(fy) AS my, stddev_pop(fy) AS sy FROM g)
+    + f""", g AS MATERIALIZED (SELECT * FROM f WHERE fx IS NOT NULL AND fy IS NOT NULL),
+    s AS MATERIALIZED (SELECT avg(fx) AS mx, stddev_pop(fx) AS sx, avg(fy) AS my, stddev_pop(fy) AS sy FROM g)
     SELECT symbol, date, {cols(fx="(fx - mx) / sx", fy="(fy - my) / sy")} FROM g, s""",
 )
 def standardized_features(spark, sf):
@@ -525,3 +526,131 @@ def scored_trades(spark, sf):
     models = scoring.train(joined)
     scored = scoring.score(joined, models)
     return tidy(scored, "symbol", "date", "entry_idx", "Y", *[f"y_pred_{m}" for m in models])
+
+
+# Given ensembles over the standardised fx and fy, as (tree, node, feature, threshold, left, right, value, weight).
+_BOOSTED = (
+    (0, 0, "fx", 0.1, 1, 2, None, 1.0), (0, 1, "fy", -0.4, 3, 4, None, 1.0), (0, 2, None, None, None, None, 0.7, 1.0),
+    (0, 3, None, None, None, None, -0.6, 1.0), (0, 4, None, None, None, None, 0.2, 1.0),
+    (1, 0, "fy", 0.3, 1, 2, None, 0.5), (1, 1, None, None, None, None, -0.3, 0.5), (1, 2, "fx", -1.1, 3, 4, None, 0.5),
+    (1, 3, None, None, None, None, 0.9, 0.5), (1, 4, None, None, None, None, -0.8, 0.5),
+)
+_FOREST = (
+    (0, 0, "fx", -0.2, 1, 2, None, 1.0), (0, 1, None, None, None, None, 0.31, 1.0), (0, 2, None, None, None, None, 0.64, 1.0),
+    (1, 0, "fy", 0.8, 1, 2, None, 1.0), (1, 1, "fy", -0.9, 3, 4, None, 1.0), (1, 2, None, None, None, None, 0.12, 1.0),
+    (1, 3, None, None, None, None, 0.77, 1.0), (1, 4, None, None, None, None, 0.45, 1.0),
+)
+_MODELS = {
+    "xgb": model_trees.Trees(_BOOSTED, "logistic", 2.0, -0.1),
+    "lgbm": model_trees.Trees(_FOREST, "mean"),
+    "catboost": model_trees.Linear({"fx": 0.8, "fy": -0.5}, 0.3),
+}
+
+
+def _nodes(name: str, nodes: tuple) -> str:
+    cell = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
+    rows = ", ".join("(" + ", ".join(cell(v) for v in n) + ")" for n in nodes)
+    return f"{name}_nodes(tree, node, feature, threshold, l, r, value, weight) AS (VALUES {rows})"
+
+
+def _walk_trees(name: str, total: str) -> str:
+    """Every scaled row steps down every tree of a node table until it reaches a leaf."""
+    return f"""{name}_at AS (
+  SELECT q.symbol, q.entry_idx, q.zx, q.zy, n.* FROM q, {name}_nodes n WHERE n.node = 0
+  UNION ALL
+  SELECT a.symbol, a.entry_idx, a.zx, a.zy, n.* FROM {name}_at a JOIN {name}_nodes n ON n.tree = a.tree
+    AND n.node = CASE WHEN CASE a.feature WHEN 'fx' THEN a.zx ELSE a.zy END <= a.threshold THEN a.l ELSE a.r END
+  WHERE a.feature IS NOT NULL),
+{name} AS (SELECT symbol, entry_idx, {total} AS p FROM {name}_at WHERE feature IS NULL GROUP BY symbol, entry_idx)"""
+
+
+def _scored(src: str) -> list[str]:
+    """Fragments that end in ``scored``: the rows of ``src`` (with fx and fy) and the three probabilities."""
+    return [
+        _nodes("xgb", _BOOSTED),
+        _nodes("lgbm", _FOREST),
+        f"s AS MATERIALIZED (SELECT avg(fx) AS mx, stddev_pop(fx) AS sx, avg(fy) AS my, stddev_pop(fy) AS sy FROM {src})",
+        f"q AS MATERIALIZED (SELECT {src}.*, (fx - mx) / sx AS zx, (fy - my) / sy AS zy FROM {src}, s)",
+        _walk_trees("xgb", "1 / (1 + exp(-(-0.1 + 2 * sum(weight * value))))"),
+        _walk_trees("lgbm", "sum(weight * value) / sum(weight)"),
+        """scored AS MATERIALIZED (SELECT q.*, xgb.p AS y_pred_xgb, lgbm.p AS y_pred_lgbm,
+             1 / (1 + exp(-(0.3 + 0.8 * zx - 0.5 * zy))) AS y_pred_catboost
+           FROM q JOIN xgb USING (symbol, entry_idx) JOIN lgbm USING (symbol, entry_idx))""",
+    ]
+
+
+_PREDICTED = cols(y_pred_xgb="y_pred_xgb", y_pred_lgbm="y_pred_lgbm", y_pred_catboost="y_pred_catboost")
+
+
+@query(
+    "scored_trades_trees",
+    with_(
+        B, _MA_FLAGS, _walk("flags", "t"), _FEATURE_SRC,
+        """j AS MATERIALIZED (SELECT symbol, date, entry_idx, exit_price / entry_price - 1 > 0 AS y, fx, fy
+          FROM t JOIN f USING (symbol, date) WHERE fx IS NOT NULL AND fy IS NOT NULL)""",
+        *_scored("j"), recursive=True,
+    )
+    + f""" SELECT symbol, date, entry_idx, y AS "Y", {cols(fx="fx")}, {_PREDICTED} FROM scored""",
+)
+def scored_trades_trees(spark, sf):
+    """Boosted trees, a forest and a logistic model, given as node tables and coefficients."""
+    df = features.join_features(_ma_trades(spark, sf), _small_features(spark, sf))
+    scored = scoring.score(written(df, "trades"), _MODELS, None)
+    return tidy(scored, "symbol", "date", "entry_idx", "Y", "fx", *[f"y_pred_{m}" for m in _MODELS])
+
+
+_BACKTEST_SCORED = with_(
+    *ttm_parts(DENSE),
+    _walk("sig", "t"),
+    _profit("t", "p"),
+    _merged("p", "u"),
+    "b AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS INTEGER) AS rn FROM bars)",
+    _FEATURE_SRC,
+    """ms AS (SELECT symbol, date, ret - avg(ret) OVER (PARTITION BY date) AS rs FROM (
+      SELECT symbol, date, close / lag(close, 10) OVER (PARTITION BY symbol ORDER BY rn) - 1 AS ret FROM b)),
+    mr AS MATERIALIZED (SELECT symbol, date, percent_rank() OVER (PARTITION BY date ORDER BY rs) AS msr
+      FROM ms WHERE rs IS NOT NULL)""",
+    """j AS MATERIALIZED (SELECT u.*, fx, fy, msr FROM u JOIN f USING (symbol, date) JOIN mr USING (symbol, date)
+      WHERE fx IS NOT NULL AND fy IS NOT NULL)""",
+    *_scored("j"),
+    f"""shown AS (SELECT *, CASE param_id WHEN 0 THEN '{_META[0]}' ELSE '{_META[1]}' END AS metadata_text,
+      symbol || '-' || strftime(date, '%Y-%m-%d') || '-' || entry_idx AS id FROM scored)""",
+    recursive=True,
+)
+_MONEY = cols(3, pnl="pnl / (100 + abs(pnl))")
+
+
+def _backtest_scored(spark, sf):
+    bars = written(derived.bars(spark, sf), "bars")
+    small = _small_features(spark, sf).join(
+        features.cross_section(bars, [10]).select("symbol", "date", "msr_rank_10"), ["symbol", "date"]
+    )
+    return backtest.scored_backtest(bars, small, _MODELS, signals.TTM, AS_OF, names=None)
+
+
+def _shown(df):
+    """Compounded cash can grow without bound on random prices, so pnl is shown squashed."""
+    squashed = r(F.col("pnl") / (100.0 + F.abs("pnl")), 3)
+    return tidy(df.withColumn("pnl", squashed))
+
+
+@query(
+    "scored_backtest_open",
+    _BACKTEST_SCORED
+    + f""" SELECT symbol, date, {cols(entry_price="entry_price")}, {_MONEY}, metadata_text, type, entry_idx,
+      CAST(DATE '{AS_OF}' - date AS INTEGER) AS trading_days, id, {_PREDICTED}, {cols(msr_rank_10="msr")}
+    FROM shown WHERE type = 'open_trades'""",
+)
+def scored_backtest_open(spark, sf):
+    return _shown(_backtest_scored(spark, sf)[0])
+
+
+@query(
+    "scored_backtest_closed",
+    _BACKTEST_SCORED
+    + f""" SELECT symbol, date, close_date, {cols(entry_price="entry_price")}, {_MONEY}, exit_idx - entry_idx AS trading_days,
+      metadata_text, type, entry_idx, exit_idx, id, {_PREDICTED}, {cols(msr_rank_10="msr")}
+    FROM shown WHERE type = 'closed_trades'""",
+)
+def scored_backtest_closed(spark, sf):
+    return _shown(_backtest_scored(spark, sf)[1])
