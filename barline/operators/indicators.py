@@ -1,20 +1,17 @@
 """Technical indicators over daily bars, every symbol at once.
 
 Each function adds columns to a bars table. Warm-up cells are NULL unless the docstring says 0.
-All recurrences go through ``series.decayed_sums``; only the trailing stop needs a Python scan.
+All recurrences go through ``series.decayed_sums`` but the trailing stop, a fold over sorted lists.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barline.functions import scalars as S
 from barline.functions.series import (
@@ -486,49 +483,42 @@ def anchored_vwap(
 # --- trailing stop -----------------------------------------------------------------------
 
 
-def _stop_scanner(tie: float = S.TIE):
-    """The scan as a closure: Spark pickles it by value, so executors need not have this package.
+#: Bars that one inner fold of the trailing stop covers: appending to a list costs its length.
+STOP_PAGE = 128
 
-    Rows arrive in series order in Arrow batches, which the scan checks: within a series the index
-    rises by one. Only the last index, close and stop are carried from batch to batch, so memory
-    does not depend on the length of a series. Comparisons with a missing stop are False, as for
-    any NaN. ``_below`` flags the bars where the close crosses below the stop: its last side other
-    than a tie was above, and nothing was undefined since.
-    """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nan = float("nan")
-        prev, stop, last, above = nan, nan, None, False
-        for pdf in batches:
-            out, below = [], []
-            for begins, at, src, gap in zip(
-                pdf["_begins"].tolist(), pdf["rn"].tolist(), pdf["_src"].tolist(), pdf["_gap"].tolist()
-            ):
-                if not begins and at - 1 != last:
-                    raise ValueError(f"bar {at} follows bar {last} in the scan of a series")
-                last = at
-                if begins or src != src:
-                    stop = nan
-                elif src > stop and prev > stop:
-                    stop = max(stop, src - gap)
-                elif src < stop and prev < stop:
-                    stop = min(stop, src + gap)
-                else:
-                    stop = src - gap if src > stop else src + gap
-                prev = src
-                out.append(stop)
-                if src != src or stop != stop:
-                    above = crossed = False
-                elif abs(src - stop) <= tie * max(abs(src), abs(stop)):
-                    crossed = False
-                else:
-                    crossed, above = above and src < stop, src > stop
-                below.append(crossed)
-            pdf["_stop"] = out
-            pdf["_below"] = below
-            yield pdf.drop(columns=["_begins", "_src", "_gap"])
-
-    return scan
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _stop_step(state: Column, bar: Column, multiplier: float, tie: float) -> Column:
+    """The stop's state after one more bar. Nulls stand for what is undefined; no comparison with one holds."""
+    src, stop, prev = bar["_src"], state["stop"], state["prev"]
+    gap = bar["_gap"] * F.lit(multiplier)
+    moved = (
+        F.when(~state["begun"] | src.isNull(), F.lit(None).cast("double"))
+        .when((src > stop) & (prev > stop), F.greatest(stop, src - gap))
+        .when((src < stop) & (prev < stop), F.least(stop, src + gap))
+        .when(src > stop, src - gap)
+        .otherwise(src + gap)
+    )
+
+    def after(t: Column) -> Column:
+        known = src.isNotNull() & t.isNotNull()
+        level = F.abs(src - t) <= F.lit(tie) * F.greatest(F.abs(src), F.abs(t))
+        crossed = known & ~level & state["above"] & (src < t)
+        above = F.when(~known, F.lit(False)).when(level, state["above"]).otherwise(src > t)
+        here = F.struct(t.alias("_stop"), F.coalesce(crossed, F.lit(False)).alias("_below"))
+        return F.struct(
+            F.lit(True).alias("begun"),
+            src.alias("prev"),
+            t.alias("stop"),
+            above.alias("above"),
+            F.concat(state["out"], F.array(here)).alias("out"),
+        )
+
+    return _let(moved, after)
 
 
 def trailing_stop(
@@ -541,31 +531,51 @@ def trailing_stop(
     below: str | None = None,
 ) -> DataFrame:
     """ATR trailing stop: follows the close at ``multiplier``·ATR, flips side when crossed. ``below``
-    names a flag for the bars where the close crosses below it.
-
-    The only recurrence here that is not linear, so it cannot be a decayed sum. Its rows stream
-    through one ``mapInPandas``. The window that marks the start of each series also makes Spark
-    cluster the rows by key; after the ATR's windows that needs no new shuffle. Spark may swap
-    windows, so the order is asked for directly below the scan, which costs nothing where the rows
-    are in it.
-    ``carry`` names the columns to keep (all by default); fewer means less Arrow traffic.
+    names a flag for the bars where the close crosses below it: its last side other than a tie was above, and
+    nothing was undefined since.
+
+    The only recurrence here that is not linear, so it cannot be a decayed sum. It is a fold in the JVM: a key's
+    bars, which the calendar bounds, form one sorted list; pages of it are folded one after the other, each from the
+    state that the page before it left. After the ATR's windows the lists need no new shuffle.
+    ``carry`` names the columns to keep (all by default); fewer means smaller lists.
     """
     df = with_rn(df)
     carry = [c for c in (carry or df.columns) if c not in (by, RN, out)]
-    rows = df.select(
-        by,
-        RN,
-        *carry,
-        F.lag(RN).over(along(by)).isNull().alias("_begins"),
-        F.col("close").alias("_src"),
-        (F.col(atr_col) * F.lit(multiplier)).alias("_gap"),
+    bar = F.struct(
+        F.col(RN),
+        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
+        S.nan_to_null(F.col("close").cast("double")).alias("_src"),
+        S.nan_to_null(F.col(atr_col).cast("double")).alias("_gap"),
+    )
+    bars = df.groupBy(by).agg(F.collect_list(bar).alias("_all"))
+    # A key's bar numbers differ, so nothing behind them decides the order.
+    bars = bars.select(by, F.sort_array("_all").alias("_all"))
+    pages = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / STOP_PAGE).cast("int")),
+        lambda k: F.slice("_all", k * STOP_PAGE + 1, F.lit(STOP_PAGE)),
     )
-    kept = [f for f in rows.schema.fields if f.name not in ("_begins", "_src", "_gap")]
-    made = [T.StructField("_stop", T.DoubleType()), T.StructField("_below", T.BooleanType())]
-    done = rows.sortWithinPartitions(by, RN).mapInPandas(_stop_scanner(), T.StructType([*kept, *made]))
-    if below:
-        done = done.withColumn(below, F.col("_below"))
-    return done.withColumn(out, S.nan_to_null(F.col("_stop"))).drop("_stop", "_below")
+    empty = F.expr("cast(array() as array<struct<_stop: double, _below: boolean>>)")
+    nothing = F.lit(None).cast("double")
+
+    def state(begun, prev, stop, above, made):
+        return F.struct(
+            begun.alias("begun"), prev.alias("prev"), stop.alias("stop"), above.alias("above"), made.alias("out")
+        )
+
+    def fold(before: Column, page: Column) -> Column:
+        return F.aggregate(
+            page,
+            state(before["begun"], before["prev"], before["stop"], before["above"], empty),
+            lambda now, one: _stop_step(now, one, multiplier, S.TIE),
+            lambda end: state(end["begun"], end["prev"], end["stop"], end["above"], F.concat(before["out"], end["out"])),
+        )
+
+    begin = state(F.lit(False), nothing, nothing, F.lit(False), empty)
+    made = F.aggregate(pages, begin, fold, lambda end: end["out"])
+    done = bars.select(by, F.explode(F.arrays_zip(F.col("_all").alias("b"), made.alias("s"))).alias("_x"))
+    kept = [F.col("_x.b")[f"_c{i}"].alias(c) for i, c in enumerate(carry)]
+    flags = [F.col("_x.s._below").alias(below)] if below else []
+    return done.select(by, F.col("_x.b")[RN].alias(RN), *kept, *flags, F.col("_x.s._stop").alias(out))
 
 
 def atr_trailing(bars: DataFrame, n: int = 10, multiplier: float = 1.8) -> DataFrame:

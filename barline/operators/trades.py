@@ -96,10 +96,15 @@ def merge_param_sets(trades: DataFrame) -> DataFrame:
     A bounded group (one row per parameter set), ranked by aggregation: open beats closed, then
     the lowest ``param_id``. That is the anti-join, union and keep-first in one shuffle.
     """
-    rest = [c for c in trades.columns if c not in (KEY, "entry_idx")]
-    rank = F.struct(F.when(F.col("type") == "open_trades", 0).otherwise(1), F.col("param_id"))
-    best = trades.groupBy(KEY, "entry_idx").agg(F.min_by(F.struct(*rest), rank).alias("t"))
-    return best.select(KEY, "entry_idx", *[F.col("t")[c].alias(c) for c in rest])
+    rest = [c for c in trades.columns if c not in (KEY, "entry_idx", "type")]
+    # One number, so that the aggregate hashes: open ones first, then by parameter set.
+    closed = F.when(F.col("type") == "open_trades", 0).otherwise(1).cast("long")
+    rank = closed * F.lit(1 << 32) + F.col("param_id")
+    best = trades.groupBy(KEY, "entry_idx").agg(
+        F.min(rank).alias("_rank"), *[F.min_by(c, rank).alias(c) for c in rest]
+    )
+    kind = F.when(F.col("_rank") < 1 << 32, F.lit("open_trades")).otherwise(F.lit("closed_trades"))
+    return best.withColumn("type", kind).select(KEY, "entry_idx", *[c for c in trades.columns if c not in (KEY, "entry_idx")])
 
 
 def without_open(closed: DataFrame, opened: DataFrame) -> DataFrame:

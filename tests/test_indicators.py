@@ -193,22 +193,49 @@ def stop_loop(close, gap):
     return out
 
 
-def test_trailing_stop_across_arrow_batches(spark):
-    series_ = {f"S{k}": ohlcv(150 + k, k) for k in range(5)}
+@pytest.mark.parametrize("page", [7, 128])
+def test_trailing_stop_across_pages(spark, monkeypatch, page):
+    monkeypatch.setattr(I, "STOP_PAGE", page)
+    series_ = {f"S{k}": ohlcv(n, k) for k, n in enumerate([1, 2, 7, 8, 128, 129, 260])}
     df = bars(spark, series_, parts=3).withColumn("a", F.col("high") - F.col("low"))
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
-    try:
-        out = I.trailing_stop(df, "a", 1.8).cache()
-        out.count()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    out = I.trailing_stop(df, "a", 1.8).cache()
     for sym, rows in series_.items():
         gap = [1.8 * (r[1] - r[2]) for r in rows]
         same(column(out, "atr_trailing", sym), stop_loop([r[3] for r in rows], gap))
     out.unpersist()
 
 
+def below_loop(close, stop, tie=1e-9):
+    """The bars where the close crosses below the stop; a tie keeps the side, a hole forgets it."""
+    out, above = [], False
+    for s, t in zip(close, stop):
+        if s is None or t is None:
+            above, crossed = False, False
+        elif abs(s - t) <= tie * max(abs(s), abs(t)):
+            crossed = False
+        else:
+            crossed, above = above and s < t, s > t
+        out.append(crossed)
+    return out
+
+
+def test_trailing_stop_with_holes_and_crossings(spark, monkeypatch):
+    monkeypatch.setattr(I, "STOP_PAGE", 16)
+    series_ = {f"S{k}": [list(r) for r in ohlcv(120, k, ties=True)] for k in range(4)}
+    for k, rows in enumerate(series_.values()):
+        for i in range(5 + k, 120, 23):
+            rows[i][3] = None if i % 2 else float("nan")
+    df = bars(spark, series_, parts=3).withColumn("a", F.lit(0.5))
+    out = I.trailing_stop(df, "a", 2.0, carry=["date", "close"], below="under").cache()
+    for sym, rows in series_.items():
+        close = [None if r[3] is None or r[3] != r[3] else r[3] for r in rows]
+        want = stop_loop(close, [1.0] * len(rows))
+        same(column(out, "atr_trailing", sym), want)
+        assert column(out, "under", sym) == below_loop(close, want)
+    assert out.where("under").count() > 0
+    out.unpersist()
+
+
 def test_trailing_stop_after_a_window_in_another_order(spark):
     series_ = {f"S{k}": ohlcv(80 + k, k) for k in range(4)}
     df = with_rn(bars(spark, series_, parts=3)).withColumn("a", F.col("high") - F.col("low"))
@@ -220,14 +247,6 @@ def test_trailing_stop_after_a_window_in_another_order(spark):
         same(column(out, "atr_trailing", sym), stop_loop([r[3] for r in rows], gap))
 
 
-def test_a_scan_out_of_order_is_refused():
-    import pandas as pd
-
-    pdf = pd.DataFrame({"_begins": [True, False, False], "rn": [0, 2, 1], "_src": [1.0] * 3, "_gap": [1.0] * 3})
-    with pytest.raises(ValueError):
-        list(I._stop_scanner()(iter([pdf])))
-
-
 def gap_ema_loop(x, n):
     """Starts with the first value; undefined from the first later gap on."""
     out, seen, y = [], [], None

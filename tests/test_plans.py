@@ -43,7 +43,7 @@ def test_indicators_share_one_exchange(spark):
 
 def test_trailing_stop_needs_no_extra_exchange(spark):
     text = plan(indicators.atr_trailing(derived.bars(spark, SF)))
-    assert count(text, "Exchange hashpartitioning") == 2 and count(text, "MapInPandas") == 1
+    assert count(text, "Exchange hashpartitioning") == 2 and "Python" not in text and "Pandas" not in text
 
 
 def test_grid_is_not_a_cross_join(spark):
@@ -56,7 +56,7 @@ def test_sweep_scans_bars_once(spark):
         backtest.strategy_trades(derived.bars(spark, SF), signals.TTM, filled=True)
     )
     text = plan(df)
-    assert count(text, "MapInPandas") == 1 and "Union" not in text
+    assert "Pandas" not in text and "Union" not in text and "SortAggregate" not in text
     assert len(re.findall(r"FileScan parquet \[[^\]]*l_extendedprice", text)) == 1
 
 
@@ -80,8 +80,8 @@ def test_squeeze_has_no_shuffle_after_the_scan(spark):
     own = plan(bars)
     # the windows by symbol, and what the grid itself needs
     assert count(text, "Exchange hashpartitioning") <= count(own, "Exchange hashpartitioning") + 1
-    head, _, _ = text.partition("MapInPandas")
-    assert "Exchange" not in head and "Window" not in head
+    head, _, _ = text.partition("ObjectHashAggregate")
+    assert "Exchange" not in head and "Window" not in head and "Pandas" not in text
 
 
 def test_both_vwap_sides_share_their_sorts(spark):
