@@ -10,6 +10,7 @@ end. What is found in a layer is reported with the span of the original text it
 from __future__ import annotations
 
 import base64
+import bz2
 import hashlib
 import re
 import zlib
@@ -32,13 +33,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
-URL_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
-UNICODE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+#: An escape whose own first character is escaped, however often, is read to its end at once.
+URL_ESCAPE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+_SLASH = r"\\(?:u005[cC]|x5[cC])*"
+UNICODE_ESCAPE = re.compile(
+    rf"(?:{_SLASH}|%(?:25)*)u([0-9A-Fa-f]{{4}})|{_SLASH}x([0-9A-Fa-f]{{2}})|{_SLASH}u\{{([0-9A-Fa-f]{{1,6}})\}}"
+)
 #: Base64 of at least 16 characters in its first line, and its further lines.
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
 BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: Every secret, and every code of one, has so many printable ASCII characters in a row.
 PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16}")
+#: The same in UTF-16.
+WIDE = {"utf-16-le": re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){16}"), "utf-16-be": re.compile(rb"(?:\0[\t\n\r\x20-\x7e]){16}")}
+BZIP2 = re.compile(rb"BZh[1-9]1AY&SY")
 PACKED = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78](?=.)", re.S)
 #: Compressed data is unpacked in pieces of so many bytes; each begins with the end of the one before. It
 #: bounds a worker's memory.
@@ -72,11 +80,32 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _unpacked(data: bytes | memoryview) -> Iterator[bytes]:
-    """Pieces of what the gzip (all members) or zlib data at the start of ``data`` holds, as far as it goes."""
+class _Bzip2:
+    """A bzip2 stream with the interface of a zlib one."""
+
+    def __init__(self):
+        self.z, self.unconsumed_tail = bz2.BZ2Decompressor(), b""
+
+    eof = property(lambda self: self.z.eof)
+    unused_data = property(lambda self: self.z.unused_data)
+
+    def decompress(self, data, most: int) -> bytes:
+        try:
+            # What it has not read it keeps, so the next step brings it nothing new.
+            out = self.z.decompress(bytes(data) if self.z.needs_input else b"", most)
+            rest = b"" if self.z.needs_input or self.z.eof else b"\0"
+        except (OSError, EOFError) as damage:
+            raise zlib.error(str(damage)) from damage
+        self.unconsumed_tail = rest
+        return out
+
+
+def _unpacked(data: bytes | memoryview, make=lambda: zlib.decompressobj(47)) -> Iterator[bytes]:
+    """Pieces of what the gzip (all members), zlib or other compressed data at the start of ``data`` holds, as
+    far as it goes."""
     kept = bytearray()
     while data:
-        z, at = zlib.decompressobj(47), 0
+        z, at = make(), 0
         try:
             # In small steps, so that what lies before damage is not lost.
             while not z.eof and (z.unconsumed_tail or at < len(data)):
@@ -122,14 +151,14 @@ def _escaped(layer: Layer, escape: re.Pattern, url: bool) -> Layer | None:
             raw = bytes(int(x[1], 16) for x in group)
             chars = [("", 1) if "\udc80" <= c <= "\udcff" else (c, len(c.encode())) for c in raw.decode("utf-8", "surrogateescape")]
         else:
-            raw16 = [int(x[1] or x[2], 16) for x in group]
+            raw16 = [int(x[1] or x[2] or x[3], 16) for x in group]
             k = 0
             while k < len(raw16):
                 pair = raw16[k : k + 2]
                 if len(pair) == 2 and 0xD800 <= pair[0] < 0xDC00 <= pair[1] < 0xE000:
                     chars.append((chr(0x10000 + (pair[0] - 0xD800) * 1024 + pair[1] - 0xDC00), 2))
                 else:
-                    chars.append(("" if 0xD800 <= pair[0] < 0xE000 else chr(pair[0]), 1))
+                    chars.append(("" if 0xD800 <= pair[0] < 0xE000 or pair[0] > 0x10FFFF else chr(pair[0]), 1))
                 k += chars[-1][1]
         k = 0
         for c, w in chars:
@@ -191,6 +220,16 @@ def _base64(layer: Layer, run: re.Match) -> Iterator[Layer]:
                 n, last = n + len(data[last:byte].decode("utf-8", "replace")), byte
                 at.append(n)
             yield Layer(data.decode("utf-8", "replace"), at, [(*o, 0) for o in origins])
+        for name, wide in WIDE.items():
+            if (m := wide.search(data)) is not None:
+                yield Layer(data[m.start() % 2 :].decode(name, "replace"), [0], [whole])
+        packed = [(m.start(), _Bzip2) for m in BZIP2.finditer(data)]
+        if offset == 0:
+            packed.append((0, lambda: zlib.decompressobj(-15)))
+        for start, make in packed:
+            for piece in _unpacked(memoryview(data)[start:], make):
+                if PRINTABLE.search(piece):
+                    yield Layer(piece.decode("utf-8", "replace"), [0], [whole])
         for m in PACKED.finditer(data):
             head = data[m.start() : m.start() + 2]
             if head == b"\x1f\x8b" or head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
@@ -204,7 +243,7 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     for run in BASE64_RUN.finditer(text):
         yield from _base64(layer, run)
-    last = [_escaped(layer, UNICODE_ESCAPE, False) if "\\" in text else None, _escaped(layer, URL_ESCAPE, True) if "%" in text else None]
+    last = [_escaped(layer, UNICODE_ESCAPE, False) if "\\" in text or "%" in text else None, _escaped(layer, URL_ESCAPE, True) if "%" in text else None]
     # A long chain of layers is not held in memory.
     del layer, text
     run = None

@@ -1,8 +1,11 @@
 import base64
+import bz2
+import contextlib
 import gzip
 import hashlib
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -135,3 +138,73 @@ def test_columns(spark, dirty, empty):
     found = op.digest_columns(op.secret_spans(dirty))
     assert sorted((r["doc_id"] for r in found.collect()), key=repr) == sorted((r[0] for r in corpus.dirty_rows()), key=repr)
     assert op.secret_spans(empty).count() == 0
+
+
+def raw_deflate(data):
+    z = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return z.compress(data) + z.flush()
+
+
+def spans_of(text):
+    return {(op.KINDS[k], text[s:e]) for s, k, e in op.scan(text)[1]}
+
+
+PLAIN = "password=hunter2hunter2"
+
+
+@pytest.mark.parametrize("chain", ["%" + "25" * 300_000 + "41", "\\" + "u005c" * 100_000 + "u0041", "\\" + "x5C" * 100_000 + "x41"])
+def test_a_long_chain_of_escaped_escapes_takes_one_pass(chain):
+    begin = time.time()
+    base, found = op.scan(chain + " password%" + "25" * 50 + "3Dhunter2hunter2")
+    assert time.time() - begin < 10 and len(found) - len(base) <= 4
+    assert any(k == 0 for _, k, _ in found)
+
+
+def wrapped(data):
+    return "x " + base64.b64encode(data).decode() + " y"
+
+
+@pytest.mark.parametrize("text", [
+    wrapped(PLAIN.encode("utf-16-le")), wrapped(PLAIN.encode("utf-16")), wrapped(b"?" + PLAIN.encode("utf-16-be")),
+    wrapped(bz2.compress(PLAIN.encode())), wrapped(b"junk" + bz2.compress(PLAIN.encode() * 50)),
+    wrapped(raw_deflate(PLAIN.encode() + b" and so on" * 9)),
+    "password%u003Dhunter2hunter2", "password\\u{3d}hunter2hunter2", "password%25u003dhunter2hunter2", "password\\u005cu{00003D}hunter2hunter2",
+])
+def test_more_layers(text):
+    assert any(kind == "assign" for kind, _ in spans_of(text)), text
+
+
+def test_odd_escapes_stay():
+    for text in ("%u", "%uD800", "\\u{}", "\\u{FFFFFF}", "%25", "%2", "\\u005", wrapped(bz2.compress(b"z" * 50)[:-9]), wrapped(b"BZh91AY&SY" + b"q" * 40)):
+        assert op.scan(text)[1] == op.scan(text)[0]
+
+
+def decoded(text):
+    """A plain decoder: all layers of URL, backslash and base64 codes of whole words, without spans."""
+    seen, todo = set(), [text]
+    while todo:
+        t = todo.pop()
+        if t in seen:
+            continue
+        seen.add(t)
+        todo.append(re.sub(r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)) if int(m[1], 16) < 128 else m[0], t))
+        todo.append(re.sub(r"\\\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)) if int(m[1], 16) < 0xD800 else m[0], t))
+        for word in re.findall(r"[A-Za-z0-9+/]{16,}={0,2}", t):
+            with contextlib.suppress(ValueError):
+                todo.append(base64.b64decode(word).decode("ascii"))
+    return seen
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_against_a_plain_decoder(seed):
+    rnd = random.Random(seed)
+    text = f"{rnd.choice(['api_key: ', 'token='])}{rnd.getrandbits(80):020x}zz"
+    for _ in range(rnd.randint(1, 4)):
+        text = {
+            "url": lambda t: "".join(f"%{ord(c):02X}" if not c.isalnum() or rnd.random() < 0.1 else c for c in t),
+            "unicode": lambda t: "".join(f"\\u{ord(c):04x}" if rnd.random() < 0.2 else c for c in t),
+            "base64": lambda t: base64.b64encode(t.encode()).decode(),
+        }[rnd.choice(["url", "unicode", "base64"])](text)
+    text = "see " + text + " there."
+    want = any(op.ASSIGN.search(t) and len(op.ASSIGN.search(t)[2]) >= 12 for t in decoded(text))
+    assert want == any(kind == "assign" for kind, _ in spans_of(text))
