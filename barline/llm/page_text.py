@@ -29,6 +29,8 @@ PEAK = 0.15
 WEIGHT = 3
 #: A stretch is a link list if more than this share of its characters are link text.
 LINKS = 0.6
+#: Names cannot take more of a page's text than what leaves this share.
+LEAST = 0.1
 
 # Fixed values of HTML: elements that begin a new line, that hold no text, and that hold no content.
 BLOCKS = frozenset(
@@ -56,31 +58,52 @@ ENDED_BY = {
     "tr": (("tr", *ROWS), ("table",)), **{x: (ROWS, ("table",)) for x in ROWS},
 }
 FURNITURE = frozenset("nav header footer aside menu search".split())
-#: Words in class, id or role that name other parts of a page.
+#: Words in class, id or role that name other parts of a page, and words that only go with them. A name counts
+#: if all its words are of these and one is of the first.
 PART = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|"
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|"
     r"overlay|newsletter|subscribe|signup|login|menu|nav|navbar|navigation|breadcrumbs?|sidebar|rail|widget\w*|"
     r"comments?|respond|replies|disqus|footer|masthead|topbar|toolbar|share|sharing|social|related|recommended|"
-    r"pagination|pager|contentinfo|complementary|skip-?link|site-?header|page-?header|copyright|hidden)(?:$|[\s_-])",
+    r"pagination|pager|contentinfo|complementary|skiplink|siteheader|pageheader|copyright|hidden)",
     re.I,
 )
+BESIDE = re.compile(
+    r"(?:\d+|area|articles?|bar|block|body|bottom|box|btn|button|buttons|card|col|column|container|content|fixed|"
+    r"form|group|header|heading|icons?|inner|item|items|js|left|links?|list|main|mobile|module|outer|page|panel|"
+    r"policy|posts?|primary|right|row|secondary|section|site|skip|slot|small|stories|sticky|template|text|the|thread|"
+    r"title|top|unit|wrap|wrapper|zone)",
+    re.I,
+)
+WORDS = re.compile(r"[^\W_]+")
+#: Elements that are text themselves: an id on them is a place to link to, not a part of the page.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th".split())
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
     re.S,
 )
-NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|[\s"'/])(?:hidden(?=$|[\s/=])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 
 
-def _other_part(attrs: str) -> bool:
-    if "=" not in attrs:
-        return bool(HIDDEN.search(attrs)) if attrs.strip() else False
-    for m in NAMED.finditer(attrs):
-        if PART.search(CAMEL.sub("-", m[1] or m[2] or m[3] or "")):
-            return True
-    return bool(HIDDEN.search(attrs))
+def _names_part(name: str) -> bool:
+    words = WORDS.findall(CAMEL.sub("-", name))
+    if "".join(words[:2]).lower() in ("skiplink", "siteheader", "pageheader"):
+        return True
+    part = [bool(PART.fullmatch(w)) for w in words]
+    return any(part) and all(p or BESIDE.fullmatch(w) for p, w in zip(part, words))
+
+
+def _other_part(name: str, attrs: str, by_name: bool) -> bool:
+    """Whether an element is hidden, or (``by_name``) named as another part of the page."""
+    if by_name and "=" in attrs:
+        for m in NAMED.finditer(attrs):
+            if m[1].lower() == "id" and name in TEXTS:
+                continue
+            if any(_names_part(x) for x in (m[2] or m[3] or m[4] or "").split()):
+                return True
+    return bool(HIDDEN.search(attrs)) if attrs.strip() else False
 
 
 INSERT, PARTING, EDGE = range(3)
@@ -108,9 +131,9 @@ class Box(NamedTuple):
         return self.begin <= a and b < self.end
 
 
-def lines(page: str) -> tuple[list[Line], list[Box]]:
+def lines(page: str, by_name: bool = True) -> tuple[list[Line], list[Box]]:
     """The page's lines, where ``WINDOW`` lines without text stand for a stripped part, and its elements
-    by number; the first is the page."""
+    by number; the first is the page. ``by_name``: class, id and role tell parts, never of article and main."""
     out: list[Line] = []
     text: list[str] = []
     linked = depth_a = 0
@@ -178,7 +201,7 @@ def lines(page: str) -> tuple[list[Line], list[Box]]:
                     end_line(True, PARTING if name in FURNITURE else INSERT)
                 continue
             # The article ends what was left open before it.
-            if not closing and name in CONTENT and not content() and not _other_part(attrs):
+            if not closing and name in CONTENT and not content() and not _other_part(name, attrs, False):
                 skip.clear()
                 end_line(True, EDGE)
             elif closing and opened[name] and name != "p" or not closing and ends_skipped(name):
@@ -209,7 +232,7 @@ def lines(page: str) -> tuple[list[Line], list[Box]]:
             at = end.end() if end else n
             continue
         own = attrs.rstrip().endswith("/") or name in VOID
-        other = name in NOT_CONTENT or name == "header" and not content() or name not in ("body", "html") and _other_part(attrs)
+        other = name in NOT_CONTENT or name == "header" and not content() or name not in ("body", "html") and _other_part(name, attrs, by_name and name not in CONTENT)
         if other and not own:
             end_line(name in BLOCKS or name == "head", PARTING if name in FURNITURE else INSERT)
             skip.append(name)
@@ -322,8 +345,15 @@ def _groups(found: list[Line], boxes: list[Box], parts: list[tuple[int, int, int
 
 
 def main_text(page: str | None) -> str:
-    """The kept blocks joined by line feeds; empty if there are none."""
-    found, boxes = lines(page or "")
+    """The kept blocks joined by line feeds; empty if there are none. Names of parts that would leave less than
+    ``LEAST`` of the text that the page has without them do not count."""
+    page = page or ""
+    found, boxes = lines(page)
+    size = sum(len(x.text) for x in found)
+    if size < LEAST * len(page):  # a page is longer than its text
+        plain = lines(page, False)
+        if size < LEAST * sum(len(x.text) for x in plain[0]):
+            found, boxes = plain
     parts = _apart(found, boxes, stretches([len(x.text) for x in found]))
     group = _groups(found, boxes, parts)
     size, linked = Counter(), Counter()

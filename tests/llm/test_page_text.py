@@ -135,3 +135,28 @@ def test_frame(spark):
     got = op.extract(spark.createDataFrame(rows, schema))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([(1, "u", "é x", 3), (1, "u", "é x", 3), (None, None, "", 0)], key=repr)
     assert op.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+TALE = "A long sentence of the story, with its words. " * 3
+
+
+@pytest.mark.parametrize("page", [
+    '<article class="share-story"><p>{}</p></article>',
+    '<article class="post with-sidebar"><p>{}</p></article>',
+    "<article><div class=related-work><p>{}</p></div></article>",
+    "<article><section class=social-history><p>{}</p></section></article>",
+    "<article><h2 id=comments-on-policy>{}</h2></article>",
+    "<article><p id=menu-items>{}</p></article>",
+    "<body><div class=widget><p>{}</p></div></body>",
+    "<main class='hidden-gems'><div class='notice-board'><p>{}</p></div></main>",
+])
+def test_names_do_not_take_the_story(page):
+    assert op.main_text(page.format(TALE)) == TALE.strip()
+
+
+@pytest.mark.parametrize("name", [
+    "comments", "comment-list", "related-posts", "share_buttons", "cookieBanner", "ad-slot-2", "newsletter-signup", "site-footer", "skip-link",
+])
+def test_names_of_parts_still_count(name):
+    page = f"<article><p>{TALE}</p><div class='x {name}'><p>Other words here.</p></div></article>"
+    assert op.main_text(page) == TALE.strip()

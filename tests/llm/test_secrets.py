@@ -188,7 +188,7 @@ def decoded(text):
             continue
         seen.add(t)
         todo.append(re.sub(r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)) if int(m[1], 16) < 128 else m[0], t))
-        todo.append(re.sub(r"\\\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)) if int(m[1], 16) < 0xD800 else m[0], t))
+        todo.append(re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)) if int(m[1], 16) < 0xD800 else m[0], t))
         for word in re.findall(r"[A-Za-z0-9+/]{16,}={0,2}", t):
             with contextlib.suppress(ValueError):
                 todo.append(base64.b64decode(word).decode("ascii"))
