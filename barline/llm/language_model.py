@@ -1,14 +1,20 @@
-"""Document scores of a hashed maximum-entropy language model.
-
-P(token | history) = P(class | history) * P(token | class). The class factor is a softmax over hashed
-n-gram and skip features of the three preceding classes. Its weights are learned by distributed
-gradient updates: partitions of the corpus-wide counts of (history, class) take AdaGrad steps from
-common weights; after each round a row of weights moves by the mean of those that moved it. The token factor is its relative frequency in the
-class with an absolute discount, whose mass goes to the unknown token.
-
-Frequent tokens have classes of their own; the others are classed by their shape, so that unknown
-tokens have a class too. Token counts are a table that grows with the corpus. Workers hold its frequent
-head only (a bounded dictionary); all other tokens meet their counts in a join.
+"""Document scores of a hashed maximum-entropy language model over words.
+
+P(token | history) = P(class | history) * P(token | class, history). Both factors are softmaxes whose
+weights belong to hashed features of the three preceding words: n-grams of words and of classes and
+skips for the class, the class with the last word, the one before and the last two classes for the token
+in it. Unigram counts are the base measure both start from.
+
+The most frequent tokens (of two occurrences or more) fill the word classes, which have a softmax of their own; words before which the
+same frequent words stand share a class. All other tokens are classed by their shape, so that unknown
+tokens have a class too; in it a token has its relative frequency with an absolute discount, whose mass
+goes to the unknown token.
+
+Training counts (history, target) over all learned texts with a ``groupBy``; that table grows with the
+corpus. Its rows are dealt over rounds. In a round each task reads its rows as a stream and takes AdaGrad
+steps from common weights; a row of weights then moves by the mean of the tasks that moved it, merged
+in a tree. Weights have a fixed size, token counts do not: workers hold the frequent head only (a
+bounded dictionary), all other tokens meet their counts in a join on 12 bytes of hashes.
 """
 
 from __future__ import annotations
@@ -20,27 +26,38 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.common import ascii_lower, held_out, query, stored, table
 
-#: Tokens with a class of their own (the end is one), classes of shapes, and all together.
-OWN, SHAPES = 32, 64
+#: Classes of words, words in each, classes of shapes, and all classes.
+OWN, SLOTS, SHAPES = 64, 64, 32
 CLASSES = OWN + SHAPES
-#: Hashed features share so many rows of weights.
-ROWS = 1 << 14
+#: Tokens in word classes. A target below it is such a token, others are MODELLED + shape.
+MODELLED = OWN * SLOTS
+#: Hashed features share so many rows of weights, in either factor.
+ROWS = 1 << 15
 #: Tokens whose counts every worker holds at most.
 HEAD = 1 << 17
 END = "\n"
-PARTITIONS, ROUNDS, EPOCHS, RATE = 8, 3, 2, 0.07
-#: Histories per step at most, and steps per round at least, however few histories there are.
-CONTEXTS, STEPS = 2048, 32
+#: Rounds, rate of the steps, and the squared gradient that every row starts with.
+ROUNDS, RATE, START = 3, 0.25, 0.1
+#: Events of one step at most, steps of a task to aim at where there are few, and events that make a task.
+EVENTS, STEPS, TASK = 4096, 64, 1 << 16
+#: Tasks whose weights are merged at a time.
+FAN = 32
 #: Tokens in a worker's arrays at a time (or one document, if it is longer).
 BATCH = 500_000
-#: The history before the first token.
-BEGIN = CLASSES
-BASE = CLASSES + 1
+#: Histories pack three numbers of words: places of tokens in word classes, for others a hash with their
+#: shape; the last is the one before the first token.
+BASE = 1 << 21
+BEGIN = BASE - 1
+HASHES = (BEGIN - MODELLED) // SHAPES
+#: So many frequent words, one and two places before, tell which words share a class.
+CONTEXT = 64
 
 
 def tokens(text: Column) -> Column:
@@ -75,7 +92,7 @@ def shape_class(token: bytes) -> int:
 
 
 def class_column(token: Column, own: list[str]) -> Column:
-    """The same in SQL, with the tokens that have classes of their own."""
+    """The same in SQL, with tokens that have classes of their own."""
     ascii_only = F.octet_length(token) == F.char_length(token)
     beyond = F.regexp_extract(token, r"[^\x00-\x7F]", 0)
     shape = F.when(ascii_only, F.substring(token, -2, 2)).otherwise(beyond)
@@ -86,27 +103,24 @@ def class_column(token: Column, own: list[str]) -> Column:
     return out
 
 
-def feature_rows(h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> list[np.ndarray]:
-    """Weight rows of a history: bias, n-grams of one to three classes, and skips."""
-    def row(kind: int, *parts: np.ndarray) -> np.ndarray:
-        x = np.full(len(h1), kind + 1, dtype=np.uint64)
-        for p in parts:
-            x = (x * np.uint64(BASE) + p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
-        return (x % np.uint64(ROWS)).astype(np.int64)
-
-    return [row(0), row(1, h1), row(2, h1, h2), row(3, h1, h2, h3), row(4, h2), row(5, h3), row(6, h1, h3)]
+def feature_rows(kind: int, *parts: np.ndarray) -> np.ndarray:
+    """Row of weights of a feature, by its kind and its words."""
+    x = np.full(len(parts[0]), kind + 1, dtype=np.uint64)
+    for p in parts:
+        x = (x * np.uint64(BASE) + p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return (x % np.uint64(ROWS)).astype(np.int64)
 
 
-def histories(classes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Number of the three classes before each place; texts begin at ``firsts``."""
-    n = len(classes)
+def histories(words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The three words before each place, packed; texts begin at ``firsts``."""
+    n = len(words)
     owner = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, n)))
     out = np.zeros(n, dtype=np.int64)
     place = np.arange(n) - firsts[owner]
     for back in (3, 2, 1):
         h = np.full(n, BEGIN, dtype=np.int64)
-        h[back:] = classes[: n - back] if n > back else classes[:0]
+        h[back:] = words[: n - back] if n > back else words[:0]
         h[place < back] = BEGIN
         out = out * BASE + h
     return out
@@ -116,60 +130,120 @@ def split_history(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return code % BASE, code // BASE % BASE, code // BASE**2
 
 
-def log_softmax(weights: np.ndarray, code: np.ndarray) -> np.ndarray:
-    z = np.zeros((len(code), CLASSES), dtype=np.float32)
-    for rows in feature_rows(*split_history(code)):
-        z += weights[rows]
+def class_rows(code: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    """Rows for the class: the last word, the last two, skips, and the three classes ``before``."""
+    h1, h2, h3 = split_history(code)
+    return [feature_rows(0, h1), feature_rows(1, h1, h2), feature_rows(2, h2), feature_rows(3, h3),
+            feature_rows(4, *before)]
+
+
+def slot_rows(code: np.ndarray, before: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
+    """Rows for the token in its class: the last word, the one before, and the last two classes."""
+    h1, h2, _ = split_history(code)
+    return [feature_rows(5, cls, h1), feature_rows(6, cls, h2), feature_rows(7, cls, *before[:2])]
+
+
+def log_softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    z = weights[rows[0]]
+    for r in rows[1:]:
+        z += weights[r]
+    z += bias
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-class Scorer:
-    """Log probabilities under fixed weights. The features that look at two classes at most are added
-    up beforehand, by (first, second) and by (first, third), so that a history takes three rows."""
-
-    CHUNK = 4096
-
-    def __init__(self, weights: np.ndarray):
-        one, two = (x.ravel() for x in np.meshgrid(np.arange(BASE), np.arange(BASE), indexing="ij"))
-        rows = feature_rows(one, two, two)
-        self.weights = weights
-        self.near = weights[rows[0]] + weights[rows[1]] + weights[rows[2]] + weights[rows[4]]
-        self.far = weights[rows[5]] + weights[rows[6]]
-
-    def __call__(self, hist: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """log P(class | history) of each token."""
-        unique, back = np.unique(hist, return_inverse=True)
-        by = np.argsort(back, kind="stable")
-        edges = np.searchsorted(back[by], np.arange(0, len(unique) + self.CHUNK, self.CHUNK))
-        out = np.empty(len(hist))
-        for k, at in enumerate(range(0, len(unique), self.CHUNK)):
-            h1, h2, h3 = split_history(unique[at : at + self.CHUNK])
-            z = self.near[h1 * BASE + h2]
-            z += self.far[h1 * BASE + h3]
-            z += self.weights[feature_rows(h1, h2, h3)[3]]
-            z -= z.max(axis=1, keepdims=True)
-            places = by[edges[k] : edges[k + 1]]
-            row = back[places] - at
-            out[places] = z[row, cls[places]]
-            out[places] -= np.log(np.exp(z, out=z).sum(axis=1))[row]
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+class Model:
+    """Weights of both factors, the class of every word in one, and the base measure: log shares of the
+    classes and of the words in each. ``order`` holds the words' places class by class."""
+
+    def __init__(self, order: np.ndarray, words: np.ndarray, shapes: np.ndarray):
+        slots = words[order].reshape(OWN, SLOTS)
+        classes = np.append(slots.sum(axis=1), shapes)
+        bias = np.log(classes / classes.sum()), np.log(slots / slots.sum(axis=1, keepdims=True))
+        self.bias = [b.astype(np.float32) for b in bias]
+        self.weights = [np.zeros((ROWS, n), dtype=np.float32) for n in (CLASSES, SLOTS)]
+        at = np.argsort(order)
+        self.classes = np.append(at // SLOTS, np.arange(OWN, CLASSES))
+        self.slots = at % SLOTS
+
+    def before(self, code: np.ndarray) -> np.ndarray:
+        """Classes of the three words of a history; the place before the text is a class of its own."""
+        words = np.array(split_history(code))
+        known = np.where(words < MODELLED, words, MODELLED + (words - MODELLED) % SHAPES)
+        return np.where(words == BEGIN, CLASSES, self.classes[known])
+
+    def __call__(self, code: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log P(class | history) and, in a word class, P(token | class, history) of each target."""
+        out = np.empty(len(code))
+        for at in range(0, len(code), EVENTS):
+            h, t = code[at : at + EVENTS], target[at : at + EVENTS]
+            cls, before = self.classes[t], self.before(h)
+            z = log_softmax(self.weights[0], class_rows(h, before), self.bias[0])
+            got = z[np.arange(len(h)), cls].astype(np.float64)
+            own = np.nonzero(t < MODELLED)[0]
+            if len(own):
+                rows = slot_rows(h[own], before[:, own], cls[own])
+                z = log_softmax(self.weights[1], rows, self.bias[1][cls[own]])
+                got[own] += z[np.arange(len(own)), self.slots[t[own]]]
+            out[at : at + EVENTS] = got
         return out
 
 
+def class_order(profile: np.ndarray) -> np.ndarray:
+    """Words in an order whose runs of SLOTS are classes: halved again and again at the median along the
+    direction in which their profiles differ most."""
+    parts = [np.arange(len(profile))]
+    while len(parts) < OWN:
+        halves = []
+        for part in parts:
+            x = profile[part] - profile[part].mean(axis=0)
+            axis = np.linalg.eigh(x.T @ x)[1][:, -1]
+            by = part[np.argsort(x @ axis, kind="stable")]
+            halves += [by[: len(by) // 2], by[len(by) // 2 :]]
+        parts = halves
+    return np.concatenate(parts)
+
+
+def profiles(events: DataFrame, words: np.ndarray) -> np.ndarray:
+    """For each word in a word class, how much oftener than by chance a frequent word stands one or two
+    places before it (positive log ratio). The counts are at most MODELLED * 2 * CONTEXT."""
+    out = np.zeros((2, MODELLED, CONTEXT))
+    near = events.where(F.col("target") < MODELLED)
+    for back in range(2):
+        word = F.expr(f"(code div {BASE**back}) % {BASE}").alias("word")
+        for r in near.select("target", "n", word).where(F.col("word") < CONTEXT).groupBy("target", "word").sum("n").collect():
+            out[back, r[0], r[1]] = r[2]
+    expected = words[:, None] * words[None, :CONTEXT] / words.sum()
+    return np.concatenate(np.log(np.maximum(out / expected, 1.0)) * (out > 1), axis=1)
+
+
+def word_number(crc: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Number in a history of a token outside of the word classes."""
+    return MODELLED + crc % HASHES * SHAPES + target - MODELLED
+
+
 class Classer:
-    """Tokens of texts as numbers: place in the head (-1 outside) and class."""
+    """Tokens of texts as numbers: place in the head (-1 outside), target, and word in a history. The
+    first ``words`` of the head are in word classes."""
 
-    def __init__(self, head: list[bytes]):
+    def __init__(self, head: list[bytes], words: int):
         self.place = {t: i for i, t in enumerate(head)}
-        self.classes = np.array([i if i < OWN else shape_class(t) for i, t in enumerate(head)] + [0], dtype=np.int64)
+        shapes = [MODELLED - OWN + shape_class(t) for t in head[words:]]
+        self.targets = np.array([*range(words), *shapes, 0], dtype=np.int64)
+        crc = np.array([zlib.crc32(t) for t in head] + [0], dtype=np.int64)
+        self.words = np.where(self.targets < MODELLED, self.targets, word_number(crc, self.targets))
 
-    def __call__(self, tokens_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, tokens_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         at = np.fromiter(map(self.place.get, tokens_, repeat(-1)), dtype=np.int64, count=len(tokens_))
-        cls = self.classes[at]
+        target, word = self.targets[at], self.words[at]
         rare = np.nonzero(at < 0)[0]
         if len(rare):
-            cls[rare] = [shape_class(tokens_[i]) for i in rare]
-        return at, cls, rare
+            own = [tokens_[i] for i in rare]
+            target[rare] = MODELLED - OWN + np.fromiter(map(shape_class, own), dtype=np.int64, count=len(own))
+            crc = np.fromiter(map(zlib.crc32, own), dtype=np.int64, count=len(own))
+            word[rare] = word_number(crc, target[rare])
+        return at, target, word, rare
 
 
 def _batches(batches: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[list, list[bytes], np.ndarray]]:
@@ -190,94 +264,102 @@ def _batches(batches: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[lis
         yield rows, flat, np.array(firsts)
 
 
-def history_counts(docs: DataFrame, head: list[bytes]) -> DataFrame:
-    """(code, n): how often a class follows a history, over rows with a lower-case ``low``."""
+def event_counts(docs: DataFrame, head: list[bytes], words: int) -> DataFrame:
+    """(code, target, n): how often a target follows a history, over rows with a lower-case ``low``."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classer = Classer(head)
+    def events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classer = Classer(head, words)
         for _, flat, firsts in _batches(batches, "low"):
-            _, cls, _ = classer(flat)
-            code, n = np.unique(histories(cls, firsts) * CLASSES + cls, return_counts=True)
-            yield pd.DataFrame({"code": code, "n": n})
-
-    return docs.select("low").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _local_steps(code: np.ndarray, n: np.ndarray, weights: np.ndarray, turn: int) -> np.ndarray:
-    """AdaGrad over one partition's histories."""
-    hist, start = np.unique(code // CLASSES, return_index=True)
-    end = np.append(start[1:], len(code))
-    cls = code % CLASSES
-    w, seen = weights.copy(), np.full((ROWS, 1), 1e-8, dtype=np.float32)
-    rng = np.random.default_rng([3, turn])
-    batch = max(1, min(CONTEXTS, len(hist) // STEPS))
-    for _ in range(max(EPOCHS, STEPS * batch // len(hist))):
-        order = rng.permutation(len(hist))
-        for at in range(0, len(order), batch):
-            pick = order[at : at + batch]
-            size = end[pick] - start[pick]
-            row = np.repeat(np.arange(len(pick)), size)
-            src = np.repeat(start[pick] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(len(row))
-            target = np.bincount(row * CLASSES + cls[src], n[src], len(pick) * CLASSES).reshape(len(pick), CLASSES)
-            total = target.sum(axis=1, keepdims=True)
-            p = np.exp(log_softmax(w, hist[pick]))
-            # Frequent histories weigh by the root of their count, so that they do not drown the rest.
-            g = ((p * total - target) / np.sqrt(total) / len(pick) * 8).astype(np.float32)
-            for rows in feature_rows(*split_history(hist[pick])):
-                by = np.argsort(rows, kind="stable")
-                own, first = np.unique(rows[by], return_index=True)
-                step = np.add.reduceat(g[by], first, axis=0)
-                seen[own] += (step * step).mean(axis=1, keepdims=True)
-                w[own] -= RATE * step / np.sqrt(seen[own])
-    return w
-
-
-def train(counts: DataFrame, partitions: int = PARTITIONS, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (ROWS x CLASSES) from (code, n). The table's rows are at most one per history and
-    class, whatever the corpus."""
-    by_history = stored(
-        counts.repartition(partitions, F.expr(f"code div {CLASSES}")).sortWithinPartitions("code"), "histories"
-    )
-    part = F.pmod(F.xxhash64(F.expr(f"code div {CLASSES}")), F.lit(partitions)).cast("int")
-    dealt = by_history.withColumn("part", part)
-    weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
-    blocks = 16
+            _, target, word, _ = classer(flat)
+            yield pd.DataFrame({"code": histories(word, firsts), "target": target.astype(np.int32)})
+
+    found = docs.select("low").mapInPandas(events, "code long, target int")
+    return found.groupBy("code", "target").agg(F.count("*").alias("n"))
+
+
+def _step(weights: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], g: np.ndarray) -> None:
+    """AdaGrad of the rows of one batch; every kind of feature gets the same gradient."""
+    flat = np.concatenate(rows)
+    by = np.argsort(flat, kind="stable")
+    own, first = np.unique(flat[by], return_index=True)
+    step = np.add.reduceat(g[by % len(g)], first, axis=0)
+    seen[own] += (step * step).mean(axis=1, keepdims=True)
+    weights[own] -= RATE * step / np.sqrt(seen[own])
+
+
+def _local_steps(parts: Iterator[tuple], model: Model, size: int) -> list[np.ndarray]:
+    """Weights after one task's events, ``size`` of them a step, each weighing by its count."""
+    weights = [w.copy() for w in model.weights]
+    seen = [np.full((ROWS, 1), START, dtype=np.float32) for _ in weights]
+    for code, target, n in parts:
+        for at in range(0, len(code), size):
+            h, t = code[at : at + size], target[at : at + size]
+            mass = n[at : at + size].astype(np.float32)[:, None]
+            cls, before = model.classes[t], model.before(h)
+            rows = class_rows(h, before)
+            g = np.exp(log_softmax(weights[0], rows, model.bias[0]))
+            g[np.arange(len(h)), cls] -= 1
+            _step(weights[0], seen[0], rows, g * mass)
+            own = np.nonzero(t < MODELLED)[0]
+            if len(own):
+                rows = slot_rows(h[own], before[:, own], cls[own])
+                g = np.exp(log_softmax(weights[1], rows, model.bias[1][cls[own]]))
+                g[np.arange(len(own)), model.slots[t[own]]] -= 1
+                _step(weights[1], seen[1], rows, g * mass[own])
+    return weights
+
+
+#: Slices of the weights that are merged apart from each other.
+BLOCKS = 16
+MOVED = "block int, task int, mass binary, moved binary"
+
+
+def _merged(moved: DataFrame, tasks: int) -> list[np.ndarray]:
+    """Mean movement of every row over the tasks that moved it, by a tree of at most FAN at a time."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        mass = sum(np.frombuffer(m, dtype=np.float32) for m in pdf["mass"])
+        total = sum(np.frombuffer(x, dtype=np.float16).astype(np.float32).reshape(len(mass), -1)
+                    * np.frombuffer(m, dtype=np.float32)[:, None] for m, x in zip(pdf["mass"], pdf["moved"]))
+        mean = (total / np.maximum(mass, 1e-9)[:, None]).astype(np.float16)
+        return pd.DataFrame({"block": pdf["block"][:1], "task": pdf["task"][:1] // FAN,
+                             "mass": [mass.tobytes()], "moved": [mean.tobytes()]})
+
+    while tasks > 1:
+        moved = moved.groupBy("block", F.expr(f"task div {FAN}")).applyInPandas(merge, MOVED)
+        tasks = -(-tasks // FAN)
+    got = {r["block"]: r["moved"] for r in moved.select("block", "moved").collect()}
+    out = []
+    for k, width in enumerate((CLASSES, SLOTS)):
+        parts = [got.get(k * BLOCKS + b, bytes(2 * ROWS // BLOCKS * width)) for b in range(BLOCKS)]
+        out.append(np.frombuffer(b"".join(parts), dtype=np.float16).reshape(ROWS, width).astype(np.float32))
+    return out
+
+
+def train(events: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
+    """Move the model's weights by stored (code, target, n), each row of which takes part in one round."""
+    total = events.count()
+    tasks = max(1, min(events.rdd.getNumPartitions(), total // TASK))
+    events = events.coalesce(tasks)
+    size = max(16, min(EVENTS, total // (tasks * rounds * STEPS)))
+    turn_of = F.pmod(F.xxhash64("code", "target"), F.lit(rounds))
     for turn in range(rounds):
 
-        def steps(batches: Iterator[pd.DataFrame], weights=weights, turn=turn) -> Iterator[pd.DataFrame]:
-            got = [(b["code"].to_numpy(), b["n"].to_numpy()) for b in batches]
-            got = [g for g in got if len(g[0])]
-            if got:
-                code, n = np.concatenate([c for c, _ in got]), np.concatenate([x for _, x in got])
-                by = np.argsort(code, kind="stable")
-                moved = _local_steps(code[by], n[by].astype(np.float64), weights, turn) - weights
-                mass = np.float32(np.sqrt(n.sum())) * moved.any(axis=1).astype(np.float32)
-                yield pd.DataFrame({
-                    "block": np.arange(blocks),
-                    "mass": [x.tobytes() for x in np.split(mass, blocks)],
-                    "moved": [x.tobytes() for x in np.split(moved * mass[:, None], blocks)],
-                })
-
-        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            """Of those partitions that moved a row: most rows belong to histories of one."""
-            mass = sum(np.frombuffer(m, dtype=np.float32) for m in pdf["mass"])
-            total = sum(np.frombuffer(x, dtype=np.float32).reshape(-1, CLASSES) for x in pdf["moved"])
-            out = (total / np.maximum(mass, 1e-9)[:, None]).astype(np.float32)
-            return pd.DataFrame({"block": pdf["block"][:1], "moved": [out.tobytes()]})
-
-        made = (
-            dealt.repartition(partitions, "part")
-            .select("code", "n")
-            .mapInPandas(steps, "block int, mass binary, moved binary")
-            .groupBy("block")
-            .applyInPandas(mean, "block int, moved binary")
-            .collect()
-        )
-        if made:
-            made.sort(key=lambda r: r["block"])
-            step = np.concatenate([np.frombuffer(r["moved"], dtype=np.float32) for r in made])
-            weights = weights + step.reshape(ROWS, CLASSES)
-    return weights
+        def steps(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            parts = ((b["code"].to_numpy(), b["target"].to_numpy(), b["n"].to_numpy()) for b in batches)
+            task = TaskContext.get().partitionId()
+            for k, (new, old) in enumerate(zip(_local_steps(parts, model, size), model.weights)):
+                new -= old
+                mass = new.any(axis=1).astype(np.float32)
+                for b, (m, x) in enumerate(zip(np.split(mass, BLOCKS), np.split(new.astype(np.float16), BLOCKS))):
+                    if m.any():
+                        yield pd.DataFrame({"block": [k * BLOCKS + b], "task": [task], "mass": [m.tobytes()],
+                                            "moved": [x.tobytes()]})
+
+        moved = events.where(turn_of == turn).select("code", "target", "n").mapInPandas(steps, MOVED)
+        for w, step in zip(model.weights, _merged(moved, tasks)):
+            w += step
+    return model
 
 
 def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,52 +375,73 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut = head_cut(counts)
     # Bounded by HEAD.
     head = sorted((-r["c"], r["token"]) for r in counts.where(F.col("c") >= cut).collect())
-    names = [t for _, t in head]
-    classed = counts.withColumn("k", class_column(F.col("token"), names[:OWN]))
-    facts = classed.groupBy("k").agg(
+    coded = [t.encode() for _, t in head]
+    c = np.array([-x for x, _ in head], dtype=np.float64)
+    facts = counts.groupBy(class_column(F.col("token"), []).alias("k")).agg(
         F.sum("c").alias("n"), F.count("*").alias("v"),
         F.sum((F.col("c") == 1).cast("int")).alias("n1"), F.sum((F.col("c") == 2).cast("int")).alias("n2"),
     ).collect()
     total, distinct = sum(r["n"] for r in facts), sum(r["v"] for r in facts)
-    n1, n2 = sum(r["n1"] for r in facts), sum(r["n2"] for r in facts)
-    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    mass, types = np.zeros(CLASSES), np.zeros(CLASSES)
+
+    # Mass and kinds of the shape classes, without the tokens in word classes.
+    mass, types = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in facts:
-        mass[r["k"]], types[r["k"]] = r["n"], r["v"]
-    off = np.where(np.arange(CLASSES) < len(names[:OWN]), 0.0, discount)
-    unknown = np.where(mass > 0, off * types / np.maximum(mass, 1), 1.0)
-    coded = [t.encode() for t in names]
+        mass[r["k"] - OWN], types[r["k"] - OWN] = r["n"], r["v"]
+    words = int((c[:MODELLED] > 1).sum())
+    inner = c[:words]
+    for n, t in zip(inner, coded):
+        mass[shape_class(t) - OWN] -= n
+        types[shape_class(t) - OWN] -= 1
+    n1, n2 = (sum(r[f"n{i}"] for r in facts) - int((inner == i).sum()) for i in (1, 2))
+    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    measure = np.append(inner, np.zeros(MODELLED - words)) + 0.01
+    unknown = np.log10(np.where(mass > 0, np.maximum(discount * types, 1e-9) / np.maximum(mass, 1), 1.0))
     low = ascii_lower(F.col("text"))
-    weights = train(history_counts(learn.select(low.alias("low")), coded))
+    events = stored(event_counts(learn.select(low.alias("low")), coded, words), "events")
+    model = train(events, Model(class_order(profiles(events, measure)), measure, mass + 0.5))
 
-    c = np.array([-x for x, _ in head], dtype=np.float64)
-    k = Classer(coded).classes[:-1]
-    base_head = np.log10((c + 1) / (total + distinct + 1))
-    in_head = np.log10((c - off[k]) / mass[k]) if len(c) else c
+    base_of = np.append(np.log10(c + 1), 0.0) - math.log10(total + distinct + 1)
+    own_share = np.zeros(len(c) + 1)
+    k = Classer(coded, words).targets[words:-1] - MODELLED
+    own_share[words:-1] = np.log10(np.maximum(c[words:] - discount, 1e-9) / np.maximum(mass[k], 1))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classer, scorer = Classer(coded), Scorer(weights)
+        classer = Classer(coded, words)
         for rows, flat, firsts in _batches(batches, "low"):
-            at, cls, rare = classer(flat)
-            of_class = scorer(histories(cls, firsts), cls)
-            base = np.zeros(len(flat))
-            inner = of_class / math.log(10)
+            at, target, word, rare = classer(flat)
+            logs = model(histories(word, firsts), target) / math.log(10)
             known = at >= 0
-            base[known] = base_head[at[known]]
-            inner[known] += in_head[at[known]]
+            logs += own_share[at]
+            logs[rare] += unknown[target[rare] - MODELLED]
             ends = np.append(firsts[1:], len(flat))
-            cuts = np.searchsorted(rare, np.append(firsts, len(flat)))
+            # Rare tokens of each row, once with their number.
+            owner = np.searchsorted(firsts, rare, side="right") - 1
+            hashed = np.array([xxhash.xxh64_intdigest(flat[i], 42) for i in rare], dtype=np.uint64).view(np.int64)
+            crc = np.array([zlib.crc32(flat[i]) for i in rare], dtype=np.int64)
+            by = np.lexsort((crc, hashed, owner))
+            owner, hashed, crc = owner[by], hashed[by], crc[by]
+            new = np.ones(len(rare), dtype=bool)
+            new[1:] = (np.diff(owner) != 0) | (np.diff(hashed) != 0) | (np.diff(crc) != 0)
+            first = np.nonzero(new)[0]
+            tf = np.diff(np.append(first, len(rare)))
+            cuts = np.searchsorted(owner[first], np.arange(len(rows) + 1))
+            hashed, crc = hashed[first], crc[first]
             yield pd.DataFrame({
                 "doc_id": [r.doc_id for r in rows],
                 "n_tokens": ends - firsts,
                 "n_head": np.add.reduceat(known.astype(np.int64), firsts),
-                "base": np.add.reduceat(base, firsts),
-                "inner": np.add.reduceat(inner, firsts),
-                "rare": [[flat[i].decode() for i in rare[a:b]] for a, b in zip(cuts, cuts[1:])],
+                "base": np.add.reduceat(base_of[at], firsts),
+                "inner": np.add.reduceat(logs, firsts),
+                "hashed": [hashed[a:b] for a, b in zip(cuts, cuts[1:])],
+                "crc": [crc[a:b] for a, b in zip(cuts, cuts[1:])],
+                "tf": [tf[a:b] for a, b in zip(cuts, cuts[1:])],
             })
 
     kind = docs.schema[id_col].dataType
-    schema = "doc_id string, n_tokens long, n_head long, base double, inner double, rare array<string>"
+    schema = (
+        "doc_id string, n_tokens long, n_head long, base double, inner double,"
+        " hashed array<long>, crc array<long>, tf array<long>"
+    )
     part = stored(
         own.select(F.col("doc_id").cast("string").alias("doc_id"), low.alias("low"))
         .mapInPandas(score, schema)
@@ -347,24 +450,26 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     def by_class(values: np.ndarray) -> Column:
-        return F.get(F.array(*[F.lit(float(x)) for x in values]), F.col("k"))
-
-    met = (
-        part.select("row", F.explode("rare").alias("token"))
-        .groupBy("row", "token")
-        .agg(F.count("*").alias("tf"))
-        .join(counts.where(F.col("c") < cut), "token", "left")
-        .withColumn("k", class_column(F.col("token"), []))
-    )
-    p = F.when(F.col("c").isNull(), by_class(unknown)).otherwise((F.col("c") - by_class(off)) / by_class(mass))
-    base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
-    rest = met.groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("tf"))).alias("rest_known"),
-        F.sum(F.col("tf") * base).alias("rest_base"),
-        F.sum(F.col("tf") * F.log10(p)).alias("rest_inner"),
+        return F.get(F.array(*[F.lit(float(x)) for x in values]), F.col("k") - OWN)
+
+    rare = counts.where(F.col("c") < cut).withColumn("k", class_column(F.col("token"), [])).select(
+        F.xxhash64("token").alias("hashed"), F.crc32(F.col("token").cast("binary")).alias("crc"),
+        F.log10(F.col("c") + 1).alias("more_base"),
+        (F.log10((F.col("c") - discount) / by_class(np.maximum(mass, 1))) - by_class(unknown)).alias("more_inner"),
+    )
+    rest = (
+        part.select("row", F.explode(F.arrays_zip("hashed", "crc", "tf")).alias("x"))
+        .select("row", "x.hashed", "x.crc", "x.tf")
+        .join(rare, ["hashed", "crc"])
+        .groupBy("row")
+        .agg(
+            F.sum("tf").alias("rest_known"),
+            F.sum(F.col("tf") * F.col("more_base")).alias("rest_base"),
+            F.sum(F.col("tf") * F.col("more_inner")).alias("rest_inner"),
+        )
     )
     zero = F.lit(0)
-    return part.join(rest, "row", "left").select(
+    return part.drop("hashed", "crc", "tf").join(rest, "row", "left").select(
         F.col("doc_id").cast(kind).alias("doc_id"),
         held_out(F.col("doc_id").cast(kind), 7, 2).alias("held_out"),
         "n_tokens",

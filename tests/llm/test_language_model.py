@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 import corpus
@@ -60,14 +61,117 @@ def test_counts_and_learning(spark, monkeypatch, head):
     assert all(r[6] < 0 for r in both)
 
 
-def test_class_probabilities_add_up(spark):
-    rng = np.random.default_rng(1)
-    w = rng.normal(size=(op.ROWS, op.CLASSES)).astype(np.float32)
-    code = rng.integers(0, op.BASE**3, 50)
-    both = op.log_softmax(w, code)
-    assert np.allclose(np.exp(both).sum(axis=1), 1, atol=1e-4)
-    cls = rng.integers(0, op.CLASSES, 50)
-    assert np.allclose(op.Scorer(w)(code, cls), both[np.arange(50), cls], atol=1e-4)
+def any_model(seed):
+    rng = np.random.default_rng(seed)
+    model = op.Model(rng.permutation(op.MODELLED), rng.random(op.MODELLED) + 0.1, rng.random(op.SHAPES) + 0.1)
+    model.weights = [rng.normal(size=w.shape).astype(np.float32) for w in model.weights]
+    return model
+
+
+def test_probabilities_add_up():
+    """Over all targets, for histories of any words."""
+    model, all_targets = any_model(1), np.arange(op.MODELLED + op.SHAPES)
+    rng = np.random.default_rng(2)
+    codes = [0, op.BASE**3 - 1, *rng.integers(0, op.BASE**3, 8)]
+    for code in codes:
+        got = model(np.full(len(all_targets), code), all_targets)
+        assert np.exp(got).sum() == pytest.approx(1, abs=1e-4)
+
+
+def plain_score(rows, model, text):
+    """The score token by token, with sums and logarithms of plain numbers."""
+    c = Counter(t for i, x, *_ in rows if not corpus.held(i, 7, 2) for t in tokens(x))
+    head = sorted(c, key=lambda t: (-c[t], t))
+    words = {t: i for i, t in enumerate(head[: op.MODELLED]) if c[t] > 1}
+    tail = head[len(words) :]
+    shape = {t: op.shape_class(t.encode()) - op.OWN for t in {*tail, *tokens(text)}}
+    n1, n2 = (sum(c[t] == i for t in tail) for i in (1, 2))
+    d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def number(t):
+        return words[t] if t in words else op.MODELLED + zlib.crc32(t.encode()) % op.HASHES * op.SHAPES + shape[t]
+
+    def class_of(h):
+        if h == op.BEGIN:
+            return op.CLASSES
+        return model.classes[h if h < op.MODELLED else op.MODELLED + (h - op.MODELLED) % op.SHAPES]
+
+    def share(w, bias, features, at):
+        z = bias + sum(w[int(op.feature_rows(k, *[np.array([p]) for p in parts])[0])] for k, *parts in features)
+        return math.log10(math.exp(z[at]) / sum(math.exp(x) for x in z))
+
+    out, past = 0.0, [op.BEGIN] * 3
+    for t in tokens(text):
+        h3, h2, h1 = past[-3:]
+        k = [class_of(h) for h in (h1, h2, h3)]
+        own = model.classes[words[t]] if t in words else op.OWN + shape[t]
+        out += share(model.weights[0], model.bias[0], [(0, h1), (1, h1, h2), (2, h2), (3, h3), (4, *k)], own)
+        if t in words:
+            features = [(5, own, h1), (6, own, h2), (7, own, *k[:2])]
+            out += share(model.weights[1], model.bias[1][own], features, model.slots[words[t]])
+        else:
+            same = [x for x in tail if shape[x] == shape[t]]
+            mass = sum(c[x] for x in same)
+            if c[t]:
+                out += math.log10((c[t] - d) / mass)
+            elif same:
+                out += math.log10(d * len(same) / mass)
+        past.append(number(t))
+    return out
+
+
+@pytest.mark.parametrize("head", [1 << 17, 4200])
+def test_scores_equal_a_plain_loop(spark, monkeypatch, head):
+    """With given weights; tokens of word classes, of the head, of the count table and unknown ones."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"W{int(rnd.paretovariate(0.5)) % 9000}{rnd.choice(['', 'é', 'ab'])}" for _ in range(150)), "en", "a") for i in range(90)]
+    rows += [(90, "", "en", "a"), (91, None, "en", "a"), (92, "nie gesehen w1", "en", "a")]
+    model = any_model(7)
+    monkeypatch.setattr(op.head_cut, "__defaults__", (head,))
+    monkeypatch.setattr(op, "train", lambda events, _: model)
+    got = {r["doc_id"]: r["score"] for r in op.document_scores(corpus.rows_to_docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for i, text, *_ in rows[::9] + rows[-3:]:
+        assert got[i] == pytest.approx(plain_score(rows, model, text), rel=1e-5)
+
+
+def test_event_counts(spark):
+    rows = [(1, "a b a b"), (2, "a b a b"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, low string")
+    got = {(r["code"], r["target"]): r["n"] for r in op.event_counts(docs, [b"a", b"b", b"\n"], 3).collect()}
+    want = Counter()
+    for _, text in rows:
+        past = [op.BEGIN] * 3
+        for t in [*text.split(), "\n"]:
+            want[past[-1] + past[-2] * op.BASE + past[-3] * op.BASE**2, ["a", "b", "\n"].index(t)] += 1
+            past.append(["a", "b", "\n"].index(t))
+    assert got == want
+
+
+def test_merging_in_a_tree_is_the_mean_of_those_that_moved(spark, monkeypatch):
+    rows = op.ROWS // op.BLOCKS
+    made = []
+    for task in range(70):
+        moved = np.zeros((rows, op.SLOTS), dtype=np.float16)
+        moved[task % 2] = task
+        mass = moved.any(axis=1).astype(np.float32)
+        made.append((op.BLOCKS + 3, task, mass.tobytes(), moved.tobytes()))
+    got = op._merged(spark.createDataFrame(made, op.MOVED), 70)
+    assert not got[0].any()
+    even, odd = [t for t in range(2, 70, 2)], [t for t in range(1, 70, 2)]
+    at = 3 * rows
+    assert got[1][at, 0] == pytest.approx(np.mean(even), rel=1e-2) and got[1][at + 1, 5] == pytest.approx(np.mean(odd), rel=1e-2)
+    assert not got[1][:at].any() and not got[1][at + 2 :].any()
+
+
+def test_words_after_the_same_words_share_a_class():
+    rng = np.random.default_rng(4)
+    group = rng.permutation(np.arange(op.MODELLED) % 2)
+    profile = rng.random((op.MODELLED, 2 * op.CONTEXT)) * 0.1
+    profile[np.arange(op.MODELLED), group * 3] += 2
+    order = op.class_order(profile)
+    assert sorted(order) == list(range(op.MODELLED))
+    assert all(len(set(x)) == 1 for x in group[order].reshape(op.OWN, op.SLOTS))
 
 
 def test_histories():
