@@ -167,6 +167,13 @@ class Model:
         self.classes = np.append(at // SLOTS, np.arange(OWN, CLASSES))
         self.slots = at % SLOTS
 
+    def __getstate__(self) -> dict:
+        """Workers get the weights in 16 bits."""
+        return self.__dict__ | {"weights": [w.astype(np.float16) for w in self.weights]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"weights": [w.astype(np.float32) for w in state["weights"]]}
+
     def before(self, code: np.ndarray) -> np.ndarray:
         """Classes of the three words of a history; the place before the text is a class of its own."""
         words = np.array(split_history(code))
@@ -344,8 +351,10 @@ def train(events: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     size = max(16, min(EVENTS, total // (tasks * rounds * STEPS)))
     turn_of = F.pmod(F.xxhash64("code", "target"), F.lit(rounds))
     for turn in range(rounds):
+        shared = events.sparkSession.sparkContext.broadcast(model)
 
-        def steps(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+        def steps(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            model = shared.value
             parts = ((b["code"].to_numpy(), b["target"].to_numpy(), b["n"].to_numpy()) for b in batches)
             task = TaskContext.get().partitionId()
             for k, (new, old) in enumerate(zip(_local_steps(parts, model, size), model.weights)):
@@ -359,6 +368,7 @@ def train(events: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
         moved = events.where(turn_of == turn).select("code", "target", "n").mapInPandas(steps, MOVED)
         for w, step in zip(model.weights, _merged(moved, tasks)):
             w += step
+        shared.destroy()
     return model
 
 
@@ -405,8 +415,10 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     k = Classer(coded, words).targets[words:-1] - MODELLED
     own_share[words:-1] = np.log10(np.maximum(c[words:] - discount, 1e-9) / np.maximum(mass[k], 1))
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classer = Classer(coded, words)
+        classer, model = Classer(coded, words), shared.value
         for rows, flat, firsts in _batches(batches, "low"):
             at, target, word, rare = classer(flat)
             logs = model(histories(word, firsts), target) / math.log(10)
@@ -448,6 +460,7 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("row", F.monotonically_increasing_id()),
         "head-scores",
     )
+    shared.destroy()
 
     def by_class(values: np.ndarray) -> Column:
         return F.get(F.array(*[F.lit(float(x)) for x in values]), F.col("k") - OWN)

@@ -64,7 +64,7 @@ def test_counts_and_learning(spark, monkeypatch, head):
 def any_model(seed):
     rng = np.random.default_rng(seed)
     model = op.Model(rng.permutation(op.MODELLED), rng.random(op.MODELLED) + 0.1, rng.random(op.SHAPES) + 0.1)
-    model.weights = [rng.normal(size=w.shape).astype(np.float32) for w in model.weights]
+    model.weights = [rng.normal(size=w.shape).astype(np.float16).astype(np.float32) for w in model.weights]
     return model
 
 
