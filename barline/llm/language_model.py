@@ -38,15 +38,17 @@ OWN, SLOTS, SHAPES = 64, 64, 32
 CLASSES = OWN + SHAPES
 #: Tokens in word classes. A target below it is such a token, others are MODELLED + shape.
 MODELLED = OWN * SLOTS
-#: Hashed features share so many rows of weights, in either factor.
-ROWS = 1 << 15
+#: Hashed features share so many rows of weights, in either factor (at most 2 ** 16).
+ROWS = 1 << 14
 #: Tokens whose counts every worker holds at most.
 HEAD = 1 << 17
 END = "\n"
 #: Rounds, rate of the steps, and the squared gradient that every row starts with.
 ROUNDS, RATE, START = 3, 0.25, 0.1
 #: Events of one step at most, steps of a task to aim at where there are few, and events that make a task.
-EVENTS, STEPS, TASK = 4096, 64, 1 << 16
+EVENTS, STEPS, TASK = 2048, 64, 1 << 16
+#: Rows of weights met oftener in a step are summed by a matrix product.
+FEW = 6
 #: Tasks whose weights are merged at a time.
 FAN = 32
 #: Tokens in a worker's arrays at a time (or one document, if it is longer).
@@ -284,20 +286,40 @@ def event_counts(docs: DataFrame, head: list[bytes], words: int) -> DataFrame:
     return found.groupBy("code", "target").agg(F.count("*").alias("n"))
 
 
+def summed_rows(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sum of their gradients; ``rows`` holds len(g) rows for each kind of feature.
+    Rows met up to FEW times are added place by place, others by a product with a 0-1 matrix."""
+    by = np.argsort(rows.astype(np.uint16), kind="stable")
+    ordered = rows[by]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    size = np.diff(np.append(first, len(rows)))
+    by %= len(g)
+    out = g[by[first]]
+    for k in range(1, FEW):
+        more = np.flatnonzero((size > k) & (size <= FEW))
+        out[more] += g[by[first[more] + k]]
+    many = np.flatnonzero(size > FEW)
+    if len(many):
+        n = size[many]
+        owner = np.repeat(np.arange(len(many)), n)
+        place = np.arange(len(owner)) + np.repeat(first[many] - np.append(0, np.cumsum(n)[:-1]), n)
+        met = np.bincount(owner * len(g) + by[place], minlength=len(many) * len(g))
+        out[many] = met.reshape(len(many), len(g)).astype(np.float32) @ g
+    return ordered[first], out
+
+
 def _step(weights: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], g: np.ndarray) -> None:
     """AdaGrad of the rows of one batch; every kind of feature gets the same gradient."""
-    flat = np.concatenate(rows)
-    by = np.argsort(flat, kind="stable")
-    own, first = np.unique(flat[by], return_index=True)
-    step = np.add.reduceat(g[by % len(g)], first, axis=0)
-    seen[own] += (step * step).mean(axis=1, keepdims=True)
-    weights[own] -= RATE * step / np.sqrt(seen[own])
+    own, step = summed_rows(np.concatenate(rows), g)
+    seen[own] += np.einsum("ij,ij->i", step, step) / g.shape[1]
+    step *= (RATE / np.sqrt(seen[own]))[:, None]
+    weights[own] -= step
 
 
 def _local_steps(parts: Iterator[tuple], model: Model, size: int) -> list[np.ndarray]:
     """Weights after one task's events, ``size`` of them a step, each weighing by its count."""
     weights = [w.copy() for w in model.weights]
-    seen = [np.full((ROWS, 1), START, dtype=np.float32) for _ in weights]
+    seen = [np.full(ROWS, START, dtype=np.float32) for _ in weights]
     for code, target, n in parts:
         for at in range(0, len(code), size):
             h, t = code[at : at + size], target[at : at + size]

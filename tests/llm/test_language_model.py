@@ -200,3 +200,13 @@ def test_nothing_to_learn(spark):
     held = [(i, "some text", "en", "a") for i in range(200) if corpus.held(i, 7, 2)]
     got = op.document_scores(corpus.rows_to_docs(spark, held)).collect()
     assert all(r["train_tokens"] == 0 and r["base_score"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_summed_rows():
+    rng = np.random.default_rng(6)
+    g = rng.normal(size=(300, 5)).astype(np.float32)
+    rows = np.concatenate([np.minimum(rng.geometric(0.2, 300), 40), rng.integers(0, op.ROWS, 300)])
+    own, got = op.summed_rows(rows, g)
+    want = np.zeros((op.ROWS, 5))
+    np.add.at(want, rows, np.concatenate([g, g]))
+    assert list(own) == sorted(set(rows.tolist())) and np.allclose(got, want[own], atol=1e-3)
