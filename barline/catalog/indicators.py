@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barline.catalog.registry import SQL, query, tidy
@@ -9,7 +11,8 @@ from barline.catalog.sql import B, B_GAPS, KALMAN, anchored_vwap, cols, flat_mea
 from barline.functions.series import with_rn
 from barline.operators import indicators as I
 from barline.plans.indicators import Spec, with_indicators
-from barline.sources import derived
+from barline.session import checkpoint_dir
+from barline.sources import derived, stored
 
 
 def _w(n: int, order: str = "rn") -> str:
@@ -346,6 +349,16 @@ def indicator_request(spark, sf):
     return tidy(df, "symbol", "date", "sma", "bb_upper", "bb_lower", "slowd")
 
 
+@query("bucketed_indicators", SQL["indicator_request"])
+def bucketed_indicators(spark, sf):
+    """The same request over bars that lie bucketed by symbol."""
+    name = f"bars_{uuid.uuid4().hex}"
+    stored.write_bucketed(derived.bars(spark, sf), name, f"{checkpoint_dir(spark)}/{name}", 16)
+    specs = [Spec("bbands"), Spec("sma", {"timeperiod": 50}), Spec("stoch")]
+    df = with_indicators(stored.read_bucketed(spark, name), specs)
+    return tidy(df, "symbol", "date", "sma", "bb_upper", "bb_lower", "slowd")
+
+
 _BOARD = """rsi macd bollinger sma ema atr_trailing vwap_highest vwap_lowest bvc stochastic
 kalman_zscore yz_volatility""".split()
 

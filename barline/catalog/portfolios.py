@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
 
-from barline.catalog.registry import query, r, tidy
+from barline.catalog.registry import SQL, query, r, tidy
 from barline.catalog.sql import POSITIONS, PRICED, TRANSACTIONS, cols, with_
 from barline.functions import scalars as S
-from barline.operators import portfolio, tables
-from barline.sources import derived
+from barline.operators import pages, portfolio, tables
+from barline.session import checkpoint_dir
+from barline.sources import derived, stored
 
 AS_OF = date(2001, 6, 30)
 
@@ -356,16 +358,30 @@ def delete_positions(spark, sf):
 )
 def replace_positions(spark, sf):
     lots = derived.positions(spark, sf)
+    return tidy(tables.replace_by_key(lots, _changed_lots(lots), "seq"), "id", "ticker", "quantity", "notes")
+
+
+def _changed_lots(lots):
     rows = lots.where(F.col("notes") == "O")
     # Every key three times; the last write is the one to see.
-    new = rows.select("id", F.explode(F.array(*[F.lit(k) for k in (2, 3, 1)])).alias("seq"), "quantity").select(
+    return rows.select("id", F.explode(F.array(*[F.lit(k) for k in (2, 3, 1)])).alias("seq"), "quantity").select(
         "id",
         "seq",
         F.when(F.col("seq") == 3, F.lit("NEW")).otherwise(F.lit("EARLIER")).alias("ticker"),
         (F.col("quantity") * (F.col("seq") - 1)).cast("decimal(15,6)").alias("quantity"),
         F.when(F.col("seq") < 3, F.lit("earlier")).alias("notes"),
     )
-    return tidy(tables.replace_by_key(lots, new, "seq"), "id", "ticker", "quantity", "notes")
+
+
+@query("merged_positions", SQL["replace_positions"])
+def merged_positions(spark, sf):
+    """The same edits merged into a stored table, which is then read back."""
+    lots = derived.positions(spark, sf)
+    path = f"{checkpoint_dir(spark)}/positions-{uuid.uuid4().hex}"
+    stored.write_keyed(lots, path, ["id"], 16)
+    rows = _changed_lots(lots)
+    stored.merge_keyed(spark, path, lots.schema, rows, ["id"], lambda old, new: tables.replace_by_key(old, new, "seq"), 16)
+    return tidy(stored.read_keyed(spark, path, lots.schema), "id", "ticker", "quantity", "notes")
 
 
 @query(
@@ -434,6 +450,41 @@ def transaction_page(spark, sf):
     return tables.page(df, [F.col("transaction_date").desc(), F.col("id")], 2, 25)
 
 
+@query(
+    "deep_transaction_page",
+    with_(TRANSACTIONS)
+    + """ SELECT id, ticker, transaction_date FROM transactions
+    ORDER BY transaction_date DESC, id LIMIT 25 OFFSET (SELECT 25 * (count(*) // 50) FROM transactions)""",
+)
+def deep_transaction_page(spark, sf):
+    """The page in the middle of all transactions."""
+    df = derived.transactions(spark, sf).select("id", "ticker", "transaction_date")
+    index = pages.numbered(df, [F.col("transaction_date").desc(), F.col("id")])
+    return index.page(df.count() // 50, 25)
+
+
+@query(
+    "numbered_transactions",
+    with_(TRANSACTIONS)
+    + """ SELECT id, row_number() OVER (ORDER BY transaction_date DESC, id) - 1 AS number FROM transactions""",
+)
+def numbered_transactions(spark, sf):
+    df = derived.transactions(spark, sf).select("id", "transaction_date")
+    return pages.numbered(df, [F.col("transaction_date").desc(), F.col("id")]).numbers().drop("transaction_date")
+
+
+@query(
+    "next_transactions",
+    with_(TRANSACTIONS)
+    + """ SELECT id, ticker, transaction_date FROM transactions WHERE transaction_date < DATE '1996-01-01'
+    ORDER BY transaction_date DESC, id LIMIT 25""",
+)
+def next_transactions(spark, sf):
+    """The page after the last transaction of a given day, by its key."""
+    df = derived.transactions(spark, sf).select("id", "ticker", "transaction_date")
+    return pages.next_page(df, [("transaction_date", True), ("id", False)], [date(1996, 1, 1), 2**62])
+
+
 @query(
     "close_price_or_price",
     with_(TRANSACTIONS)
