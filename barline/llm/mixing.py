@@ -6,6 +6,10 @@ over what the sources still have to give, so the draws add up to the targets. Th
 numbered, and slot number i takes block perm(i mod blocks): a pseudorandom permutation per source and
 round (a four-round Feistel network walked until it falls inside), computed on the row. Slots and
 blocks meet by (source, block).
+
+Sources are rows of a table, any number of them. Targets come from a few aggregates over it. A multinomial
+draw over sources is one over groups of sources followed by one within each group: the first is made
+for the at most ``GROUPS`` group sums, the second in a task per group.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.llm.common import NOT_SPACE, query, shuffle_partitions, stored, table
+from barline.operators.pages import numbered
 
 BLOCK = 64
 SHARDS = 64
@@ -24,37 +29,50 @@ SEED = 11
 MAX_REPEAT = 3
 #: Running positions are summed in so many parts of each source, so that none is one task's work.
 PARTS = 1024
-#: Sources a mix may name. Their sizes and draws are handled on the driver.
-MAX_SOURCES = 100_000
-
-
-def share_out(sizes: list[int], weights: list[float], most: float = MAX_REPEAT) -> list[float]:
-    """Targets in proportion to the weights that add up to the sum of sizes. None exceeds ``most``
-    times its size; what is over goes to the others by weight until none is above."""
-    target = [0.0] * len(sizes)
-    rest, open_ = float(sum(sizes)), list(range(len(sizes)))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        above = [i for i in open_ if rest * weights[i] / total > most * sizes[i]]
-        if not above:
-            for i in open_:
-                target[i] = rest * weights[i] / total
+#: Sources fall into so many groups at most, whose sums are drawn first.
+GROUPS = 1024
+#: A source's entry is copied so often where rows look it up, so that a source's rows are no one task's work.
+SALTS = 16
+
+
+def share_out(sources: DataFrame, most: float = MAX_REPEAT) -> DataFrame:
+    """Add ``target`` to rows of source_size and weight: shares in proportion to the weights that add up to
+    the sum of sizes. None exceeds ``most`` times its size; what is over goes to the others by weight until
+    none is above.
+
+    A source is closed once ``level * weight`` exceeds its limit. Closing raises the level for the others,
+    so one number tells which are closed, and each turn is an aggregate over the sources.
+    """
+    limit, weight = F.col("source_size") * F.lit(most), F.col("weight")
+    level = 0.0
+    while True:
+        above = weight * F.lit(level) > limit
+        got = sources.agg(
+            F.sum("source_size").alias("all"),
+            F.sum(F.when(above, limit)).alias("closed"),
+            F.sum(F.when(~above, weight)).alias("open"),
+        ).first()
+        rest = float((got["all"] or 0) - (got["closed"] or 0))
+        new = rest / got["open"] if got["open"] else level
+        if new <= level * (1 + 1e-12):
             break
-        for i in above:
-            target[i] = float(most * sizes[i])
-            rest -= target[i]
-        open_ = [i for i in open_ if i not in set(above)]
-    return target
+        level = new
+    share = weight * F.lit(rest) / F.lit(got["open"] or 1.0)
+    return sources.withColumn("target", F.when(above, limit).otherwise(F.least(share, limit)).cast("double"))
 
 
-def draw_shards(slots: list[int], shards: int = SHARDS, seed: int = SEED) -> np.ndarray:
-    """Slots by (shard, source). Each shard's counts are a multinomial draw over what is left, cut to
-    it; the cut slots are drawn again, and the last shard takes the rest."""
+def shard_sizes(slots: int, shards: int) -> list[int]:
+    """Equal shares of the slots, to one."""
+    return [slots * (k + 1) // shards - slots * k // shards for k in range(shards)]
+
+
+def draw_shards(slots: list[int], wanted: list[int], seed) -> np.ndarray:
+    """Slots by (shard, source), ``wanted`` of them a shard, which use up all slots. Each shard's counts are
+    a multinomial draw over what is left, cut to it; the cut slots are drawn again."""
     left = np.array(slots, dtype=np.int64)
-    out = np.zeros((shards, len(left)), dtype=np.int64)
+    out = np.zeros((len(wanted), len(left)), dtype=np.int64)
     rng = np.random.default_rng(seed)
-    for k in range(shards):
-        want = int(left.sum()) // (shards - k)
+    for k, want in enumerate(wanted):
         while want > 0 and left.sum() > 0:
             got = np.minimum(rng.multinomial(want, left / left.sum()), left)
             out[k] += got
@@ -98,29 +116,34 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     )
 
 
-def plan_mix(sized: DataFrame, weights=None, max_repeat: float = MAX_REPEAT) -> list[dict]:
-    """One entry per source, by code point, null last: source, rank, size, target. ``weights`` maps
-    the rank (from 0) to a weight; by default 1, 2, 3 repeating."""
-    weights = weights or (lambda k: 1.0 + k % 3)
-    found = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"a mix may name at most {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [int(r["size"]) for r in found]
-    targets = share_out(sizes, [weights(k) for k in range(len(found))], max_repeat)
-    return [
-        {"source": r["source"], "rank": k, "source_size": sizes[k], "target": targets[k]}
-        for k, r in enumerate(found)
-    ]
+def plan_mix(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeat: float = MAX_REPEAT) -> DataFrame:
+    """One stored row per source: source, rank by code point (from 0, null last), source_size, weight
+    and target. ``weights`` repeat along the ranks."""
+    found = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    ranked = numbered(found, [F.col("source").asc_nulls_last()]).numbers("rank")
+    turn = F.pmod("rank", F.lit(len(weights))).cast("int")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), turn)
+    sources = stored(ranked.withColumn("weight", weight), "sources")
+    return stored(share_out(sources, max_repeat).select("source", "rank", "source_size", "weight", "target"), "mix-plan")
+
+
+def with_source(rows: DataFrame, plan: DataFrame, on: str) -> DataFrame:
+    """Rows with columns of their source, found by ``on`` (null meets null). Spark broadcasts the plan if
+    its stored size allows; else rows are shuffled by source and salt."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    copies = plan.withColumnRenamed(on, "_on").withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", salt)
+    same = rows[on].eqNullSafe(copies["_on"]) & (rows["_salt"] == copies["_to"])
+    return rows.join(copies, same).drop("_on", "_salt", "_to")
 
 
 def place(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """Each document with its place ``start`` in its source's stream of words. The stream's order is
     by (part, doc_id), where the part is a hash of the identifier."""
-    rows = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).select(
+    rows = with_source(sized, plan.select("source", "rank"), "source").select(
         "doc_id", "rank", "size", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part")
     )
-    rows = stored(rows, "sizes")
+    rows = stored(rows, "ranked")
     by_rank = Window.partitionBy("rank").orderBy("part")
     before = (
         rows.groupBy("rank", "part")
@@ -153,22 +176,41 @@ def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def slots(spark, plan: list[dict], block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+RUNS = "shard int, rank long, count long, begin long, blocks long"
+
+
+def drawn_runs(plan: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """Rows of shard, rank, count, begin and blocks: a shard takes ``count`` slots of a source from its
+    ``begin``-th on. Shards are equal to one slot."""
+    blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
+    # By a source's mean block, as its last block may be short; MAX_REPEAT rounds at most.
+    wanted = F.bround(F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))).cast("long")
+    sources = plan.withColumn("blocks", blocks).select(
+        "rank", "blocks", wanted.alias("slots"), F.pmod("rank", F.lit(GROUPS)).cast("int").alias("group")
+    )
+    sums = {r["group"]: r["n"] for r in sources.groupBy("group").agg(F.sum("slots").alias("n")).collect()}
+    groups = sorted(sums)
+    of_shard = shard_sizes(sum(sums.values()), shards)
+    # At most GROUPS columns.
+    of_group = dict(zip(groups, draw_shards([sums[g] for g in groups], of_shard, seed).T))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        group = int(pdf["group"].iloc[0])
+        drawn = draw_shards(pdf["slots"].tolist(), of_group[group].tolist(), [seed, group])
+        begin = np.cumsum(drawn, axis=0) - drawn
+        shard, at = np.nonzero(drawn)
+        return pd.DataFrame({"shard": shard.astype(np.int32), "rank": pdf["rank"].to_numpy()[at],
+                             "count": drawn[shard, at], "begin": begin[shard, at],
+                             "blocks": pdf["blocks"].to_numpy()[at]})
+
+    return sources.groupBy("group").applyInPandas(draw, RUNS)
+
+
+def slots(spark, plan: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix: a row per slot with shard, slot, rank (of the source) and block. No block is taken more
     than MAX_REPEAT times, and every block of a source is taken once before any is taken again."""
-    blocks = [-(-p["source_size"] // block) for p in plan]
-    # By a source's mean block, as its last block may be short; MAX_REPEAT rounds at most.
-    wanted = [round(p["target"] * b / max(1, p["source_size"])) for p, b in zip(plan, blocks)]
-    drawn = draw_shards(wanted, shards, seed)
-    begin = np.cumsum(drawn, axis=0) - drawn
-    runs = [
-        (k, r, int(drawn[k, r]), int(begin[k, r]), int(blocks[r]))
-        for k in range(shards)
-        for r in range(len(plan))
-        if drawn[k, r]
-    ]
-    schema = "shard int, rank int, count long, begin long, blocks long"
-    drawn_df = spark.createDataFrame(runs, schema)
+    drawn_df = stored(drawn_runs(plan, block, shards, seed), "draws")
 
     @F.pandas_udf("long")
     def block_of(i: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
@@ -197,7 +239,7 @@ def mix(
     block: int = BLOCK,
     shards: int = SHARDS,
     seed: int = SEED,
-) -> tuple[DataFrame, DataFrame, list[dict]]:
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(placed documents, mixed pieces, plan). The mixed pieces are the training mix: rows of shard,
     i (number of the slot within its source), rank, block, doc_id, start, first_word and n.
 
@@ -205,12 +247,9 @@ def mix(
     Rows that repeat an identifier are documents of their own. An empty table gives an empty mix;
     other columns are not looked at.
     """
-    sized = _sized(docs, id_col, text_col, source_col)
+    sized = stored(_sized(docs, id_col, text_col, source_col), "sizes")
     plan = plan_mix(sized)
-    schema = "source string, rank int, source_size long, target double"
-    # Bounded: at most MAX_SOURCES rows.
-    plan_df = docs.sparkSession.createDataFrame([tuple(p.values()) for p in plan], schema)
-    placed = stored(place(sized, plan_df), "placed")
+    placed = stored(place(sized, plan), "placed")
     # Sizes before the slots are counted out say nothing about them: no broadcast may follow from these.
     drawn = slots(docs.sparkSession, plan, block, shards, seed).hint("merge")
     mixed = drawn.join(pieces(placed, block), ["rank", "block"])
@@ -220,17 +259,12 @@ def mix(
 def taken_words(docs: DataFrame, **kw) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken."""
     placed, mixed, plan = mix(docs, **kw)
-    spark = docs.sparkSession
-    schema = "source string, rank int, source_size long, target double"
-    plan_df = spark.createDataFrame([tuple(p.values()) for p in plan], schema)
     # A document with words has its place in the stream to itself.
     taken = mixed.groupBy("rank", "start").agg(F.sum("n").alias("taken"))
-    return (
-        placed.join(taken, ["rank", "start"], "left")
-        .withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long"))
-        .join(F.broadcast(plan_df), "rank")
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+    rows = placed.join(taken, ["rank", "start"], "left").withColumn(
+        "taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
     )
+    return with_source(rows, plan, "rank").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 @query("op8_mixing")
