@@ -170,3 +170,11 @@ def student_t_balance(z2: Column, df: float) -> Column:
     small = _beta_series(low, 0.5, df / 2.0)
     large = F.lit(1.0) - _beta_series(low, df / 2.0, 0.5)
     return F.when(x <= 0.5, small).otherwise(large)
+
+
+def exact_sum(amount: Column) -> Column:
+    """Sum of amounts of money, each taken to 8 decimals, so that it does not depend on the order in which
+    tasks finish. Where one is not finite or beyond 10^20, the plain sum of doubles."""
+    exact = amount.try_cast("decimal(28,8)")
+    whole = F.count(amount) == F.count(exact)
+    return F.when(whole, F.sum(exact).cast("double")).otherwise(F.sum(amount))

@@ -65,10 +65,8 @@ def lot_profit(priced: DataFrame) -> DataFrame:
 
 def portfolio_summary(priced: DataFrame) -> DataFrame:
     """One row: total value, invested, profit and percent (0 when nothing is invested)."""
-    value = F.sum(F.col("current_price") * _d("quantity")).alias("total_value")
-    invested = F.sum(
-        F.col("purchase_price").cast("double") * _d("quantity")
-    ).alias("total_invested")
+    value = S.exact_sum(F.col("current_price") * _d("quantity"))
+    invested = S.exact_sum(_d("purchase_price") * _d("quantity"))
     tot = priced.agg(F.coalesce(value, F.lit(0.0)).alias("total_value"),
                      F.coalesce(invested, F.lit(0.0)).alias("total_invested"))
     v, i = F.col("total_value"), F.col("total_invested")
@@ -100,10 +98,10 @@ def weights(priced: DataFrame) -> DataFrame:
     """Share of each ticker in the total value. The total is a scalar subquery, so there is no
     one-partition window."""
     per = priced.groupBy("ticker").agg(
-        F.sum(_d("quantity")).alias("total_quantity"),
-        F.sum(F.col("current_price") * _d("quantity")).alias("total_value"),
+        S.exact_sum(_d("quantity")).alias("total_quantity"),
+        S.exact_sum(F.col("current_price") * _d("quantity")).alias("total_value"),
     )
-    total = priced.select(F.sum(F.col("current_price") * _d("quantity"))).scalar()
+    total = priced.select(S.exact_sum(F.col("current_price") * _d("quantity"))).scalar()
     return per.withColumn("weight", F.col("total_value") / total)
 
 

@@ -16,16 +16,6 @@ BARS = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in PRICE_FIELDS]
 )
 
-SECTOR_SERIES = T.StructType(
-    [
-        T.StructField("sector_type", T.IntegerType()),
-        T.StructField("sector_id", T.IntegerType()),
-        T.StructField("sector_name", T.StringType()),
-        T.StructField("date", T.DateType()),
-        T.StructField("close", T.DoubleType()),
-    ]
-)
-
 REPORTS = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -49,20 +39,6 @@ POSITIONS = T.StructType(
     ]
 )
 
-TRANSACTIONS = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("ticker", T.StringType()),
-        T.StructField("transaction_type", T.StringType()),
-        T.StructField("quantity", QTY),
-        T.StructField("price", QTY),
-        T.StructField("close_price", QTY),
-        T.StructField("transaction_date", T.DateType()),
-        T.StructField("fees", FEE),
-        T.StructField("notes", T.StringType()),
-    ]
-)
-
 CLOSE_REQUESTS = T.StructType(
     [
         T.StructField("seq", T.LongType()),
@@ -81,4 +57,3 @@ SECTOR_METRICS = (
     "roe_ttm", "lnst_yoy_ttm", "doanhthuthuan_ttm", "lnst_ttm", "ocf_ttm", "lnst_yoy_q",
     "novay_q", "tonkho_q", "phaithu_q", "tts_q", "vcsh_q",
 )
-SECTOR_KEYS = ("id", "level", "type", "name") + SECTOR_METRICS

@@ -318,3 +318,17 @@ def test_stream_keeps_the_latest_price(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.symbol: r.price for r in spark.table("latest").collect()} == {"A": 3.0, "B": 5.0}
+
+
+def test_sums_of_money_do_not_depend_on_the_order(spark):
+    amounts = [0.1, 1e15, -1e15, 0.2, 3e-8, None] * 40
+    want = None
+    for seed in range(4):
+        rows = [(x,) for x in random.Random(seed).sample(amounts, len(amounts))]
+        got = spark.createDataFrame(rows, "x double").repartition(3).agg(S.exact_sum(F.col("x"))).first()[0]
+        assert want in (None, got) and abs(got - 12.0000012) < 1e-12
+        want = got
+    for odd in (float("inf"), 1e25):
+        df = spark.createDataFrame([(odd,), (1.0,), (None,)], "x double")
+        assert df.agg(S.exact_sum(F.col("x"))).first()[0] == odd
+    assert spark.createDataFrame([], "x double").agg(S.exact_sum(F.col("x"))).first()[0] is None
