@@ -82,7 +82,7 @@ def latest_price(spark, sf):
     with_(DENSE) + f" SELECT symbol, date, rn, {cols(**{c: c for c in OHLCV})} FROM dense",
 )
 def dense_grid(spark, sf):
-    return tidy(grid.densify(derived.bars(spark, sf)))
+    return tidy(grid.densify(derived.bars_by_symbol(spark, sf, derived.DENSE_PART)))
 
 
 @query(

@@ -38,7 +38,7 @@ _CROSSED = with_(B, _MA, _cross("close", "ma", "m", "x"))
     + " SELECT symbol, date, coalesce(above, false) AS above, coalesce(below, false) AS below FROM x",
 )
 def crossings(spark, sf):
-    df = I.sma(derived.bars(spark, sf), 10)
+    df = I.sma(derived.bars_by_symbol(spark, sf), 10)
     pair = (F.col("close"), F.col("sma"))
     df = signals.crossings(df, {"above": (*pair, "above"), "below": (*pair, "below")})
     return df.select("symbol", "date", "above", "below")
@@ -52,7 +52,7 @@ def crossings(spark, sf):
       two="lag(close, 2) OVER (PARTITION BY symbol ORDER BY rn)")} FROM b""",
 )
 def shifted(spark, sf):
-    df = signals.shift(derived.bars(spark, sf), "close", 1, "one")
+    df = signals.shift(derived.bars_by_symbol(spark, sf), "close", 1, "one")
     return tidy(signals.shift(df, "close", 2, "two"), "symbol", "date", "one", "two")
 
 
@@ -78,7 +78,7 @@ f AS MATERIALIZED (SELECT symbol, date, rn, low, coalesce(close > ma, false) AS
     + " SELECT symbol, date, hit AS first_entry FROM s",
 )
 def first_entries(spark, sf):
-    df = I.sma(derived.bars(spark, sf), 10)
+    df = I.sma(derived.bars_by_symbol(spark, sf), 10)
     df = grid.combine(df, "entry", F.col("close") > F.col("sma"))
     df = grid.combine(df, "leave", F.col("volume") < 12)
     return signals.first_entries(df, "entry", "leave").select("symbol", "date", "first_entry")
@@ -91,7 +91,7 @@ def first_entries(spark, sf):
       IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY rn)''')} FROM f""",
 )
 def low_at_entry(spark, sf):
-    df = I.sma(derived.bars(spark, sf), 10)
+    df = I.sma(derived.bars_by_symbol(spark, sf), 10)
     df = grid.combine(df, "entry", F.col("close") > F.col("sma"))
     return tidy(signals.low_at_entry(df, "entry"), "symbol", "date", "low_at_entry")
 
@@ -104,7 +104,7 @@ def low_at_entry(spark, sf):
     FROM m""",
 )
 def combined_conditions(spark, sf):
-    df = I.sma(derived.bars(spark, sf), 10)
+    df = I.sma(derived.bars_by_symbol(spark, sf), 10)
     a, b = F.col("close") > F.col("sma"), F.col("volume") > 20
     return df.select(
         "symbol",
@@ -138,10 +138,10 @@ def _flags(df, count: int):
 @query("squeeze_signals", with_(*squeeze_parts(_SPARSE), recursive=True) + _side_by_side(3))
 def squeeze_signals(spark, sf):
     sweep = signals.strategy_params(signals.SQUEEZE)
-    return _flags(signals.squeeze_signals(with_rn(derived.bars(spark, sf)), sweep), 3)
+    return _flags(signals.squeeze_signals(with_rn(derived.bars_by_symbol(spark, sf)), sweep), 3)
 
 
 @query("ttm_signals", with_(*ttm_parts(_SPARSE), recursive=True) + _side_by_side(2))
 def ttm_signals(spark, sf):
     sweep = signals.strategy_params(signals.TTM)
-    return _flags(signals.ttm_signals(with_rn(derived.bars(spark, sf)), sweep), 2)
+    return _flags(signals.ttm_signals(with_rn(derived.bars_by_symbol(spark, sf)), sweep), 2)

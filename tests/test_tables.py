@@ -332,3 +332,30 @@ def test_sums_of_money_do_not_depend_on_the_order(spark):
         df = spark.createDataFrame([(odd,), (1.0,), (None,)], "x double")
         assert df.agg(S.exact_sum(F.col("x"))).first()[0] == odd
     assert spark.createDataFrame([], "x double").agg(S.exact_sum(F.col("x"))).first()[0] is None
+
+
+def test_partitions_by_symbol_grow_with_the_ticks(spark):
+    import re
+
+    from barline.operators import indicators
+    from barline.sources import derived
+
+    sf = "/root/testdata/sf0.01"
+    ticks = derived.table(spark, sf, "lineitem").count()
+    bars = derived.bars_by_symbol(spark, sf, 1000)
+    assert bars.rdd.getNumPartitions() == -(-ticks // 1000)
+    assert sorted(bars.collect()) == sorted(derived.bars(spark, sf).collect())
+    # Windows by symbol follow that exchange, whatever the session's number of partitions.
+    text = indicators.macd(bars)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(symbol#\d+, (\d+)\)", text) == [str(-(-ticks // 1000))]
+
+
+def test_windowed_queries_take_bars_by_symbol(spark):
+    import re
+
+    from barline.catalog import QUERIES
+
+    for name in ("indicator_board", "macd", "vwap_highest", "squeeze_signals", "ttm_signals", "squeeze_backtest", "ttm_backtest"):
+        text = QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in text, name
+        assert not re.search(r"hashpartitioning\(symbol#\d+, \d+\), ENSURE_REQUIREMENTS", text), name
