@@ -19,6 +19,22 @@ def count(text, node):
     return len(re.findall(rf"\b{node}\b", text))
 
 
+def method_sizes(spark, df):
+    """Bytes of the largest method of each compiled stage; the JVM only interprets those of over 8,000."""
+    debug = getattr(getattr(spark._jvm, "org.apache.spark.sql.execution.debug.package$"), "MODULE$")
+    text = debug.codegenString(df._jdf.queryExecution().executedPlan())
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+
+
+def largest_method(spark, make):
+    """Over the plan as it is before any stage has run."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return max(method_sizes(spark, make()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_bars_aggregate_before_the_shuffle(spark):
     text = plan(derived.bars(spark, SF))
     assert "partial_min_by" in text and "SortAggregate" not in text
@@ -124,3 +140,10 @@ def test_return_table_is_written_once_and_scanned_twice_at_most(spark):
         assert "l_extendedprice" not in text, name
         assert len(re.findall(r"FileScan parquet \[[^\]]*ret#", text)) <= 2, name
         assert count(text, "SinglePartition") <= 3, name
+
+
+def test_short_frames_compile_to_small_methods(spark):
+    from barline.catalog import QUERIES
+
+    assert largest_method(spark, lambda: QUERIES["trades_with_features"](spark, SF)) < 8000
+    assert largest_method(spark, lambda: QUERIES["scored_trades_logistic"](spark, SF)) < 8000
