@@ -147,3 +147,12 @@ def test_short_frames_compile_to_small_methods(spark):
 
     assert largest_method(spark, lambda: QUERIES["trades_with_features"](spark, SF)) < 8000
     assert largest_method(spark, lambda: QUERIES["scored_trades_logistic"](spark, SF)) < 8000
+
+
+def test_calendar_of_the_grid_needs_no_bars(spark):
+    from barline.catalog import QUERIES
+
+    for name in ("mean_return", "ttm_backtest"):
+        text = plan(QUERIES[name](spark, SF))
+        # the bars' own aggregate, before and after its shuffle
+        assert len(re.findall(r"Aggregate\(keys=\[symbol#\d+, date#\d+\]", text)) == 2, name
