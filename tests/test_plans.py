@@ -156,3 +156,12 @@ def test_calendar_of_the_grid_needs_no_bars(spark):
         text = plan(QUERIES[name](spark, SF))
         # the bars' own aggregate, before and after its shuffle
         assert len(re.findall(r"Aggregate\(keys=\[symbol#\d+, date#\d+\]", text)) == 2, name
+
+
+def test_bars_by_symbol_group_after_the_ticks_are_dealt(spark):
+    # a table of several parts
+    text = plan(derived.bars_by_symbol(spark, SF.replace("0.001", "0.1")))
+    assert count(text, "Exchange hashpartitioning") == 2
+    # the innermost exchange carries ticks: no aggregate holds a scan's split
+    _, _, below = text.rpartition("Exchange hashpartitioning")
+    assert "Aggregate" not in below and "FileScan" in below
