@@ -165,3 +165,20 @@ def test_bars_by_symbol_group_after_the_ticks_are_dealt(spark):
     # the innermost exchange carries ticks: no aggregate holds a scan's split
     _, _, below = text.rpartition("Exchange hashpartitioning")
     assert "Aggregate" not in below and "FileScan" in below
+
+
+def test_scored_trades_deal_written_bars_by_their_count(spark):
+    """Bars read back have lost their partitions: without an exchange of its own, each window takes a fixed number."""
+    from barline.plans import features
+    from barline.session import written
+
+    sf = SF.replace("0.001", "0.01")
+    bars = written(derived.dealt_bars(spark, sf), "bars")
+    dealt = derived.by_symbol(spark, sf, bars, 10_000)
+    at = bars.where("symbol < 'S5' and volume < 20").select("symbol", "date")
+    some = features.feature_table(dealt, derived.by_symbol(spark, sf, at, 10_000))
+    assert {int(n) for n in re.findall(r"Exchange hashpartitioning\(symbol#\d+, (\d+)\)", plan(some))} == {6}
+    names = ["symbol", "date", "rsi_window_14", "kf_distance", "msr_rank_10"]
+    kept = some.select(*names)
+    want = features.feature_table(dealt).join(at, ["symbol", "date"], "left_semi").select(*names)
+    assert kept.count() == want.count() > 0 and kept.exceptAll(want).count() == 0
