@@ -10,10 +10,10 @@ same frequent words stand share a class. All other tokens are classed by their s
 tokens have a class too; in it a token has its relative frequency with an absolute discount, whose mass
 goes to the unknown token.
 
-Training counts (history, target) over all learned texts with a ``groupBy``; that table grows with the
-corpus. Its rows are dealt over rounds. In a round each task reads its rows as a stream and takes AdaGrad
-steps from common weights; a row of weights then moves by the mean of the tasks that moved it, merged
-in a tree. Weights have a fixed size, token counts do not: workers hold the frequent head only (a
+Training counts (history, target) over all learned texts with a ``groupBy`` on ranges of hashed histories;
+that table grows with the corpus and holds a range in a row, packed. Its events are dealt over rounds. In
+a round each task reads its rows as a stream and takes AdaGrad steps from common weights; a row of weights
+then moves by the mean of the tasks that moved it, merged in a tree. Weights have a fixed size, token counts do not: workers hold the frequent head only (a
 bounded dictionary), all other tokens meet their counts in a join on 12 bytes of hashes.
 """
 
@@ -22,16 +22,17 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import ascii_lower, held_out, query, stored, table
+from barline.llm.common import held_out, query, stored, table
 
 #: Classes of words, words in each, classes of shapes, and all classes.
 OWN, SLOTS, SHAPES = 64, 64, 32
@@ -42,34 +43,67 @@ MODELLED = OWN * SLOTS
 ROWS = 1 << 14
 #: Tokens whose counts every worker holds at most.
 HEAD = 1 << 17
-END = "\n"
+END = b"\n"
 #: Rounds, rate of the steps, and the squared gradient that every row starts with.
 ROUNDS, RATE, START = 3, 0.25, 0.1
-#: Events of one step at most, steps of a task to aim at where there are few, and events that make a task.
-EVENTS, STEPS, TASK = 2048, 64, 1 << 16
-#: Rows of weights met oftener in a step are summed by a matrix product.
-FEW = 6
+#: Events of one step at most, and steps of a task to aim at where there are few.
+EVENTS, STEPS = 2048, 64
+#: Events that make a task of training; those that make one where there is a task for every core.
+TASK, LARGE = 1 << 16, 1 << 22
+#: Gradients of a row of weights that is met up to so often in a step are added one by one.
+FEW = 8
+#: Events of a range of histories, about, and events that a task sorts at a time before they are dealt.
+RANGE, SORTED = 1 << 18, 1 << 20
 #: Tasks whose weights are merged at a time.
 FAN = 32
-#: Tokens in a worker's arrays at a time (or one document, if it is longer).
-BATCH = 500_000
+#: Bytes of text in a worker's arrays at a time (or one document, if it is longer): coded, and only counted.
+CODED, MET = 1 << 21, 1 << 23
 #: Histories pack three numbers of words: places of tokens in word classes, for others a hash with their
 #: shape; the last is the one before the first token.
-BASE = 1 << 21
+BITS = 21
+BASE = 1 << BITS
 BEGIN = BASE - 1
 HASHES = (BEGIN - MODELLED) // SHAPES
+#: Events that are scored at a time.
+NEAR = 4096
+#: Beyond it exponents are lowered first; products of exponentials below this are not trusted.
+SAFE, LEAST = 60, 1e-25
 #: So many frequent words, one and two places before, tell which words share a class.
 CONTEXT = 64
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words between ASCII white space, then the end."""
-    return F.concat(F.array_remove(F.split(ascii_lower(text), r"[\x20\x09-\x0D]+"), ""), F.array(F.lit(END)))
+def whole_text(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows with ``most`` bytes of text or a row more."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // most, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(size))):
+            yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
+
+
+def split_texts(texts: pa.Array) -> pa.ListArray:
+    """Words between ASCII white space with A-Z lower-cased; white space at the ends of a text leaves empty
+    ones."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts))
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, c) over rows with a column ``text``."""
-    return docs.select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    """(token, c) over rows with a column ``text``; a task adds up what it meets in MET bytes of text."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches, "text", MET):
+            token, c = split_texts(part.column("text")).flatten().value_counts().flatten()
+            words = pa.RecordBatch.from_arrays([token.cast(pa.string()), c], names=["token", "c"])
+            yield words.filter(pc.not_equal(words.column("token"), ""))
+            yield pa.RecordBatch.from_pydict({"token": [END.decode()], "c": [len(part)]}, schema=words.schema)
+
+    found = docs.select(whole_text(F.col("text")).alias("text")).mapInArrow(counts, "token string, c long")
+    return found.groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def head_cut(counts: DataFrame, most: int = HEAD) -> int:
@@ -107,11 +141,13 @@ def class_column(token: Column, own: list[str]) -> Column:
 
 def feature_rows(kind: int, *parts: np.ndarray) -> np.ndarray:
     """Row of weights of a feature, by its kind and its words."""
-    x = np.full(len(parts[0]), kind + 1, dtype=np.uint64)
+    x = np.uint64(kind + 1)
     for p in parts:
-        x = (x * np.uint64(BASE) + p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x = x * np.uint64(BASE) + p.view(np.uint64)
+        x *= np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
-    return (x % np.uint64(ROWS)).astype(np.int64)
+    x &= np.uint64(ROWS - 1)
+    return x.view(np.int64)
 
 
 def histories(words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -129,32 +165,66 @@ def histories(words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def split_history(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return code % BASE, code // BASE % BASE, code // BASE**2
+    return code & (BASE - 1), code >> BITS & (BASE - 1), code >> 2 * BITS
 
 
-def class_rows(code: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+def class_rows(past: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
     """Rows for the class: the last word, the last two, skips, and the three classes ``before``."""
-    h1, h2, h3 = split_history(code)
+    h1, h2, h3 = past
     return [feature_rows(0, h1), feature_rows(1, h1, h2), feature_rows(2, h2), feature_rows(3, h3),
             feature_rows(4, *before)]
 
 
-def slot_rows(code: np.ndarray, before: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
+def slot_rows(past: np.ndarray, before: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
     """Rows for the token in its class: the last word, the one before, and the last two classes."""
-    h1, h2, _ = split_history(code)
+    h1, h2, _ = past
     return [feature_rows(5, cls, h1), feature_rows(6, cls, h2), feature_rows(7, cls, *before[:2])]
 
 
-def log_softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+def summed(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
     z = weights[rows[0]]
+    more = np.empty_like(z)
     for r in rows[1:]:
-        z += weights[r]
+        z += np.take(weights, r, axis=0, out=more, mode="clip")
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place."""
+    if max(z.max(), -z.min()) > SAFE:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], dtype=z.dtype))[:, None]
+    return z
+
+
+def powers(weights: np.ndarray) -> np.ndarray:
+    """Exponentials of each row, divided by its largest."""
+    return np.exp(weights - weights.max(axis=1, keepdims=True))
+
+
+def log_share(
+    weights: np.ndarray, power: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, share: np.ndarray, at: np.ndarray
+) -> np.ndarray:
+    """Log of the softmax of the summed rows and the bias at the places ``at``. Multiplies ``power`` and
+    ``share``, the exponentials of both, but adds logarithms where that comes near the least number."""
+    z = power[rows[0]]
+    more = np.empty_like(z)
+    for r in rows[1:]:
+        z *= np.take(power, r, axis=0, out=more, mode="clip")
+    z *= share
+    got = z.ravel()[np.arange(len(at)) * z.shape[1] + at]
+    out = np.log(np.maximum(got, LEAST), dtype=np.float64)
+    out -= np.log(np.maximum(z @ np.ones(z.shape[1], dtype=z.dtype), LEAST))
+    low = np.flatnonzero(got < LEAST)
+    if len(low):
+        z = summed(weights, [r[low] for r in rows], bias if bias.ndim == 1 else bias[low]).astype(np.float64)
+        z -= z.max(axis=1, keepdims=True)
+        out[low] = z[np.arange(len(low)), at[low]] - np.log(np.exp(z).sum(axis=1))
+    return out
+
+
 class Model:
     """Weights of both factors, the class of every word in one, and the base measure: log shares of the
     classes and of the words in each. ``order`` holds the words' places class by class."""
@@ -176,26 +246,26 @@ class Model:
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = state | {"weights": [w.astype(np.float32) for w in state["weights"]]}
 
-    def before(self, code: np.ndarray) -> np.ndarray:
+    def before(self, past: tuple[np.ndarray, ...]) -> np.ndarray:
         """Classes of the three words of a history; the place before the text is a class of its own."""
-        words = np.array(split_history(code))
+        words = np.array(past)
         known = np.where(words < MODELLED, words, MODELLED + (words - MODELLED) % SHAPES)
         return np.where(words == BEGIN, CLASSES, self.classes[known])
 
     def __call__(self, code: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(class | history) and, in a word class, P(token | class, history) of each target."""
         out = np.empty(len(code))
-        for at in range(0, len(code), EVENTS):
-            h, t = code[at : at + EVENTS], target[at : at + EVENTS]
-            cls, before = self.classes[t], self.before(h)
-            z = log_softmax(self.weights[0], class_rows(h, before), self.bias[0])
-            got = z[np.arange(len(h)), cls].astype(np.float64)
+        power, share = [powers(w) for w in self.weights], [np.exp(b) for b in self.bias]
+        for at in range(0, len(code), NEAR):
+            past, t = split_history(code[at : at + NEAR]), target[at : at + NEAR]
+            cls, before = self.classes[t], self.before(past)
+            got = log_share(self.weights[0], power[0], class_rows(past, before), self.bias[0], share[0], cls)
             own = np.nonzero(t < MODELLED)[0]
             if len(own):
-                rows = slot_rows(h[own], before[:, own], cls[own])
-                z = log_softmax(self.weights[1], rows, self.bias[1][cls[own]])
-                got[own] += z[np.arange(len(own)), self.slots[t[own]]]
-            out[at : at + EVENTS] = got
+                cls, at_slot = cls[own], self.slots[t[own]]
+                rows = slot_rows([h[own] for h in past], before[:, own], cls)
+                got[own] += log_share(self.weights[1], power[1], rows, self.bias[1][cls], share[1][cls], at_slot)
+            out[at : at + NEAR] = got
         return out
 
 
@@ -214,15 +284,33 @@ def class_order(profile: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def in_tasks(events: DataFrame) -> tuple[DataFrame, int, int]:
+    """Stored rows of PACKED in no more tasks than their number is worth; tasks; events."""
+    total = events.agg(F.sum("events")).first()[0] or 0
+    most = max(events.sparkSession.sparkContext.defaultParallelism, total // LARGE)
+    tasks = max(1, min(events.rdd.getNumPartitions(), total // TASK, most))
+    return events.coalesce(tasks), tasks, total
+
+
 def profiles(events: DataFrame, words: np.ndarray) -> np.ndarray:
     """For each word in a word class, how much oftener than by chance a frequent word stands one or two
     places before it (positive log ratio). The counts are at most MODELLED * 2 * CONTEXT."""
-    out = np.zeros((2, MODELLED, CONTEXT))
-    near = events.where(F.col("target") < MODELLED)
-    for back in range(2):
-        word = F.expr(f"(code div {BASE**back}) % {BASE}").alias("word")
-        for r in near.select("target", "n", word).where(F.col("word") < CONTEXT).groupBy("target", "word").sum("n").collect():
-            out[back, r[0], r[1]] = r[2]
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met = np.zeros((2, MODELLED, CONTEXT), dtype=np.int64)
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                code, target, n = unpacked(row)
+                for back, word in enumerate(split_history(code)[:2]):
+                    own = np.flatnonzero((target < MODELLED) & (word < CONTEXT))
+                    np.add.at(met[back].reshape(-1), target[own] * CONTEXT + word[own], n[own])
+        place = np.flatnonzero(met)
+        yield pd.DataFrame({"place": place.astype(np.int32), "n": met.reshape(-1)[place]})
+
+    out = np.zeros(2 * MODELLED * CONTEXT)
+    for r in in_tasks(events)[0].mapInPandas(near, "place int, n long").groupBy("place").sum("n").collect():
+        out[r[0]] = r[1]
+    out = out.reshape(2, MODELLED, CONTEXT)
     expected = words[:, None] * words[None, :CONTEXT] / words.sum()
     return np.concatenate(np.log(np.maximum(out / expected, 1.0)) * (out > 1), axis=1)
 
@@ -233,109 +321,203 @@ def word_number(crc: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 class Classer:
-    """Tokens of texts as numbers: place in the head (-1 outside), target, and word in a history. The
-    first ``words`` of the head are in word classes."""
+    """Tokens of texts, each text's words and then the end, as numbers: place in the head (-1 outside),
+    target, and word in a history. The first ``words`` of the head are in word classes."""
 
     def __init__(self, head: list[bytes], words: int):
-        self.place = {t: i for i, t in enumerate(head)}
+        self.head = pa.array([t.decode() for t in head], pa.string())
+        self.end = head.index(END) if END in head else -1
         shapes = [MODELLED - OWN + shape_class(t) for t in head[words:]]
         self.targets = np.array([*range(words), *shapes, 0], dtype=np.int64)
         crc = np.array([zlib.crc32(t) for t in head] + [0], dtype=np.int64)
         self.words = np.where(self.targets < MODELLED, self.targets, word_number(crc, self.targets))
 
-    def __call__(self, tokens_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        at = np.fromiter(map(self.place.get, tokens_, repeat(-1)), dtype=np.int64, count=len(tokens_))
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Also where each text begins, the places of tokens outside of the head, and these tokens."""
+        parts = split_texts(texts)
+        flat, owner = parts.flatten(), pc.list_parent_indices(parts)
+        some = pc.not_equal(flat, "")
+        flat, owner = flat.filter(some), owner.filter(some).to_numpy()
+        n = np.bincount(owner, minlength=len(texts))
+        ends = np.cumsum(n) + np.arange(len(texts))
+        places = np.arange(len(owner)) + owner
+        found = pc.index_in(flat.cast(pa.string()), value_set=self.head).fill_null(-1).to_numpy()
+        at = np.full(len(owner) + len(texts), self.end, dtype=np.int64)
+        at[places] = found
         target, word = self.targets[at], self.words[at]
-        rare = np.nonzero(at < 0)[0]
+        rare = np.flatnonzero(at < 0)
+        own = np.full(len(rare), END, dtype=object)
+        outside = flat.filter(pa.array(found < 0)).cast(pa.binary())
+        own[np.searchsorted(rare, places[found < 0])] = outside.to_numpy(zero_copy_only=False)
         if len(rare):
-            own = [tokens_[i] for i in rare]
             target[rare] = MODELLED - OWN + np.fromiter(map(shape_class, own), dtype=np.int64, count=len(own))
             crc = np.fromiter(map(zlib.crc32, own), dtype=np.int64, count=len(own))
             word[rare] = word_number(crc, target[rare])
-        return at, target, word, rare
+        return at, target, word, ends - n, rare, own
 
 
-def _batches(batches: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[list, list[bytes], np.ndarray]]:
-    """(rows, all their tokens, place of each row's first token); texts are lower-case already."""
-    rows: list = []
-    flat: list[bytes] = []
-    firsts: list[int] = []
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            firsts.append(len(flat))
-            flat += getattr(row, column).encode().split()
-            flat.append(b"\n")
-            rows.append(row)
-            if len(flat) >= BATCH:
-                yield rows, flat, np.array(firsts)
-                rows, flat, firsts = [], [], []
-    if rows:
-        yield rows, flat, np.array(firsts)
-
-
-def event_counts(docs: DataFrame, head: list[bytes], words: int) -> DataFrame:
-    """(code, target, n): how often a target follows a history, over rows with a lower-case ``low``."""
-
-    def events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Odd, and its inverse modulo 2 ** 64: histories are dealt by their product with it.
+ODD = 0x9E3779B97F4A7C15
+INVERSE = pow(ODD, -1, 1 << 64)
+#: Events of a range of histories, in order; see ``packed``.
+PACKED = "part long, events long, least long, key binary, target binary, n binary"
+
+
+def hashed_history(code: np.ndarray) -> np.ndarray:
+    """One to one; all bits of the code sway the high ones."""
+    x = code.view(np.uint64)
+    return (x ^ x >> np.uint64(32)) * np.uint64(ODD)
+
+
+def history_of(key: np.ndarray) -> np.ndarray:
+    x = key * np.uint64(INVERSE)
+    return (x ^ x >> np.uint64(32)).view(np.int64)
+
+
+def counted(key: np.ndarray, target: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, target) in order and the sums of their counts."""
+    by = np.lexsort((target, key))
+    key, target = key[by], target[by]
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (target[1:] != target[:-1])))
+    return key[new], target[new], np.add.reduceat(n[by], new)
+
+
+def packed(part: int, key: np.ndarray, target: np.ndarray, n: np.ndarray) -> tuple:
+    """Events in order as a row: gaps between keys, targets and counts, each as all lowest bytes, then all
+    second ones, up to the last that are not all zero."""
+    columns = []
+    for x in (np.diff(key, prepend=key[:1]), target.astype(np.uint64), n.astype(np.uint64)):
+        wide = (int(x.max()).bit_length() + 7) // 8
+        columns.append(x.view(np.uint8).reshape(len(x), 8).T[:wide].tobytes())
+    return part, len(key), int(key[:1].view(np.int64)[0]), *columns
+
+
+def unpacked_keys(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, target, n) of a row that ``packed`` made."""
+    found = []
+    for x in (row.key, row.target, row.n):
+        wide = np.zeros((row.events, 8), dtype=np.uint8)
+        wide[:, : len(x) // row.events] = np.frombuffer(x, dtype=np.uint8).reshape(-1, row.events).T
+        found.append(wide.view(np.uint64).ravel())
+    key, target, n = found
+    key[0] = np.array(row.least).astype(np.int64).view(np.uint64)
+    return np.cumsum(key, dtype=np.uint64), target.astype(np.uint16), n.view(np.int64)
+
+
+def unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, target, n) of a row that ``packed`` made."""
+    key, target, n = unpacked_keys(row)
+    return history_of(key), target.astype(np.int64), n
+
+
+def packed_events(docs: DataFrame, head: list[bytes], words: int, parts: int) -> DataFrame:
+    """How often a target follows a history, over rows with a text ``low``: a row of PACKED for each
+    of ``parts`` ranges of hashed histories. A task adds up what it meets before events are dealt, so a
+    history that is met often weighs no more than the tasks are many."""
+
+    def rows_of(keys: list, targets: list) -> pa.RecordBatch:
+        key, target = np.concatenate(keys), np.concatenate(targets)
+        key, target, n = counted(key, target, np.ones(len(key), dtype=np.int64))
+        part = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        made = [packed(int(part[a]), key[a:b], target[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_pandas(pd.DataFrame(made, columns=["part", "events", "least", "key", "target", "n"]))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classer = Classer(head, words)
-        for _, flat, firsts in _batches(batches, "low"):
-            _, target, word, _ = classer(flat)
-            yield pd.DataFrame({"code": histories(word, firsts), "target": target.astype(np.int32)})
+        keys, targets = [], []
+        for part in _slices(batches, "low", CODED):
+            _, target, word, firsts, *_ = classer(part.column("low"))
+            keys.append(hashed_history(histories(word, firsts)))
+            targets.append(target.astype(np.uint16))
+            if sum(map(len, keys)) >= SORTED:
+                yield rows_of(keys, targets)
+                keys, targets = [], []
+        if keys:
+            yield rows_of(keys, targets)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, target, n = zip(*map(unpacked_keys, pdf.itertuples(index=False)))
+        found = counted(np.concatenate(key), np.concatenate(target), np.concatenate(n))
+        return pd.DataFrame([packed(pdf["part"].iloc[0], *found)], columns=pdf.columns)
+
+    return docs.select("low").mapInArrow(pieces, PACKED).groupBy("part").applyInPandas(count, PACKED)
+
 
-    found = docs.select("low").mapInPandas(events, "code long, target int")
-    return found.groupBy("code", "target").agg(F.count("*").alias("n"))
+def event_counts(docs: DataFrame, head: list[bytes], words: int, parts: int = 1) -> DataFrame:
+    """(code, target, n): the same events, each in a row."""
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                yield pd.DataFrame(dict(zip(("code", "target", "n"), unpacked(row))))
 
-def summed_rows(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return packed_events(docs, head, words, parts).mapInPandas(rows, "code long, target int, n long")
+
+
+def summed_rows(rows: np.ndarray, g: np.ndarray, room: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sum of their gradients; ``rows`` holds len(g) rows for each kind of feature.
-    Rows met up to FEW times are added place by place, others by a product with a 0-1 matrix."""
+    Rows met up to FEW times are added place by place, the oftenest first. ``room``: two arrays to use."""
     by = np.argsort(rows.astype(np.uint16), kind="stable")
     ordered = rows[by]
+    by %= len(g)
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     size = np.diff(np.append(first, len(rows)))
-    by %= len(g)
-    out = g[by[first]]
-    for k in range(1, FEW):
-        more = np.flatnonzero((size > k) & (size <= FEW))
-        out[more] += g[by[first[more] + k]]
-    many = np.flatnonzero(size > FEW)
-    if len(many):
-        n = size[many]
-        owner = np.repeat(np.arange(len(many)), n)
-        place = np.arange(len(owner)) + np.repeat(first[many] - np.append(0, np.cumsum(n)[:-1]), n)
-        met = np.bincount(owner * len(g) + by[place], minlength=len(many) * len(g))
-        out[many] = met.reshape(len(many), len(g)).astype(np.float32) @ g
-    return ordered[first], out
-
-
-def _step(weights: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], g: np.ndarray) -> None:
-    """AdaGrad of the rows of one batch; every kind of feature gets the same gradient."""
-    own, step = summed_rows(np.concatenate(rows), g)
-    seen[own] += np.einsum("ij,ij->i", step, step) / g.shape[1]
-    step *= (RATE / np.sqrt(seen[own]))[:, None]
-    weights[own] -= step
+    order = np.argsort(FEW + 1 - np.minimum(size, FEW + 1).astype(np.uint8), kind="stable")
+    at = first[order]
+    long, *ends = np.bincount(np.minimum(size, FEW + 1), minlength=FEW + 2)[::-1].cumsum().tolist()
+    out, more = (x[: len(at)] for x in room or [np.empty((len(at), g.shape[1]), dtype=g.dtype) for _ in range(2)])
+    np.take(g, by[at], axis=0, out=more, mode="clip")
+    for k, end in zip(range(FEW - 1, 0, -1), ends):
+        if end > long:
+            more[long:end] += np.take(g, by[at[long:end] + k], axis=0, out=out[: end - long], mode="clip")
+    if long:
+        many = size[order[:long]]
+        begin = np.cumsum(many) - many
+        entries = np.arange(begin[-1] + many[-1]) + np.repeat(at[:long] - begin, many)
+        np.add.reduceat(g[by[entries]], begin, axis=0, out=more[:long])
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return ordered[first], np.take(more, place, axis=0, out=out, mode="clip")
+
+
+class Steps:
+    """Weights of a factor in one task, which AdaGrad moves by steps of ``size`` events with ``kinds`` of
+    features each; every kind gets the same gradient."""
+
+    def __init__(self, weights: np.ndarray, kinds: int, size: int):
+        self.weights = weights.copy()
+        self.seen = np.full(ROWS, START, dtype=np.float32)
+        self.room = [np.empty((kinds * size, weights.shape[1]), dtype=np.float32) for _ in range(2)]
+
+    def __call__(self, rows: list[np.ndarray], bias: np.ndarray, at: np.ndarray, mass: np.ndarray) -> None:
+        """The step of one batch: targets ``at``, weighing ``mass``."""
+        g = softmax(summed(self.weights, rows, bias))
+        g[np.arange(len(at)), at] -= 1
+        g *= mass[:, None]
+        own, step = summed_rows(np.concatenate(rows), g, self.room)
+        self.seen[own] += np.einsum("ij,ij->i", step, step) / g.shape[1]
+        step *= (RATE / np.sqrt(self.seen[own]))[:, None]
+        new = np.take(self.weights, own, axis=0, out=self.room[1][: len(own)], mode="clip")
+        new -= step
+        self.weights[own] = new
 
 
 def _local_steps(parts: Iterator[tuple], model: Model, size: int) -> list[np.ndarray]:
     """Weights after one task's events, ``size`` of them a step, each weighing by its count."""
-    weights = [w.copy() for w in model.weights]
-    seen = [np.full(ROWS, START, dtype=np.float32) for _ in weights]
+    of_class, of_slot = (Steps(w, kinds, size) for w, kinds in zip(model.weights, (5, 3)))
     for code, target, n in parts:
         for at in range(0, len(code), size):
-            h, t = code[at : at + size], target[at : at + size]
-            mass = n[at : at + size].astype(np.float32)[:, None]
-            cls, before = model.classes[t], model.before(h)
-            rows = class_rows(h, before)
-            g = np.exp(log_softmax(weights[0], rows, model.bias[0]))
-            g[np.arange(len(h)), cls] -= 1
-            _step(weights[0], seen[0], rows, g * mass)
+            past, t = split_history(code[at : at + size]), target[at : at + size]
+            mass = n[at : at + size].astype(np.float32)
+            cls, before = model.classes[t], model.before(past)
+            of_class(class_rows(past, before), model.bias[0], cls, mass)
             own = np.nonzero(t < MODELLED)[0]
             if len(own):
-                rows = slot_rows(h[own], before[:, own], cls[own])
-                g = np.exp(log_softmax(weights[1], rows, model.bias[1][cls[own]]))
-                g[np.arange(len(own)), model.slots[t[own]]] -= 1
-                _step(weights[1], seen[1], rows, g * mass[own])
-    return weights
+                cls = cls[own]
+                rows = slot_rows([h[own] for h in past], before[:, own], cls)
+                of_slot(rows, model.bias[1][cls], model.slots[t[own]], mass[own])
+    return [of_class.weights, of_slot.weights]
 
 
 #: Slices of the weights that are merged apart from each other.
@@ -366,20 +548,22 @@ def _merged(moved: DataFrame, tasks: int) -> list[np.ndarray]:
 
 
 def train(events: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Move the model's weights by stored (code, target, n), each row of which takes part in one round."""
-    total = events.count()
-    tasks = max(1, min(events.rdd.getNumPartitions(), total // TASK))
-    events = events.coalesce(tasks)
+    """Move the model's weights by stored rows of PACKED, each event of which takes part in one round."""
+    events, tasks, total = in_tasks(events)
     size = max(16, min(EVENTS, total // (tasks * rounds * STEPS)))
-    turn_of = F.pmod(F.xxhash64("code", "target"), F.lit(rounds))
     for turn in range(rounds):
         shared = events.sparkSession.sparkContext.broadcast(model)
 
-        def steps(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def dealt(batches: Iterator[pd.DataFrame], turn=turn) -> Iterator[tuple]:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    own = np.random.default_rng(row.part).permutation(row.events)[turn::rounds]
+                    yield tuple(x[own] for x in unpacked(row))
+
+        def steps(batches: Iterator[pd.DataFrame], shared=shared, dealt=dealt) -> Iterator[pd.DataFrame]:
             model = shared.value
-            parts = ((b["code"].to_numpy(), b["target"].to_numpy(), b["n"].to_numpy()) for b in batches)
             task = TaskContext.get().partitionId()
-            for k, (new, old) in enumerate(zip(_local_steps(parts, model, size), model.weights)):
+            for k, (new, old) in enumerate(zip(_local_steps(dealt(batches), model, size), model.weights)):
                 new -= old
                 mass = new.any(axis=1).astype(np.float32)
                 for b, (m, x) in enumerate(zip(np.split(mass, BLOCKS), np.split(new.astype(np.float16), BLOCKS))):
@@ -387,8 +571,7 @@ def train(events: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                         yield pd.DataFrame({"block": [k * BLOCKS + b], "task": [task], "mass": [m.tobytes()],
                                             "moved": [x.tobytes()]})
 
-        moved = events.where(turn_of == turn).select("code", "target", "n").mapInPandas(steps, MOVED)
-        for w, step in zip(model.weights, _merged(moved, tasks)):
+        for w, step in zip(model.weights, _merged(events.mapInPandas(steps, MOVED), tasks)):
             w += step
         shared.destroy()
     return model
@@ -428,8 +611,8 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     measure = np.append(inner, np.zeros(MODELLED - words)) + 0.01
     unknown = np.log10(np.where(mass > 0, np.maximum(discount * types, 1e-9) / np.maximum(mass, 1), 1.0))
-    low = ascii_lower(F.col("text"))
-    events = stored(event_counts(learn.select(low.alias("low")), coded, words), "events")
+    low = whole_text(F.col("text"))
+    events = stored(packed_events(learn.select(low.alias("low")), coded, words, max(1, total // RANGE)), "events")
     model = train(events, Model(class_order(profiles(events, measure)), measure, mass + 0.5))
 
     base_of = np.append(np.log10(c + 1), 0.0) - math.log10(total + distinct + 1)
@@ -438,30 +621,33 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own_share[words:-1] = np.log10(np.maximum(c[words:] - discount, 1e-9) / np.maximum(mass[k], 1))
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    longs = [(k, pa.list_(pa.int64())) for k in ("hashed", "crc", "tf")]
+    wire = pa.schema([("doc_id", pa.string()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()),
+                      ("inner", pa.float64()), *longs])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classer, model = Classer(coded, words), shared.value
-        for rows, flat, firsts in _batches(batches, "low"):
-            at, target, word, rare = classer(flat)
+        for part in _slices(batches, "low", CODED):
+            at, target, word, firsts, rare, tokens = classer(part.column("low"))
             logs = model(histories(word, firsts), target) / math.log(10)
             known = at >= 0
             logs += own_share[at]
             logs[rare] += unknown[target[rare] - MODELLED]
-            ends = np.append(firsts[1:], len(flat))
+            ends = np.append(firsts[1:], len(at))
             # Rare tokens of each row, once with their number.
             owner = np.searchsorted(firsts, rare, side="right") - 1
-            hashed = np.array([xxhash.xxh64_intdigest(flat[i], 42) for i in rare], dtype=np.uint64).view(np.int64)
-            crc = np.array([zlib.crc32(flat[i]) for i in rare], dtype=np.int64)
+            hashed = np.array([xxhash.xxh64_intdigest(t, 42) for t in tokens], dtype=np.uint64).view(np.int64)
+            crc = np.array([zlib.crc32(t) for t in tokens], dtype=np.int64)
             by = np.lexsort((crc, hashed, owner))
             owner, hashed, crc = owner[by], hashed[by], crc[by]
             new = np.ones(len(rare), dtype=bool)
             new[1:] = (np.diff(owner) != 0) | (np.diff(hashed) != 0) | (np.diff(crc) != 0)
             first = np.nonzero(new)[0]
             tf = np.diff(np.append(first, len(rare)))
-            cuts = np.searchsorted(owner[first], np.arange(len(rows) + 1))
+            cuts = np.searchsorted(owner[first], np.arange(len(part) + 1))
             hashed, crc = hashed[first], crc[first]
-            yield pd.DataFrame({
-                "doc_id": [r.doc_id for r in rows],
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({
+                "doc_id": part.column("doc_id").to_pandas(),
                 "n_tokens": ends - firsts,
                 "n_head": np.add.reduceat(known.astype(np.int64), firsts),
                 "base": np.add.reduceat(base_of[at], firsts),
@@ -469,7 +655,7 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 "hashed": [hashed[a:b] for a, b in zip(cuts, cuts[1:])],
                 "crc": [crc[a:b] for a, b in zip(cuts, cuts[1:])],
                 "tf": [tf[a:b] for a, b in zip(cuts, cuts[1:])],
-            })
+            }), schema=wire)
 
     kind = docs.schema[id_col].dataType
     schema = (
@@ -478,7 +664,7 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     part = stored(
         own.select(F.col("doc_id").cast("string").alias("doc_id"), low.alias("low"))
-        .mapInPandas(score, schema)
+        .mapInArrow(score, schema)
         .withColumn("row", F.monotonically_increasing_id()),
         "head-scores",
     )
@@ -495,7 +681,7 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = (
         part.select("row", F.explode(F.arrays_zip("hashed", "crc", "tf")).alias("x"))
         .select("row", "x.hashed", "x.crc", "x.tf")
-        .join(rare, ["hashed", "crc"])
+        .join(rare.hint("shuffle_hash"), ["hashed", "crc"])
         .groupBy("row")
         .agg(
             F.sum("tf").alias("rest_known"),

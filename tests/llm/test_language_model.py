@@ -210,3 +210,39 @@ def test_summed_rows():
     want = np.zeros((op.ROWS, 5))
     np.add.at(want, rows, np.concatenate([g, g]))
     assert list(own) == sorted(set(rows.tolist())) and np.allclose(got, want[own], atol=1e-3)
+
+
+def test_packed_events_are_small_and_whole():
+    """Also keys beyond 2 ** 63, counts of many bytes, and one event."""
+    rng = np.random.default_rng(8)
+    for size in (1, 4000):
+        codes = rng.integers(0, op.BASE**3, size)
+        assert (op.history_of(op.hashed_history(codes)) == codes).all()
+        key, target = op.hashed_history(codes), rng.integers(0, op.MODELLED + op.SHAPES, size).astype(np.uint16)
+        n = np.where(rng.random(size) < 0.9, 1, rng.integers(1, 200, size))
+        found = op.counted(np.append(key, key), np.append(target, target), np.append(n, n))
+        row = dict(zip([c.split()[0] for c in op.PACKED.split(", ")], op.packed(3, *found)))
+        assert sum(len(row[k]) for k in ("key", "target", "n")) <= 12 * size
+        code, got, counts = op.unpacked(type("Row", (), row))
+        want = Counter(zip(codes.tolist(), target.tolist()))
+        assert set(zip(code.tolist(), got.tolist())) == set(want) and counts.sum() == 2 * n.sum()
+
+
+def test_no_more_tasks_move_weights_than_cores_on_a_small_corpus(spark, tmp_path):
+    """Each task's weights go through the shuffle, so files or partitions must not multiply them."""
+    rows = [(k, op.TASK, 0, b"", b"", b"") for k in range(60)]
+    spark.createDataFrame(rows, op.PACKED).repartition(60).write.parquet(str(tmp_path / "e"))
+    events = spark.read.parquet(str(tmp_path / "e"))
+    got, tasks, total = op.in_tasks(events)
+    assert total == 60 * op.TASK and tasks <= spark.sparkContext.defaultParallelism and got.rdd.getNumPartitions() == tasks
+
+
+def test_log_share_of_far_weights():
+    """Where products of exponentials vanish the logarithms are added."""
+    rng = np.random.default_rng(9)
+    weights = (rng.normal(size=(op.ROWS, 8)) * 40).astype(np.float32)
+    rows, bias, at = [rng.integers(0, op.ROWS, 50) for _ in range(5)], rng.normal(size=8).astype(np.float32), rng.integers(0, 8, 50)
+    got = op.log_share(weights, op.powers(weights), rows, bias, np.exp(bias), at)
+    z = sum(weights[r].astype(np.float64) for r in rows) + bias
+    want = z[np.arange(50), at] - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) - z.max(axis=1)
+    assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-5, atol=1e-3)
