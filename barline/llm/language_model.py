@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import namedtuple
 from collections.abc import Iterator
 
 import numpy as np
@@ -296,19 +297,18 @@ def profiles(events: DataFrame, words: np.ndarray) -> np.ndarray:
     """For each word in a word class, how much oftener than by chance a frequent word stands one or two
     places before it (positive log ratio). The counts are at most MODELLED * 2 * CONTEXT."""
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros((2, MODELLED, CONTEXT), dtype=np.int64)
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                code, target, n = unpacked(row)
-                for back, word in enumerate(split_history(code)[:2]):
-                    own = np.flatnonzero((target < MODELLED) & (word < CONTEXT))
-                    np.add.at(met[back].reshape(-1), target[own] * CONTEXT + word[own], n[own])
+        for row in _packed_rows(batches):
+            code, target, n = unpacked(row)
+            for back, word in enumerate(split_history(code)[:2]):
+                own = np.flatnonzero((target < MODELLED) & (word < CONTEXT))
+                np.add.at(met[back].reshape(-1), target[own] * CONTEXT + word[own], n[own])
         place = np.flatnonzero(met)
-        yield pd.DataFrame({"place": place.astype(np.int32), "n": met.reshape(-1)[place]})
+        yield pa.RecordBatch.from_pydict({"place": place.astype(np.int32), "n": met.reshape(-1)[place]})
 
     out = np.zeros(2 * MODELLED * CONTEXT)
-    for r in in_tasks(events)[0].mapInPandas(near, "place int, n long").groupBy("place").sum("n").collect():
+    for r in in_tasks(events)[0].mapInArrow(near, "place int, n long").groupBy("place").sum("n").collect():
         out[r[0]] = r[1]
     out = out.reshape(2, MODELLED, CONTEXT)
     expected = words[:, None] * words[None, :CONTEXT] / words.sum()
@@ -410,6 +410,16 @@ def unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return history_of(key), target.astype(np.int64), n
 
 
+Packed = namedtuple("Packed", "part events least key target n")
+
+
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Packed]:
+    """A batch may hold all rows of a task; only one at a time is copied."""
+    for batch in batches:
+        for k in range(len(batch)):
+            yield Packed(*(c[k].as_py() for c in batch.columns))
+
+
 def packed_events(docs: DataFrame, head: list[bytes], words: int, parts: int) -> DataFrame:
     """How often a target follows a history, over rows with a text ``low``: a row of PACKED for each
     of ``parts`` ranges of hashed histories. A task adds up what it meets before events are dealt, so a
@@ -550,17 +560,17 @@ def _merged(moved: DataFrame, tasks: int) -> list[np.ndarray]:
 def train(events: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     """Move the model's weights by stored rows of PACKED, each event of which takes part in one round."""
     events, tasks, total = in_tasks(events)
+    wire = pa.schema([("block", pa.int32()), ("task", pa.int32()), ("mass", pa.binary()), ("moved", pa.binary())])
     size = max(16, min(EVENTS, total // (tasks * rounds * STEPS)))
     for turn in range(rounds):
         shared = events.sparkSession.sparkContext.broadcast(model)
 
-        def dealt(batches: Iterator[pd.DataFrame], turn=turn) -> Iterator[tuple]:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    own = np.random.default_rng(row.part).permutation(row.events)[turn::rounds]
-                    yield tuple(x[own] for x in unpacked(row))
+        def dealt(batches: Iterator[pa.RecordBatch], turn=turn) -> Iterator[tuple]:
+            for row in _packed_rows(batches):
+                own = np.random.default_rng(row.part).permutation(row.events)[turn::rounds]
+                yield tuple(x[own] for x in unpacked(row))
 
-        def steps(batches: Iterator[pd.DataFrame], shared=shared, dealt=dealt) -> Iterator[pd.DataFrame]:
+        def steps(batches: Iterator[pa.RecordBatch], shared=shared, dealt=dealt) -> Iterator[pa.RecordBatch]:
             model = shared.value
             task = TaskContext.get().partitionId()
             for k, (new, old) in enumerate(zip(_local_steps(dealt(batches), model, size), model.weights)):
@@ -568,10 +578,10 @@ def train(events: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                 mass = new.any(axis=1).astype(np.float32)
                 for b, (m, x) in enumerate(zip(np.split(mass, BLOCKS), np.split(new.astype(np.float16), BLOCKS))):
                     if m.any():
-                        yield pd.DataFrame({"block": [k * BLOCKS + b], "task": [task], "mass": [m.tobytes()],
-                                            "moved": [x.tobytes()]})
+                        row = {"block": [k * BLOCKS + b], "task": [task], "mass": [m.tobytes()], "moved": [x.tobytes()]}
+                        yield pa.RecordBatch.from_pydict(row, schema=wire)
 
-        for w, step in zip(model.weights, _merged(events.mapInPandas(steps, MOVED), tasks)):
+        for w, step in zip(model.weights, _merged(events.mapInArrow(steps, MOVED), tasks)):
             w += step
         shared.destroy()
     return model
