@@ -182,3 +182,24 @@ def test_scored_trades_deal_written_bars_by_their_count(spark):
     kept = some.select(*names)
     want = features.feature_table(dealt).join(at, ["symbol", "date"], "left_semi").select(*names)
     assert kept.count() == want.count() > 0 and kept.exceptAll(want).count() == 0
+
+
+def test_scored_backtest_deals_written_bars_by_their_count(spark, monkeypatch):
+    from barline.catalog import backtests
+
+    given = {}
+    monkeypatch.setattr(
+        backtests.backtest, "scored_backtest", lambda bars, small, *_, **more: given.update(bars=bars, small=small, **more)
+    )
+    backtests._backtest_scored(spark, SF)
+    assert "REPARTITION_BY_NUM" in plan(given["bars"]) and given["seen"] is not None
+    # the ticks are read for the written bars alone
+    assert "l_extendedprice" not in plan(given["small"])
+
+
+def test_ranks_need_one_shuffle_of_the_rows(spark):
+    from barline.operators import risk
+
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), (F.col("id") % 7).cast("double").alias("v"))
+    text = plan(risk.percent_rank_by(df.withColumn("s", F.floor(F.col("v") / 2)), ["g"], "v", "p", "s"))
+    assert not re.search(r"Exchange hashpartitioning\([^)]*\bv#", text)
