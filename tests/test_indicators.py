@@ -346,3 +346,19 @@ def test_log_distance_edges(spark):
     assert got[:2] == [None, None] and math.isclose(got[2], math.log(2))
 
 
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_are_carried_by_one_list(spark):
+    """However many decays share a block, none has a frame of its own for each block before."""
+    text = _plan(I.emas(closes(spark, {"A": walk(50)}), {f"e{n}": n for n in (12, 30, 34, 200)}))
+    assert "RangeFrame" not in text and text.count("collect_list(") == 1
+
+
+def test_a_state_of_the_trailing_stop_holds_no_list(spark):
+    """A state is copied in depth at every bar; with the stops before it, that cost grew with the page."""
+    text = _plan(I.atr_trailing(closes(spark, {"A": walk(50)})))
+    assert "aggregate(" in text and ", out, concat(" not in text
